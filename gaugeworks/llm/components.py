@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, written
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def connected(edges: DataFrame) -> DataFrame:
         large = cut(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         least = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        links = cut(small.unionByName(least.withColumnRenamed("m", "b")).distinct())
+        links = written(small.unionByName(least.withColumnRenamed("m", "b")).distinct(), "links")
     leaves = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return leaves.unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 

@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, written
 
 #: Most rows of a table that is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 100_000
-ROUNDS = 10
+ROUNDS = 6
 #: Targets of the queries: shares of tokens raised to these powers, so that large values give way to small ones.
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,13 +41,13 @@ def draw(id_: Column, text: Column, seed: int) -> Column:
     return F.conv(digits, 16, 10).cast("bigint") / F.lit(float(16**13))
 
 
-def _joined(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """``rows`` joined null-safely with ``table``, which is broadcast if it is small."""
+def _joined(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner", size: int | None = None) -> DataFrame:
+    """``rows`` joined null-safely with ``table``, which is broadcast if it is small (``size`` rows, else counted)."""
     named = table.withColumnsRenamed({c: f"_{c}" for c in on})
     condition = F.lit(True)
     for c in on:
         condition = condition & rows[c].eqNullSafe(named[f"_{c}"])
-    small = table.count() <= BROADCAST_ROWS
+    small = (table.count() if size is None else size) <= BROADCAST_ROWS
     return rows.join(F.broadcast(named) if small else named, condition, how).drop(*[f"_{c}" for c in on])
 
 
@@ -69,12 +69,15 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     """
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     cells = cut(cells.withColumn("weight", F.col("tokens").cast("double")))
+    values = {d: cells.select(d).distinct().count() for d in targets}
+    targets = {d: (t, t.count()) for d, t in targets.items()}
     for _ in range(rounds):
-        for d, target in targets.items():
+        for d, (target, size) in targets.items():
             sums = cells.groupBy(d).agg(F.sum("weight").alias("_have"))
-            scale = cut(_joined(sums, target, [d], "left").select(d, F.when(F.col("_have") > 0, F.coalesce("target", F.lit(0.0)) * total / F.col("_have")).otherwise(0.0).alias("_scale")))
-            cells = _joined(cells, scale, [d])
-            cells = cut(cells.withColumn("weight", F.col("weight") * F.col("_scale")).drop("_scale"))
+            share = F.coalesce("target", F.lit(0.0)) * total / F.col("_have")
+            scale = _joined(sums, target, [d], "left", size).select(d, F.when(F.col("_have") > 0, share).otherwise(0.0).alias("_scale"))
+            cells = _joined(cells, scale, [d], size=values[d]).withColumn("weight", F.col("weight") * F.col("_scale")).drop("_scale")
+            cells = written(cells, "cells")  # a file, for what Spark infers of a checkpoint's values grows with each
     return cells
 
 

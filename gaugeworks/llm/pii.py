@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, written
 
 # Given names by script and gender, titles by gender.
 GIVEN = {
@@ -202,8 +202,8 @@ def assigned(entities: DataFrame, key: str, draw: Callable[[str, str, int, bytes
         free = drawn.join(real, ["space", "new"], "left_anti").join(done, ["space", "new"], "left_anti")
         rank = F.struct(F.xxhash64("kind", "norm"), "kind", "norm")
         won = free.groupBy("space", "new").agg(F.min(rank).alias("x")).select("space", "new", "x.kind", "x.norm")
-        done = cut(done.unionByName(won))
-        waiting = cut(drawn.join(done, ["kind", "norm"], "left_anti").select("kind", "norm", (F.col("attempt") + 1).alias("attempt")))
+        done = written(done.unionByName(won), "surrogates")
+        waiting = written(drawn.join(done, ["kind", "norm"], "left_anti").select("kind", "norm", (F.col("attempt") + 1).alias("attempt")), "waiting")
         if waiting.isEmpty():
             return done.select("kind", "norm", "new")
 
