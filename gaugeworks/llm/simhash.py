@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -59,14 +60,44 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(kernel, f"`{id_col}` {kind}, fp bigint")
 
 
-def links(fps: DataFrame, direct: int = 16) -> DataFrame:
+def forest(fps: np.ndarray, own: int, offset: int) -> list[tuple[int, int]]:
+    """Links that join what links in one bucket, one fewer than the members joined.
+
+    ``fps`` are the bucket's fingerprints, ``own`` the bit that it masks, ``offset`` where the other segment
+    starts. Fingerprints that agree but for two wildcards link; for each choice of those, equal rests are
+    joined to the first of them. Two wildcards in the other segment are tried where nothing is
+    masked twice: in the bucket of a segment's first bit.
+    """
+    bits = [1 << (offset + q) for q in range(32)]
+    masks = [(1 << own) | b for b in bits] + [b | c for k, b in enumerate(bits) for c in bits[:k] if own in (0, 32)]
+    root = list(range(len(fps)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    out = []
+    for m in masks:
+        _, first, group = np.unique(fps & np.uint64(~m & (1 << 64) - 1), return_index=True, return_inverse=True)
+        for i in np.flatnonzero(first[group] != np.arange(len(fps))).tolist():
+            x, y = find(int(first[group[i]])), find(i)
+            if x != y:
+                root[y] = x
+                out.append((int(first[group[i]]), i))
+    return out
+
+
+def links(fps: DataFrame, direct: int = 16, local: int = 50_000) -> DataFrame:
     """Edges ``(a, b)`` among distinct fingerprints ``fp``, enough to join all that link at two or fewer bits.
 
-    Buckets of up to ``direct`` fingerprints are self-joined and each pair verified. In a fuller bucket,
-    as a large group of near copies makes it, two wildcards are put over the whole fingerprint: equal
-    results differ at most there, so each needs one edge to the least of them, not one for each pair.
-    No link is lost: two linked fingerprints that share a full bucket either differ by at most one bit
-    in each segment, or agree on that segment and differ by two bits in the other.
+    Buckets of up to ``direct`` fingerprints are self-joined and each pair verified. A fuller bucket, as a
+    large group of near copies makes it, would give a pair for each two; ``forest`` reduces it to links that
+    join the same fingerprints, in time linear in its members. A bucket of over ``local`` members, too many for
+    one task, does the same by grouped minima over wildcard keys. No link is lost: two linked
+    fingerprints that share a full bucket either differ by at most one bit in each segment, or agree on
+    that segment and differ by two bits in the other.
     """
     low = F.lit(0xFFFFFFFF)
     halves = fps.select("fp", F.col("fp").bitwiseAND(low).alias("s0"), F.shiftrightunsigned("fp", 32).alias("s1"))
@@ -83,9 +114,22 @@ def links(fps: DataFrame, direct: int = 16) -> DataFrame:
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
     pairs = x.join(y, "key").where(F.col("a") < F.col("b")).where(close).select("a", "b")
 
+    def joined(bucket: pd.DataFrame) -> pd.DataFrame:
+        key, values = int(bucket.key.iloc[0]), bucket.fp.sort_values().to_numpy()
+        own = ((key >> 32) & 31) + 32 * (key >> 37)
+        ends = forest(values.view(np.uint64), own, 0 if key >> 37 else 32)
+        return pd.DataFrame({"a": [values[i] for i, _ in ends], "b": [values[j] for _, j in ends]}, dtype="int64")
+
+    full = members.where(F.col("n") > direct)
+    trees = full.where(F.col("n") <= local).select("key", "fp").groupBy("key").applyInPandas(joined, "a bigint, b bigint")
+    return pairs.unionByName(trees).unionByName(_stars(full.where(F.col("n") > local))).distinct()
+
+
+def _stars(full: DataFrame) -> DataFrame:
+    """Edges for buckets ``(key, fp)`` of any size: each fingerprint with two wildcards, and the least of those that agree."""
     segment = F.shiftrightunsigned("key", 37)
     place = F.shiftrightunsigned("key", 32).bitwiseAND(F.lit(31))
-    full = members.where(F.col("n") > direct).select("fp", segment.alias("seg"), place.cast("int").alias("pos"))
+    full = full.select("fp", segment.alias("seg"), place.cast("int").alias("pos"))
     bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), p)
     own = F.col("pos") + F.col("seg").cast("int") * 32
     other = F.lit(32) - F.col("seg").cast("int") * 32
@@ -96,8 +140,7 @@ def links(fps: DataFrame, direct: int = 16) -> DataFrame:
     wild = full.select("fp", F.explode(masks).alias("mask")).distinct()
     wild = wild.select("fp", "mask", F.col("fp").bitwiseAND(F.bitwise_not("mask")).alias("rest"))
     least = cut(wild.groupBy("mask", "rest").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    stars = wild.join(least, ["mask", "rest"]).where("fp <> a").select("a", F.col("fp").alias("b"))
-    return pairs.unionByName(stars).distinct()
+    return wild.join(least, ["mask", "rest"]).where("fp <> a").select("a", F.col("fp").alias("b"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:

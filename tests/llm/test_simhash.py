@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -38,12 +39,13 @@ def test_query_against_brute_force(spark, sf):
     assert got == brute(rows)
 
 
-def test_full_buckets_lose_no_link(spark):
+@pytest.mark.parametrize("local", [50_000, 8])
+def test_full_buckets_lose_no_link(spark, local):
     rng = random.Random(5)
     centres = [rng.getrandbits(64) for _ in range(3)]
     fps = {c ^ sum(1 << b for b in set(rng.sample(range(64), rng.randint(0, 4)))) for c in centres for _ in range(120)}
     signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
-    edges = simhash.links(spark.createDataFrame(signed, "fp bigint"), direct=4)
+    edges = simhash.links(spark.createDataFrame(signed, "fp bigint"), direct=4, local=local)
     from gaugeworks.llm.components import connected
 
     got = {r.node: r.component for r in connected(edges).collect()}
