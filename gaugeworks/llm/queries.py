@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, line_dedup, mixing, pii, quality, simhash, topk
+from . import ann, bpe, langid, line_dedup, mixing, pii, quality, simhash, suffix, topk
 from .common import table
 
 #: The vocabulary of the token queries; a parameter of the operators.
@@ -33,6 +33,10 @@ def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.with_surrogates(docs, KEY)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_pii_surrogates": op3_pii_surrogates,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_line_dedup": op6_line_dedup,
     "op7_language_id": op7_language_id,
