@@ -1,31 +1,55 @@
-"""The corpus pipeline: stages that each work on all documents that the one before kept."""
+"""The corpus pipeline: five stages, each over all documents that the one before kept.
+
+Quality filter, line deduplication, near-duplicate removal, mixing, tokens. Every stage takes and, but for
+the last, returns the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, simhash
-from gaugeworks.llm.common import table
+from gaugeworks.llm import bpe, line_dedup, mixing, quality, simhash
+from gaugeworks.llm.common import table, written
 from gaugeworks.llm.queries import VOCABULARY
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.scored(docs, table(spark, sf_dir, "labels")).where("keep").select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier one equals or nearly equals go; ``n_chars`` follows the text."""
+    out = line_dedup.dedup_lines(docs).select(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
     return simhash.one_of_each(docs)
 
 
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose tokens follow the target shares of sources, languages and topics."""
+    return mixing.mixed(docs).select(*docs.columns)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what is left."""
+    """Token ids of what is left, with digests of ids and of the decoded text."""
     return bpe.with_tokens(docs, VOCABULARY, digest=True)
 
 
-STAGES = [("near_dedup", near_dedup), ("bpe", tokens)]
+STAGES = [("quality", keep_quality), ("line_dedup", drop_lines), ("near_dedup", near_dedup), ("mix", mix), ("bpe", tokens)]
+#: SQL can express neither the fingerprints of the third stage nor the merges of the last.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents."""
+    """All stages over the documents; what a stage returns is written and read again for the next."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"stage-{name}")
     return docs
