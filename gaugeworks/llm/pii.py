@@ -47,8 +47,9 @@ FOUND = regex.compile(
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?!\w)|(?<![\w+])\+\d{8,15}(?!\w))"
     rf"|(?P<person>\b(?:(?P<title>{_TITLE})\.?[ ]+(?P<name>{NAME}(?:[ ]+{NAME}){{0,2}})|(?P<full>(?:{_GIVEN})(?:[ ]+{NAME}){{1,2}})))"
 )
-#: A text that this doesn't match has no entity; Spark applies it before texts go to Python.
-MAYBE = rf"[0-9@=:]|AKIA|gh[pousr]_|sk-|\b(?:{_TITLE})\b|\b(?:{_GIVEN})\b"
+#: A text that this doesn't match has no entity; Spark applies it before texts go to Python. It has no word
+#: bounds, which Java may read as ASCII's only.
+MAYBE = rf"[0-9@=:]|AKIA|gh[pousr]_|sk-|{_TITLE}|{_GIVEN}"
 LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщыэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 
 
