@@ -26,7 +26,8 @@ def nra(lists: tuple[np.ndarray, np.ndarray], rows: np.ndarray, q: np.ndarray, k
     """Places of the ``k`` rows with the highest ``rows @ q``, ties to smaller ``ids``.
 
     ``lists`` are, for each dimension, the places in rising order of value and the values in that order.
-    Rows that tie with the k-th are all read to the end, for which the bound must be passed strictly.
+    A row whose upper bound equals the k-th lower bound may tie with it, and stays. Once few rows can
+    still qualify, their final scores settle the order; otherwise all lists are read to the end.
     """
     order, values = lists
     n = len(rows)
@@ -34,41 +35,34 @@ def nra(lists: tuple[np.ndarray, np.ndarray], rows: np.ndarray, q: np.ndarray, k
     k = min(k, n)
     if n <= 4 * k or not len(used):
         return _top(rows @ q, ids, k)
-    falls = [(order[d][::-1], values[d][::-1] * q[d]) if q[d] > 0 else (order[d], values[d] * q[d]) for d in used]
-    least = np.array([c[-1] for _, c in falls])
-    read, shown = np.zeros(n, np.int64), np.zeros((n, len(used)), bool)
-    at, step = 0, max(64, n // 32)
+    least = np.array([values[d, 0 if q[d] > 0 else -1] * q[d] for d in used])
+    low, shown = np.full(n, least.sum()), np.zeros((len(used), n))
+    at, step, few = 0, max(64, n // 16), max(4 * k, n // 16)
     while at < n:
         upto = min(n, at + step)
-        for j, (places, c) in enumerate(falls):
-            p = places[at:upto]
-            read[p] += c[at:upto]
-            shown[p, j] = True
+        front = np.empty_like(least)
+        for j, d in enumerate(used):
+            part = slice(n - upto, n - at) if q[d] > 0 else slice(at, upto)
+            places, c = order[d, part], values[d, part] * q[d]
+            front[j] = c[0] if q[d] > 0 else c[-1]
+            low[places] += c - least[j]
+            shown[j, places] = 1.0
         at, step = upto, step * 2
-        if at >= n:
-            break
-        front = np.array([c[at - 1] for _, c in falls])
-        hidden = ~shown
-        low = read + hidden @ least
-        kth = np.partition(low, n - k)[n - k]
-        high = read + hidden @ front
-        hopeful = np.flatnonzero(high >= kth)
-        if len(hopeful) == k:
-            return _resolved(rows, q, hopeful, ids, k)
-        if len(hopeful) <= 4 * k:
-            # The few that are left differ by what no list has shown yet; their final scores settle it.
-            return _resolved(rows, q, hopeful, ids, k)
-    return _top(read, ids, k)
+        if at < n:
+            kth = np.partition(low, n - k)[n - k]
+            gap = (front - least).astype(float)
+            high = low + (gap.sum() - gap @ shown)
+            slack = 1e-12 * (np.abs(gap).sum() + np.abs(least).sum() + abs(float(kth)))  # of the float sums
+            hopeful = np.flatnonzero(high >= kth - slack)
+            if len(hopeful) <= few:
+                return hopeful[_top(rows[hopeful] @ q, ids[hopeful], k)]
+    return _top(low, ids, k)
 
 
 def _top(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -score))[:k]
 
 
-def _resolved(rows: np.ndarray, q: np.ndarray, places: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    return places[_top(rows[places] @ q, ids[places], k)]
-
-
 def highest(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 1024) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row where ``is_query`` (a condition on ``id``) holds, the ``k`` others of the highest score.
 
