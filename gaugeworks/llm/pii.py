@@ -44,7 +44,7 @@ FOUND = regex.compile(
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<card>(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-]))"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?!\w)|(?<![\w+])\+\d{8,15}(?!\w))"
+    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-](?:\(?\d{1,4}\)?[ .-])?\d{3,8}(?:[ .-]\d{2,8}){0,4}(?!\w)|(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?!\w)|(?<![\w+])\+\d{8,15}(?!\w))"
     rf"|(?P<person>\b(?:(?P<title>{_TITLE})\.?[ ]+(?P<name>{NAME}(?:[ ]+{NAME}){{0,2}})|(?P<full>(?:{_GIVEN})(?:[ ]+{NAME}){{1,2}})))"
 )
 #: A text that this doesn't match has no entity; Spark applies it before texts go to Python. It has no word
