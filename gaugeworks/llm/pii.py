@@ -50,6 +50,8 @@ FOUND = regex.compile(
 #: A text that this doesn't match has no entity; Spark applies it before texts go to Python. It has no word
 #: bounds, which Java may read as ASCII's only.
 MAYBE = rf"[0-9@=:]|AKIA|gh[pousr]_|sk-|{_TITLE}|{_GIVEN}"
+#: What tells the issuer of a secret, and stays.
+MARK = regex.compile(r"AKIA|gh[pousr]_|sk-")
 LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщыэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 
 
@@ -155,6 +157,8 @@ def surrogate(kind: str, norm: str, attempt: int, key: bytes) -> str:
         body = draw.like(norm[4:])
         value = int("".join(str(int(c, 36)) for c in body + norm[:2] + "00"))
         return f"{norm[:2]}{98 - value % 97:02d}{body}"
+    if kind == "secret" and (mark := MARK.match(norm)):
+        return mark[0] + draw.like(norm[mark.end() :])
     if kind.startswith("given:"):
         _, script, sex = kind.split(":")
         pool = GIVEN[script, sex] if sex else GIVEN[script, "f"] + GIVEN[script, "m"]
