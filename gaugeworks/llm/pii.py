@@ -174,7 +174,8 @@ def surrogate(kind: str, norm: str, attempt: int, key: bytes) -> str:
         kept = 2 if labels[-2:] in (["example", "com"], ["example", "org"], ["example", "net"]) else 1
         if len(labels) <= kept:
             kept = 1
-        return draw.like(local) + "@" + ".".join([*map(draw.like, labels[:-kept]), *labels[-kept:]])
+        more = "".join(LETTERS["latin"][draw.below(26)] for _ in range(attempt // 3))  # short or odd addresses run out of others
+        return draw.like(local) + more + "@" + ".".join([*map(draw.like, labels[:-kept]), *labels[-kept:]])
     if kind == "phone":
         plus = norm.startswith("+")
         kept = (2 if norm[1] in "17" else 3) if plus else 0
@@ -198,8 +199,8 @@ def surrogate(kind: str, norm: str, attempt: int, key: bytes) -> str:
     if kind.startswith("given:"):
         _, script, sex = kind.split(":")
         pool = GIVEN[script, sex] if sex else GIVEN[script, "f"] + GIVEN[script, "m"]
-        if attempt < 2 * len(pool):
-            return pool[draw.below(len(pool))].lower()
+        # compound names once single ones are taken, so that gender and script hold for any number of entities
+        return "-".join(pool[draw.below(len(pool))] for _ in range(1 + attempt // 2)).lower()
     return draw.like(norm)
 
 
