@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, line_dedup, mixing, quality, simhash
+from gaugeworks.llm import bpe, jaccard, line_dedup, mixing, quality
 from gaugeworks.llm.common import table, written
 from gaugeworks.llm.queries import VOCABULARY
 
@@ -26,8 +26,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near duplicates stays: shingles of five words, a Jaccard similarity of 0.8 or more."""
+    return jaccard.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", keep_quality), ("line_dedup", drop_lines), ("near_dedup", near_dedup), ("mix", mix), ("bpe", tokens)]
-#: SQL can express neither the fingerprints of the third stage nor the merges of the last.
+#: SQL can express neither the near duplicates of the third stage nor the merges of the last.
 ORACLE_SQL = None
 
 
