@@ -28,8 +28,8 @@ ROUNDS = 3
 LONGEST = 64
 #: Added to a piece's expected count; and probability of a character that is no piece, in any language.
 PRIOR, STRANGE = 0.05, 1e-7
-#: Scale of each character, so that products of long words stay in range.
-SCALE = 64.0
+#: Scale of each character, so that products of long words stay in range; where one could be below this log, sums are in logs.
+SCALE, LEAST_LOG = 64.0, -575.0
 REMEMBERED = 500_000
 RUNS = re.compile(r"[^\W_0-9]+")
 
@@ -92,8 +92,31 @@ class Lattice:
                 alpha[end] += alpha[end - size] * p[cuts[:, end - 1, size - 1]] * SCALE**size
         return alpha
 
+    def in_range(self, n: int, p: np.ndarray) -> bool:
+        """Whether no scaled sum over ``n`` characters can leave the range of floats; a single character is always a cut."""
+        return n * np.log(p[: self.strange + 1].min(initial=STRANGE) * SCALE) > LEAST_LOG
+
+    def log_forward(self, cuts: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        """``forward`` in logs, without scale, for runs of any length; ``logs`` is the log of ``p``."""
+        count, n, most = cuts.shape
+        alpha = np.full((n + 1, count, logs.shape[1]), -np.inf)
+        alpha[0] = 0.0
+        for end in range(1, n + 1):
+            for size in range(1, min(end, most) + 1):
+                alpha[end] = np.logaddexp(alpha[end], alpha[end - size] + logs[cuts[:, end - 1, size - 1]])
+        return alpha
+
+    def log_probability(self, cuts: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """``[word, language]``: logs of the sums over all cuts."""
+        n = cuts.shape[1]
+        if self.in_range(n, p):
+            return np.log(self.forward(cuts, p)[-1]) - n * np.log(SCALE)
+        return self.log_forward(cuts, _log(p))[-1]
+
     def expected(self, cuts: np.ndarray, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Expected piece counts of one language, each word counted ``weight`` times; ``p`` is ``[piece, 1]``."""
+        if not self.in_range(cuts.shape[1], p):
+            return self._log_expected(cuts, _log(p), weight)
         count, n, most = cuts.shape
         alpha = self.forward(cuts, p)[:, :, 0]
         beta = np.zeros((n + 1, count))
@@ -108,6 +131,25 @@ class Lattice:
                 out += np.bincount(ids, alpha[end - size] * through * share, len(p))
         return out
 
+    def _log_expected(self, cuts: np.ndarray, logs: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        count, n, most = cuts.shape
+        alpha = self.log_forward(cuts, logs)[:, :, 0]
+        beta = np.full((n + 1, count), -np.inf)
+        beta[n] = 0.0
+        out = np.zeros(len(logs))
+        for end in range(n, 0, -1):
+            for size in range(1, min(end, most) + 1):
+                ids = cuts[:, end - 1, size - 1]
+                through = logs[ids, 0] + beta[end]
+                beta[end - size] = np.logaddexp(beta[end - size], through)
+                out += np.bincount(ids, np.exp(alpha[end - size] + through - alpha[n]) * weight, len(logs))
+        return out
+
+
+def _log(p: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(p)
+
 
 def _table(pieces: list[str], counts: dict[str, np.ndarray]) -> np.ndarray:
     """``[piece, language]`` probabilities; the last two rows are the strange character's and zero."""
@@ -191,9 +233,8 @@ class Scorer:
             self.rows = np.concatenate([self.rows, np.zeros((max(need - len(self.rows), len(self.rows)), self.rows.shape[1]))])
         for ids in _by_length(words):
             part = [words[i] for i in ids]
-            alpha = self.lattice.forward(self.lattice.of(part), self.p)[-1]
             at = len(self.known)
-            self.rows[at : at + len(part)] = np.log(alpha) - (len(part[0]) + 1) * np.log(SCALE)
+            self.rows[at : at + len(part)] = self.lattice.log_probability(self.lattice.of(part), self.p)
             self.known.update(zip(part, range(at, at + len(part))))
 
     def logs(self, texts: list[list[str]]) -> np.ndarray:
