@@ -8,6 +8,8 @@ hash lies below it.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from .common import cut, written
 #: Most rows of a table that is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 100_000
 ROUNDS = 6
+#: With ``whole``: most rounds, and how far a value's share may be from its target, as a part of all tokens.
+MOST_ROUNDS, TOLERANCE = 100, 1e-4
 #: Targets of the queries: shares of tokens raised to these powers, so that large values give way to small ones.
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 WORD = r"[^\x20\x09-\x0D]+"
@@ -81,11 +85,36 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     return cells
 
 
-def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, seed: int = 42) -> DataFrame:
+def gap(raked: DataFrame, targets: dict[str, DataFrame]) -> float:
+    """The largest distance of a value's share of ``weight`` from its target; nan if nothing has weight."""
+    total, worst = raked.agg(F.sum("weight")).first()[0] or float("nan"), 0.0
+    for d, target in targets.items():
+        have = raked.groupBy(d).agg((F.sum("weight") / F.lit(total)).alias("_have")).withColumnRenamed(d, "_value")
+        both = have.join(target, F.col("_value").eqNullSafe(F.col(d)), "full")
+        off = both.agg(F.max(F.abs(F.coalesce("_have", F.lit(0.0)) - F.coalesce("target", F.lit(0.0))))).first()[0]
+        worst = max(worst, float(off or 0.0)) if total == total else total
+    return worst
+
+
+def raked_until(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, most: int = MOST_ROUNDS) -> DataFrame:
+    """``rake`` in steps until all shares are within ``tolerance`` of their targets; warns if they are not after ``most`` rounds."""
+    raked, done = rake(cells, targets, ROUNDS), ROUNDS
+    while (off := gap(raked, targets)) > tolerance and done < most:
+        # Raking goes on from the weights so far; they stand for the tokens.
+        now = raked.select(*targets, F.col("tokens").alias("_tokens"), F.col("weight").alias("tokens"))
+        raked, done = rake(now, targets, ROUNDS).drop("tokens").withColumnRenamed("_tokens", "tokens"), done + ROUNDS
+    if off > tolerance:
+        warnings.warn(f"after {done} rounds a share is {off:.2g} from its target", stacklevel=2)
+    return raked
+
+
+def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, seed: int = 42, whole: bool = False) -> DataFrame:
     """The documents that the calibrated sample takes: ``docs`` with ``topic``, ``n_tokens``, ``weight`` and ``p``.
 
     ``weight`` is the raked tokens per token of the document's cell, ``p`` that weight or 1 if it is less:
-    a document is taken once at most, and a cell that should grow is taken whole. Dimensions are
+    a document is taken once at most, and a cell that should grow is taken whole, so that the sample falls
+    short of its targets. With ``whole``, raking goes on until it agrees with the targets (``rounds`` isn't read) and
+    ``p`` is the weight by the largest weight: the sample is smaller and has the target shares. Dimensions are
     ``source``, ``lang`` and ``topic``; without ``targets``, the tempered shares of ``TEMPER``. Columns
     ``topic``, ``n_tokens``, ``weight`` and ``p`` are replaced; others pass through.
 
@@ -98,10 +127,12 @@ def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col:
     docs = docs.withColumn("topic", topic_of(text)).withColumn("n_tokens", F.regexp_count(text, F.lit(WORD)).cast("bigint"))
     dims = list(TEMPER)
     cells = cut(docs.groupBy(*dims).agg(F.sum("n_tokens").alias("tokens")))
-    raked = rake(cells, targets or tempered(cells, TEMPER), rounds)
+    targets = targets or tempered(cells, TEMPER)
+    raked = raked_until(cells, targets) if whole else rake(cells, targets, rounds)
     rate = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0)
     rates = cut(raked.select(*dims, rate.alias("weight")))
-    out = _joined(docs, rates, dims).withColumn("p", F.least(F.col("weight"), F.lit(1.0)))
+    most = (rates.agg(F.max("weight")).first()[0] if whole else None) or 1.0
+    out = _joined(docs, rates, dims).withColumn("p", F.least(F.col("weight") / F.lit(most), F.lit(1.0)))
     return out.where(draw(F.col(id_col), text, seed) < F.col("p"))
 
 

@@ -32,6 +32,20 @@ def test_sample_follows_the_rates(spark):
     assert got["s"] == 1000 and 1500 < got["t"] < 2500  # a source that should grow is taken whole
 
 
+def test_whole_sample_has_the_target_shares(spark):
+    docs = spark.range(8000).selectExpr("id AS doc_id", "'w w' AS text", "if(id % 3 = 0, 'en', 'fr') AS lang", "if(id % 4 = 0, 's', 't') AS source")
+    even = {
+        "source": spark.createDataFrame([("s", 0.5), ("t", 0.5)], "source string, target double"),
+        "lang": spark.createDataFrame([("en", 0.6), ("fr", 0.4)], "lang string, target double"),
+        "topic": spark.createDataFrame([("short", 1.0)], "topic string, target double"),
+    }
+    got = mixing.mixed(docs, even, whole=True).groupBy("source", "lang").count().toPandas()
+    total = got["count"].sum()
+    assert total > 1500
+    assert abs(got[got.source == "s"]["count"].sum() / total - 0.5) < 0.03 and abs(got[got.lang == "en"]["count"].sum() / total - 0.6) < 0.03
+    assert mixing.mixed(docs.limit(0), whole=True).count() == 0
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None, None, None), (2, "", "en", None, 0), (None, "some words here", None, "web", 15), (3, "w " * 50_000, "en", "web", 100_000), (3, "w " * 50_000, "en", "web", 100_000)]
     df = spark.createDataFrame([(*r, 5, "clash") for r in rows], SCHEMA)
