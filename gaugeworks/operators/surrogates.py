@@ -316,6 +316,7 @@ def kernel_indices(model: Kernel, points: DataFrame, inner: DataFrame) -> DataFr
     ``points`` and ``inner`` are unit-cube tables with a column ``u_<name>`` each; for every outer point and input, the
     task that holds the point runs through the inner block, which is of fixed size.
     """
+    gate(model.problem, "kernel_indices", correlated=False, categorical=False)
     names = model.problem.names
     cols = ["u_" + c for c in names]
     block = inner.select(*cols).toPandas().to_numpy(float)
