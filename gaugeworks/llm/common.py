@@ -1,9 +1,10 @@
-"""What the operators of this subpackage share: tables, lineage cuts and checks of input columns."""
+"""What the operators of this subpackage share: tables, lineage cuts and shelter for a caller's columns."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,15 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a temporary folder stands in.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and all of Spark runs in one
+    process, as in tests, a temporary folder stands in; elsewhere an unset folder raises.
     """
+    context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
+        kept = context._jsc.sc().getCheckpointDir()
+        if not kept.isDefined() and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = kept.get() if kept.isDefined() else "file://" + tempfile.mkdtemp(prefix="gaugeworks-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(folder)
     return folder
 
 
@@ -52,6 +56,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_or_empty(column: str = "text"):
-    """The text column with null as the empty string."""
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+def sheltered(docs: DataFrame, added: Sequence[str] = ()) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under names ``c0, c1, ...``, without columns named in ``added``, and the new name of each old one.
+
+    An operator's own columns then clash with none of a caller's, and names with dots or back-ticks need no care.
+    Of columns that share a name, the last is the one that the map gives.
+    """
+    gone = {c.lower() for c in added}
+    kept = [i for i, c in enumerate(docs.columns) if c.lower() not in gone]
+    inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).select(*[f"c{i}" for i in kept])
+    return inner, {docs.columns[i]: f"c{i}" for i in kept}
+
+
+def restored(out: DataFrame, docs: DataFrame, added: Sequence[str]) -> DataFrame:
+    """What ``sheltered`` renamed under its old names, then the columns ``added``."""
+    gone = {c.lower() for c in added}
+    kept = [(f"c{i}", c) for i, c in enumerate(docs.columns) if c.lower() not in gone]
+    return out.select(*[c for c, _ in kept], *added).toDF(*[c for _, c in kept], *added)

@@ -16,35 +16,31 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import cut
+from .common import cut, restored, sheltered
 
 
 #: Expected number of texts of each language that are learnt from; all are, where there are fewer.
 TRAIN_TEXTS = 2000
 #: Rounds of expectation maximisation.
 ROUNDS = 3
-#: Letters of a longer run are cut every so many, which bounds the sums' tables.
+#: Longer runs of letters are summed one by one and not remembered, which bounds a task's tables; no run is cut.
 LONGEST = 64
 #: Added to a piece's expected count; and probability of a character that is no piece, in any language.
 PRIOR, STRANGE = 0.05, 1e-7
 #: Scale of each character, so that products of long words stay in range; where one could be below this log, sums are in logs.
 SCALE, LEAST_LOG = 64.0, -575.0
 REMEMBERED = 500_000
+ADDED = ("lang_pred", "score")
 RUNS = re.compile(r"[^\W_0-9]+")
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters, lower-cased, as the vocabulary writes word starts; runs over ``LONGEST`` are cut."""
+    """Whole runs of letters, lower-cased."""
     out = []
     for w in RUNS.findall(text.lower()):
-        if not w.isalpha():
-            w = "".join(c if c.isalpha() else " " for c in w)
-        for x in w.split():
-            if len(x) > LONGEST:
-                out += [x[i : i + LONGEST] for i in range(0, len(x), LONGEST)]
-            else:
-                out.append(x)
+        out += [w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split()
     return out
 
 
@@ -113,6 +109,23 @@ class Lattice:
             return np.log(self.forward(cuts, p)[-1]) - n * np.log(SCALE)
         return self.log_forward(cuts, _log(p))[-1]
 
+    def run_log_probability(self, word: str, p: np.ndarray) -> np.ndarray:
+        """``[language]``: the log of the sum over all cuts of one run of any length.
+
+        The forward sums of the last positions are a window that is rescaled at each step, so that memory doesn't
+        grow with the run.
+        """
+        s, get, most, zero = "▁" + word, self.ids.get, self.longest, np.zeros(p.shape[1])
+        window, scale = [np.ones(p.shape[1])], zero  # sums by end, the last first, divided by exp(scale)
+        for end in range(1, len(s) + 1):
+            found = [get(s[end - size : end]) for size in range(1, min(end, most) + 1)]
+            if found[0] is None:
+                found[0] = self.strange
+            total = sum((p[i] * a for i, a in zip(found, window) if i is not None), zero)
+            window = [a / total for a in [total, *window[: most - 1]]]
+            scale = scale + np.log(total)
+        return scale
+
     def expected(self, cuts: np.ndarray, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Expected piece counts of one language, each word counted ``weight`` times; ``p`` is ``[piece, 1]``."""
         if not self.in_range(cuts.shape[1], p):
@@ -165,7 +178,7 @@ def _by_length(words: list[str], most: int = 4096) -> Iterator[list[int]]:
     at = 0
     while at < len(order):
         upto = at
-        while upto < len(order) and upto - at < most and len(words[order[upto]]) == len(words[order[at]]):
+        while upto < len(order) and upto - at < max(1, most * LONGEST // (len(words[order[at]]) + 1)) and len(words[order[upto]]) == len(words[order[at]]):
             upto += 1
         yield order[at:upto]
         at = upto
@@ -241,9 +254,11 @@ class Scorer:
         """``[text, language]`` for lists of words."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        self.learn(list({w for t in texts for w in t if w not in self.known}))
-        get = self.known.__getitem__
-        return np.array([self.rows[list(map(get, t))].sum(0) if t else np.zeros(self.p.shape[1]) for t in texts]).reshape(len(texts), -1)
+        self.learn(list({w for t in texts for w in t if w not in self.known and len(w) <= LONGEST}))
+        get, none = self.known.__getitem__, np.zeros(self.p.shape[1])
+        short = [self.rows[[get(w) for w in t if len(w) <= LONGEST]].sum(0) for t in texts]
+        long = [sum((self.lattice.run_log_probability(w, self.p) for w in t if len(w) > LONGEST), none) for t in texts]
+        return (np.array(short) + np.array(long)).reshape(len(texts), -1)
 
 
 def with_language(docs: DataFrame, labelled: DataFrame, vocabulary: str, text_col: str = "text", train_texts: int = TRAIN_TEXTS, rounds: int = ROUNDS) -> DataFrame:
@@ -252,13 +267,14 @@ def with_language(docs: DataFrame, labelled: DataFrame, vocabulary: str, text_co
     Languages are equally likely beforehand. Text that is null or has no letter is ``und`` with score 0, and
     so is every text if nothing is labelled; rows of ``labelled`` with a null are left out. Ties go to the
     language that sorts first. Repeated rows are each scored; an empty table gives no rows. Columns of the two
-    names are replaced, others pass through.
+    names are replaced, others pass through. Runs of letters are summed whole at any length, a run of n letters
+    in time that grows with n. ``score`` is finite, from 0 to 1: sums are kept in logs or rescaled.
     """
     pieces = pieces_of(vocabulary)
     langs, p = fit(labelled.dropna(subset=["text", "lang"]), pieces, train_texts, rounds)
-    docs = docs.drop("lang_pred", "score")
+    inner, name = sheltered(docs, ADDED)
     shared = docs.sparkSession.sparkContext.broadcast((pieces, langs, p))
-    at = docs.columns.index(text_col)
+    at = inner.columns.index(name[text_col])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, langs, p = shared.value
@@ -275,8 +291,8 @@ def with_language(docs: DataFrame, labelled: DataFrame, vocabulary: str, text_co
                 sure = [float(score[i]) if w and langs else 0.0 for i, w in enumerate(words)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(sure, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(kernel, f"{fields}, lang_pred string, score double")
+    schema = StructType([*inner.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return restored(inner.mapInArrow(kernel, schema), docs, ADDED)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +12,9 @@ from . import ann, bpe, langid, line_dedup, mixing, pii, quality, simhash, suffi
 from .common import table
 
 #: The vocabulary of the token queries; a parameter of the operators.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: The pieces of the language query.
-PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 #: The key of the surrogate query; a deployment passes its own secret to the operator.
 KEY = "surrogates for the query on test tables"

@@ -62,14 +62,16 @@ def test_long_runs_of_uncovered_letters(spark):
     """A run that no piece covers, in learnt and in scored texts, spoils neither counts nor the other words' evidence."""
     names = ["▁", "a", "b", "ab"]
     lattice, p = langid.Lattice(names), np.array([[0.4, 0.3], [0.3, 0.4], [0.2, 0.2], [0.1, 0.1], [langid.STRANGE] * 2, [0, 0]])
-    for word in ("x" * 64, "ab" + "x" * 62, "b" * 64):
+    for word in ("x" * 62, "x" * 64, "x" * 500, "ab" + "x" * 62, "b" * 64):
         counts = lattice.expected(lattice.of([word]), p[:, :1], np.ones(1))
-        assert abs(sum(c * len(s) for c, s in zip(counts, names)) + counts[4] - 65) < 1e-9
+        assert abs(sum(c * len(s) for c, s in zip(counts, names)) + counts[4] - len(word) - 1) < 1e-6
+        assert np.allclose(lattice.run_log_probability(word, p), lattice.log_probability(lattice.of([word]), p)[0], rtol=1e-9)
         assert np.isfinite(lattice.log_probability(lattice.of([word]), p)).all()
     short = lattice.of(["abxab"])
     assert np.allclose(lattice.log_forward(short, langid._log(p))[-1], lattice.log_probability(short, p), rtol=1e-12)
     assert np.allclose(lattice._log_expected(short, langid._log(p[:, :1]), np.full(1, 3.0)), lattice.expected(short, p[:, :1], np.full(1, 3.0)), rtol=1e-9)
-    run = "\u1200" * 150  # Amharic, which is not in the vocabulary
+    assert len(langid.words_of("x" * 5000)) == 1 and np.isfinite(lattice.run_log_probability("x" * 5000, p)).all()
+    run = "\u1200" * 5000  # Amharic, which is not in the vocabulary
     known = spark.createDataFrame([(1, "the dog and the cat", "en"), (2, "le chien et le chat " + run, "fr"), (3, run, "en")], "id bigint, text string, lang string")
     df = spark.createDataFrame([(1, f"le chat et le chien {run}"), (2, f"the cat {run} and the dog"), (3, run)], "doc_id bigint, text string")
     got = {r.doc_id: r for r in langid.with_language(df, known, queries.PIECES).collect()}
