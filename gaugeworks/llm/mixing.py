@@ -2,24 +2,25 @@
 
 Tokens are summed by cell (source, language, topic). Each round scales the cells' weights so that their
 sums agree with the targets of one dimension after the other. A cell's weight per token is then the
-calibrated rate at which its documents are taken: a document is kept if a number drawn from its id by a
-hash lies below it.
+calibrated rate, up to one factor for all, at which its documents are taken: a document is kept if a
+number drawn from its id by a hash lies below it.
 """
 
 from __future__ import annotations
 
+import math
 import warnings
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, written
+from .common import cut, restored, sheltered, written
 
 #: Most rows of a table that is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 100_000
-ROUNDS = 6
-#: With ``whole``: most rounds, and how far a value's share may be from its target, as a part of all tokens.
-MOST_ROUNDS, TOLERANCE = 100, 1e-4
+#: Rounds before shares are held against the targets, and then again; most rounds, and how far a share may be from its target.
+ROUNDS, MOST_ROUNDS, TOLERANCE = 4, 120, 1e-4
+ADDED = ("topic", "n_tokens", "weight", "p")
 #: Targets of the queries: shares of tokens raised to these powers, so that large values give way to small ones.
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 WORD = r"[^\x20\x09-\x0D]+"
@@ -68,21 +69,27 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     """``cells`` (a column for each dimension, ``tokens``) with ``weight``, tokens raked to the targets.
 
     A target table has its dimension and ``target``, a share; a value without one keeps no weight. Cells
-    without tokens weigh nothing. Sums agree exactly with the last dimension's targets and with the others'
-    as far as the rounds converge.
+    without tokens weigh nothing. Cells that have a ``weight`` are raked on from it. Sums agree exactly with
+    the last dimension's targets and with the others' as far as the rounds converge.
     """
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    cells = cut(cells.withColumn("weight", F.col("tokens").cast("double")))
-    values = {d: cells.select(d).distinct().count() for d in targets}
-    targets = {d: (t, t.count()) for d, t in targets.items()}
+    cells = cells if "weight" in cells.columns else cells.withColumn("weight", F.col("tokens").cast("double"))
+    for d, target in targets.items():
+        cells = _joined(cells, target.withColumnRenamed("target", f"_{d}_target"), [d], "left")
+    cells = cut(cells)
+    small = cells.count() <= BROADCAST_ROWS
+    cells = cells.coalesce(1) if small else cells  # a table of a checked size is one partition, where sums need no shuffle
+    values = {d: 0 if small else cells.select(d).distinct().count() for d in targets}
     for _ in range(rounds):
-        for d, (target, size) in targets.items():
-            sums = cells.groupBy(d).agg(F.sum("weight").alias("_have"))
-            share = F.coalesce("target", F.lit(0.0)) * total / F.col("_have")
-            scale = _joined(sums, target, [d], "left", size).select(d, F.when(F.col("_have") > 0, share).otherwise(0.0).alias("_scale"))
-            cells = _joined(cells, scale, [d], size=values[d]).withColumn("weight", F.col("weight") * F.col("_scale")).drop("_scale")
-            cells = written(cells, "cells")  # a file, for what Spark infers of a checkpoint's values grows with each
-    return cells
+        for d in targets:
+            share = F.coalesce(f"_{d}_target", F.lit(0.0)) * total / F.col("_have")
+            if small:
+                cells = cells.withColumn("_have", F.sum("weight").over(Window.partitionBy(d)))
+            else:
+                cells = _joined(cells, cells.groupBy(d).agg(F.sum("weight").alias("_have")), [d], size=values[d])
+            cells = cells.withColumn("weight", F.when(F.col("_have") > 0, F.col("weight") * share).otherwise(0.0)).drop("_have")
+        cells = cells if small else written(cells, "cells")  # a file, for what Spark infers of a checkpoint's values grows with each
+    return cut(cells.drop(*[f"_{d}_target" for d in targets]))
 
 
 def gap(raked: DataFrame, targets: dict[str, DataFrame]) -> float:
@@ -96,48 +103,54 @@ def gap(raked: DataFrame, targets: dict[str, DataFrame]) -> float:
     return worst
 
 
-def raked_until(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, most: int = MOST_ROUNDS) -> DataFrame:
-    """``rake`` in steps until all shares are within ``tolerance`` of their targets; warns if they are not after ``most`` rounds."""
-    raked, done = rake(cells, targets, ROUNDS), ROUNDS
-    while (off := gap(raked, targets)) > tolerance and done < most:
-        # Raking goes on from the weights so far; they stand for the tokens.
-        now = raked.select(*targets, F.col("tokens").alias("_tokens"), F.col("weight").alias("tokens"))
-        raked, done = rake(now, targets, ROUNDS).drop("tokens").withColumnRenamed("_tokens", "tokens"), done + ROUNDS
+def raked_until(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, rounds: int = ROUNDS, most: int = MOST_ROUNDS) -> DataFrame:
+    """``rake`` in steps of ``rounds`` until all shares are within ``tolerance`` of their targets; warns if they are not after ``most``.
+
+    Targets that no weights can reach, such as one for a value without tokens, end in that warning too, once
+    shares come no nearer.
+    """
+    raked, done, before = rake(cells, targets, rounds), rounds, math.inf
+    while (off := gap(raked, targets)) > tolerance and done < most and off < 0.9 * before:
+        raked, done, before = rake(raked, targets, rounds), done + rounds, off
     if off > tolerance:
         warnings.warn(f"after {done} rounds a share is {off:.2g} from its target", stacklevel=2)
     return raked
 
 
-def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, seed: int = 42, whole: bool = False) -> DataFrame:
+def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, seed: int = 42, topic: Column | None = None) -> DataFrame:
     """The documents that the calibrated sample takes: ``docs`` with ``topic``, ``n_tokens``, ``weight`` and ``p``.
 
-    ``weight`` is the raked tokens per token of the document's cell, ``p`` that weight or 1 if it is less:
-    a document is taken once at most, and a cell that should grow is taken whole, so that the sample falls
-    short of its targets. With ``whole``, raking goes on until it agrees with the targets (``rounds`` isn't read) and
-    ``p`` is the weight by the largest weight: the sample is smaller and has the target shares. Dimensions are
-    ``source``, ``lang`` and ``topic``; without ``targets``, the tempered shares of ``TEMPER``. Columns
-    ``topic``, ``n_tokens``, ``weight`` and ``p`` are replaced; others pass through.
+    ``weight`` is the raked tokens per token of the document's cell. A document is taken once at most, so all
+    weights are scaled by the largest: ``p`` is that share, and the sample is as large as it can be with one
+    rate for each cell and the target shares. Raking goes on, ``rounds`` at a time, until shares agree with the
+    targets. Dimensions are ``source``, ``lang`` and ``topic`` (by default ``topic_of`` the text; pass a
+    classifier's column instead); without ``targets``, the tempered shares of ``TEMPER``. Columns ``topic``,
+    ``n_tokens``, ``weight`` and ``p`` are replaced; others pass through, whatever their names.
 
     Null source or language is a value like any other; null text is an empty one, without tokens, and a
-    cell without tokens has weight 1 (its documents move no mixture). Rows that repeat an id are
+    cell without tokens has weight and ``p`` 1 (its documents move no mixture). Rows that repeat an id are
     taken together. An empty table gives no rows.
     """
-    docs = docs.drop("topic", "n_tokens", "weight", "p")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    docs = docs.withColumn("topic", topic_of(text)).withColumn("n_tokens", F.regexp_count(text, F.lit(WORD)).cast("bigint"))
+    inner, name = sheltered(docs, () if topic is not None else ADDED)
+    if topic is not None:  # an expression over the caller's columns, some of which may be replaced
+        inner, name = sheltered(docs.withColumn("topic", topic), ADDED[1:])
+    text = F.coalesce(F.col(name[text_col]).cast("string"), F.lit(""))
+    rows = inner.withColumns({"source": F.col(name["source"]), "lang": F.col(name["lang"]), "topic": F.col(name["topic"]) if topic is not None else topic_of(text)})
+    rows = rows.withColumn("n_tokens", F.regexp_count(text, F.lit(WORD)).cast("bigint"))
     dims = list(TEMPER)
-    cells = cut(docs.groupBy(*dims).agg(F.sum("n_tokens").alias("tokens")))
+    cells = cut(rows.groupBy(*dims).agg(F.sum("n_tokens").alias("tokens")))
     targets = targets or tempered(cells, TEMPER)
-    raked = raked_until(cells, targets) if whole else rake(cells, targets, rounds)
-    rate = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0)
-    rates = cut(raked.select(*dims, rate.alias("weight")))
-    most = (rates.agg(F.max("weight")).first()[0] if whole else None) or 1.0
-    out = _joined(docs, rates, dims).withColumn("p", F.least(F.col("weight") / F.lit(most), F.lit(1.0)))
-    return out.where(draw(F.col(id_col), text, seed) < F.col("p"))
+    raked = raked_until(cells, targets, rounds=rounds)
+    rate = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
+    most = raked.agg(F.max(rate)).first()[0] or 1.0
+    rates = cut(raked.select(*dims, F.coalesce(rate, F.lit(1.0)).alias("weight"), F.coalesce(rate / F.lit(most), F.lit(1.0)).alias("p")))
+    out = _joined(rows, rates, dims)
+    out = out.where(draw(F.col(name[id_col]), text, seed) < F.col("p"))
+    return restored(out, docs, ADDED)
 
 
 def sql(rounds: int = ROUNDS, seed: int = 42, source: str = "documents") -> str:
-    """DuckDB SQL with ``doc_id, source, lang, topic, n_tokens, p`` of the rows of ``mixed``."""
+    """DuckDB SQL with ``doc_id, source, lang, topic, n_tokens, p`` of the rows of ``mixed`` where ``rounds`` suffice."""
     steps, last = [], "cells"
     for d, power in TEMPER.items():
         steps.append(f"t_{d} AS (SELECT {d}, pow(sum(tokens)::DOUBLE, {power}) / sum(pow(sum(tokens)::DOUBLE, {power})) OVER () AS target FROM cells GROUP BY {d})")
@@ -158,7 +171,7 @@ WITH d AS (
   FROM {source}
 ), cells AS (SELECT source, lang, topic, sum(n_tokens) AS tokens, sum(n_tokens)::DOUBLE AS weight FROM d GROUP BY ALL),
 {", ".join(steps)},
-p AS (SELECT source, lang, topic, least(CASE WHEN tokens > 0 THEN weight / tokens ELSE 1 END, 1) AS p FROM {last})
+p AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN weight / tokens / max(CASE WHEN tokens > 0 THEN weight / tokens END) OVER () ELSE 1 END AS p FROM {last})
 SELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, round(p.p, 6) AS p
 FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.lang IS NOT DISTINCT FROM p.lang AND d.topic IS NOT DISTINCT FROM p.topic
 WHERE ('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, md5(d.text))), 1, 13))::BIGINT / {float(16**13)} < p.p
