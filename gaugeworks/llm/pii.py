@@ -9,8 +9,10 @@ surrogates then replace every mention, in the mention's own form.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -20,8 +22,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import cut, written
+from .common import cut, restored, sheltered, written
 
 # Given names by script and gender, titles by gender.
 GIVEN = {
@@ -43,21 +46,33 @@ FOUND = regex.compile(
     r"|(?P<secret>(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*)(?P<value>[^\s,;\"']{6,})|\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{30,}\b|\bsk-[A-Za-z0-9_-]{20,})"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,4})?\b)"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))"
+    r"|(?P<six>(?<![\w:])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:]))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<card>(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-]))"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-](?:\(?\d{1,4}\)?[ .-])?\d{3,8}(?:[ .-]\d{2,8}){0,4}(?!\w)|(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?!\w)|(?<![\w+])\+\d{8,15}(?!\w))"
+    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-](?:\(?\d{1,4}\)?[ .-])?\d{3,8}(?:[ .-]\d{2,8}){0,4}(?!\w)|(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?!\w)|(?<![\w+])(?:\+\d|0)\d{7,14}(?!\w))"
     rf"|(?P<person>\b(?:(?P<title>{_TITLE})\.?[ ]+(?P<name>{NAME}(?:[ ]+{NAME}){{0,2}})|(?P<full>(?:{_GIVEN})(?:[ ]+{NAME}){{1,2}})))"
 )
 #: A text that this doesn't match has no entity; Spark applies it before texts go to Python. It has no word
 #: bounds, which Java may read as ASCII's only. The look-ahead spares most characters the list of names.
 _FIRST = "".join(sorted({n[0] for names in (*TITLES.values(), *GIVEN.values()) for n in names}))
-MAYBE = rf"[0-9@=:]|AKIA|gh[pousr]_|sk-|(?=[{_FIRST}])(?:{_TITLE}|{_GIVEN})"
+MAYBE = rf"[0-9@=:]|\p{{Lu}}\p{{Ll}}+ \p{{Lu}}\p{{Ll}}|AKIA|gh[pousr]_|sk-|(?=[{_FIRST}])(?:{_TITLE}|{_GIVEN})"
 #: Where an entity can begin, by patterns that skip fast over plain prose; mail addresses and named secrets are
 #: traced back from their sign.
 BEGINS = [re.compile(x) for x in (r"[+(]|\d+", r"[A-Z]{2}\d{2}", r"AKIA|gh[pousr]_|sk-", f"{_TITLE}|{_GIVEN}")]
 SIGN = re.compile("[@=:]")
 LOCAL = re.compile(r"[\w.+-]")
 WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key")
+HEX = "0123456789abcdefABCDEF"
+#: Two capitalised words in a row, and any capitalised word.
+PAIR = regex.compile(r"(?<![\p{L}'’-])\p{Lu}\p{Ll}+ \p{Lu}\p{Ll}+(?![\p{L}'’-])")
+WORD = regex.compile(rf"(?<![\p{{L}}'’-]){NAME}(?![\p{{L}}'’-])")
+#: What the pattern of telephone numbers also finds.
+DATE = re.compile(r"(?:19|20)\d\d[ .-]\d\d[ .-]\d\d|\d\d[ .-]\d\d[ .-](?:19|20)\d\d")
+#: Attempts after which surrogates grow longer, and after which none is expected any more.
+ROOMY, MOST_ATTEMPTS = 12, 400
+#: First numbers of public addresses.
+PUBLIC = [n for n in range(1, 224) if n not in (10, 100, 127, 169, 172, 192, 198, 203)]
+ADDED = ("n_entities",)
 #: What tells the issuer of a secret, and stays.
 MARK = regex.compile(r"AKIA|gh[pousr]_|sk-")
 LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщыэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
@@ -87,11 +102,16 @@ def begins(text: str) -> list[int]:
                 i -= 1
             at.add(i)
             done = m.end()
-        else:
-            while i and text[i - 1].isspace():
+            continue
+        if m[0] == ":":
+            while i and m.start() - i < 4 and text[i - 1] in HEX:
                 i -= 1
-            before = text[max(0, i - 8) : i].lower()
-            at |= {i - len(w) for w in WORDS if before.endswith(w)}
+            at.add(i)
+            i = m.start()
+        while i and text[i - 1].isspace():
+            i -= 1
+        before = text[max(0, i - 8) : i].lower()
+        at |= {i - len(w) for w in WORDS if before.endswith(w)}
     return sorted(at)
 
 
@@ -104,32 +124,80 @@ def found(text: str) -> Iterator[regex.Match]:
             yield m
 
 
-def mentions(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """``(start, end, kind, norm)`` of each mention; a person gives one for each name."""
+def _six(text: str) -> str | None:
+    """An IPv6 address in its shortest form, or None if it is none."""
+    try:
+        return ipaddress.IPv6Address(text).compressed
+    except ValueError:
+        return None
+
+
+def _person(text: str, at: int, title: str | None) -> Iterator[tuple[int, int, str, str]]:
+    """A mention for each name of ``text``, which begins at ``at``; the last is the surname where there are two or a title."""
+    sex = next((s for s, ts in TITLES.items() if title in ts), "") if title else ""
+    names = list(regex.finditer(NAME, text))
+    for i, n in enumerate(names):
+        last = i == len(names) - 1 and (len(names) > 1 or title)
+        yield at + n.start(), at + n.end(), f"{'surname' if last else 'given'}:{script_of(n[0])}:{'' if last else gender_of(n[0]) or sex}", n[0].lower()
+
+
+def pairs(text: str) -> Iterator[tuple[int, int, str]]:
+    """``(start, end, norm)`` of two capitalised words in a row, which may be a person."""
+    for m in PAIR.finditer(text):
+        yield m.start(), m.end(), m[0].lower()
+
+
+def mentions(text: str, confirmed: frozenset[str] | set[str] = frozenset()) -> list[tuple[int, int, str, str]]:
+    """``(start, end, kind, norm)`` of each mention, in order; a person gives one for each name.
+
+    ``confirmed`` are the capitalised pairs that are persons. A name that a person of this text has is a mention
+    also where it stands alone. A secret without a letter or digit, as a mask is, and a date are none.
+    """
+    out: list[tuple[int, int, str, str]] = []
     for m in found(text):
-        kind = m.lastgroup if m.lastgroup in ("email", "iban", "ip", "ssn", "card", "phone") else "secret" if m["secret"] else "person" if m["person"] else next(k for k in ("email", "iban", "ip", "ssn", "card", "phone") if m[k])
-        whole = m[0]
-        if kind == "phone":
+        whole, at = m[0], m.start()
+        if m["phone"]:
             digits = "".join(c for c in whole if c.isdigit())
-            if 8 <= len(digits) <= 15:
-                yield m.start(), m.end(), "phone", ("+" if whole[0] == "+" else "") + digits
-        elif kind in ("card", "ssn"):
-            yield m.start(), m.end(), kind, "".join(c for c in whole if c.isdigit())
-        elif kind == "iban":
-            yield m.start(), m.end(), kind, whole.replace(" ", "")
-        elif kind == "secret":
+            if 8 <= len(digits) <= 15 and not DATE.fullmatch(whole):
+                out.append((at, m.end(), "phone", ("+" if whole[0] == "+" else "") + digits))
+        elif m["card"] or m["ssn"]:
+            out.append((at, m.end(), "card" if m["card"] else "ssn", "".join(c for c in whole if c.isdigit())))
+        elif m["iban"]:
+            out.append((at, m.end(), "iban", whole.replace(" ", "")))
+        elif m["secret"]:
             g = "value" if m["value"] else 0
-            yield m.start(g), m.end(g), kind, m[g]
-        elif kind == "person":
+            mark = MARK.match(m[g])
+            if any(c.isalnum() for c in m[g][mark.end() if mark else 0 :]):
+                out.append((m.start(g), m.end(g), "secret", m[g]))
+        elif m["person"]:
             g = "name" if m["name"] else "full"
-            title = next((s for s, ts in TITLES.items() if m["title"] in ts), "") if m["title"] else ""
-            names = list(regex.finditer(NAME, m[g]))
-            for i, n in enumerate(names):
-                last = i == len(names) - 1 and (len(names) > 1 or m["title"])
-                sex = "" if last else gender_of(n[0]) or title
-                yield m.start(g) + n.start(), m.start(g) + n.end(), f"{'surname' if last else 'given'}:{script_of(n[0])}:{sex}", n[0].lower()
+            out += _person(m[g], m.start(g), m["title"])
+        elif m["six"]:
+            if norm := _six(whole):
+                out.append((at, m.end(), "ip", norm))
         else:
-            yield m.start(), m.end(), kind, whole.lower()
+            out.append((at, m.end(), "email" if m["email"] else "ip", whole.lower()))
+    if confirmed:
+        spans = [(a, b) for a, b, *_ in out]
+        for a, b, norm in pairs(text):
+            if norm in confirmed and not any(x < b and a < y for x, y in spans):
+                out += _person(text[a:b], a, None)
+    known = {norm: kind for _, _, kind, norm in out if ":" in kind}
+    if known:
+        taken = {a for a, *_ in out}
+        spans = sorted((a, b) for a, b, *_ in out)
+        ends = [b for _, b in spans]
+        for m in WORD.finditer(text):
+            if (kind := known.get(m[0].lower())) and m.start() not in taken:
+                k = bisect.bisect_right(ends, m.start())
+                if k == len(spans) or spans[k][0] >= m.end():
+                    out.append((m.start(), m.end(), kind, m[0].lower()))
+    return sorted(out)
+
+
+def base(kind: str) -> str:
+    """A kind without the gender, which is settled for each name over the whole corpus."""
+    return kind.rpartition(":")[0] if ":" in kind else kind
 
 
 class Draws:
@@ -165,50 +233,71 @@ def _luhn(digits: str) -> int:
     return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(digits))) % 10
 
 
+def _address(norm: str, attempt: int, draw: Draws) -> str:
+    """An address for one: private for private, as many bits of a well-known prefix; version 6 where few are left of version 4."""
+    address = ipaddress.ip_address(norm)
+    if address.version == 4 and attempt < ROOMY:
+        first = [int(x) for x in norm.split(".")]
+        kept = (1 if first[0] in (10, 127) else 2) if address.is_private else 0
+        if kept and attempt >= ROOMY // 2:
+            first, kept = [10], 1
+        head = first[:kept] or [PUBLIC[draw.below(len(PUBLIC))]]
+        return ".".join(map(str, [*head, *(1 + draw.below(254) for _ in range(4 - len(head)))]))
+    head = norm.split(":")[0] if address.version == 6 and address.is_private and not norm.startswith(":") else "fd00" if address.is_private else "2001:db8"
+    groups = [f"{1 + draw.below(0xFFFE):x}" for _ in range(8 - len(head.split(":")))]
+    return ipaddress.IPv6Address(":".join([*head.split(":"), *groups])).compressed
+
+
 def surrogate(kind: str, norm: str, attempt: int, key: bytes) -> str:
-    """The surrogate that an entity draws at an attempt, in normal form."""
+    """The surrogate that an entity draws at an attempt, in normal form; it is longer after many, so that none runs out."""
     draw = Draws(key, kind, norm, attempt)
+    extra = max(0, attempt - ROOMY + 4) // 4
+    digits = lambda: "".join(str(draw.below(10)) for _ in range(extra))
+    letters = lambda n, script="latin": "".join(LETTERS[script][draw.below(len(LETTERS[script]))] for _ in range(n))
     if kind == "email":
         local, _, host = norm.rpartition("@")
         labels = host.split(".")
         kept = 2 if labels[-2:] in (["example", "com"], ["example", "org"], ["example", "net"]) else 1
         if len(labels) <= kept:
             kept = 1
-        more = "".join(LETTERS["latin"][draw.below(26)] for _ in range(attempt // 3))  # short or odd addresses run out of others
-        return draw.like(local) + more + "@" + ".".join([*map(draw.like, labels[:-kept]), *labels[-kept:]])
+        return draw.like(local) + letters(attempt // 3) + "@" + ".".join([*map(draw.like, labels[:-kept]), *labels[-kept:]])
     if kind == "phone":
         plus = norm.startswith("+")
         kept = (2 if norm[1] in "17" else 3) if plus else 0
         body = draw.like(norm[kept:])
         if len(body) == 10 and norm[kept + 3 : kept + 6] == "555":  # numbers for fiction stay such
             body = body[:3] + "555" + body[6:]
-        return norm[:kept] + body
+        return norm[:kept] + body + digits()
     if kind == "ip":
-        return ".".join(str(1 + draw.below(254)) for _ in range(4))
+        return _address(norm, attempt, draw)
     if kind == "card":
-        digits = norm[0] + draw.like(norm[1:])
+        new = norm[0] + draw.like(norm[1:]) + digits()
         valid = _luhn(norm) == 0
-        last = next(str(d) for d in range(10) if (_luhn(digits[:-1] + str(d)) == 0) == valid)
-        return digits[:-1] + last if valid or _luhn(digits) == 0 else digits
+        last = next(str(d) for d in range(10) if (_luhn(new[:-1] + str(d)) == 0) == valid)
+        return new[:-1] + last if valid or _luhn(new) == 0 else new
     if kind == "iban":
-        body = draw.like(norm[4:])
+        body = draw.like(norm[4:]) + digits()
         value = int("".join(str(int(c, 36)) for c in body + norm[:2] + "00"))
         return f"{norm[:2]}{98 - value % 97:02d}{body}"
-    if kind == "secret" and (mark := MARK.match(norm)):
-        return mark[0] + draw.like(norm[mark.end() :])
+    if kind == "secret":
+        mark = MARK.match(norm)
+        head = mark[0] if mark else ""
+        return head + draw.like(norm[len(head) :]) + letters(extra)
     if kind.startswith("given:"):
         _, script, sex = kind.split(":")
         pool = GIVEN[script, sex] if sex else GIVEN[script, "f"] + GIVEN[script, "m"]
         # compound names once single ones are taken, so that gender and script hold for any number of entities
         return "-".join(pool[draw.below(len(pool))] for _ in range(1 + attempt // 2)).lower()
-    return draw.like(norm)
+    if kind.startswith("surname:"):
+        return draw.like(norm) + letters(max(extra, 3 - len(norm) if attempt else 0), kind.split(":")[1])
+    return draw.like(norm) + digits()
 
 
 def shown(kind: str, mention: str, new: str) -> str:
     """A surrogate in the form of the mention that it replaces: its separators and its case."""
     if kind in ("phone", "card", "ssn", "iban"):
         chars = iter(new.lstrip("+"))
-        return "".join(next(chars, "") if c.isalnum() else c for c in mention)
+        return "".join(next(chars, "") if c.isalnum() else c for c in mention) + "".join(chars)
     if kind == "secret" or kind == "ip":
         return new
     if mention.isupper():
@@ -216,15 +305,13 @@ def shown(kind: str, mention: str, new: str) -> str:
     return new.title() if kind.startswith(("given", "surname")) else new
 
 
-def _row_key(id_col: str, text_col: str) -> list:
-    return [F.xxhash64(F.col(id_col), F.col(text_col)).alias("_ra"), F.xxhash64(F.lit(9), F.col(text_col)).alias("_rb")]
-
-
 def assigned(entities: DataFrame, key: str, draw: Callable[[str, str, int, bytes], str] = surrogate) -> DataFrame:
     """``(kind, norm, new)`` for distinct ``(kind, norm)``: distinct surrogates, none of which is an entity or stays as it was.
 
     Kinds of names share one space, so that a surname's surrogate is no other's given name. Of entities that
-    draw the same surrogate, the least by a hash keeps it and the others draw again, until none is left.
+    draw the same surrogate, the least by a hash keeps it and the others draw again, until none is left. Draws
+    grow longer with the attempts, so that each round settles more; a ``draw`` that never does raises after
+    ``MOST_ATTEMPTS``.
     """
     secret = key.encode()
     spark = entities.sparkSession
@@ -239,7 +326,7 @@ def assigned(entities: DataFrame, key: str, draw: Callable[[str, str, int, bytes
     real = entities.select(space("kind").alias("space"), F.col("norm").alias("new")).distinct()
     done = spark.createDataFrame([], "space string, new string, kind string, norm string")
     waiting = entities.withColumn("attempt", F.lit(0))
-    while True:
+    for _ in range(MOST_ATTEMPTS):
         drawn = cut(waiting.mapInPandas(kernel, "kind string, norm string, attempt int, new string").withColumn("space", space("kind")))
         free = drawn.join(real, ["space", "new"], "left_anti").join(done, ["space", "new"], "left_anti")
         rank = F.struct(F.xxhash64("kind", "norm"), "kind", "norm")
@@ -248,47 +335,71 @@ def assigned(entities: DataFrame, key: str, draw: Callable[[str, str, int, bytes
         waiting = written(drawn.join(done, ["kind", "norm"], "left_anti").select("kind", "norm", (F.col("attempt") + 1).alias("attempt")), "waiting")
         if waiting.isEmpty():
             return done.select("kind", "norm", "new")
+    raise RuntimeError("some entities find no surrogate of their own")
 
 
 def with_surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with surrogates in its text, and ``n_entities``, the number of mentions replaced.
 
-    Only texts that a cheap pattern lets through are read by Python and joined; the others pass as
-    they are. The same entity has the same surrogate in all documents, under one key. Null text stays null
-    with 0 mentions, and so does an empty one. Rows that repeat are each replaced alike. An empty
-    table gives no rows. A column ``n_entities`` is replaced; others pass through.
+    Persons are known by a title, by a given name of ``GIVEN``, or as two capitalised words of which the first
+    stands as a given name, or the second as a surname, beside a title or listed name anywhere in the corpus; a
+    lone name counts where a person of the same text bears it. A name's gender is the one that most of its
+    mentions show. Only texts that a cheap pattern lets through are read by Python and joined; the others pass
+    as they are. The same entity has the same surrogate in all documents, under one key; where a form has few
+    values left, surrogates are longer.
+
+    Null text stays null with 0 mentions, and so does an empty one. Rows that repeat are each replaced alike;
+    a null id is a value like any other. An empty table gives no rows. A column ``n_entities`` is replaced;
+    others pass through, whatever their names.
     """
-    docs = docs.drop("n_entities")
-    maybe = F.coalesce(F.col(text_col).rlike(MAYBE), F.lit(False))
-    some, none = docs.where(maybe), docs.where(~maybe).withColumn("n_entities", F.lit(0))
-    keyed = some.withColumns({"_ra": _row_key(id_col, text_col)[0], "_rb": _row_key(id_col, text_col)[1]})
+    inner, name = sheltered(docs, ADDED)
+    text, id_ = name[text_col], name[id_col]
+    maybe = F.coalesce(F.col(text).rlike(MAYBE), F.lit(False))
+    some, none = inner.where(maybe), inner.where(~maybe).withColumn("n_entities", F.lit(0))
+    keyed = some.withColumns({"ra": F.xxhash64(F.col(id_), F.col(text)), "rb": F.xxhash64(F.lit(9), F.col(text))})
+    sexless = lambda c: F.when(F.col(c).contains(":"), F.regexp_replace(c, ":[fm]?$", "")).otherwise(F.col(c))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = sorted({(a, r, k, n) for a, r, t in zip(*(b.column(i).to_pylist() for i in range(3))) for _, _, k, n in mentions(t)})
-            cols = list(zip(*rows)) or [[], [], [], []]
+            rows = set()
+            for ra, rb, t in zip(*(b.column(i).to_pylist() for i in range(3))):
+                rows |= {(ra, rb, k, n) for _, _, k, n in mentions(t)} | {(ra, rb, "pair", n) for _, _, n in pairs(t)}
+            cols = list(zip(*sorted(rows))) or [[], [], [], []]
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["_ra", "_rb", "kind", "norm"])
-
-    found = cut(keyed.select("_ra", "_rb", text_col).mapInArrow(find, "_ra bigint, _rb bigint, kind string, norm string"))
-    names = assigned(found.select("kind", "norm"), key)
-    lists = cut(found.distinct().join(names, ["kind", "norm"]).groupBy("_ra", "_rb").agg(F.collect_list(F.struct("kind", "norm", "new")).alias("_map")))
-    joined = keyed.join(lists, ["_ra", "_rb"], "left").select(*docs.columns, "_map")
-    at = docs.columns.index(text_col)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["ra", "rb", "kind", "norm"])
+
+    found_ = cut(keyed.select("ra", "rb", text).mapInArrow(find, "ra bigint, rb bigint, kind string, norm string"))
+    sure = found_.where("kind <> 'pair'")
+    bearers = lambda kind, c: sure.where(F.col("kind").startswith(kind)).select(F.col("norm").alias(c)).distinct()
+    two = found_.where("kind = 'pair'").select("ra", "rb", "norm", F.element_at(F.split("norm", " "), 1).alias("first"), F.element_at(F.split("norm", " "), 2).alias("last"))
+    persons = cut(two.join(bearers("given", "first"), "first", "left_semi").unionByName(two.join(bearers("surname", "last"), "last", "left_semi")).distinct())
+    script = F.when(F.col("n").rlike(r"\p{IsCyrillic}"), "cyrillic").when(F.col("n").rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    new_names = persons.select("ra", "rb", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("n")) for k, c in (("given", "first"), ("surname", "last"))])).alias("x")).select("ra", "rb", "x.k", "x.n")
+    each = sure.unionByName(new_names.select("ra", "rb", F.concat_ws(":", "k", script, F.lit("")).alias("kind"), F.col("n").alias("norm")))
+    each = cut(each.select("ra", "rb", sexless("kind").alias("kind"), "norm", F.when(F.col("kind").endswith(":f"), "f").when(F.col("kind").endswith(":m"), "m").alias("sex")).distinct())
+    shown_sex = F.when(F.count_if(F.col("sex") == "f") + F.count_if(F.col("sex") == "m") == 0, "").when(F.count_if(F.col("sex") == "f") >= F.count_if(F.col("sex") == "m"), "f").otherwise("m")
+    entities = each.groupBy("kind", "norm").agg(shown_sex.alias("sex"))
+    entities = entities.select(F.when(F.col("kind").contains(":"), F.concat_ws(":", "kind", "sex")).otherwise(F.col("kind")).alias("kind"), "norm")
+    names = assigned(entities, key).select(sexless("kind").alias("kind"), "norm", "new")
+    rows = each.select("ra", "rb", "kind", "norm").distinct().join(names, ["kind", "norm"])
+    marks = persons.select("ra", "rb", F.lit("pair").alias("kind"), "norm", F.lit("").alias("new"))
+    lists = cut(rows.select(*marks.columns).unionByName(marks).groupBy("ra", "rb").agg(F.collect_list(F.struct("kind", "norm", "new")).alias("map")))
+    joined = keyed.join(lists, ["ra", "rb"], "left").select(*inner.columns, "map")
+    at = inner.columns.index(text)
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, counts = [], []
-            for text, pairs in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
-                new = {(p["kind"], p["norm"]): p["new"] for p in pairs or ()}
+            for t, listed in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+                new = {(p["kind"], p["norm"]): p["new"] for p in listed or ()}
                 out, last, n = [], 0, 0
-                for start, end, kind, norm in mentions(text) if new else ():
-                    out += [text[last:start], shown(kind, text[start:end], new[kind, norm])]
+                for start, end, kind, norm in mentions(t, {x for k, x in new if k == "pair"}) if new else ():
+                    out += [t[last:start], shown(kind, t[start:end], new[base(kind), norm])]
                     last, n = end, n + 1
-                texts.append("".join([*out, text[last:]]))
+                texts.append("".join([*out, t[last:]]))
                 counts.append(n)
             cols = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(b.columns[:-1])]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int32())], names=[*b.schema.names[:-1], "n_entities"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(replace, f"{fields}, n_entities int").unionByName(none)
+    schema = StructType([*inner.schema.fields, StructField("n_entities", IntegerType())])
+    return restored(joined.mapInArrow(replace, schema).unionByName(none), docs, ADDED)

@@ -71,5 +71,44 @@ def test_given_names_keep_their_gender_when_single_names_run_out():
         assert {p.title() for p in parts} <= set(pii.GIVEN["greek", "f"])
 
 
+def test_masked_secrets_and_dates_are_no_entities():
+    for text in ("password: ********", "secret = ------", "token: ••••••••", "sk-" + "-" * 30, "on 2024-01-15 and 15.01.2024", "at 12:30:45"):
+        assert entities(text) == [], text
+    assert entities("call 0301234567 now") == [("phone", "0301234567")]
+    assert entities("from fe80::1 and 2001:DB8:0:0:0:0:0:7.") == [("ip", "fe80::1"), ("ip", "2001:db8::7")]
+
+
+def test_every_space_has_room(spark):
+    """More entities than a form has values: all of a small space are real, and each still gets a surrogate of its own."""
+    full = [("secret", f"{i:02d}") for i in range(100)] + [("ssn", f"{i}") for i in range(10)] + [("ip", f"192.168.1.{i}") for i in range(1, 20)] + [("surname:latin:", c) for c in "abcdefghijklmnopqrstuvwxyz"]
+    got = pii.assigned(spark.createDataFrame(full, "kind string, norm string"), "k").collect()
+    assert len({(r.kind, r.new) for r in got}) == len(full) and not {(r.kind, r.new) for r in got} & set(full)
+    for attempt in range(40):
+        a = pii.surrogate("ip", "192.168.4.4", attempt, b"k"), pii.surrogate("ip", "8.8.8.8", attempt, b"k"), pii.surrogate("ip", "fe80::1", attempt, b"k")
+        import ipaddress
+
+        assert ipaddress.ip_address(a[0]).is_private and ipaddress.ip_address(a[2]).is_private
+        assert attempt >= pii.ROOMY or ipaddress.ip_address(a[1]).is_global
+        assert pii._luhn(pii.surrogate("card", "4111111111111111", attempt, b"k")) == 0
+
+
+def test_lone_and_unlisted_names(spark):
+    rows = [
+        (1, "Dr. Zelda Quentin spoke. Later Quentin left, and Zelda too. Ms Zelda Quentin."),
+        (2, "We met Zelda Brown and Oswin Quentin there."),
+        (3, "Quentin is a word here, Green Valley too."),
+    ]
+    df = spark.createDataFrame([(*r, "x", "y", 1) for r in rows], "doc_id bigint, text string, _map string, `a.b` string, ra int")
+    out = pii.with_surrogates(df, "k")
+    assert out.columns == [*df.columns, "n_entities"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert "Quentin" not in got[1].text + got[2].text and "Zelda" not in got[1].text + got[2].text
+    assert "Brown" not in got[2].text and "Oswin" not in got[2].text
+    assert got[3].text == rows[2][1]  # no person of this text has the name
+    words = got[1].text.replace(".", "").replace(",", "").split(" ")
+    assert words[1] == words[8] == words[11] and words[2] == words[5] == words[12]
+    assert got[1].n_entities == 6 and got[2].n_entities == 4
+
+
 def test_an_address_without_letters_gets_a_surrogate():
     assert pii.surrogate("email", "_@-.-", 3, b"k") != "_@-.-"
