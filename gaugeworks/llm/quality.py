@@ -11,12 +11,14 @@ A document's posterior combines its path's rate, as prior, with its own evidence
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, restored, sheltered
 
+ADDED = ("quality_p", "site_rate", "keep")
 #: Buckets of each feature.
 WIDTH = 12
 #: What a document without a label counts, against one for a labelled one.
@@ -94,49 +96,72 @@ def strength(groups: DataFrame, prior: str | None = None, rate: float = 0.5) ->
     return min(max(1 / tau - 1, STRENGTH[0]), STRENGTH[1]) if tau > 0 else STRENGTH[1]
 
 
-def sites(docs: DataFrame) -> tuple[DataFrame, float]:
-    """``(host, path, site_rate)`` from rows ``(host, path, y, p)``, and the global rate.
+def sites(docs: DataFrame, levels: Sequence[str]) -> tuple[DataFrame, float]:
+    """``(*levels, site_rate)`` from rows ``(*levels, y, p)``, and the global rate; levels go from the coarsest, such as host, path.
 
-    ``y`` is a label or null, ``p`` the classifier's probability. A null host or path is a site of its own.
+    ``y`` is a label or null, ``p`` the classifier's probability. A null at any level is a site of its own. Each
+    level's rates are shrunk towards those of the level above, the first towards the global rate.
     """
     weight = F.when(F.col("y").isNotNull(), 1.0).otherwise(SOFT)
     good = F.when(F.col("y").isNotNull(), F.col("y").cast("double")).otherwise(F.col("p") * SOFT)
-    paths = cut(docs.groupBy("host", "path").agg(F.sum(weight).alias("n"), F.sum(good).alias("k")))
-    hosts = cut(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k")))
-    total = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
+    tables = [cut(docs.groupBy(*levels).agg(F.sum(weight).alias("n"), F.sum(good).alias("k")))]
+    for depth in range(len(levels) - 1, 0, -1):
+        tables.insert(0, cut(tables[0].groupBy(*levels[:depth]).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))))
+    total = tables[0].agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
     rate = ((total.k or 0.0) + 0.5) / ((total.n or 0.0) + 1.0)
-    a = strength(hosts, rate=rate)
-    host_rates = hosts.select(F.col("host").alias("of"), ((F.col("k") + a * rate) / (F.col("n") + a)).alias("host_rate"))
-    joined = cut(paths.join(host_rates, F.col("host").eqNullSafe(F.col("of"))).drop("of"))
-    b = strength(joined, prior="host_rate")
-    return cut(joined.select("host", "path", ((F.col("k") + b * F.col("host_rate")) / (F.col("n") + b)).alias("site_rate"))), rate
-
-
-def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality", threshold: float = 0.5) -> DataFrame:
+    above = None
+    for depth, table in enumerate(tables, 1):
+        if above is None:
+            table = table.withColumn("prior", F.lit(rate))
+        else:
+            named = above.toDF(*[f"a{i}" for i in range(depth - 1)], "prior")
+            same = F.lit(True)
+            for i in range(depth - 1):
+                same = same & F.col(levels[i]).eqNullSafe(F.col(f"a{i}"))
+            table = cut(table.join(named, same).drop(*[f"a{i}" for i in range(depth - 1)]))
+        b = strength(table, prior="prior")
+        above = cut(table.select(*levels[:depth], ((F.col("k") + b * F.col("prior")) / (F.col("n") + b)).alias("site_rate")))
+    return above, rate
+
+
+def url_levels(url: Column) -> list[Column]:
+    """Host and first path folder of a URL, as levels for ``scored``; what is missing is null."""
+    host = F.lower(F.nullif(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
+    return [host, F.nullif(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([^/?#]+)", 1), F.lit(""))]
+
+
+def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: Sequence[str | Column] = ("source", "lang"), label_col: str = "quality", threshold: float = 0.5) -> DataFrame:
     """``docs`` with ``quality_p``, the posterior that a document is good, ``site_rate`` and ``keep``.
 
-    ``labels`` has ``id_col`` and ``label_col`` (0 or 1; other values and null are no label; an id that is
-    labelled more than once has the least of its labels). All labelled documents are learnt from. Texts do
-    not move between machines: only features and grouped sums do.
+    ``levels`` are columns or expressions from the coarsest site to the finest: host and path (``url_levels``)
+    where documents have a URL, else what stands for them. ``labels`` has ``id_col`` and ``label_col`` (0 or 1;
+    other values and null are no label; an id that is labelled more than once has the least of its labels). All
+    labelled documents are learnt from. Texts are read once and do not move between machines: only features
+    and grouped sums do.
 
-    Null text counts as an empty one; a null host or path is a site like any other, and so is one without
+    Null text counts as an empty one; a null site is a site like any other, and so is one without
     a label. A null id is scored, and never labelled. Repeated rows are each scored. An empty table gives no
     rows, and without labels the classifier says nothing and all are kept. Columns of the three names are
-    replaced; others pass through.
+    replaced; others pass through, whatever their names.
     """
-    docs = docs.drop("quality_p", "site_rate", "keep")
-    host, path = F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path")
-    narrow = docs.select(F.col(id_col).alias("id"), host, path, *[c.alias(f) for f, c in features(F.col(text_col)).items()])
+    sites_ = [F.col(c) if isinstance(c, str) else c for c in levels]
+    names = [f"site{i}" for i in range(len(sites_))]
+    inner, name = sheltered(docs.withColumns({f"__{n}": c.cast("string") for n, c in zip(names, sites_)}), ADDED)
+    inner = inner.withColumnsRenamed({name[f"__{n}"]: n for n in names})
+    rows = inner.withColumns(features(F.col(name[text_col])))
+    narrow = rows.select(F.col(name[id_col]).alias("id"), *names, *NAMES)
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y"))
-    rows = cut(narrow.join(known, "id", "left"))
-    model = fit(rows.where("y is not null"))
+    narrow = cut(narrow.join(known, "id", "left"))
+    model = fit(narrow.where("y is not null"))
     own = {f: F.col(f) for f in NAMES}
     base = math.log(model["rate"] / (1 - model["rate"]))
-    table, rate = sites(rows.select("host", "path", "y", _sigmoid(evidence(model, own) + base).alias("p")))
+    table, rate = sites(narrow.select(*names, "y", _sigmoid(evidence(model, own) + base).alias("p")), names)
     small = table.count() <= BROADCAST_ROWS
-    table = table.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "site_rate")
-    site = F.col(host_col).cast("string").eqNullSafe(F.col("_host")) & F.col(path_col).cast("string").eqNullSafe(F.col("_path"))
-    out = docs.join(F.broadcast(table) if small else table, site, "left").drop("_host", "_path")
+    table = table.toDF(*[f"of_{n}" for n in names], "site_rate")
+    same = F.lit(True)
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"of_{n}"))
+    out = rows.join(F.broadcast(table) if small else table, same, "left")
     out = out.withColumn("site_rate", F.coalesce("site_rate", F.lit(rate)))
-    out = out.withColumn("quality_p", _sigmoid(_logit(F.col("site_rate")) + evidence(model, features(F.col(text_col)))))
-    return out.withColumn("keep", F.col("quality_p") >= threshold)
+    out = out.withColumn("quality_p", _sigmoid(_logit(F.col("site_rate")) + evidence(model, own)))
+    return restored(out.withColumn("keep", F.col("quality_p") >= threshold), docs, ADDED)

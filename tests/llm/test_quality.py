@@ -2,6 +2,7 @@ import math
 
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 from gaugeworks.llm import quality
 
@@ -81,3 +82,20 @@ def test_features(spark, text):
     df = spark.createDataFrame([(text,)], "t string")
     row = df.select(*[c.alias(f) for f, c in quality.features(df.t).items()]).first()
     assert list(row) == buckets(text)
+
+
+def test_held_out_accuracy_levels_and_clashing_columns(spark):
+    """Labels of documents whose id is odd are not learnt from, and most of them are predicted."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r.keep for r in quality.scored(docs, labels.where("doc_id % 2 = 0")).select("doc_id", "keep").collect()}
+    held = [(got[r.doc_id], r.quality == 1) for r in labels.where("doc_id % 2 = 1").collect() if r.doc_id in got]
+    right = sum(a == b for a, b in held) / len(held)
+    balanced = sum(sum(a == b for a, b in held if b == v) / max(1, sum(b == v for _, b in held)) for v in (True, False)) / 2
+    assert len(held) > 500 and right > 0.9 and balanced > 0.85, (right, balanced)
+    rows = [(1, "Words stand here.", "http://A.example.com/en/12?x"), (2, "Other words here.", "http://a.example.com/de"), (3, None, None)]
+    df = spark.createDataFrame([(*r, "x", "y", 1, 2) for r in rows], "doc_id bigint, text string, url string, `_host` string, site0 string, `a.b` int, size int")
+    known = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")
+    out = quality.scored(df, known, levels=quality.url_levels(F.col("url")))
+    assert out.columns == [*df.columns, *quality.ADDED] and out.count() == 3
+    assert {tuple(r) for r in df.select(*quality.url_levels(F.col("url"))).collect()} == {("a.example.com", "en"), ("a.example.com", "de"), (None, None)}
