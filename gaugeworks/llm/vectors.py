@@ -10,10 +10,11 @@ PARTS = 64
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """``(id, v)`` with ``v`` as doubles, without null ids, null or empty vectors, and null or non-finite components."""
-    v = F.col(vec_col).cast("array<double>")
+    """``(id, v)`` with ``v`` as doubles (floats stay), without null ids, null or empty vectors, and null or non-finite components."""
+    rows, (id_, vec) = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))]), [f"c{rows.columns.index(c)}" for c in (id_col, vec_col)]
+    v = F.col(vec) if dict(rows.dtypes)[vec] == "array<float>" else F.col(vec).cast("array<double>")
     odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return rows.select(F.col(id_col).cast("bigint").alias("id"), v.alias("v")).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0").where(~odd)
+    return rows.select(F.col(id_).cast("bigint").alias("id"), v.alias("v")).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0").where(~odd)
 
 
 def classes(rows: DataFrame, most: int) -> DataFrame:
