@@ -1,11 +1,14 @@
 """Exact top-k by inner product with no-random-access aggregation.
 
-Rows are dealt to shards. In a shard, each dimension is a list of its rows in order of value; for a query,
-reading it from the end that the sign of the query's component says gives contributions in falling order.
-All lists are read in step, and nothing is looked up. A row's score lies between bounds: what has been
-read of it, plus, for each list that has not shown it, that list's least contribution, or the one
-read last. Reading stops when no outsider's upper bound reaches the k-th lower bound; then the scores of the k
-rows are resolved.
+Rows are dealt to shards, each of which is sorted once and kept: in a shard, each dimension is a list of its
+rows in order of value. For a query, reading a list from the end that the sign of the query's component says
+gives contributions in falling order. All lists are read in step, and nothing is looked up. A row's score lies
+between bounds: what has been read of it, plus, for each list that has not shown it, that list's least
+contribution, or the one read last. Reading stops when no outsider's upper bound reaches the k-th lower bound;
+then the scores of the few rows left are resolved.
+
+Shards are read in rounds. The k-th score that a query has after a round is a lower bound for all later ones,
+so that lists of later shards are left early, most of them where no row can reach it.
 """
 
 from __future__ import annotations
@@ -15,30 +18,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, written
 from .vectors import best, usable
 
-#: Rows of a shard, and queries that meet it in one task.
-SHARD, QUERIES = 8192, 1024
+#: Rows of a shard, and queries that meet it in one task; of so many shards, one is read in the first round.
+SHARD, QUERIES, FIRST = 8192, 1024, 8
+#: Shards, if there are so many times ``QUERIES`` rows, so that small tables are no few tasks' work.
+LEAST = 16
+NONE = -(1 << 62)
 
 
-def nra(lists: tuple[np.ndarray, np.ndarray], rows: np.ndarray, q: np.ndarray, k: int, ids: np.ndarray) -> np.ndarray:
-    """Places of the ``k`` rows with the highest ``rows @ q``, ties to smaller ``ids``.
+def nra(order: np.ndarray, values: np.ndarray, q: np.ndarray, k: int, ids: np.ndarray, floor: int = NONE) -> tuple[np.ndarray, np.ndarray]:
+    """``(places, scores)`` of the ``k`` rows with the highest inner product with ``q``, ties to smaller ``ids``.
 
-    ``lists`` are, for each dimension, the places in rising order of value and the values in that order.
-    A row whose upper bound equals the k-th lower bound may tie with it, and stays. Once few rows can
-    still qualify, their final scores settle the order; otherwise all lists are read to the end.
+    ``order`` and ``values`` are, for each dimension, the places in rising order of value and the values in that
+    order. Rows below ``floor`` may be left out. A row whose upper bound equals the bound that it must reach may tie,
+    and stays. Scores of rows that are left when no other can qualify are resolved from all lists.
     """
-    order, values = lists
-    n = len(rows)
+    n = order.shape[1]
     used = np.flatnonzero(q)
     k = min(k, n)
-    if n <= 4 * k or not len(used):
-        return _top(rows @ q, ids, k)
-    least = np.array([values[d, 0 if q[d] > 0 else -1] * q[d] for d in used])
-    low, shown = np.full(n, least.sum()), np.zeros((len(used), n))
-    at, step, few = 0, max(64, n // 16), max(4 * k, n // 16)
-    while at < n:
+    least = np.array([values[d, 0 if q[d] > 0 else -1] * q[d] for d in used], np.int64)
+    low, shown = np.full(n, least.sum(), np.int64), np.zeros((len(used), n), np.float32)
+    at, step, few = 0, max(64, n // 16), 4 * k
+    while at < n and len(used):
         upto = min(n, at + step)
         front = np.empty_like(least)
         for j, d in enumerate(used):
@@ -47,62 +50,99 @@ def nra(lists: tuple[np.ndarray, np.ndarray], rows: np.ndarray, q: np.ndarray, k
             front[j] = c[0] if q[d] > 0 else c[-1]
             low[places] += c - least[j]
             shown[j, places] = 1.0
-        at, step = upto, step * 2
+        at = upto
         if at < n:
-            kth = np.partition(low, n - k)[n - k]
+            kth = max(floor, int(np.partition(low, n - k)[n - k]))
             gap = (front - least).astype(float)
-            high = low + (gap.sum() - gap @ shown)
-            slack = 1e-12 * (np.abs(gap).sum() + np.abs(least).sum() + abs(float(kth)))  # of the float sums
+            high = low + (gap.sum() - gap.astype(np.float32) @ shown)
+            slack = 1e-4 * np.abs(gap).sum() + 1  # of the sums in single precision
             hopeful = np.flatnonzero(high >= kth - slack)
             if len(hopeful) <= few:
-                return hopeful[_top(rows[hopeful] @ q, ids[hopeful], k)]
-    return _top(low, ids, k)
-
-
-def _top(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -score))[:k]
+                score, wanted = np.zeros(n, np.int64), np.zeros(n, bool)
+                wanted[hopeful] = True
+                for d in used:
+                    inside = wanted[order[d]]
+                    score[order[d, inside]] += values[d, inside] * q[d]
+                return _top(hopeful, score[hopeful], ids, k)
+    return _top(np.arange(n), low, ids, k)
+
+
+def _top(places: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    first = np.lexsort((ids[places], -score))[:k]
+    return places[first], score[first]
+
+
+def _packed(rows: DataFrame, n: int) -> DataFrame:
+    """``(s, size, n, ids, order, sorted)``: shards of rows ``(id, v, size)``, each with its sorted lists."""
+
+    def pack(f: pd.DataFrame) -> pd.DataFrame:
+        x, ids = np.stack(f.v.to_numpy()).astype(np.int64), f.id.to_numpy(np.int64)
+        order = np.ascontiguousarray(np.argsort(x, 0, kind="stable").T)
+        lists = np.stack([x[order[d], d] for d in range(x.shape[1])])
+        narrow = np.min_scalar_type(int(max(lists.max(), -lists.min() - 1))) if len(lists) else np.dtype("u1")
+        kind = {1: "<i2", 2: "<i4", 4: "<i8", 8: "<i8"}[narrow.itemsize]
+        return pd.DataFrame({"s": f.s[:1], "size": f["size"][:1], "n": [len(f)], "kind": [kind], "ids": [ids.tobytes()], "order": [order.astype("<u4").tobytes()], "sorted": [lists.astype(kind).tobytes()]})
+
+    dealt = rows.withColumn("s", F.pmod(F.xxhash64("id", "v", F.monotonically_increasing_id()), F.lit(n)).cast("int"))
+    schema = "s int, size int, n int, kind string, ids binary, order binary, sorted binary"
+    return written(dealt.groupBy("s", "size").applyInPandas(pack, schema), "shards")
+
+
+def _searched(shards: DataFrame, queries: DataFrame, n: int, k: int) -> DataFrame:
+    """``(query_id, vec_id, score)``: the best rows of each shard for each query of batches ``(b, size, ids, floors, vectors)``."""
+    each = queries.withColumnRenamed("ids", "asked").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    pairs = shards.join(each, ["s", "size"])
+
+    def search(frames):
+        for f in frames:
+            for r in f.itertuples():
+                ids, d = np.frombuffer(r.ids, "<i8"), r.size_
+                order, values = np.frombuffer(r.order, "<u4").reshape(d, -1), np.frombuffer(r.sorted, r.kind).reshape(d, -1).astype(np.int64)
+                asked, floors = np.frombuffer(r.asked, "<i8"), np.frombuffer(r.floors, "<i8")
+                own, found = pd.Series(ids).value_counts(), []
+                for qid, floor, q in zip(asked.tolist(), floors.tolist(), np.frombuffer(r.vectors, "<i8").reshape(-1, d)):
+                    places, score = nra(order, values, q, k + int(own.get(qid, 0)), ids, floor)
+                    keep = (ids[places] != qid) & (score >= floor)
+                    found.append((np.full(keep.sum(), qid)[:k], ids[places[keep]][:k], score[keep][:k]))
+                if found:
+                    yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found)))))
+
+    cols = ["n", "kind", F.col("size").alias("size_"), "ids", "order", "sorted", "asked", "floors", "vectors"]
+    return pairs.select(*cols).mapInPandas(search, "query_id bigint, vec_id bigint, score bigint")
 
 
 def highest(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 1024) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row where ``is_query`` (a condition on ``id``) holds, the ``k`` others of the highest score.
 
     Components become ``floor(scale * x)``; the score is the integer inner product, ties go to the smaller id.
-    Queries meet all rows shard by shard, and each shard returns ``k`` rows for a query. Rows with a null id or
-    a vector that is null, empty or has null or non-finite components take no part; vectors of another
-    length than the query's are no candidates. A row is never its own id's candidate. Rows that repeat an id
-    are candidates of their own, and queries that repeat one are asked once if equal. An empty table gives no rows;
-    other columns are not read.
+    Batches of queries meet all rows shard by shard, and each shard returns ``k`` rows at most for a query. Rows
+    with a null id or a vector that is null, empty or has null or non-finite components take no part; vectors of
+    another length than the query's are no candidates. A row is never its own id's candidate. Rows that repeat an
+    id are candidates of their own, and queries that repeat one are asked once if equal. An empty table gives no
+    rows; other columns are not read.
     """
-    whole = F.transform("v", lambda x: F.floor(F.lit(float(scale)) * x).cast("bigint"))
-    rows = usable(rows, id_col, vec_col).select("id", whole.alias("v"), F.size("v").alias("size"))
-    n = max(1, -(-rows.count() // SHARD))
+    whole = F.transform("v", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("bigint"))
+    rows = cut(usable(rows, id_col, vec_col).select("id", whole.alias("v"), F.size("v").alias("size")))
+    total = rows.count()
+    n = max(1, -(-total // SHARD), min(LEAST, -(-total // QUERIES)))
+    shards = _packed(rows, n)
     asked = cut(rows.where(is_query).dropDuplicates(["id", "v"]))
     m = max(1, -(-asked.count() // QUERIES))
-    part = lambda c, parts: F.pmod(F.xxhash64(F.lit(3), c), F.lit(parts)).cast("int")
-    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    # A hot id must not fill a shard: equal ids are dealt by their vectors as well.
-    left = asked.withColumn("b", part("id", m)).withColumn("s", every(n))
-    right = rows.withColumn("s", F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")).withColumn("b", every(m))
-
-    def search(qs: pd.DataFrame, xs: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if len(qs) and len(xs):
-            x, ids = np.stack(xs.v.to_numpy()).astype(np.int64), xs.id.to_numpy()
-            order = np.ascontiguousarray(np.argsort(x, 0, kind="stable").T)
-            lists = order, np.stack([x[order[d], d] for d in range(x.shape[1])])
-            own = pd.Series(ids).value_counts()
-            for qid, v in zip(qs.id, qs.v):
-                q = np.asarray(v, np.int64)
-                found = nra(lists, x, q, k + int(own.get(qid, 0)), ids)
-                found = found[ids[found] != qid][:k]
-                out["query_id"] += [qid] * len(found)
-                out["vec_id"] += ids[found].tolist()
-                out["score"] += (x[found] @ q).tolist()
-        return pd.DataFrame(out)
-
-    keys = ["s", "b", "size"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id bigint, vec_id bigint, score bigint")
-    return best(found, k).select("query_id", "rank", "vec_id", "score")
+    batch = F.pmod(F.xxhash64(F.lit(3), "id", "v"), F.lit(m)).cast("int")
+
+    def pack(f: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(f.v.to_numpy()).astype("<i8")
+        return pd.DataFrame({"b": f.b[:1], "size": f["size"][:1], "ids": [f.id.to_numpy("<i8").tobytes()], "floors": [f.floor.to_numpy("<i8").tobytes()], "vectors": [x.tobytes()]})
+
+    def batches(floors: DataFrame | None) -> DataFrame:
+        known = asked.withColumn("floor", F.lit(NONE)) if floors is None else asked.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(NONE)))
+        return known.withColumn("b", batch).groupBy("b", "size").applyInPandas(pack, "b int, size int, ids binary, floors binary, vectors binary")
+
+    first = F.col("s") < max(1, n // FIRST)
+    begun = cut(best(_searched(shards.where(first), batches(None), n, k), k))
+    floors = begun.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+    later = _searched(shards.where(~first), batches(floors), n, k)
+    return best(begun.drop("rank").unionByName(later), k).select("query_id", "rank", "vec_id", "score")
 
 
 #: DuckDB SQL with the rows of ``highest`` where an id is divisible by 100.
