@@ -18,7 +18,9 @@ import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+
+from .common import restored, sheltered
 
 #: The split pattern of byte-level vocabularies (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -141,9 +143,9 @@ def with_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text", digest
     spark = docs.sparkSession
     spark.sparkContext.addFile(vocabulary)
     name = vocabulary.rsplit("/", 1)[-1]
-    added = {"n_tokens": "bigint"} | ({"ids_sha256": "string", "decoded_sha256": "string"} if digest else {"ids": "array<int>", "decoded": "string"})
-    kept = docs.drop(*added)
-    at = kept.columns.index(text_col)
+    added = {"n_tokens": LongType()} | ({"ids_sha256": StringType(), "decoded_sha256": StringType()} if digest else {"ids": ArrayType(IntegerType()), "decoded": StringType()})
+    kept, of = sheltered(docs, tuple(added))
+    at = kept.columns.index(of[text_col])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(SparkFiles.get(name))
@@ -163,5 +165,5 @@ def with_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text", digest
                 more = [pa.array(counts, pa.int64()), pa.array(first, kind), pa.array(second, pa.string())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, *added])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(kernel, f"{fields}, " + ", ".join(f"{k} {v}" for k, v in added.items()))
+    more = StructType([StructField(k, v) for k, v in added.items()])
+    return restored(kept.mapInArrow(kernel, StructType([*kept.schema.fields, *more.fields])), docs, tuple(added))

@@ -1,4 +1,4 @@
-"""Near duplicates by the Jaccard similarity of word shingles.
+"""Links that fingerprints of 64 bits are too short for: documents by the Jaccard similarity of their word shingles.
 
 Documents link where their sets of shingles have a similarity of ``least`` or more, computed in full.
 Candidates come from MinHash: ``BANDS`` keys of ``ROWS`` minima each, of which a pair at a similarity of
@@ -150,14 +150,3 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids = cut(named.groupBy("component").agg(F.min("least").alias("component_id")))
     labels = cut(named.join(ids, "component").select("cls", "component_id"))
     return prints.select(id_col, "cls").join(labels, "cls").select(id_col, "component_id")
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the one with the smallest id.
-
-    Of rows that repeat that id, all stay; rows whose group has only null ids all stay.
-    """
-    groups = near_groups(docs, id_col, text_col, width, least).select(F.col(id_col).alias("_id"), "component_id")
-    losers = groups.where(F.col("_id").isNotNull() & (F.col("_id") != F.col("component_id")))
-    nameless = F.col(id_col).isNull()
-    return docs.join(losers.select("_id").distinct(), docs[id_col] == F.col("_id"), "left_anti").where(~nameless).unionByName(docs.where(nameless))

@@ -15,10 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, written
+from .common import cut, restored, sheltered, written
 
 #: Least words of a line that may differ by an edit.
 NEAR_WORDS = 5
+ADDED = ("n_lines", "n_removed")
 #: What separates words (fixed value): ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -146,24 +147,24 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     a word always stay. Rows of one id come in the order of a hash of their text, and rows that
     repeat id and text get the same result; rows with a null id come last. Null text stays null and
     has no line; a text all of whose lines go becomes empty. Columns named ``n_lines`` or
-    ``n_removed`` are replaced, others pass through. An empty table gives no rows.
+    ``n_removed`` are replaced, others pass through, whatever their names. An empty table gives no rows.
     """
-    docs = docs.drop("n_lines", "n_removed")
-    classes = written(distinct_lines(docs, id_col, text_col), "lines")
-    lines = written(candidates(docs, classes, id_col, text_col), "near-lines")
+    inner, name = sheltered(docs, ADDED)
+    id_, text = name[id_col], name[text_col]
+    classes = written(distinct_lines(inner, id_, text), "lines")
+    lines = written(candidates(inner, classes, id_, text), "near-lines")
     gone = cut(near_duplicates(lines))
     stay = classes.join(gone, ["h", "g"], "left_anti").select(F.col("place.id").alias("_id"), F.col("place.rk").alias("_rk"), "place.line_no")
     bits = cut(_bits(stay)).withColumnsRenamed({"_id": "_kid", "_rk": "_krk"})
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.withColumn("_rk", F.xxhash64(F.col(id_col), text))
-    whole = keyed.join(bits, (F.col("_rk") == F.col("_krk")) & keyed[id_col].eqNullSafe(F.col("_kid")), "left")
-    pieces = F.split(F.col(text_col), "\n")
+    keyed = inner.withColumn("_rk", F.xxhash64(F.col(id_), F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    whole = keyed.join(bits, (F.col("_rk") == F.col("_krk")) & F.col(id_).eqNullSafe(F.col("_kid")), "left")
+    pieces = F.split(F.col(text), "\n")
     blank = lambda x: ~x.rlike(r"[^\x20\x09-\x0D]")
     kept = F.filter(pieces, lambda x, i: blank(x) | F.coalesce(_has("_bits", i), F.lit(False)))
-    whole = whole.withColumn("_kept", kept).withColumn("n_lines", F.coalesce(F.size(pieces), F.lit(0)))
-    whole = whole.withColumn("n_lines", F.greatest("n_lines", F.lit(0))).withColumn("n_removed", F.greatest(F.col("n_lines") - F.size("_kept"), F.lit(0)))
-    whole = whole.withColumn("n_removed", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.col("n_removed")))
-    return whole.select(*[F.array_join("_kept", "\n").alias(c) if c == text_col else whole[c] for c in docs.columns], "n_lines", "n_removed")
+    whole = whole.withColumn("_kept", kept).withColumn("n_lines", F.greatest(F.coalesce(F.size(pieces), F.lit(0)), F.lit(0)))
+    gone = F.greatest(F.col("n_lines") - F.size("_kept"), F.lit(0))
+    whole = whole.withColumn("n_removed", F.when(F.col(text).isNull(), F.lit(0)).otherwise(gone)).withColumn(text, F.array_join("_kept", "\n"))
+    return restored(whole, docs, ADDED)
 
 
 #: DuckDB SQL with the rows of ``dedup_lines`` (columns doc_id, text, n_lines, n_removed).

@@ -18,7 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from . import jaccard
+from .common import cut, restored, sheltered
 from .components import connected
 
 #: Shingles whose bits are counted at once, which bounds a task's memory on very long texts.
@@ -163,12 +164,27 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return fps.join(labels, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the one with the smallest id.
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
+    """``(id_col, kept)`` of each row whose id isn't null: the smallest id of its group of near duplicates.
 
-    Of rows that repeat that id, all stay; rows whose group has only null ids all stay.
+    Documents link where their fingerprints of ``width``-word shingles differ by two bits or fewer, or where their
+    sets of shingles have a Jaccard similarity of ``least`` or more. At a similarity of 0.8, fingerprints of 64 bits
+    differ by about ten, which no index of segments can cover; so sets are compared in full for these (``jaccard``).
     """
-    groups = near_groups(docs, id_col, text_col).select(F.col(id_col).alias("_id"), "component_id")
-    losers = groups.where(F.col("_id").isNotNull() & (F.col("_id") != F.col("component_id")))
-    nameless = F.col(id_col).isNull()
-    return docs.join(losers.select("_id").distinct(), docs[id_col] == F.col("_id"), "left_anti").where(~nameless).unionByName(docs.where(nameless))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    found = [near_groups(rows, "id", "text", width).select("id", "component_id"), jaccard.near_groups(rows, "id", "text", width, least)]
+    ends = cut(found[0].unionByName(found[1].select("id", "component_id")).distinct())
+    groups = connected(ends.select(F.col("id").alias("a"), F.col("component_id").alias("b")))
+    return groups.select(F.col("node").alias(id_col), F.col("component").alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates (``copies``): the one with the smallest id.
+
+    Rows that repeat that id all stay, as one document; rows with a null id stay. Null or empty texts link like
+    any others. An empty table gives no rows; further columns pass through, whatever their names. Ids are integers.
+    """
+    inner, name = sheltered(docs)
+    id_ = name[id_col]
+    losers = copies(inner, id_, name[text_col], width, least).where(F.col(id_) != F.col("kept")).select(F.col(id_).alias("lost"))
+    return restored(inner.join(losers, F.col(id_).cast("bigint") == F.col("lost"), "left_anti"), docs, ())

@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from gaugeworks.llm import jaccard
+from gaugeworks.llm import jaccard, simhash
 
 
 def shingle_set(text):
@@ -54,7 +54,7 @@ def test_edited_copies(spark, direct):
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (4, "one"), (5, "ONE"), (None, "one"), (6, "x " * 70_000), (None, "null only")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    kept = jaccard.one_of_each(docs)
+    kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 4, 4, 6]
-    assert jaccard.one_of_each(docs.limit(0)).count() == 0
+    assert simhash.one_of_each(docs.limit(0)).count() == 0

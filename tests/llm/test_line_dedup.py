@@ -48,7 +48,9 @@ def test_against_brute_force(spark):
 
 def test_odd_rows(spark):
     rows = [(1, "one two three four five\nshort", 1), (1, "one two three four five\nshort", 2), (None, "one two three four six\nnew words here", 3), (2, "short\n\n  ", None)]
-    got = line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA).selectExpr("*", "7 AS n_removed")).collect()
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA).selectExpr("*", "7 AS n_removed", "1 AS _bits", "2 AS _rk", "3 AS _id", "4 AS _kept", "5 AS h", "6 AS `a.b`"))
+    assert got.columns == ["doc_id", "text", "extra", "_bits", "_rk", "_id", "_kept", "h", "a.b", "n_lines", "n_removed"]
+    got = got.collect()
     text = {r.extra: r.text for r in got}
     assert text == {1: rows[0][1], 2: rows[0][1], 3: "new words here", None: "\n  "}
     assert line_dedup.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
