@@ -49,26 +49,39 @@ def normal_ppf(u, ops=SPARK):
     return ops.where(ops.abs(q) <= 0.425, mid, ops.where(q < 0, -side, side))
 
 
+# Coefficients of Cody's rational approximations to erf and erfc (1969).
+ERF = (
+    [3.20937758913846947e03, 3.77485237685302021e02, 1.13864154151050156e02, 3.16112374387056560e00, 1.85777706184603153e-1],
+    [2.84423683343917062e03, 1.28261652607737228e03, 2.44024637934444173e02, 2.36012909523441209e01, 1.0],
+)
+ERFC = (
+    [1.23033935479799725e03, 2.05107837782607147e03, 1.71204761263407058e03, 8.81952221241769090e02, 2.98635138197400131e02, 6.61191906371416295e01, 8.88314979438837594e00, 5.64188496988670089e-1, 2.15311535474403846e-8],
+    [1.23033935480374942e03, 3.43936767414372164e03, 4.36261909014324716e03, 3.29079923573345963e03, 1.62138957456669019e03, 5.37181101862009858e02, 1.17693950891312499e02, 1.57449261107098347e01, 1.0],
+)
+ERFC_FAR = (
+    [-6.58749161529837803e-4, -1.60837851487422766e-2, -1.25781726111229246e-1, -3.60344899949804439e-1, -3.05326634961232344e-1, -1.63153871373020978e-2],
+    [2.33520497626869185e-3, 6.05183413124413191e-2, 5.27905102951428412e-1, 1.87295284992346725e00, 2.56852019228982242e00, 1.0],
+)
+
+
 def normal_cdf(x, ops=SPARK):
-    """The standard normal distribution function: a series near zero, a continued fraction beyond.
-
-    On Columns it runs on Arrow batches, as its terms, written out, would be a very large expression.
-    """
-    if ops is SPARK:
-        return F.pandas_udf(lambda s: pd.Series(normal_cdf(s.to_numpy(float), NUMPY)), "double")(x)
-    a = ops.abs(x)
-    near = ops.clip(a, 0.0, 3.0)
-    square, term, total = near * near, near, near
-    for k in range(1, 45):
-        term = term * square / (2 * k + 1)
-        total = total + term
-    density = ops.exp(-0.5 * square) / math.sqrt(2 * math.pi)
-    far = ops.clip(a, 3.0, 40.0)
-    tail = far
-    for k in range(40, 0, -1):
-        tail = far + k / tail
-    upper = ops.where(a <= 3.0, 0.5 - density * total, ops.exp(-0.5 * far * far) / math.sqrt(2 * math.pi) / tail)
-    return ops.where(x > 0, 1.0 - upper, upper)
+    """The standard normal distribution function, by rational approximations to the error function in three ranges."""
+    a = ops.abs(x) / math.sqrt(2)
+    near, mid, far = ops.clip(a, 0.0, 0.46875), ops.clip(a, 0.46875, 4.0), ops.clip(a, 4.0, 26.0)
+    inner = near * _poly(ERF[0], near * near) / _poly(ERF[1], near * near)
+    inverse = 1.0 / (far * far)
+    upper = ops.where(a <= 4.0, ops.exp(-mid * mid) * _poly(ERFC[0], mid) / _poly(ERFC[1], mid), ops.exp(-far * far) / far * (1 / math.sqrt(math.pi) + inverse * _poly(ERFC_FAR[0], inverse) / _poly(ERFC_FAR[1], inverse)))
+    half = ops.where(a <= 0.46875, 0.5 - 0.5 * inner, 0.5 * upper)
+    return ops.where(x > 0, 1.0 - half, half)
+
+
+def normal_ppf_sql(u: str) -> str:
+    """The SQL of ``normal_ppf`` for an expression ``u``, for engines without one."""
+    poly = lambda c, x: f"({repr(c[-1])})" if len(c) == 1 else f"(({repr(c[0])}) + ({x}) * {poly(c[1:], x)})"
+    q, r = f"(({u}) - 0.5)", f"sqrt(-ln(least({u}, 1.0 - ({u}))))"
+    part = lambda c, x: f"{poly(c[0], x)} / {poly(c[1], x)}"
+    side = f"CASE WHEN {r} <= 5.0 THEN {part(SHOULDER, f'({r} - 1.6)')} ELSE {part(TAIL, f'({r} - 5.0)')} END"
+    return f"(CASE WHEN abs({q}) <= 0.425 THEN {q} * {part(CENTRE, f'(0.180625 - {q} * {q})')} WHEN {q} < 0 THEN -({side}) ELSE {side} END)"
 
 
 def betainc(a: float, b: float, x) -> np.ndarray:

@@ -6,12 +6,16 @@ combines before the shuffle. Variances are population variances unless said othe
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..problem import Gaussian, Problem
 from .frames import ratio, undefined_if
 
 NAN = float("nan")
@@ -46,51 +50,61 @@ def standardised(rows: DataFrame, cols: Sequence[str], slices: Sequence[str] = (
     return joined.withColumns({c: (F.col(c) - F.col("_m")) / scale for c in cols}).drop("_m", "_s")
 
 
-def _pooled(a: Column, b: Column) -> Column:
+Mean = Callable[[Column], Column]
+
+
+def weighted(w: str | None) -> Mean:
+    """The mean of an expression over a group's rows, each counted ``w`` times."""
+    return F.avg if w is None else (lambda x: F.try_divide(F.sum(F.col(w) * x), F.sum(w)))
+
+
+def _pooled(a: Column, b: Column, mean: Mean = F.avg) -> Column:
     """Population variance of two columns together."""
-    m = F.avg((a + b) / 2)
-    return F.avg((a * a + b * b) / 2) - m * m
+    m = mean((a + b) / 2)
+    return mean((a * a + b * b) / 2) - m * m
 
 
-def _corr(u: Column, v: Column) -> Column:
-    cov = F.avg(u * v) - F.avg(u) * F.avg(v)
-    return ratio(cov, F.sqrt((F.avg(u * u) - F.avg(u) * F.avg(u)) * (F.avg(v * v) - F.avg(v) * F.avg(v))))
+def _corr(u: Column, v: Column, mean: Mean) -> Column:
+    cov = mean(u * v) - mean(u) * mean(v)
+    return ratio(cov, F.sqrt((mean(u * u) - mean(u) * mean(u)) * (mean(v * v) - mean(v) * mean(v))))
 
 
-def _paired(u: Column, v: Column) -> Column:
-    m2 = F.avg((u + v) / 2) * F.avg((u + v) / 2)
-    return ratio(F.avg(u * v) - m2, F.avg((u * u + v * v) / 2) - m2)
+def _paired(u: Column, v: Column, mean: Mean) -> Column:
+    m2 = mean((u + v) / 2) * mean((u + v) / 2)
+    return ratio(mean(u * v) - m2, mean((u * u + v * v) / 2) - m2)
 
 
-def sobol_terms(estimator: str) -> tuple[Column, Column]:
-    """First-order and total index of an estimator over rows ``a, b, ab, ba``."""
+def sobol_terms(estimator: str, w: str | None = None) -> tuple[Column, Column]:
+    """First-order and total index of an estimator over rows ``a, b, ab, ba``, each counted ``w`` times; all are means of products."""
     a, b, ab, ba = map(F.col, ("a", "b", "ab", "ba"))
-    v = _pooled(a, b)
+    mean = weighted(w)
+    v = _pooled(a, b, mean)
     if estimator == "saltelli-jansen":
-        return ratio(F.avg(b * (ab - a)), v), ratio(F.avg((a - ab) * (a - ab)) / 2, v)
+        return ratio(mean(b * (ab - a)), v), ratio(mean((a - ab) * (a - ab)) / 2, v)
     if estimator == "jansen":
-        return 1 - ratio(F.avg((b - ab) * (b - ab)) / 2, v), ratio(F.avg((a - ab) * (a - ab)) / 2, v)
+        return 1 - ratio(mean((b - ab) * (b - ab)) / 2, v), ratio(mean((a - ab) * (a - ab)) / 2, v)
     if estimator == "mauntz-kucherenko":
-        return ratio(F.avg(b * (ab - a)), v), ratio(F.avg(a * (a - ab)), v)
+        return ratio(mean(b * (ab - a)), v), ratio(mean(a * (a - ab)), v)
     if estimator == "janon-monod":
-        return _paired(b, ab), 1 - _paired(a, ab)
+        return _paired(b, ab, mean), 1 - _paired(a, ab, mean)
     if estimator == "martinez":
-        return _corr(b, ab), 1 - _corr(a, ab)
+        return _corr(b, ab, mean), 1 - _corr(a, ab, mean)
     if estimator == "azzini-rosati":
-        u, w = ab - a, b - ba
-        q = F.sum((a - b) * (a - b) + (ba - ab) * (ba - ab))
-        return ratio(2 * F.sum(u * w), q), ratio(F.sum(u * u + w * w), q)
+        u, x = ab - a, b - ba
+        q = mean((a - b) * (a - b) + (ba - ab) * (ba - ab))
+        return ratio(2 * mean(u * x), q), ratio(mean(u * u + x * x), q)
     raise ValueError(f"unknown estimator {estimator}")
 
 
 ESTIMATORS = ("saltelli-jansen", "jansen", "mauntz-kucherenko", "janon-monod", "martinez", "azzini-rosati")
 
 
-def sobol(rows: DataFrame, estimator: str = "saltelli-jansen", slices: Sequence[str] = (), extra: Sequence[str] = ()) -> DataFrame:
-    """``(param, *slices, s1, st, variance)``; a constant output gives NaN. ``extra`` are further keys, such as a replicate."""
-    s1, st = sobol_terms(estimator)
-    flat = F.greatest(F.max("a"), F.max("b")) == F.least(F.min("a"), F.min("b"))
-    return rows.groupBy("param", *slices, *extra).agg(undefined_if(flat, s1).alias("s1"), undefined_if(flat, st).alias("st"), _pooled(F.col("a"), F.col("b")).alias("variance"))
+def sobol(rows: DataFrame, estimator: str = "saltelli-jansen", slices: Sequence[str] = (), extra: Sequence[str] = (), w: str | None = None) -> DataFrame:
+    """``(param, *slices, s1, st, variance)``; a constant output gives NaN. ``extra`` are further keys, such as a replicate, ``w`` how often a row counts."""
+    s1, st = sobol_terms(estimator, w)
+    v = _pooled(F.col("a"), F.col("b"), weighted(w))
+    flat = (F.greatest(F.max("a"), F.max("b")) == F.least(F.min("a"), F.min("b"))) | (v == 0)
+    return rows.groupBy("param", *slices, *extra).agg(undefined_if(flat, s1).alias("s1"), undefined_if(flat, st).alias("st"), v.alias("variance"))
 
 
 def sobol_second(rows: DataFrame, estimator: str = "saltelli-jansen", slices: Sequence[str] = ()) -> DataFrame:
@@ -136,7 +150,7 @@ def kucherenko(rows: DataFrame, slices: Sequence[str] = (), extra: Sequence[str]
     moved = rows.join(F.broadcast(shift), list(slices)) if slices else rows.crossJoin(F.broadcast(shift))  # one row for each slice
     moved = moved.withColumns({c: F.col(c) - F.col("_m") for c in ("joint", "kept", "redrawn")})
     v = F.var_pop("joint")
-    flat = F.max("joint") == F.min("joint")
+    flat = (F.max("joint") == F.min("joint")) | (F.var_pop("joint") == 0)
     return moved.groupBy("param", *slices, *extra).agg(
         undefined_if(flat, ratio(F.covar_pop("joint", "kept"), v)).alias("s1"),
         undefined_if(flat, ratio(F.avg(F.pow(F.col("joint") - F.col("redrawn"), F.lit(2.0))) / 2, v)).alias("st"),
@@ -144,6 +158,63 @@ def kucherenko(rows: DataFrame, slices: Sequence[str] = (), extra: Sequence[str]
     )
 
 
+def kucherenko_subsets(pairs: DataFrame, d: int, slices: Sequence[str] = (), extra: Sequence[str] = (), w: str | None = None) -> DataFrame:
+    """``(mask, *slices, closed, total, variance)`` of every set that ``pairs (mask, joint, kept)`` has the block of, and of all inputs.
+
+    A set's closed index is the covariance of the joint output and the one with the set kept, over the variance; its
+    total index is half the mean squared difference with all but the set kept, which is another row's mask. The
+    full set explains everything. Variances are of both outputs together.
+    """
+    keys, mean, full = [*slices, *extra], weighted(w), (1 << d) - 1
+    x, y = F.col("joint"), F.col("kept")
+    v = _pooled(x, y, mean)
+    flat = (F.greatest(F.max(x), F.max(y)) == F.least(F.min(x), F.min(y))) | (v == 0)
+    m = mean((x + y) / 2)
+    per = pairs.groupBy("mask", *keys).agg(undefined_if(flat, ratio(mean(x * y) - m * m, v)).alias("closed"), undefined_if(flat, ratio(mean((x - y) * (x - y)) / 2, v)).alias("_t"), v.alias("variance"))
+    other = per.select(F.col("mask").bitwiseXOR(F.lit(full)).alias("mask"), *keys, F.col("_t").alias("total"))
+    out = per.select("mask", *keys, "closed", "variance").join(other, ["mask", *keys])
+    whole = per.groupBy(*keys).agg(F.avg("variance").alias("variance"), F.max(F.isnan("closed")).alias("_f"))
+    one = undefined_if(F.col("_f"), F.lit(1.0))
+    return out.select("mask", *keys, "closed", "total", "variance").unionByName(whole.select(F.lit(full).alias("mask"), *keys, one.alias("closed"), one.alias("total"), "variance"))
+
+
+def marginal_effects(total: dict[int, float], d: int) -> list[float]:
+    """Proportional marginal effects from the total index of each set (a mask of bits): the proportional values of that game.
+
+    A set's potential is its value by the sum of the reciprocal potentials of the sets with one input fewer; an
+    input's effect is the potential of all by that of all others. Sets of value zero are taken out first: of the
+    largest ones, each is added to all others, and effects are averaged by reciprocal potentials; an input in all of
+    them has none.
+    """
+    full = (1 << d) - 1
+    value = {0: 0.0, **total}
+    if any(math.isnan(v) for v in value.values()):
+        return [math.nan] * d
+
+    def potentials(ground: int, base: int) -> dict[int, float]:
+        out = {0: 1.0}
+        inputs = [i for i in range(d) if ground >> i & 1]
+        for size in range(1, len(inputs) + 1):
+            for s in itertools.combinations(inputs, size):
+                m = sum(1 << i for i in s)
+                out[m] = value[base | m] / sum(1 / out[m ^ (1 << i)] for i in s)
+        return out
+
+    nulls = [m for m, v in value.items() if v <= 0]
+    largest = [m for m in nulls if m.bit_count() == max(n.bit_count() for n in nulls)]
+    if full in largest:
+        return [math.nan] * d
+    up, down = [0.0] * d, 0.0
+    for base in largest:
+        ground = full ^ base
+        r = potentials(ground, base)
+        down += 1 / r[ground]
+        for i in range(d):
+            if ground >> i & 1:
+                up[i] += 1 / r[ground ^ (1 << i)]
+    return [u / down for u in up]
+
+
 def subset_effects(closed: DataFrame, size: int) -> DataFrame:
     """Exact Shapley effects ``(i, shapley)`` from ``(mask, cost)`` of every subset of ``size`` inputs: a self-join on masks that differ by one bit."""
     if size > 12:
@@ -176,18 +247,92 @@ def efast(curves: DataFrame, omega: int, harmonics: int = 4, slices: Sequence[st
     return out.select(*keys, undefined_if(F.col("flat"), ratio(F.col("own"), F.col("v"))).alias("s1"), undefined_if(F.col("flat"), 1 - ratio(F.col("rest"), F.col("v"))).alias("st"))
 
 
-def dgsm(slopes: DataFrame, poincare: dict[str, float], variances: dict[str, float], slices: Sequence[str] = ()) -> DataFrame:
+def zero_curves(curves: DataFrame, slices: Sequence[str] = ()) -> DataFrame:
+    """``(*slices, n_flat, n_curves)``: how many search curves have a constant output, and so no spectrum."""
+    per = curves.groupBy("param", *slices).agg(((F.max("y") == F.min("y")) | (F.var_pop("y") == 0)).alias("flat"))
+    return per.groupBy(*slices).agg(F.count_if("flat").alias("n_flat"), F.count("*").alias("n_curves"))
+
+
+def dgsm(slopes: DataFrame, poincare: dict[str, float], variances: dict[str, float], slices: Sequence[str] = (), extra: Sequence[str] = (), w: str | None = None) -> DataFrame:
     """``(param, *slices, nu, mu, upper_bound, lower_bound, variance)`` from ``(param, d, y)``, slope and output of each run.
 
     ``poincare`` holds each input's Poincare constant and ``variances`` its variance.
     """
     look = lambda m: F.element_at(F.create_map(*[F.lit(x) for kv in m.items() for x in kv]), F.col("param"))
-    s = slopes.groupBy("param", *slices).agg(F.avg(F.col("d") * F.col("d")).alias("nu"), F.avg("d").alias("mu"), F.var_pop("y").alias("variance"), (F.max("y") == F.min("y")).alias("flat"))
+    mean = weighted(w)
+    v = F.var_pop("y") if w is None else mean(F.col("y") * F.col("y")) - mean(F.col("y")) * mean(F.col("y"))
+    s = slopes.groupBy("param", *slices, *extra).agg(mean(F.col("d") * F.col("d")).alias("nu"), mean(F.col("d")).alias("mu"), v.alias("variance"), ((F.max("y") == F.min("y")) | (v == 0)).alias("flat"))
     upper = undefined_if(F.col("flat"), ratio(look(poincare) * F.col("nu"), F.col("variance")))
     lower = undefined_if(F.col("flat"), ratio(look(variances) * F.col("mu") * F.col("mu"), F.col("variance")))
-    return s.select("param", *slices, "nu", "mu", upper.alias("upper_bound"), lower.alias("lower_bound"), "variance")
+    return s.select("param", *slices, *extra, "nu", "mu", upper.alias("upper_bound"), lower.alias("lower_bound"), "variance")
+
+
+def slopes(runs: DataFrame, problem: Problem, fn: Callable[..., Column], step: float = 1e-4, outputs: Sequence[str] = ("y",)) -> DataFrame:
+    """``(*keys, param, output_idx, d, y)`` by central differences of a model given as an expression of its inputs.
+
+    ``fn`` takes a Column for each input and returns one Column, or one for each of ``outputs``. An input's step is
+    ``step`` of its standard deviation, and one-sided at a bound that both steps would leave.
+    """
+    names = problem.names
+    keys = [c for c in runs.columns if c not in names]
+    listed = lambda y: list(y) if isinstance(y, (list, tuple)) else [y]
+    at = {c: F.col(c).cast("double") for c in names}
+    here, rows = listed(fn(*at.values())), []
+    variances = problem.variances()
+    for c, m in problem.inputs.items():
+        h = step * math.sqrt(variances[c])
+        low, high = getattr(m, "low", None), getattr(m, "high", None)
+        up, down = at[c] + h, at[c] - h
+        up = F.least(up, F.greatest(at[c], F.lit(float(high)))) if high is not None else up
+        down = F.greatest(down, F.least(at[c], F.lit(float(low)))) if low is not None else down
+        for k, (hi, lo, y) in enumerate(zip(listed(fn(*(at | {c: up}).values())), listed(fn(*(at | {c: down}).values())), here)):
+            rows.append(F.struct(F.lit(c).alias("param"), F.lit(k).alias("output_idx"), ((hi - lo) / (up - down)).alias("d"), y.cast("double").alias("y")))
+    return runs.select(*keys, F.explode(F.array(*rows)).alias("x")).select(*keys, "x.*")
+
+
+def jacobian(runs: DataFrame, names: Sequence[str], y: str = "y", prefix: str = "d_") -> DataFrame:
+    """``(param, d, y)`` from slopes that the model gave as columns ``d_<name>``, one row for each run and input."""
+    rows = F.array(*[F.struct(F.lit(c).alias("param"), F.col(prefix + c).cast("double").alias("d")) for c in names])
+    return runs.select(F.col(y).cast("double").alias("y"), F.explode(rows).alias("x")).select("x.param", "x.d", "y")
 
 
 def uniform_poincare(low: float, high: float) -> float:
     """The Poincare constant of a uniform input."""
     return ((high - low) / math.pi) ** 2
+
+
+@functools.cache
+def normal_poincare(mean: float, variance: float, low: float | None, high: float | None, elements: int = 512) -> float:
+    """The Poincare constant of a normal input, truncated or not.
+
+    The reciprocal of the first positive eigenvalue of the density's Neumann problem, by linear finite elements; an
+    open side ends eight deviations out. The mass matrix is factored, so that the problem is an ordinary one.
+    """
+    if low is None and high is None:
+        return variance
+    s = math.sqrt(variance)
+    a, b = (mean - 8 * s if low is None else low), (mean + 8 * s if high is None else high)
+    x = np.linspace(a, b, elements + 1)
+    h, z = np.diff(x), ((x[:-1] + x[1:]) / 2 - mean) / s
+    rho = np.exp(-0.5 * (z * z - (z * z).min()))
+    stiff, mass = np.zeros((elements + 1, elements + 1)), np.zeros((elements + 1, elements + 1))
+    i = np.arange(elements)
+    for p, q in ((0, 0), (0, 1), (1, 0), (1, 1)):
+        np.add.at(stiff, (i + p, i + q), rho / h * (1 if p == q else -1))
+        np.add.at(mass, (i + p, i + q), rho * h / (3 if p == q else 6))
+    low_ = np.linalg.cholesky(mass)
+    half = np.linalg.solve(low_, stiff)
+    return float(1 / np.sort(np.linalg.eigvalsh(np.linalg.solve(low_, half.T)))[1])
+
+
+def poincare_constants(problem: Problem) -> dict[str, float]:
+    """Each input's Poincare constant; families without one are refused by the method."""
+    out = {}
+    for n, m in problem.inputs.items():
+        if isinstance(m, Gaussian):
+            out[n] = normal_poincare(m.mean, m.variance_, m.low, m.high)
+        elif m.family == "uniform":
+            out[n] = uniform_poincare(m.low, m.high)
+        else:
+            raise ValueError(f"no Poincare constant for the {m.family} input {n}")
+    return out

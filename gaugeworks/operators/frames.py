@@ -51,23 +51,49 @@ def drop_invalid(rows: DataFrame, unit: Sequence[str], policy: str = "raise", mi
     return left
 
 
-def ranked(rows: DataFrame, by: Sequence[str], order: Sequence[str], rank: str = "rank", size: str = "n") -> DataFrame:
+def zero_variance(rows: DataFrame, slices: Sequence[str] = (), y: str = "y") -> DataFrame:
+    """``(*slices, flat)``: whether all outputs of a slice are equal, or so near that their variance is zero."""
+    flat = (F.max(y) == F.min(y)) | (F.var_pop(y) == 0)
+    return rows.groupBy(*slices).agg(flat.alias("flat"))
+
+
+def warn_flat(rows: DataFrame, method: str, slices: Sequence[str] = (), y: str = "y", most: int = 5) -> int:
+    """Warns of constant slices, naming ``most`` of them, and returns their number."""
+    flat = zero_variance(rows, slices, y).where("flat")
+    n = flat.count()
+    if n:
+        names = ", ".join(str(tuple(r[c] for c in slices)) for r in flat.orderBy(*slices).limit(most).collect()) if slices else "the output"
+        warnings.warn(f"{method}: {n} constant output slice{'s' if n > 1 else ''} ({names}); indices there are undefined", stacklevel=3)
+    return n
+
+
+def ranked(rows: DataFrame, by: Sequence[str], order: Sequence[str], rank: str = "rank", size: str = "n", finer: str | None = None, total: str | None = None) -> DataFrame:
     """``rows`` with ``rank`` from 0 within ``by`` in ``order``, and the group's ``size``, at any group size.
 
     A window over a few large groups would be a few tasks. Here rows are dealt by range of (by, order), ranked
     within a partition, and moved up by the sizes of the partitions before. Equal rows get ranks in any order.
+    With ``finer``, a further column, also ``fine_rank`` and ``fine_size`` within (by, finer), from the same
+    partitions; with ``total``, a number, also ``before``, its sum over the group's rows of lower rank.
     """
     from ..plans.lineage import cut
 
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = cut(rows.repartitionByRange(parts, *by, *order).withColumn("_part", F.spark_partition_id()))
-    within = F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order)) - 1
-    counts = dealt.groupBy("_part", *by).agg(F.count("*").alias("_c"))
-    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", *by, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"), F.sum("_c").over(Window.partitionBy(*by)).alias(size))
-    moved = dealt.withColumn("_r", within).join(F.broadcast(offsets), ["_part", *by])  # partitions times groups: a small table
-    return moved.withColumn(rank, F.col("_r") + F.col("_o")).drop("_r", "_o", "_part")
+    out = dealt
+    for keys, r, n, value in [(list(by), rank, size, total), *([([*by, finer], "fine_rank", "fine_size", None)] if finer else [])]:
+        within = Window.partitionBy("_part", *keys).orderBy(*order)
+        counts = dealt.groupBy("_part", *keys).agg(F.count("*").alias("_c"), (F.sum(value) if value else F.lit(0)).alias("_t"))
+        before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        moved = [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(o) for c, o in (("_c", "_o"), ("_t", "_b"))]
+        offsets = counts.select("_part", *keys, *moved, F.sum("_c").over(Window.partitionBy(*keys)).alias(n))
+        out = out.withColumn("_r", F.row_number().over(within) - 1)
+        if value:
+            out = out.withColumn("_s", F.coalesce(F.sum(value).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+        out = out.join(F.broadcast(offsets), ["_part", *keys]).withColumn(r, F.col("_r") + F.col("_o"))  # partitions times groups: a small table
+        out = out.withColumn("before", F.col("_s") + F.col("_b")) if value else out
+        out = out.drop("_r", "_o", "_b", "_s")
+    return out.drop("_part")
 
 
 def class_of(rank: str, size: str, classes: int) -> Column:

@@ -1,4 +1,4 @@
-"""Estimators on any table of runs: rank, PAWN, Borgonovo's delta, optimal transport, kernel independence.
+"""Estimators on any table of runs: rank, PAWN, Borgonovo's delta, optimal transport (kernel independence is in ``kernels``).
 
 Rows are ``(run_id, param, x)`` joined with an output, long; all params and slices are worked on in one
 job. Ranks come from ``ranked``, so that no window holds a whole param.
@@ -88,8 +88,8 @@ def default_classes(n: int) -> int:
 def borgonovo(rows: DataFrame, classes: int, grid: int = 100, slices: Sequence[str] = (), narrow: float = 1e-2) -> DataFrame:
     """``(param, *slices, delta, s1)``: half the mean area between the output's density and its density in each class.
 
-    Densities are Gaussian kernel sums on ``grid`` points from the least to the largest output, which every row
-    adds to through a generated grid: rows times points stream through one grouped sum. Bandwidths are
+    Densities are Gaussian kernel sums on ``grid`` points from the least to the largest output: a batch of rows is
+    summed on the grid in one step, and only these sums are grouped. Bandwidths are
     ``(0.75 n)^(-1/5)`` sample deviations; a class narrower than ``narrow`` of the whole gets a floor. A constant
     output gives 0.
     """
@@ -101,10 +101,20 @@ def borgonovo(rows: DataFrame, classes: int, grid: int = 100, slices: Sequence[s
     step = (F.col("hi") - F.col("lo")) / (grid - 1)
     floor = F.when(F.col("ch") < narrow * F.col("h"), F.greatest(0.1 * F.col("h"), step)).otherwise(F.col("ch"))
     per = cut(per.join(F.broadcast(whole), keys).withColumn("ch", floor))
-    at = F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("g")
-    points = placed.join(F.broadcast(per.select(*keys, "class", "ch", "h", "lo", "hi")), [*keys, "class"]).where("hi > lo").select("*", at)
-    bump = lambda h: F.exp(-0.5 * F.pow((F.col("lo") + F.col("g") * step - F.col("y")) / F.col(h), F.lit(2.0)))
-    sums = cut(points.groupBy(*keys, "class", "g").agg(F.sum(bump("ch")).alias("own"), F.sum(bump("h")).alias("part")))
+    points = placed.join(F.broadcast(per.select(*keys, "class", "ch", "h", "lo", "hi")), [*keys, "class"]).where("hi > lo")
+    cell, types = [*keys, "class"], dict(placed.dtypes)
+
+    def bumps(frames):
+        """Kernel sums over a batch's rows on the grid, a row for each class and point."""
+        for f in frames:
+            for k, part in f.groupby(cell) if len(f) else ():
+                h, ch, lo, hi = (part[c].iloc[0] for c in ("h", "ch", "lo", "hi"))
+                z = np.linspace(lo, hi, grid)[:, None] - part.y.to_numpy()[None]
+                yield pd.DataFrame({**dict(zip(cell, k)), "g": np.arange(grid), "own": np.exp(-0.5 * (z / ch) ** 2).sum(1), "part": np.exp(-0.5 * (z / h) ** 2).sum(1)})
+
+    shape = ", ".join([*[f"`{c}` {types[c]}" for c in cell], "g int, own double, part double"])
+    batches = points.mapInPandas(bumps, shape)
+    sums = cut(batches.groupBy(*cell, "g").agg(F.sum("own").alias("own"), F.sum("part").alias("part")))
     density = sums.groupBy(*keys, "g").agg(F.sum("part").alias("all"))
     rows_ = sums.join(density, [*keys, "g"]).join(per, [*keys, "class"])
     root = math.sqrt(2 * math.pi)
@@ -115,82 +125,97 @@ def borgonovo(rows: DataFrame, classes: int, grid: int = 100, slices: Sequence[s
     return s1.join(delta, keys, "left").select(*keys, F.coalesce("delta", F.lit(0.0)).alias("delta"), "s1")
 
 
-def transport(rows: DataFrame, classes: int, slices: Sequence[str] = ()) -> DataFrame:
+def discrete_output(rows: DataFrame, slices: Sequence[str] = (), most: int = 20, each: int = 5) -> DataFrame:
+    """Slices whose output has ``most`` distinct values or fewer, each at least ``each`` times: no density can be estimated there."""
+    per = rows.groupBy(*slices, "y").agg(F.count("*").alias("c")).groupBy(*slices).agg(F.count("*").alias("values"), F.min("c").alias("least"))
+    return per.where((F.col("values") > 1) & (F.col("values") <= most) & (F.col("least") >= each))
+
+
+def transport_classes(n: int) -> int:
+    """The number of classes for transport at ``n`` rows."""
+    return max(1, min(25, n // 2))
+
+
+def transport(rows: DataFrame, classes: int | None = None, slices: Sequence[str] = (), member: str | None = None) -> DataFrame:
     """``(param, *slices, ot, advective, diffusive, s1)``: mean squared transport cost from the output to its classes over twice its variance.
 
-    One-dimensional transport couples quantiles: the full sample's rank i meets the class's ranks whose
-    quantile ranges overlap with it, at most two more than one for each, by an equal join on rank.
+    One-dimensional transport couples quantiles: member k of c meets the full sample's ranks from k n / c to
+    (k + 1) n / c. Of these only the sum counts, which is a difference of the sums of all lower ranks at two places,
+    found by an equal join on rank: two rows for each member, whatever the number of classes. ``member`` names a
+    column with each row's class, for categories or random ones; without it, classes are of equal frequency in x.
     """
     keys = ["param", *slices]
-    placed = ranked(rows.select(*keys, "x", "y"), keys, ["x", "y"]).withColumn("class", class_of("rank", "n", classes)).select(*keys, "class", "y")
-    sizes = cut(placed.groupBy(*keys, "class").agg(F.count("*").alias("c"), F.avg("y").alias("cm")))
-    members = cut(ranked(placed, [*keys, "class"], ["y"], "k", "_c").select(*keys, "class", "k", F.col("y").alias("cy")))
-    full = cut(ranked(rows.select(*keys, "y"), keys, ["y"], "i", "n"))
-    whole = cut(rows.groupBy(*keys).agg(F.avg("y").alias("m"), F.var_samp("y").alias("v")))
-    start = F.floor(F.col("i") * F.col("c") / F.col("n"))
-    meets = full.join(F.broadcast(sizes), keys).select(*keys, "class", "i", "n", "c", "y", F.explode(F.sequence(start, start + 1)).alias("k"))  # a row for each class
-    overlap = F.least((F.col("i") + 1) * F.col("c"), (F.col("k") + 1) * F.col("n")) - F.greatest(F.col("i") * F.col("c"), F.col("k") * F.col("n"))
-    pairs = meets.join(members, [*keys, "class", "k"]).withColumn("w", F.greatest(overlap, F.lit(0)) / (F.col("n").cast("double") * F.col("c")))
-    cost = pairs.groupBy(*keys, "class").agg(F.sum(F.col("w") * F.pow(F.col("y") - F.col("cy"), F.lit(2.0))).alias("w2"), F.first("n").alias("n"))
-    per = cost.join(sizes, [*keys, "class"]).join(F.broadcast(whole), keys)
-    adv = F.pow(F.col("cm") - F.col("m"), F.lit(2.0))
+    rows = rows.select(*keys, *([F.col(member).alias("class")] if member else ["x"]), "y")
+    stats = cut(rows.groupBy(*keys).agg(F.avg("y").alias("m"), F.var_samp("y").alias("v"), F.count("*").alias("total")))
+    moved = rows.join(F.broadcast(stats.select(*keys, "m")), keys).withColumn("y", F.col("y") - F.col("m")).drop("m")  # a row for each param and slice
+    if not member:
+        size = classes or transport_classes(stats.agg(F.min("total")).first()[0] or 1)
+        moved = ranked(moved, keys, ["x", "y"], "r", "rn").withColumn("class", class_of("r", "rn", size)).drop("x", "r", "rn")
+    placed = cut(ranked(moved, keys, ["y"], "i", "n", finer="class", total="y"))
+    upto = placed.select(*keys, "i", "before", F.col("y").alias("next"))
+    ends = F.array(F.struct(F.lit(-1.0).alias("sign"), F.col("fine_rank").alias("k")), F.struct(F.lit(1.0).alias("sign"), (F.col("fine_rank") + 1).alias("k")))
+    looked = placed.select(*keys, "class", "n", "fine_size", F.col("y").alias("cy"), F.explode(ends).alias("e"))
+    looked = looked.select(*keys, "class", "cy", "fine_size", (F.col("e.k") * F.col("n")).alias("at"), "e.sign").where("at < fine_size * n")
+    looked = looked.select(*keys, "class", "cy", "sign", F.expr("at div fine_size").alias("i"), (F.expr("at % fine_size") / F.col("fine_size")).alias("part"))
+    # Beyond the last rank the sum is that of all, which is zero as outputs are moved by their mean.
+    cross = looked.join(upto, [*keys, "i"]).groupBy(*keys, "class").agg(F.sum(F.col("sign") * F.col("cy") * (F.col("before") + F.col("part") * F.col("next"))).alias("cross"))
+    per = placed.groupBy(*keys, "class").agg(F.count("*").alias("c"), F.avg("y").alias("cm"), F.avg(F.col("y") * F.col("y")).alias("cq"), F.first("n").alias("n"))
+    whole = placed.groupBy(*keys).agg(F.avg(F.col("y") * F.col("y")).alias("q"))
+    per = per.join(cross, [*keys, "class"], "left").join(F.broadcast(whole.join(stats.select(*keys, "v"), keys)), keys)
+    w2 = F.greatest(F.col("q") + F.col("cq") - 2 * F.coalesce("cross", F.lit(0.0)) / F.col("n"), F.lit(0.0))
+    adv = F.col("cm") * F.col("cm")
     share = F.col("c") / F.col("n")
-    sums = per.groupBy(*keys).agg(F.sum(share * F.col("w2")).alias("w"), F.sum(share * adv).alias("a"), F.sum(share * F.greatest(F.col("w2") - adv, F.lit(0.0))).alias("d"), F.first("v").alias("v"), F.first("n").alias("n"))
-    over = lambda c: F.when(F.col("v") <= 0, 0.0).otherwise(ratio(F.col(c), 2 * F.col("v")))
+    sums = per.groupBy(*keys).agg(F.sum(share * w2).alias("w"), F.sum(share * adv).alias("a"), F.sum(share * F.greatest(w2 - adv, F.lit(0.0))).alias("d"), F.first("v").alias("v"), F.first("n").alias("n"))
+    over = lambda c: F.when(F.coalesce("v", F.lit(0.0)) <= 0, 0.0).otherwise(ratio(F.col(c), 2 * F.col("v")))
     return sums.select(*keys, over("w").alias("ot"), over("a").alias("advective"), over("d").alias("diffusive"), (2 * F.col("n") / (F.col("n") - 1) * over("a")).alias("s1"))
 
 
-def hsic(runs: DataFrame, names: Sequence[str], y: str = "y", key: str = "run_id", block: int = 1024, bandwidth: float = 1.0) -> DataFrame:
-    """``(param, hsic_raw, r2)``: kernel dependence of each input and the output, over all pairs of runs, in blocks.
+def dummy_transport(rows: DataFrame, classes: int | None = None, slices: Sequence[str] = (), seed: int = 0, draw=None, key: str = "run_id") -> DataFrame:
+    """``(*slices, ot_dummy)``: the index of an input that has nothing to do with the output, by classes of a random order of the rows.
 
-    Kernels are Gaussian with bandwidths from the median distance of pairs; runs are dealt to blocks and each
-    pair of blocks is one task, which returns sums only: a row sum for each run, and sums of products. A
-    constant output gives NaN, a constant input 0. All pairs of rows are compared by the method's definition.
-    """
-    n = runs.count()
-    cols = [*names, y]
-    rows = cut(runs.select(F.floor(F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // block))))).cast("int").alias("b"), key, *[F.col(c).cast("double").alias(c) for c in cols]))
-    spread = _median_distances(rows, cols)
-    scale = {c: max(v * v, 1e-20) * bandwidth**2 for c, v in spread.items()}
-    last = max(1, -(-n // block))
-    left = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(last - 1))))
-    right = rows.select(F.col("b").alias("o"), F.explode(F.sequence(F.lit(0), F.lit(last - 1))).alias("b"), key, *cols)
-
-    def sums(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(p) or not len(q):
-            return pd.DataFrame({"param": [], "key": [], "k": [], "l": [], "kl": [], "kk": [], "ll": []})
-        gram = lambda c: np.exp(-np.subtract.outer(p[c].to_numpy(), q[c].to_numpy()) ** 2 / (2 * scale[c]))
-        ly, out = gram(y), []
-        for c in names:
-            k = gram(c)
-            out.append(pd.DataFrame({"param": c, "key": p[key], "k": k.sum(1), "l": ly.sum(1), "kl": (k * ly).sum(1), "kk": (k * k).sum(1), "ll": (ly * ly).sum(1)}))
-        return pd.concat(out)
-
-    parts = left.groupBy("b", "o").cogroup(right.groupBy("b", "o")).applyInPandas(sums, "param string, key bigint, k double, l double, kl double, kk double, ll double")
-    per = parts.groupBy("param", "key").agg(*[F.sum(c).alias(c) for c in ("k", "l", "kl", "kk", "ll")])
-    centred = lambda ab, a, b: F.sum(ab) / n**2 - 2 * F.sum(F.col(a) * F.col(b)) / n**3 + F.sum(a) * F.sum(b) / float(n) ** 4
-    flat = runs.agg((F.max(y) == F.min(y)).alias("f")).first().f
-    out = per.groupBy("param").agg(centred("kl", "k", "l").alias("hsic_raw"), centred("kk", "k", "k").alias("vx"), centred("ll", "l", "l").alias("vy"))
-    r2 = F.coalesce(F.try_divide(F.col("hsic_raw"), F.sqrt(F.greatest(F.col("vx") * F.col("vy"), F.lit(0.0)))), F.lit(0.0))
-    return out.select("param", "hsic_raw", (F.lit(float("nan")) if flat else r2).alias("r2"))
-
-
-def _median_distances(rows: DataFrame, cols: Sequence[str], rounds: int = 40) -> dict[str, float]:
-    """The median positive distance of pairs in each column, by counting pairs under a trial distance and halving.
-
-    Pairs are counted in sorted values by a two-pointer search, a task for each column; only values travel.
+    ``rows`` are of one input, ``(run_id, y)``; what an index has above this floor, ``above_dummy``, isn't noise of the estimate.
     """
+    from .resampling import hashed
+
+    noise = (draw or hashed)(F.lit(0), F.col(key), seed)
+    one = rows.select(F.lit("dummy").alias("param"), *slices, noise.cast("double").alias("x"), "y")
+    return transport(one, classes, slices).select(*slices, F.col("ot").alias("ot_dummy"))
 
-    def median(f: pd.DataFrame) -> pd.DataFrame:
-        v = np.sort(f.v.to_numpy())
-        within = lambda d: int((np.searchsorted(v, v + d, "right") - np.arange(len(v)) - 1).sum())
-        zero, total = within(0.0), len(v) * (len(v) - 1) // 2
-        target = zero + (total - zero + 1) // 2
-        low, high = 0.0, float(v[-1] - v[0]) if len(v) else 0.0
-        for _ in range(rounds + 20):
-            mid = 0.5 * (low + high)
-            low, high = (low, mid) if within(mid) >= target else (mid, high)
-        return pd.DataFrame({"c": [f.c.iloc[0]], "d": [high]})
-
-    long = rows.unpivot(["b"], list(cols), "c", "v").select("c", "v")
-    return {r.c: r.d for r in long.groupBy("c").applyInPandas(median, "c string, d double").collect()}
+
+#: Largest cost matrix that one class's entropic plan may have: members times rows.
+PLAN = 50_000_000
+
+
+def joint_transport(rows: DataFrame, outputs: Sequence[str], classes: int, epsilon: float = 0.03, standardise: bool = True, most: int = 2000, tol: float = 1e-9) -> DataFrame:
+    """``(param, ot, advective, unconverged)`` of several outputs, or a trajectory's times, together: entropic plans from all rows to each class.
+
+    ``rows`` are ``(param, x, *outputs)``. Outputs are moved by their means, and divided by their deviations if asked;
+    the cost is the transport part of a plan with ``epsilon`` relative to twice the total variance. Each class is one
+    task, which holds members times rows costs: a larger plan than ``PLAN`` raises. Plans that do not converge in ``most``
+    rounds keep their last state and are counted.
+    """
+    from .surrogates import sinkhorn
+
+    one = rows.select("param").distinct().orderBy("param").first()
+    if one is None:
+        raise ValueError("there is no row")
+    cloud = rows.where(F.col("param") == one.param).select(*outputs)
+    stats = cloud.agg(F.count("*").alias("n"), *[f(c).alias(f"{k}{i}") for i, c in enumerate(outputs) for k, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+    if stats.n * -(-stats.n // classes) > PLAN:
+        raise ValueError(f"{stats.n} rows in {classes} classes are too many for entropic plans; take a sample of runs or more classes")
+    moved = [((F.col(c) - stats[f"m{i}"]) / (stats[f"s{i}"] if standardise and stats[f"s{i}"] else 1.0)).alias(f"y{i}") for i, c in enumerate(outputs)]
+    names = [f"y{i}" for i in range(len(outputs))]
+    whole = rows.where(F.col("param") == one.param).select(*moved).toPandas().to_numpy(float)  # of bounded size, by the check above
+    v = 2 * float(np.trace(np.atleast_2d(np.cov(whole.T, ddof=1))))
+    shared = rows.sparkSession.sparkContext.broadcast(whole)
+    placed = ranked(rows.select("param", "x", *moved), ["param"], ["x", *names]).withColumn("class", class_of("rank", "n", classes))
+
+    def cost(f: pd.DataFrame) -> pd.DataFrame:
+        own, every = f[names].to_numpy(float), shared.value
+        d = ((every[:, None] - own[None]) ** 2).sum(2)
+        value, done = sinkhorn(d, epsilon * v, tol, most, report=True) if v > 0 else (0.0, True)
+        return pd.DataFrame({"param": [f.param.iloc[0]], "share": [len(own) / len(every)], "w": [value], "a": [float((own.mean(0) ** 2).sum())], "left": [int(not done)]})
+
+    per = placed.select("param", "class", *names).groupBy("param", "class").applyInPandas(cost, "param string, share double, w double, a double, left int")
+    over = lambda c: (F.sum(F.col("share") * F.col(c)) / v if v > 0 else F.lit(0.0))
+    return per.groupBy("param").agg(over("w").alias("ot"), over("a").alias("advective"), F.sum("left").alias("unconverged"))

@@ -7,43 +7,62 @@ the basis alone, never on the number of runs.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
+import warnings
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.special import f_ppf
+from ..functions.special import f_ppf, normal_cdf, normal_ppf
 from ..problem import NUMPY, Gaussian, Problem, gate
 
 #: Partial matrices that one task merges.
 MERGED = 32
 
 
-def reduced(runs: DataFrame, cols: Sequence[str], start: Callable[[np.ndarray], np.ndarray], merge: Callable[[np.ndarray], np.ndarray]) -> np.ndarray | None:
-    """A matrix over all rows: ``start`` makes one of a batch of rows, ``merge`` one of a stack of them."""
+def reduced_by(runs: DataFrame, cols: Sequence[str], start: Callable[[np.ndarray], dict[int, np.ndarray]], merge: Callable[[np.ndarray], np.ndarray]) -> dict[int, np.ndarray]:
+    """Matrices over all rows by key: ``start`` makes one for each key of a batch of rows, ``merge`` one of a stack of them.
+
+    Partitions merge their own; then matrices are merged ``MERGED`` at a time, level by level, until so few are left
+    that the driver takes them. Their groups go by partition, so that no task receives all.
+    """
 
     def partial(frames):
-        kept = None
+        kept: dict[int, np.ndarray] = {}
         for f in frames:
             if len(f):
-                part = start(f.to_numpy(float))
-                kept = part if kept is None else merge(np.stack([kept, part]))
-        if kept is not None:
-            yield pd.DataFrame({"g": [int(np.frombuffer(kept.tobytes()[:8], "<u8")[0] % (1 << 31))], "rows": [kept.shape[0]], "m": [kept.tobytes()]})
+                for k, part in start(f.to_numpy(float)).items():
+                    kept[k] = merge(np.stack([kept[k], part])) if k in kept else part
+        for k, m in kept.items():
+            yield pd.DataFrame({"k": [k], "g": [TaskContext.get().partitionId()], "rows": [m.shape[0]], "m": [m.tobytes()]})
 
     def together(f: pd.DataFrame) -> pd.DataFrame:
         stack = np.stack([np.frombuffer(m).reshape(r, -1) for m, r in zip(f.m, f.rows)])
-        return pd.DataFrame({"g": [0], "rows": [stack.shape[1]], "m": [merge(stack).tobytes()]})
+        out = merge(stack)
+        return pd.DataFrame({"k": f.k[:1], "g": f.g[:1], "rows": [out.shape[0]], "m": [out.tobytes()]})
+
+    shape = "k int, g bigint, rows int, m binary"
+    parts = runs.select(*[F.col(c).cast("double") for c in cols]).mapInPandas(partial, shape)
+    left = runs.rdd.getNumPartitions()
+    while left > MERGED:
+        left = -(-left // MERGED)
+        parts = parts.withColumn("g", F.col("g") % left).groupBy("k", "g").applyInPandas(together, shape)
+    found: dict[int, list[np.ndarray]] = {}
+    for r in parts.collect():
+        found.setdefault(r.k, []).append(np.frombuffer(r.m).reshape(r.rows, -1))
+    return {k: merge(np.stack(ms)) for k, ms in found.items()}
 
-    parts = runs.select(*[F.col(c).cast("double") for c in cols]).mapInPandas(partial, "g bigint, rows int, m binary")
-    groups = max(1, runs.rdd.getNumPartitions() // MERGED)
-    few = parts.withColumn("g", F.col("g") % groups).groupBy("g").applyInPandas(together, "g bigint, rows int, m binary").collect()
-    return merge(np.stack([np.frombuffer(r.m).reshape(r.rows, -1) for r in few])) if few else None
+
+def reduced(runs: DataFrame, cols: Sequence[str], start: Callable[[np.ndarray], np.ndarray], merge: Callable[[np.ndarray], np.ndarray]) -> np.ndarray | None:
+    """One matrix over all rows, as ``reduced_by``; None of none."""
+    return reduced_by(runs, cols, lambda a: {0: start(a)}, merge).get(0)
 
 
 def triangle(rows: np.ndarray) -> np.ndarray:
@@ -82,32 +101,71 @@ def effective_order(d: int, n: int, order: int, fit_ratio: float = 0.5) -> int:
     return order
 
 
+@functools.cache
+def truncated_normal(low: float, high: float, order: int) -> tuple[float, float, list[float], list[float]]:
+    """Mean and deviation of a standard normal cut to [low, high], and the recurrence of its orthonormal polynomials.
+
+    Stieltjes' procedure on Gauss-Legendre nodes: each next polynomial is the last one times the variable, made
+    orthogonal to all before, twice. Open sides end nine deviations from the nearest point to zero.
+    """
+    nearest = min(max(0.0, low), high)
+    a, b = max(low, nearest - 9), min(high, nearest + 9)
+    t, w = np.polynomial.legendre.leggauss(400 + 25 * order)
+    z = (b - a) / 2 * t + (b + a) / 2
+    w = w * np.exp(-0.5 * (z * z - nearest * nearest))
+    w /= w.sum()
+    mean = float(w @ z)
+    scale = math.sqrt(float(w @ (z - mean) ** 2))
+    v, basis, alpha, beta = (z - mean) / scale, [np.sqrt(w)], [], []
+    for _ in range(order):
+        now = v * basis[-1]
+        alpha.append(float(now @ basis[-1]))
+        done = np.stack(basis)
+        for _ in range(2):
+            now = now - done.T @ (done @ now)
+        beta.append(float(np.linalg.norm(now)))
+        basis.append(now / beta[-1])
+    return mean, scale, alpha, beta
+
+
+def recurrence(v: np.ndarray, alpha: Sequence[float], beta: Sequence[float]) -> np.ndarray:
+    """Polynomials of a three-term recurrence, a column for each degree."""
+    out = [np.ones_like(v)]
+    for k, (a, b) in enumerate(zip(alpha, beta)):
+        out.append(((v - a) * out[-1] - (beta[k - 1] * out[-2] if k else 0.0)) / b)
+    return np.stack(out, 1)
+
+
 @dataclass
 class Expansion:
-    """Coefficients of terms; a term is the set of inputs that it involves."""
+    """Coefficients of terms; a term's exponents say which inputs it involves. ``quality`` has the diagnostics of the fit."""
 
     problem: Problem
     terms: list[tuple[int, ...]]
     coefficients: np.ndarray
     order: int
+    quality: dict[str, float] = field(default_factory=dict)
 
     def design(self, x: np.ndarray) -> np.ndarray:
+        """Each term at rows of values: Hermite polynomials of normal inputs, those of the cut normal of truncated ones, Legendre of all others' places."""
         one = []
         for j, m in enumerate(self.problem.inputs.values()):
-            open_ = isinstance(m, Gaussian) and m.low is None and m.high is None
-            one.append(hermite((x[:, j] - m.mean) / math.sqrt(m.variance_), self.order) if open_ else legendre(2 * np.asarray(m.cdf(x[:, j], NUMPY)) - 1, self.order))
+            if not isinstance(m, Gaussian):
+                one.append(legendre(2 * np.asarray(m.cdf(x[:, j], NUMPY)) - 1, self.order))
+                continue
+            s = math.sqrt(m.variance_)
+            z = (x[:, j] - m.mean) / s
+            if m.low is None and m.high is None:
+                one.append(hermite(z, self.order))
+            else:
+                mean, scale, alpha, beta = truncated_normal(-math.inf if m.low is None else (m.low - m.mean) / s, math.inf if m.high is None else (m.high - m.mean) / s, self.order)
+                one.append(recurrence((z - mean) / scale, alpha, beta))
         return np.stack([math.prod((one[j][:, e] for j, e in enumerate(t) if e), start=np.ones(len(x))) for t in self.terms], 1)
 
     def predict(self, runs: DataFrame) -> DataFrame:
         """``runs`` with ``prediction``; works on streams as well."""
         names, coefficients, design = self.problem.names, self.coefficients, self.design
-
-        def kernel(frames):
-            for f in frames:
-                yield f.assign(prediction=design(f[names].to_numpy(float)) @ coefficients if len(f) else pd.Series([], dtype=float))
-
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in runs.schema.fields)
-        return runs.mapInPandas(kernel, f"{fields}, prediction double")
+        return predicted(runs, names, lambda x: design(x) @ coefficients)
 
     def variances(self) -> dict[tuple[int, ...], float]:
         """Variance of each set of inputs."""
@@ -117,20 +175,84 @@ class Expansion:
                 out[u] = out.get(u, 0.0) + float(c) ** 2
         return out
 
+    def indices(self) -> pd.DataFrame:
+        return indices_from_variances(self.variances(), self.problem.names)
+
+    def second_order(self) -> pd.DataFrame:
+        return second_order(self.variances(), self.problem.names)
+
+
+def predicted(runs: DataFrame, names: Sequence[str], value: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``runs`` with ``prediction``, ``value`` of batches of its inputs."""
+
+    def kernel(frames):
+        for f in frames:
+            yield f.assign(prediction=value(f[list(names)].to_numpy(float)) if len(f) else pd.Series([], dtype=float))
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in runs.schema.fields)
+    return runs.mapInPandas(kernel, f"{fields}, prediction double")
+
+
+def default_ridge(r: np.ndarray) -> float:
+    """The ridge of a fit without one: round-off of the Gram matrix, or 1e-12 of it where the design is singular to round-off."""
+    pivots = np.abs(np.diag(r))
+    singular = not len(pivots) or pivots.min() ** 2 <= len(r) * np.finfo(float).eps * (pivots.max() ** 2 or 1.0)
+    return (1e-12 if singular else float(np.finfo(float).eps)) * float((r * r).sum()) / max(1, len(r))
+
+
+def _solved(r: np.ndarray, ridge: float) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients and triangular factor of a ridge fit, from the factor of design and output."""
+    p = r.shape[1] - 1
+    low = math.sqrt(ridge) * np.eye(p)
+    full = triangle(np.concatenate([r, np.column_stack([low, np.zeros(p)])]))
+    return np.linalg.lstsq(full[:p, :p], full[:p, p], rcond=None)[0], full[:p, :p]
+
 
-def pce(runs: DataFrame, problem: Problem, y: str = "y", order: int = 3, ridge: float = 0.0, fit_ratio: float = 0.5) -> Expansion:
-    """Polynomial chaos by ridge least squares over all rows, solved from merged triangular factors."""
-    gate(problem, "pce", correlated=False, categorical=False)
-    order = effective_order(len(problem.names), runs.count(), order, fit_ratio)
+def pce(runs: DataFrame, problem: Problem, y: str = "y", order: int = 3, ridge: float | None = None, fit_ratio: float = 0.5, weight: str | None = None, check: bool = True) -> Expansion:
+    """Polynomial chaos by ridge least squares over all rows, solved from merged triangular factors.
+
+    Without ``ridge``, that of ``default_ridge``. ``weight`` counts each row so often, for a replicate. With ``check``, a
+    second pass takes leave-one-out errors from each row's leverage, and warns of an input that is constant, of terms
+    that the data can't tell apart, and of a fit that predicts worse than the mean.
+    """
+    gate(problem, "pce")
+    wanted, order = order, effective_order(len(problem.names), runs.count(), order, fit_ratio)
+    if order < wanted:
+        warnings.warn(f"the order is {order} for {wanted}: there are too few runs", stacklevel=2)
     fit = Expansion(problem, total_degree(len(problem.names), order), np.zeros(0), order)
-    design = fit.design
-    r = reduced(runs, [*problem.names, y], lambda a: triangle(np.column_stack([design(a[:, :-1]), a[:, -1]])), lambda s: triangle(s.reshape(-1, s.shape[2])))
+    design, cols = fit.design, [*problem.names, y, *([weight] if weight else [])]
+    d = len(problem.names)
+
+    def rows(a: np.ndarray) -> np.ndarray:
+        whole = np.column_stack([design(a[:, :d]), a[:, d]])
+        return whole * np.sqrt(a[:, d + 1])[:, None] if weight else whole
+
+    r = reduced(runs, cols, lambda a: triangle(rows(a)), lambda s: triangle(s.reshape(-1, s.shape[2])))
     p = r.shape[1] - 1
-    top, rhs = r[:p, :p], r[:p, p]
-    if ridge:
-        low = math.sqrt(ridge) * np.eye(p)
-        top, rhs = np.concatenate([top, low]), np.concatenate([rhs, np.zeros(p)])
-    fit.coefficients = np.linalg.lstsq(top, rhs, rcond=None)[0]
+    ridge = default_ridge(r[:p, :p]) if ridge is None else ridge
+    fit.coefficients, factor = _solved(r, ridge)
+    if not np.isfinite(fit.coefficients).all():
+        raise ValueError("the fit is not finite")
+    if check:
+        coefficients, inverse = fit.coefficients, np.linalg.pinv(factor)
+
+        def errors(a: np.ndarray) -> np.ndarray:
+            phi = design(a[:, :d])
+            left = a[:, d] - phi @ coefficients
+            h = np.clip(((phi @ inverse) ** 2).sum(1), 0, 1 - 1e-9)
+            return np.array([[len(a), (left**2).sum(), ((left / (1 - h)) ** 2).sum(), a[:, d].sum(), (a[:, d] ** 2).sum()]])
+
+        n, sse, loo, t, q = reduced(runs, [*problem.names, y], errors, lambda s: s.sum(0))[0]
+        var = q / n - (t / n) ** 2
+        pivots = np.abs(np.diag(r[:p, :p]))
+        fit.quality = {"n": n, "rmse": math.sqrt(sse / n), "cv_rmse": math.sqrt(loo / n), "variance": var, "explained_variance": sum(fit.variances().values()) / var if var > 0 else math.nan, "ridge": ridge, "pivot_share": float(pivots.min() / pivots.max())}
+        spans = runs.agg(*[(F.max(c) - F.min(c)).alias(f"s{i}") for i, c in enumerate(problem.names)]).first()
+        if still := [c for i, c in enumerate(problem.names) if not spans[f"s{i}"]]:
+            warnings.warn(f"inputs {still} are constant", stacklevel=2)
+        elif fit.quality["pivot_share"] < 1e-7:
+            warnings.warn("some terms can't be told apart on these runs", stacklevel=2)
+        if var > 0 and loo / n > var:
+            warnings.warn("leave-one-out errors are larger than the output's deviation: the fit follows noise", stacklevel=2)
     return fit
 
 
@@ -170,18 +292,82 @@ class Hdmr:
     names: list[str]
     terms: pd.DataFrame
     explained: float
+    problem: Problem | None = None
+    basis: Callable[[np.ndarray], np.ndarray] | None = None
+    weights: np.ndarray | None = None
+    offset: float = 0.0
+    rmse: float = math.nan
 
     def totals(self) -> pd.DataFrame:
         return pd.DataFrame([(n, float(self.terms.s[[n in t.split("*") for t in self.terms.term]].sum())) for n in self.names], columns=["param", "st"])
 
+    def variances(self, correlative: bool = False) -> dict[tuple[int, ...], float]:
+        """Each set's structural share, with ``correlative`` its total one."""
+        sets = [tuple(self.names.index(c) for c in t.split("*")) for t in self.terms.term]
+        return dict(zip(sets, map(float, self.terms["s" if correlative else "sa"])))
+
+    def first(self) -> pd.DataFrame:
+        """``param, s1``: structural shares of single inputs."""
+        v = self.variances()
+        return pd.DataFrame([(n, v.get((i,), 0.0)) for i, n in enumerate(self.names)], columns=["param", "s1"])
+
+    def second(self) -> pd.DataFrame:
+        v = self.variances()
+        return pd.DataFrame([(self.names[i], self.names[j], v.get((i, j), 0.0)) for i, j in itertools.combinations(range(len(self.names)), 2)], columns=["param", "param_j", "s2"])
+
+    def shapley(self, correlative: bool = False) -> pd.DataFrame:
+        return indices_from_variances(self.variances(correlative), self.names)
+
+    def predict(self, runs: DataFrame) -> DataFrame:
+        """``runs`` with ``prediction``."""
+        basis, weights, offset = self.basis, self.weights, self.offset
+        return predicted(runs, self.names, lambda x: basis(x) @ weights + offset)
+
+
+def backfit(k: np.ndarray, c: np.ndarray, m: int, ridge: float, most: int = 100, tol: float = 1e-3) -> np.ndarray:
+    """Functions of single inputs in turn, each fitted to what the others leave, until none changes by ``tol`` of the largest weight."""
+    w, blocks = np.zeros(len(c)), [slice(i, i + m) for i in range(0, len(c), m)]
+    inner = [k[b, b] + ridge * np.trace(k[b, b]) / m * np.eye(m) for b in blocks]
+    for _ in range(most):
+        before = w.copy()
+        for b, own in zip(blocks, inner):
+            w[b] = np.linalg.lstsq(own, c[b] - k[b] @ w + k[b, b] @ w[b], rcond=None)[0]
+        if np.abs(w - before).max(initial=0) <= tol * np.abs(w).max(initial=1e-300):
+            break
+    return w
+
+
+def conjugate_gradient(k: np.ndarray, c: np.ndarray, size: int, tol: float = 1e-10, most: int = 1000) -> np.ndarray:
+    """The solution of ``k w = c`` by conjugate gradients, preconditioned by the inverses of its diagonal blocks."""
+    blocks = [slice(i, i + size) for i in range(0, len(c), size)]
+    inverse = [np.linalg.pinv(k[b, b]) for b in blocks]
+    soft = lambda r: np.concatenate([p @ r[b] for p, b in zip(inverse, blocks)])
+    w, r = np.zeros_like(c), c.copy()
+    z = soft(r)
+    p, rz, goal = z.copy(), r @ z, tol * np.linalg.norm(c)
+    for _ in range(most):
+        if np.linalg.norm(r) <= goal:
+            break
+        kp = k @ p
+        step = rz / (p @ kp)
+        w, r = w + step * p, r - step * kp
+        z = soft(r)
+        p, rz = z + (r @ z) / rz * p, r @ z
+    return w
+
 
-def hdmr(runs: DataFrame, problem: Problem, y: str = "y", order: int = 2, intervals: int = 2, ridge: float = 1e-6, level: float = 0.95) -> Hdmr:
+#: Pair weights beyond which they are solved for by conjugate gradients.
+DENSE = 4000
+
+
+def hdmr(runs: DataFrame, problem: Problem, y: str = "y", order: int = 2, intervals: int = 2, ridge: float = 1e-6, level: float = 0.95, most: int = 100, tol: float = 1e-3, weight: str | None = None) -> Hdmr:
     """High-dimensional model representation by B-splines from one Gram matrix, with analysis of covariance for dependent inputs.
 
-    First-order functions are fitted together; pair functions are made orthogonal to them and fitted to what they
-    leave. ``ridge`` is relative to a block's mean diagonal, and at least the root of machine precision for pairs.
+    First-order functions are fitted in turn (``backfit``); pair functions are made orthogonal to them and fitted to
+    what they leave. ``ridge`` is relative to a block's mean diagonal, and at least the root of machine precision for
+    pairs. ``weight`` counts each row so often, for a replicate.
     """
-    gate(problem, "hdmr", correlated=True, categorical=False, refused=("lognormal", "weibull"))
+    gate(problem, "hdmr")
     if order not in (1, 2):
         raise ValueError("order is 1 or 2")
     names, d, m = problem.names, len(problem.names), intervals + 3
@@ -190,26 +376,32 @@ def hdmr(runs: DataFrame, problem: Problem, y: str = "y", order: int = 2, interv
     pairs = list(itertools.combinations(range(d), 2)) if order == 2 else []
     marginals = list(problem.inputs.values())
 
+    def basis(x: np.ndarray) -> np.ndarray:
+        one = [bsplines(np.asarray(marginals[j].cdf(x[:, j], NUMPY)), intervals) for j in range(d)]
+        two = [(one[i][:, :, None] * one[j][:, None, :]).reshape(len(x), -1) for i, j in pairs]
+        return np.column_stack([*one, *two])
+
     def gram(a: np.ndarray) -> np.ndarray:
-        one = [bsplines(np.asarray(marginals[j].cdf(a[:, j], NUMPY)), intervals) for j in range(d)]
-        two = [(one[i][:, :, None] * one[j][:, None, :]).reshape(len(a), -1) for i, j in pairs]
-        b = np.column_stack([np.ones(len(a)), *one, *two, a[:, -1]])
-        return b.T @ b
+        b = np.column_stack([np.ones(len(a)), basis(a[:, :d]), a[:, d]])
+        return b.T @ (b * a[:, d + 1][:, None] if weight else b)
 
-    g = reduced(runs, [*names, y], gram, lambda s: s.sum(0))
+    g = reduced(runs, [*names, y, *([weight] if weight else [])], gram, lambda s: s.sum(0))
     n = g[0, 0]
     cov = (g - np.outer(g[0], g[0]) / n)[1:, 1:] / n
     q = d * m
     first, rest = slice(0, q), slice(q, q + len(pairs) * m * m)
     c1, var = cov[first, -1], cov[-1, -1]
-    solve = lambda k, c, r: np.linalg.lstsq(k + r * np.trace(k) / max(1, len(k)) * np.eye(len(k)), c, rcond=None)[0]
     values, vectors = np.linalg.eigh(cov[first, first])
     keep = values > math.sqrt(np.finfo(float).eps) * values.max()
     pinv = (vectors[:, keep] / values[keep]) @ vectors[:, keep].T
-    w1 = solve(cov[first, first], c1, ridge)
+    w1 = backfit(cov[first, first], c1, m, ridge, most, tol)
     shift = pinv @ cov[first, rest]
-    k2 = cov[rest, rest] - cov[rest, first] @ shift
-    w2 = solve(k2, cov[rest, -1] - shift.T @ c1, max(ridge, math.sqrt(np.finfo(float).eps))) if pairs else np.zeros(0)
+    w2 = np.zeros(0)
+    if pairs:
+        k2 = cov[rest, rest] - cov[rest, first] @ shift
+        k2 = k2 + max(ridge, math.sqrt(np.finfo(float).eps)) * np.trace(k2) / len(k2) * np.eye(len(k2))
+        left = cov[rest, -1] - shift.T @ c1
+        w2 = np.linalg.lstsq(k2, left, rcond=None)[0] if len(k2) <= DENSE else conjugate_gradient(k2, left, m * m)
     whole = np.zeros((q + len(w2), d + len(pairs)))  # a column for each term's function, in the joint basis
     for j in range(d):
         whole[j * m : (j + 1) * m, j] = w1[j * m : (j + 1) * m]
@@ -232,7 +424,9 @@ def hdmr(runs: DataFrame, problem: Problem, y: str = "y", order: int = 2, interv
         chosen.append(bool(free > 0 and f > f_ppf(level, sizes[k], free)))
     labels = [names[j] for j in range(d)] + [f"{names[i]}*{names[j]}" for i, j in pairs]
     scale = var if var > 0 else math.nan
-    return Hdmr(names, pd.DataFrame({"term": labels, "sa": sa / scale, "sb": (s - sa) / scale, "s": s / scale, "selected": chosen}), float(1 - full / scale))
+    table = pd.DataFrame({"term": labels, "sa": sa / scale, "sb": (s - sa) / scale, "s": s / scale, "selected": chosen})
+    weights = whole.sum(1)
+    return Hdmr(names, table, float(1 - full / scale), problem, basis, weights, float(g[0, -1] / n - g[0, 1:-1] / n @ weights), math.sqrt(full))
 
 
 @dataclass
@@ -244,10 +438,18 @@ class Kernel:
     weights: np.ndarray
     mean: float
     gamma: float
+    ridge: float = 0.0
+    rmse: float = math.nan
+    cv_rmse: float = math.nan
 
     def at(self, u: np.ndarray) -> np.ndarray:
         return self.mean + gaussian_kernel(u, self.centres, self.gamma) @ self.weights
 
+    def predict(self, runs: DataFrame) -> DataFrame:
+        """``runs`` with ``prediction``."""
+        marginals, at = list(self.problem.inputs.values()), self.at
+        return predicted(runs, self.problem.names, lambda x: at(np.column_stack([np.asarray(m.cdf(x[:, j], NUMPY)) for j, m in enumerate(marginals)])))
+
 
 def gaussian_kernel(u: np.ndarray, v: np.ndarray, gamma: float) -> np.ndarray:
     return np.exp(-gamma * np.maximum((u * u).sum(1)[:, None] + (v * v).sum(1)[None] - 2 * u @ v.T, 0))
@@ -268,84 +470,219 @@ def greedy_centres(u: np.ndarray, gamma: float, most: int, power: float = 5e-8)
     return np.array(out)
 
 
-def vkoga(runs: DataFrame, problem: Problem, y: str = "y", gammas: Sequence[float] = (0.1, 0.5, 2.0, 8.0), ridges: Sequence[float] = (1e-8, 1e-6, 1e-4, 1e-2), max_centres: int = 100, folds: int = 5, sample: int = 2000, seed: int = 0) -> Kernel:
-    """A greedy kernel expansion; gamma and ridge by cross-validation, one task for each gamma and fold.
+#: Grids of the search, powers of ten: gamma from 0.01 to 50, ridge from 1e-6 to 1e-2 and four smaller ones.
+GAMMAS = tuple(float(g) for g in np.logspace(-2, math.log10(50), 10))
+RIDGES = tuple(float(r) for r in [*np.logspace(-14, -8, 4), *np.logspace(-6, -2, 10)])
+#: Rows of which a task chooses centres at once.
+CHOSEN_FROM = 20_000
+
+
+def greedy_over(rows: DataFrame, names: Sequence[str], gammas: Sequence[float], most: int) -> dict[float, np.ndarray]:
+    """For each gamma, up to ``most`` centres chosen greedily over all rows of unit coordinates.
+
+    A task chooses among its rows, a piece at a time together with what it has chosen so far; the choices of tasks are
+    merged in groups in the same way, and the last few on the driver. Every row is looked at.
+    """
+
+    def choose(frames):
+        kept = [np.zeros((0, len(names))) for _ in gammas]
+        for f in frames:
+            x = f[list(names)].to_numpy(float)
+            for lo in range(0, len(x), CHOSEN_FROM):
+                for k, g in enumerate(gammas):
+                    both = np.concatenate([kept[k], x[lo : lo + CHOSEN_FROM]])
+                    kept[k] = both[greedy_centres(both, g, most)]
+        for k, c in enumerate(kept):
+            yield pd.DataFrame({"k": k, "g": TaskContext.get().partitionId(), "c": [c.tobytes()]})
+
+    unpacked = lambda blobs: np.concatenate([np.frombuffer(b).reshape(-1, len(names)) for b in blobs])
+
+    def together(f: pd.DataFrame) -> pd.DataFrame:
+        both = unpacked(f.c)
+        return pd.DataFrame({"k": f.k[:1], "g": f.g[:1], "c": [both[greedy_centres(both, gammas[int(f.k.iloc[0])], most)].tobytes()]})
+
+    shape, left = "k int, g bigint, c binary", rows.rdd.getNumPartitions()
+    parts = rows.mapInPandas(choose, shape)
+    while left > 4:
+        left = -(-left // 8)
+        parts = parts.withColumn("g", F.col("g") % left).groupBy("k", "g").applyInPandas(together, shape)
+    found: dict[int, list[bytes]] = {}
+    for r in parts.orderBy("k", "g").collect():
+        found.setdefault(r.k, []).append(r.c)
+    out = {}
+    for k, g in enumerate(gammas):
+        both = unpacked(found[k])
+        out[g] = both[greedy_centres(both, g, most)]
+    return out
+
+
+def vkoga(runs: DataFrame, problem: Problem, y: str = "y", gammas: Sequence[float] = GAMMAS, ridges: Sequence[float] = RIDGES, max_centres: int = 300, folds: int = 10, seed: int = 0) -> Kernel:
+    """A greedy kernel expansion over all runs; gamma and ridge by cross-validation over all of them.
 
-    Centres come from a sample of about ``sample`` rows picked by a hash, for greedy choice is sequential; the
-    weights are fitted to all rows from one merged Gram matrix.
+    Centres of each gamma come from ``greedy_over``. One pass then sums a Gram matrix for each gamma and fold; weights
+    without a fold, and the fold's error under them, follow from these sums alone, for every ridge.
     """
-    gate(problem, "vkoga", correlated=True, categorical=False)
+    gate(problem, "vkoga")
     names, marginals = problem.names, list(problem.inputs.values())
     if len(names) < 2:
         raise ValueError("two inputs at least")
-    n = runs.count()
-    unit = lambda a: np.column_stack([np.asarray(m.cdf(a[:, j], NUMPY)) for j, m in enumerate(marginals)])
-    h = F.pmod(F.xxhash64(F.lit(seed), *names, y), F.lit(1 << 30))
-    some = runs.where(h < min(1.0, sample / max(1, n)) * (1 << 30)).select(*[F.col(c).cast("double").alias(c) for c in [*names, y]], (h % folds).cast("int").alias("fold"))
-    tried = some.withColumn("trial", F.explode(F.array(*[F.struct(F.lit(float(g)).alias("gamma"), F.lit(k).alias("out")) for g in gammas for k in range(folds)])))
-
-    def score(f: pd.DataFrame) -> pd.DataFrame:
-        gamma, out = f.gamma.iloc[0], f.out.iloc[0]
-        u, v, held = unit(f[names].to_numpy(float)), f[y].to_numpy(float), (f.fold == out).to_numpy()
-        if held.all() or not held.any():
-            return pd.DataFrame({"gamma": [], "ridge": [], "sse": []})
-        c = u[~held][greedy_centres(u[~held], gamma, max_centres)]
-        k, t, m = gaussian_kernel(u[~held], c, gamma), gaussian_kernel(u[held], c, gamma), v[~held].mean()
-        fit = [np.linalg.lstsq(k.T @ k + r * (~held).sum() * np.eye(len(c)), k.T @ (v[~held] - m), rcond=None)[0] for r in ridges]
-        return pd.DataFrame({"gamma": gamma, "ridge": list(ridges), "sse": [float(((t @ w + m - v[held]) ** 2).sum()) for w in fit]})
-
-    scores = tried.select(*names, y, "fold", "trial.gamma", "trial.out").groupBy("gamma", "out").applyInPandas(score, "gamma double, ridge double, sse double").groupBy("gamma", "ridge").agg(F.sum("sse").alias("sse"))
-    best = scores.orderBy("sse", "gamma", "ridge").first()
-    u = unit(some.select(*names).orderBy(*names).toPandas().to_numpy(float))
-    centres = u[greedy_centres(u, best.gamma, max_centres)]
+    h = F.pmod(F.xxhash64(F.lit(seed), *names, y), F.lit(folds)).cast("double").alias("fold")
+    units = problem.units(runs.select(*[F.col(c).cast("double").alias(c) for c in [*names, y]], h))
     mean = runs.agg(F.avg(y)).first()[0]
-    gamma = best.gamma
+    centres = greedy_over(units.select(*names), names, list(gammas), max_centres)
+    d = len(names)
+
+    def grams(a: np.ndarray) -> dict[int, np.ndarray]:
+        out = {}
+        for k, g in enumerate(gammas):
+            b = np.column_stack([gaussian_kernel(a[:, :d], centres[g], g), a[:, d] - mean, np.ones(len(a))])
+            for f in np.unique(a[:, d + 1]):
+                part = b[a[:, d + 1] == f]
+                out[k * folds + int(f)] = part.T @ part
+        return out
+
+    sums = reduced_by(units, [*names, y, "fold"], grams, lambda s: s.sum(0))
+    best, fits = (math.inf, 0.0, 0.0), {}
+    n = float(sum(sums[f][-1, -1] for f in sums if f < folds))
+    for k, g in enumerate(gammas):
+        own = {f: sums[k * folds + f] for f in range(folds) if k * folds + f in sums}
+        fits[g] = whole = sum(own.values())
+        eye = np.eye(len(centres[g]))
+        for r in ridges:
+            sse = 0.0
+            for held in own.values() if len(own) > 1 else ():
+                train = whole - held
+                w = np.linalg.lstsq(train[:-2, :-2] + r * train[-1, -1] * eye, train[:-2, -2], rcond=None)[0]
+                sse += w @ held[:-2, :-2] @ w - 2 * w @ held[:-2, -2] + held[-2, -2]
+            if sse < best[0]:
+                best = (float(sse), g, r)
+    _, gamma, ridge = best if best[1] else (0.0, gammas[0], ridges[0])
+    whole = fits[gamma]
+    w = np.linalg.lstsq(whole[:-2, :-2] + ridge * n * np.eye(len(whole) - 2), whole[:-2, -2], rcond=None)[0]
+    sse = max(0.0, float(w @ whole[:-2, :-2] @ w - 2 * w @ whole[:-2, -2] + whole[-2, -2]))
+    return Kernel(problem, centres[gamma], w, mean, gamma, ridge, math.sqrt(sse / n), math.sqrt(max(best[0], 0.0) / n))
+
+
+def components(model: Kernel, joint: DataFrame, ridge: float = 1e-8) -> tuple[list[np.ndarray], Callable[[int, np.ndarray], np.ndarray]]:
+    """Additive functions of single inputs fitted to the model over joint draws: coefficients by input, and their basis.
+
+    Hermite polynomials to degree 6 for normal inputs, Legendre to 10 for others (6 where rows are few), all in one
+    ridge fit from a merged Gram matrix.
+    """
+    names, marginals = model.problem.names, list(model.problem.inputs.values())
+    normal = [isinstance(m, Gaussian) and m.low is None and m.high is None for m in marginals]
+    n = joint.count()
+    degrees = [6 if o else 10 for o in normal]
+    if n < 2 * sum(degrees):
+        degrees = [6] * len(names)
+
+    def basis(j: int, u: np.ndarray) -> np.ndarray:
+        if normal[j]:
+            return hermite(normal_ppf(np.clip(u, 1e-12, 1 - 1e-12), NUMPY), degrees[j])[:, 1:]
+        return legendre(2 * u - 1, degrees[j])[:, 1:]
 
     def gram(a: np.ndarray) -> np.ndarray:
-        b = np.column_stack([gaussian_kernel(unit(a[:, :-1]), centres, gamma), a[:, -1] - mean])
+        u = np.column_stack([np.asarray(m.cdf(a[:, j], NUMPY)) for j, m in enumerate(marginals)])
+        b = np.column_stack([np.ones(len(a)), *[basis(j, u[:, j]) for j in range(len(names))], model.at(u)])
         return b.T @ b
 
-    g = reduced(runs, [*names, y], gram, lambda s: s.sum(0))
-    weights = np.linalg.lstsq(g[:-1, :-1] + best.ridge * n * np.eye(len(centres)), g[:-1, -1], rcond=None)[0]
-    return Kernel(problem, centres, weights, mean, gamma)
-
+    g = reduced(joint, names, gram, lambda s: s.sum(0))
+    w = np.linalg.lstsq(g[:-1, :-1] + ridge * n * np.eye(len(g) - 1), g[:-1, -1], rcond=None)[0][1:]
+    return [w[a : a + k] for a, k in zip(np.cumsum([0, *degrees[:-1]]), degrees)], basis
 
-def kernel_indices(model: Kernel, points: DataFrame, inner: DataFrame) -> DataFrame:
-    """``(param, s_tc, s_tu)`` of independent inputs: variance of conditional means, mean of conditional variances, over the variance.
-
-    ``points`` and ``inner`` are unit-cube tables with a column ``u_<name>`` each; for every outer point and input, the
-    task that holds the point runs through the inner block, which is of fixed size.
-    """
-    gate(model.problem, "kernel_indices", correlated=False, categorical=False)
-    names = model.problem.names
-    cols = ["u_" + c for c in names]
-    block = inner.select(*cols).toPandas().to_numpy(float)
 
-    def conditional(frames):
-        for f in frames:
-            for row in f[cols].to_numpy(float):
-                for j, c in enumerate(names):
-                    keep, redraw = block.copy(), np.repeat(row[None], len(block), 0)
-                    keep[:, j], redraw[:, j] = row[j], block[:, j]
-                    a, b = model.at(keep), model.at(redraw)
-                    yield pd.DataFrame({"param": [c], "mean": [a.mean()], "within": [b.var(ddof=1)], "y": [float(model.at(row[None])[0])]})
+#: Largest block of inner points that travels to the tasks.
+INNER = 1 << 16
 
-    per = points.select(*cols).mapInPandas(conditional, "param string, mean double, within double, y double")
-    v = F.var_pop("y")
-    return per.groupBy("param").agg(F.try_divide(F.var_pop("mean"), v).alias("s_tc"), F.try_divide(F.avg("within"), v).alias("s_tu"))
 
+def kernel_indices(model: Kernel, spark: SparkSession, n_outer: int = 512, n_inner: int = 128, n_variance: int = 8192, seed: int = 0) -> DataFrame:
+    """``(param, s_tc, s_tu, s_u, s_c, s_iu, variance)`` of a fitted kernel model under the problem's dependence.
 
-def sinkhorn(cost: np.ndarray, epsilon: float, tol: float = 1e-9, most: int = 2000) -> float:
-    """The transport part of the entropic plan between uniform weights, in the log domain."""
+    ``s_tc`` is the variance of means given the input, ``s_tu`` the mean variance left given all others, ``s_u`` the part
+    of that which an additive function of the input explains (``s_tc`` where inputs are independent), not above ``s_tu``;
+    ``s_c`` and ``s_iu`` are what that leaves of them. Sample sizes are rounded up to powers of two. Outer points are
+    rows; each task runs its points, a batch at a time, through the inner points, drawn conditionally.
+    """
+    from ..sources.dependent import conditional, joint
+    from ..sources.designs import sobol_points
+
+    problem = model.problem
+    names, d = problem.names, len(problem.names)
+    if problem.sampler is not None:
+        raise ValueError("draw from a custom sampler by kucherenko_design")
+    up = lambda n: 1 << max(0, (n - 1).bit_length())
+    n_outer, n_inner, n_variance = up(n_outer), up(n_inner), up(n_variance)
+    if n_inner > INNER:
+        raise ValueError("the inner block is too large")
+    r = np.eye(d) if problem.correlation is None else np.asarray(problem.correlation)
+    low = conditional(r, [])[2]
+    inner = np.clip(_points(n_inner, d, seed + 2), 1e-12, 1 - 1e-12)
+    e = normal_ppf(inner, NUMPY)
+    rows = joint(problem, sobol_points(spark, n_variance, names, seed + 1))
+    variance = reduced(rows, names, lambda a: _sums(model, problem, a), lambda s: s.sum(0))
+    var = float(variance[0, 2] / variance[0, 0] - (variance[0, 1] / variance[0, 0]) ** 2)
+    fitted, basis = components(model, rows) if problem.dependent else ([None] * d, None)
+    plan = [(conditional(r, [i]), conditional(r, [j for j in range(d) if j != i])) for i in range(d)]
+    cdf = lambda z: normal_cdf(z, NUMPY)
+
+    def nested(frames):
+        for f in frames:
+            z = normal_ppf(np.clip(f[["u_" + c for c in names]].to_numpy(float), 1e-12, 1 - 1e-12), NUMPY) @ low.T
+            for lo in range(0, len(z), 64):
+                part = z[lo : lo + 64]
+                for i, c in enumerate(names):
+                    (others, weights, factor), (_, own, left) = plan[i]
+                    drawn = np.empty((len(part), n_inner, d))
+                    drawn[:, :, i] = part[:, i : i + 1]
+                    drawn[:, :, others] = (part[:, [i]] @ weights.T)[:, None, :] + (e[:, : len(others)] @ factor.T)[None]
+                    mean = model.at(cdf(drawn.reshape(-1, d))).reshape(len(part), -1).mean(1)
+                    drawn = np.repeat(part[:, None], n_inner, 1)
+                    drawn[:, :, i] = (part[:, others] @ own.T)[:, :1] + left[0, 0] * e[None, :, 0]
+                    u = cdf(drawn.reshape(-1, d))
+                    within = model.at(u).reshape(len(part), -1).var(1, ddof=1)
+                    noise = np.zeros(len(part)) if fitted[i] is None else (basis(i, u[:, i]) @ fitted[i]).reshape(len(part), -1).var(1, ddof=1)
+                    value = np.zeros(len(part)) if fitted[i] is None else basis(i, cdf(part[:, i])) @ fitted[i]
+                    yield pd.DataFrame({"param": c, "mean": mean, "within": within, "noise": noise, "value": value})
+
+    points = sobol_points(spark, n_outer, names, seed + 3)
+    per = points.mapInPandas(nested, "param string, mean double, within double, noise double, value double")
+    v = F.lit(var if var > 0 else math.nan)
+    own = F.greatest(F.var_pop("value") - F.avg("noise"), F.lit(0.0)) if problem.dependent else F.var_pop("mean")
+    got = per.groupBy("param").agg((F.var_pop("mean") / v).alias("s_tc"), (F.avg("within") / v).alias("s_tu"), (own / v).alias("raw"))
+    got = got.withColumn("s_u", F.least("raw", "s_tu"))
+    return got.select("param", "s_tc", "s_tu", "s_u", (F.col("s_tc") - F.col("s_u")).alias("s_c"), (F.col("s_tu") - F.col("s_u")).alias("s_iu"), F.lit(var).alias("variance"))
+
+
+def _points(n: int, d: int, seed: int) -> np.ndarray:
+    """The first ``n`` scrambled Sobol' points, on the driver."""
+    from ..sources.designs import BITS, _seeded, scrambled_numbers
+
+    i = np.arange(n, dtype=np.uint64)
+    gray, out = i ^ (i >> np.uint64(1)), []
+    for k in range(d):
+        x = np.full(n, _seeded(seed, k), np.uint64)
+        for b, v in enumerate(scrambled_numbers(k, seed)[: max(1, (n - 1).bit_length())]):
+            x ^= ((gray >> np.uint64(b)) & np.uint64(1)) * np.uint64(v)
+        out.append(x / float(1 << BITS) + 0.5 / (1 << BITS))
+    return np.stack(out, 1)
+
+
+def _sums(model: Kernel, problem: Problem, a: np.ndarray) -> np.ndarray:
+    v = model.at(np.column_stack([np.asarray(m.cdf(a[:, j], NUMPY)) for j, m in enumerate(problem.inputs.values())]))
+    return np.array([[len(v), v.sum(), (v * v).sum()]])
+
+
+def sinkhorn(cost: np.ndarray, epsilon: float, tol: float = 1e-9, most: int = 2000, report: bool = False):
+    """The transport part of the entropic plan between uniform weights, in the log domain; with ``report``, also whether it converged."""
     n, m = cost.shape
-    f, g = np.zeros(n), np.zeros(m)
+    f, g, done = np.zeros(n), np.zeros(m), False
     soft = lambda a, axis: (lambda t: np.squeeze(t, axis) + np.log(np.exp(a - t).sum(axis)))(a.max(axis, keepdims=True))
+    plan = lambda: np.exp((f[:, None] + g[None] - cost) / epsilon) / (n * m)
     for k in range(most):
         f = -epsilon * (soft((g[None] - cost) / epsilon, 1) - math.log(m))
         g = -epsilon * (soft((f[:, None] - cost) / epsilon, 0) - math.log(n))
-        if k % 10 == 9:
-            p = np.exp((f[:, None] + g[None] - cost) / epsilon) / (n * m)
-            if np.abs(p.sum(1) - 1 / n).sum() <= tol:
-                break
-    p = np.exp((f[:, None] + g[None] - cost) / epsilon) / (n * m)
-    return float((p * cost).sum())
+        if k % 10 == 9 and np.abs(plan().sum(1) - 1 / n).sum() <= tol:
+            done = True
+            break
+    value = float((plan() * cost).sum())
+    return (value, done) if report else value

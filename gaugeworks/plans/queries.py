@@ -5,17 +5,21 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.special import normal_ppf_sql
 from ..operators import design_based as db
 from ..operators import given_data as gd
+from ..operators import kernels
 from ..operators import resampling as rs
 from ..operators import surrogates as sg
-from ..operators.frames import drop_invalid, long_inputs, ranked
+from ..operators.analyze import analyze
+from ..operators.frames import drop_invalid, long_inputs, ranked, zero_variance
 from ..problem import Gaussian, Lognormal, Problem, Triangular, Uniform, Weibull
-from ..sources import designs, models
-from .lineage import cut
+from ..sources import dependent, designs, files, models
+from .lineage import cut, fresh_path
 
 NAMES = ["x1", "x2", "x3"]
 PI = math.pi
@@ -63,14 +67,21 @@ def _model_sql(a: str, b: str, c: str) -> str:
 
 
 def frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(base_id, param, a, b, ab, ba)``: the first half of the orders, by key, is A and the second is B."""
+    """``(base_id, param, a, b, ab, ba)``: the first half of the orders, by key, is A and the second is B; an odd one is left."""
+    outputs, layout, _ = _designed(spark, sf_dir)
+    return db.pick_freeze(outputs, layout)
+
+
+def _designed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Outputs, layout and base points of the same design."""
     o = order_rows(spark, sf_dir)
     half = o.count() // 2
     placed = cut(ranked(o.withColumn("_all", F.lit(0)), ["_all"], ["run_id"]).drop("_all", "n"))
     a = placed.where(F.col("rank") < half).select(F.col("rank").alias("base_id"), *[F.col(c).alias("a_" + c) for c in NAMES])
     b = placed.where((F.col("rank") >= half) & (F.col("rank") < 2 * half)).select((F.col("rank") - half).alias("base_id"), *[F.col(c).alias("b_" + c) for c in NAMES])
-    runs, layout = designs.saltelli(cut(a.join(b, "base_id")), NAMES)
-    return db.pick_freeze(runs.select("run_id", model(*map(F.col, NAMES)).alias("y")), layout)
+    base = cut(a.join(b, "base_id"))
+    runs, layout = designs.saltelli(base, NAMES)
+    return runs.select("run_id", model(*map(F.col, NAMES)).alias("y")), layout, base
 
 
 def _frozen_sql() -> str:
@@ -234,25 +245,41 @@ def borgonovo_lineitem(spark, sf_dir):
     return _rounded(gd.borgonovo(lineitem_rows(spark, sf_dir), 10), "param")
 
 
-@query("transport_lineitem", f"""WITH {_classes_sql(10)}, i AS (SELECT param, y, row_number() OVER (PARTITION BY param ORDER BY y) - 1 AS i, n FROM k), j AS (SELECT param, class, y AS cy, row_number() OVER (PARTITION BY param, class ORDER BY y) - 1 AS k, count(*) OVER (PARTITION BY param, class) AS c FROM k),
+def _transport_sql(classes: str) -> str:
+    """Costs by the coupling of quantiles itself, where the query takes differences of sums."""
+    return f"""WITH {classes}, i AS (SELECT param, y, row_number() OVER (PARTITION BY param ORDER BY y) - 1 AS i, n FROM k), j AS (SELECT param, class, y AS cy, row_number() OVER (PARTITION BY param, class ORDER BY y) - 1 AS k, count(*) OVER (PARTITION BY param, class) AS c FROM k),
 s AS (SELECT DISTINCT param, class, c FROM j), m AS (SELECT i.param, s.class, i, n, c, y, unnest([i * c // n, i * c // n + 1]) AS k FROM i JOIN s ON i.param = s.param),
 w AS (SELECT m.param, m.class, any_value(m.n) AS n, any_value(m.c) AS c, sum(greatest(least((i + 1) * m.c, (m.k + 1) * n) - greatest(i * m.c, m.k * n), 0) / (n::DOUBLE * m.c) * (y - cy) * (y - cy)) AS w2 FROM m JOIN j ON m.param = j.param AND m.class = j.class AND m.k = j.k GROUP BY m.param, m.class),
 t AS (SELECT param, avg(y) AS mean, var_samp(y) AS v FROM i GROUP BY param), q AS (SELECT param, class, avg(cy) AS cm FROM j GROUP BY ALL),
 e AS (SELECT w.param, c / n AS p, w2, (cm - mean) * (cm - mean) AS adv, v, n FROM w JOIN q ON w.param = q.param AND w.class = q.class JOIN t ON w.param = t.param)
-SELECT param, round(sum(p * w2) / (2 * any_value(v)), 6) AS ot, round(sum(p * adv) / (2 * any_value(v)), 6) AS advective, round(sum(p * greatest(w2 - adv, 0)) / (2 * any_value(v)), 6) AS diffusive, round(2 * any_value(n) / (any_value(n) - 1) * sum(p * adv) / (2 * any_value(v)), 6) AS s1 FROM e GROUP BY param""")
+SELECT param, round(sum(p * w2) / (2 * any_value(v)), 6) AS ot, round(sum(p * adv) / (2 * any_value(v)), 6) AS advective, round(sum(p * greatest(w2 - adv, 0)) / (2 * any_value(v)), 6) AS diffusive, round(2 * any_value(n) / (any_value(n) - 1) * sum(p * adv) / (2 * any_value(v)), 6) AS s1 FROM e GROUP BY param"""
+
+
+@query("transport_lineitem", _transport_sql(_classes_sql(10)))
 def transport_lineitem(spark, sf_dir):
     return _rounded(gd.transport(lineitem_rows(spark, sf_dir), 10), "param")
 
 
-@query("hsic_suppliers", """WITH s AS (SELECT s_suppkey AS k, s_nationkey::DOUBLE AS x1, (s_suppkey * 7 % 101)::DOUBLE AS x2, s_acctbal + 100 * s_nationkey AS y FROM supplier),
-r AS (SELECT k, param, x FROM s UNPIVOT (x FOR param IN (x1, x2, y))), d AS (SELECT a.param, a.k AS i, b.k AS j, (a.x - b.x) * (a.x - b.x) AS d2 FROM r a JOIN r b ON a.param = b.param),
-n AS (SELECT count(*)::DOUBLE AS n FROM s), z AS (SELECT param, sqrt(d2) AS v, row_number() OVER (PARTITION BY param ORDER BY d2) AS rk, count(*) OVER (PARTITION BY param) AS c FROM d WHERE i < j AND d2 > 0), b AS (SELECT param, v * v AS s2 FROM z WHERE rk = (c + 1) // 2),
-g AS (SELECT d.param, i, j, exp(-d2 / (2 * s2)) AS k FROM d JOIN b USING (param)), p AS (SELECT a.param, a.i, sum(a.k) AS k, sum(l.k) AS l, sum(a.k * l.k) AS kl, sum(a.k * a.k) AS kk, sum(l.k * l.k) AS ll FROM g a JOIN g l ON a.i = l.i AND a.j = l.j AND l.param = 'y' WHERE a.param <> 'y' GROUP BY a.param, a.i),
-q AS (SELECT param, sum(kl) / any_value(n) ** 2 - 2 * sum(k * l) / any_value(n) ** 3 + sum(k) * sum(l) / any_value(n) ** 4 AS h, sum(kk) / any_value(n) ** 2 - 2 * sum(k * k) / any_value(n) ** 3 + sum(k) * sum(k) / any_value(n) ** 4 AS vx, sum(ll) / any_value(n) ** 2 - 2 * sum(l * l) / any_value(n) ** 3 + sum(l) * sum(l) / any_value(n) ** 4 AS vy FROM p, n GROUP BY param)
-SELECT param, round(h, 6) AS hsic_raw, round(h / sqrt(vx * vy), 6) AS r2 FROM q""")
+def _portable_sql(rep: str, i: str, seed: int) -> str:
+    return f"(((({rs.M1} * ({rep} + 1) + {rs.M2} * ({i} + 1) + {seed}) % {rs.MODULUS}) * {rs.M1}) % {rs.MODULUS})"
+
+
+@query("hsic_suppliers", f"""WITH s AS (SELECT s_suppkey AS k, s_nationkey::DOUBLE AS x1, (s_suppkey * 7 % 101)::DOUBLE AS x2, s_acctbal + 100 * s_nationkey AS y FROM supplier),
+o AS (SELECT *, row_number() OVER (ORDER BY k) - 1 AS p FROM s), r AS (SELECT p, param, x FROM o UNPIVOT (x FOR param IN (x1, x2, y))),
+d AS (SELECT a.param, a.p AS i, b.p AS j, (a.x - b.x) * (a.x - b.x) AS d2 FROM r a JOIN r b ON a.param = b.param), n AS (SELECT count(*)::DOUBLE AS n FROM s),
+z AS (SELECT param, d2, row_number() OVER (PARTITION BY param ORDER BY d2) AS rk, count(*) OVER (PARTITION BY param) AS c FROM d WHERE i < j AND d2 > 0), b AS (SELECT param, d2 AS s2 FROM z WHERE rk = (c + 1) // 2),
+g AS (SELECT d.param, i, j, exp(-d2 / (2 * s2)) AS k FROM d JOIN b USING (param)),
+c AS (SELECT param, i, j, k - avg(k) OVER (PARTITION BY param, i) - avg(k) OVER (PARTITION BY param, j) + avg(k) OVER (PARTITION BY param) AS k FROM g),
+w AS (SELECT i, j, max(CASE WHEN param = 'x1' THEN k END) AS x1, max(CASE WHEN param = 'x2' THEN k END) AS x2, max(CASE WHEN param = 'y' THEN k END) AS y FROM c GROUP BY i, j),
+t AS (SELECT sum(x1 * y) AS xy1, sum(x2 * y) AS xy2, sum(x1 * x1) AS xx1, sum(x2 * x2) AS xx2, sum(y * y) AS yy, sum((1 + x2) * y) AS o1, sum((1 + x1) * y) AS o2, sum((1 + x1) * (1 + x2) * y) AS f FROM w),
+m AS (SELECT rep, p, row_number() OVER (PARTITION BY rep ORDER BY {_portable_sql('rep', 'p', 5)}, p) - 1 AS q FROM o, range(20) e(rep)),
+v AS (SELECT a.rep, sum(w.x1 * u.y) AS v1, sum(w.x2 * u.y) AS v2 FROM w JOIN m a ON a.p = w.i JOIN m b ON b.p = w.j AND a.rep = b.rep JOIN w u ON u.i = a.q AND u.j = b.q GROUP BY a.rep),
+k AS (SELECT count(*) FILTER (WHERE v1 >= xy1) AS k1, count(*) FILTER (WHERE v2 >= xy2) AS k2 FROM v, t)
+SELECT 'x1' AS param, round(xy1 / n / n, 6) AS hsic_raw, round(xy1 / sqrt(xx1 * yy), 6) AS r2, round(1 - o1 / f, 6) AS total, round((k1 + 1) / 21, 6) AS p_value FROM t, n, k
+UNION ALL SELECT 'x2', round(xy2 / n / n, 6), round(xy2 / sqrt(xx2 * yy), 6), round(1 - o2 / f, 6), round((k2 + 1) / 21, 6) FROM t, n, k""")
 def hsic_suppliers(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("run_id"), F.col("s_nationkey").cast("double").alias("x1"), (F.col("s_suppkey") * 7 % 101).cast("double").alias("x2"), (F.col("s_acctbal") + 100 * F.col("s_nationkey")).alias("y"))
-    return _rounded(gd.hsic(s, ["x1", "x2"]), "param")
+    return _rounded(kernels.hsic(s, ["x1", "x2"], permutations=20, seed=5, draw=rs.portable), "param")
 
 
 @query("irregular_events", """WITH r AS (SELECT event_type AS channel, day(ts)::INT AS day, 'x' AS param, minute(ts) + second(ts) / 60 AS x, value AS y FROM events),
@@ -280,9 +307,9 @@ def aggregate_outputs(spark, sf_dir):
 # --- sources, transforms and policies ---
 
 
-def _sobol_sql(n: int, dims: int) -> str:
+def _sobol_sql(n: int, dims: int, chosen=None) -> str:
     x = lambda d: "xor(" * 31 + f"(g & 1) * {designs.direction_numbers(d)[0]}" + "".join(f", ((g >> {k}) & 1) * {v})" for k, v in enumerate(designs.direction_numbers(d)) if k)
-    return f"SELECT base_id, {', '.join(f'{x(d)} / 4294967296.0::DOUBLE AS u_x{d + 1}' for d in range(dims))} FROM (SELECT i AS base_id, xor(i, i >> 1) AS g FROM range({n}) r(i))"
+    return f"SELECT base_id, {', '.join(f'{x(d)} / 4294967296.0::DOUBLE AS u_x{d + 1}' for d in chosen or range(dims))} FROM (SELECT i AS base_id, xor(i, i >> 1) AS g FROM range({n}) r(i))"
 
 
 @query("sobol_points", _sobol_sql(4096, 5))
@@ -306,11 +333,22 @@ def spearman_orders(spark, sf_dir):
     return _rounded(spark.createDataFrame(rows, "param string, param_j string, rho double"), "param", "param_j")
 
 
-@query("iman_conover_orders")
-def iman_conover_orders(spark, sf_dir):
-    import numpy as np
+RUN = "run_id"
+_IMAN = np.array([[1, 0.7, 0], [0.7, 1, -0.3], [0, -0.3, 1.0]])
+
 
-    return designs.iman_conover(order_rows(spark, sf_dir), NAMES, np.array([[1, 0.7, 0], [0.7, 1, -0.3], [0, -0.3, 1.0]]), 5)
+def _iman_sql(seed: int) -> str:
+    low = np.linalg.cholesky(_IMAN)
+    z = ", ".join(f"{normal_ppf_sql(f'(({_portable_sql(str(d), RUN, seed)} + 0.5::DOUBLE) / {rs.MODULUS})')} AS z{d}" for d in range(3))
+    score = ", ".join(" + ".join(f"{float(low[i, j])!r} * z{j}" for j in range(i + 1)) + f" AS s{i + 1}" for i in range(3))
+    ranks = ", ".join(f"row_number() OVER (ORDER BY s{i}, run_id) AS r{i}" for i in (1, 2, 3))
+    parts = ", ".join(f"v{i} AS (SELECT x{i}, row_number() OVER (ORDER BY x{i}, run_id) AS r{i} FROM o)" for i in (1, 2, 3))
+    return f"WITH {ORDERS}, z AS (SELECT run_id, {z} FROM o), s AS (SELECT run_id, {score} FROM z), r AS (SELECT run_id, {ranks} FROM s), {parts} SELECT run_id, round(x1, 6) AS x1, round(x2, 6) AS x2, round(x3, 6) AS x3 FROM r JOIN v1 USING (r1) JOIN v2 USING (r2) JOIN v3 USING (r3)"
+
+
+@query("iman_conover_orders", _iman_sql(5))
+def iman_conover_orders(spark, sf_dir):
+    return _rounded(designs.iman_conover(order_rows(spark, sf_dir), NAMES, _IMAN, 5, portable=True), "run_id")
 
 
 @query("distinct_runs", "WITH k AS (SELECT l_quantity, l_discount, min(l_orderkey * 10 + l_linenumber) AS first FROM lineitem GROUP BY ALL) SELECT row_number() OVER (ORDER BY first, l_quantity, l_discount) - 1 AS run_id, l_quantity, l_discount FROM k")
@@ -343,15 +381,34 @@ def _modelled(spark, sf_dir):
     return order_rows(spark, sf_dir).select(*NAMES, model(*map(F.col, NAMES)).alias("y"))
 
 
-@query("pce_orders")
+#: The model is a polynomial, so that its terms over independent inputs are known: a variance for each set of inputs.
+_V = {"x1": 0.28152, "x2": 0.3072, "x3": 0.0972, "x2*x3": 0.0144, "x1*x3": 0.0036}
+_T = f"{sum(_V.values())!r}::DOUBLE"
+
+
+def _known_sql(*fields: str) -> str:
+    rows = []
+    for c in NAMES:
+        mine = {u: v for u, v in _V.items() if c in u.split("*")}
+        value = {"s1": _V[c], "st": sum(mine.values()), "shapley": sum(v / len(u.split("*")) for u, v in mine.items())}
+        rows.append(f"SELECT '{c}' AS param, " + ", ".join(f"round({value[f]!r} / {_T}, 6) AS {f}" for f in fields))
+    return " UNION ALL ".join(rows)
+
+
+@query("pce_orders", _known_sql("s1", "st", "shapley"))
 def pce_orders(spark, sf_dir):
     fit = sg.pce(_modelled(spark, sf_dir), _problem(), order=2)
-    return spark.createDataFrame(sg.indices_from_variances(fit.variances(), NAMES))
+    return _rounded(spark.createDataFrame(fit.indices()), "param")
 
 
-@query("pce_predictions")
+@query("pce_second_order", " UNION ALL ".join(f"SELECT '{i}' AS param, '{j}' AS param_j, round({_V.get(f'{i}*{j}', 0.0)!r} / {_T}, 6) AS s2" for i, j in (("x1", "x2"), ("x1", "x3"), ("x2", "x3"))))
+def pce_second_order(spark, sf_dir):
+    return _rounded(spark.createDataFrame(sg.pce(_modelled(spark, sf_dir), _problem(), order=2).second_order()), "param", "param_j")
+
+
+@query("pce_predictions", f"WITH {ORDERS} SELECT run_id, round(x1, 6) AS x1, round(x2, 6) AS x2, round(x3, 6) AS x3, round({_model_sql('x1', 'x2', 'x3')}, 6) AS prediction FROM o")
 def pce_predictions(spark, sf_dir):
-    return sg.pce(_modelled(spark, sf_dir), _problem(), order=2).predict(order_rows(spark, sf_dir))
+    return _rounded(sg.pce(_modelled(spark, sf_dir), _problem(), order=2, check=False).predict(order_rows(spark, sf_dir)), "run_id")
 
 
 @query("hdmr_orders")
@@ -359,17 +416,38 @@ def hdmr_orders(spark, sf_dir):
     return spark.createDataFrame(sg.hdmr(_modelled(spark, sf_dir), _problem()).terms)
 
 
-@query("shapley_orders")
+_FIT_SQL = f"WITH {ORDERS} SELECT count(*) AS n, round(avg({_model_sql('x1', 'x2', 'x3')}), 3) AS mean, 1.0::DOUBLE AS explained FROM o"
+
+
+def _explained(runs: DataFrame, digits: int) -> DataFrame:
+    """How much of the output's variance predictions leave nothing of."""
+    left = F.avg(F.pow(F.col("y") - F.col("prediction"), F.lit(2.0)))
+    return runs.agg(F.count("*").alias("n"), F.round(F.avg("prediction"), 3).alias("mean"), F.round(1 - left / F.var_pop("y"), digits).alias("explained"))
+
+
+@query("hdmr_fit", _FIT_SQL)
+def hdmr_fit(spark, sf_dir):
+    """The model's functions are splines, so that the fit leaves nothing of the output's variance."""
+    runs = _modelled(spark, sf_dir)
+    return _explained(sg.hdmr(runs, _problem(), most=2000, tol=1e-9).predict(runs), 3)
+
+
+@query("shapley_orders", _known_sql("shapley"))
 def shapley_orders(spark, sf_dir):
-    fit = sg.pce(_modelled(spark, sf_dir), _problem(), order=2)
-    return spark.createDataFrame(sg.indices_from_variances(fit.variances(), NAMES)[["param", "shapley"]])
+    fit = sg.pce(_modelled(spark, sf_dir), _problem(), order=2, check=False)
+    return _rounded(spark.createDataFrame(fit.indices()[["param", "shapley"]]), "param")
 
 
 @query("vkoga_orders")
 def vkoga_orders(spark, sf_dir):
-    fit = sg.vkoga(_modelled(spark, sf_dir), _problem())
-    points = designs.sobol_points(spark, 512, NAMES, seed=1)
-    return sg.kernel_indices(fit, points, designs.sobol_points(spark, 128, NAMES, seed=2))
+    return sg.kernel_indices(sg.vkoga(_modelled(spark, sf_dir), _problem()), spark)
+
+
+@query("vkoga_fit", _FIT_SQL)
+def vkoga_fit(spark, sf_dir):
+    """With gamma and ridge given, a smooth model is met in full to two digits."""
+    runs = _modelled(spark, sf_dir)
+    return _explained(sg.vkoga(runs, _problem(), gammas=(0.5,), ridges=(1e-10,), max_centres=60).predict(runs), 2)
 
 
 @query("subset_shapley", """WITH c AS (SELECT m AS mask, (m & 1) * 0.2 + ((m >> 1) & 1) * 0.3 + ((m >> 2) & 1) * 0.1 + (CASE WHEN (m & 3) = 3 THEN 0.4 ELSE 0 END) AS cost FROM range(8) r(m))
@@ -381,14 +459,182 @@ def subset_shapley(spark, sf_dir):
     return _rounded(db.subset_effects(masks.withColumn("cost", cost), 3), "i")
 
 
-@query("monte_carlo_lognormal")
+@query("monte_carlo_lognormal", f"SELECT i AS run_id, round(exp(0.25 * {normal_ppf_sql('u')}), 6) AS a, round(1 + 2 * {normal_ppf_sql('v')}, 6) AS b FROM (SELECT i, ({_portable_sql('0', 'i', 3)} + 0.5::DOUBLE) / {rs.MODULUS} AS u, ({_portable_sql('1', 'i', 3)} + 0.5::DOUBLE) / {rs.MODULUS} AS v FROM range(10000) r(i))")
 def monte_carlo_lognormal(spark, sf_dir):
     p = Problem({"a": Lognormal(0.0, 0.25), "b": Gaussian(1.0, 4.0)})
-    return p.transform(designs.monte_carlo(spark, 10_000, p.names, seed=3))
+    return _rounded(p.transform(designs.monte_carlo(spark, 10_000, p.names, seed=3, portable=True)), "run_id")
 
 
-@query("sobol_streaming", f"""WITH r AS (SELECT event_type AS param, value AS a, value * (hour(ts) + 1) / 24 AS b FROM events) SELECT param, count(*) AS n, round(avg(a), 6) AS mean, round({V}, 6) AS variance FROM r GROUP BY param""")
+@query("sobol_streaming", f"""WITH r AS (SELECT event_type AS param, value AS a, value * (hour(ts) + 1) / 24 AS b, value * (25 - hour(ts)) / 24 AS ab FROM events)
+SELECT param, count(*) AS n, round(avg(b * ab - a * b) / {V}, 6) AS s1, round(avg((a - ab) * (a - ab)) / 2 / {V}, 6) AS st, round({V}, 6) AS variance FROM r GROUP BY param""")
 def sobol_streaming(spark, sf_dir):
     from ..streaming.moments import from_files
 
     return _rounded(from_files(spark, f"{sf_dir}/events.parquet"), "param")
+
+
+# --- whole analyses: checks, intervals, designs for dependent inputs ---
+
+
+def _boot_sql(point: str, rows: str, unit: str, fields: dict[str, str], n: str, replicates: int, seed: int) -> str:
+    """Quantile intervals of ``fields`` (expressions of weighted means) over replicates drawn by the portable generator."""
+    bounds = ", ".join(f"round(quantile_cont({f}, {q}), 6) AS {f}_{side}" for f in fields for side, q in (("lower", 0.025), ("upper", 0.975)))
+    return f"""d AS (SELECT rep, {_portable_sql('rep', 'i', seed)} % n AS pos FROM range({replicates}) t(rep), (SELECT {n} AS n), range(10000000) z(i) WHERE i < n), w AS (SELECT rep, pos AS {unit}, count(*) AS w FROM d GROUP BY ALL),
+g AS (SELECT rep, param, {', '.join(f'{e} AS {f}' for f, e in fields.items())} FROM {rows} JOIN w USING ({unit}) GROUP BY rep, param), b AS (SELECT param, {bounds} FROM g GROUP BY param) SELECT p.*, b.* EXCLUDE (param) FROM ({point}) p JOIN b USING (param)"""
+
+
+def _weighted(sql: str) -> str:
+    """Means of an SQL text as weighted ones."""
+    out, at = "", 0
+    while (k := sql.find("avg(", at)) >= 0:
+        depth, end = 1, k + 4
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        out += sql[at:k] + f"(sum(w * ({_weighted(sql[k + 4 : end - 1])})) / sum(w))"
+        at = end
+    return out + sql[at:]
+
+
+_SJ = SOBOL_SQL["saltelli-jansen"]
+
+
+@query("sobol_intervals", f"WITH {_frozen_sql()}, " + _boot_sql(f"SELECT param, round({_SJ[0]}, 6) AS s1, round({_SJ[1]}, 6) AS st, round({V}, 6) AS variance FROM f GROUP BY param", "f", "base_id", {"s1": _weighted(_SJ[0]), "st": _weighted(_SJ[1])}, "(SELECT h FROM k LIMIT 1)", 20, 11))
+def sobol_intervals(spark, sf_dir):
+    outputs, layout, _ = _designed(spark, sf_dir)
+    got = analyze("sobol", _problem(), outputs, layout=layout, n_bootstrap=20, seed=11, draw=rs.portable)
+    return _rounded(got.table, "param")
+
+
+@query("morris_from_pick_freeze", ORACLE_SQL["morris_radial"])
+def morris_from_pick_freeze(spark, sf_dir):
+    """The blocks A and AB of an evaluated design are stars; their effects need no further runs."""
+    outputs, layout, base = _designed(spark, sf_dir)
+    return _rounded(analyze("morris", _problem(), outputs, layout=designs.morris_steps(layout, base, NAMES)).table, "param")
+
+
+@query("sobol_downsampled", f"WITH {_frozen_sql()} SELECT param, round({_SJ[0]}, 6) AS s1, round({_SJ[1]}, 6) AS st, round({V}, 6) AS variance FROM f WHERE base_id < 64 GROUP BY param")
+def sobol_downsampled(spark, sf_dir):
+    outputs, layout, _ = _designed(spark, sf_dir)
+    fewer, used = designs.downsample(layout, 64, outputs)
+    return _rounded(analyze("sobol", _problem(), used, layout=fewer).table, "param")
+
+
+@query("pawn_marginals", ORACLE_SQL["pawn_orders"].replace("SELECT x1, x2, x3, (x1", "SELECT x1 / 1.2 AS x1, x2 / 1.2 AS x2, x3 / 1.2 AS x3, (x1").replace("SELECT param, round(median(ks), 6) AS pawn", "SELECT param, round(max(ks), 6) AS pawn"))
+def pawn_marginals(spark, sf_dir):
+    """Bins on the scale of the declared distributions, inputs being uniform from 0 to 1.2."""
+    rows = order_rows(spark, sf_dir)
+    outputs = rows.select("run_id", model(*map(F.col, NAMES)).alias("y"))
+    return _rounded(analyze("pawn", _problem(), outputs, rows, statistic="max").table, "param")
+
+
+@query("transport_dummy", _transport_sql(f"{ORDERS}, r AS (SELECT 'dummy' AS param, {_portable_sql('0', 'run_id', 9)}::DOUBLE AS x, {_model_sql('x1', 'x2', 'x3')} AS y FROM o), k AS (SELECT param, x, y, (((row_number() OVER (PARTITION BY param ORDER BY x, y)) * 10 - 1) // count(*) OVER (PARTITION BY param))::INT AS class, count(*) OVER (PARTITION BY param) AS n FROM r)").replace("SELECT param, round(sum(p * w2) / (2 * any_value(v)), 6) AS ot,", "SELECT ot_dummy FROM (SELECT param, round(sum(p * w2) / (2 * any_value(v)), 6) AS ot_dummy,").replace("FROM e GROUP BY param", "FROM e GROUP BY param)"))
+def transport_dummy(spark, sf_dir):
+    rows = order_rows(spark, sf_dir).select("run_id", model(*map(F.col, NAMES)).alias("y"))
+    return _rounded(gd.dummy_transport(rows, 10, seed=9, draw=rs.portable))
+
+
+@query("dgsm_differences", ORACLE_SQL["dgsm_bounds"])
+def dgsm_differences(spark, sf_dir):
+    """Slopes by central differences of the model's expression, which are exact for a quadratic one."""
+    p = Problem({c: Uniform(-1, 3) for c in NAMES})
+    rows = db.slopes(order_rows(spark, sf_dir), p, model, step=1e-2).drop("output_idx")
+    return _rounded(db.dgsm(rows, dict.fromkeys(NAMES, db.uniform_poincare(0, 1)), dict.fromkeys(NAMES, 1 / 12)), "param")
+
+
+@query("constant_outputs", "WITH e AS (SELECT event_type, CASE WHEN event_type < 'p' THEN 1.0 ELSE value END AS y FROM events) SELECT event_type, max(y) = min(y) AS flat FROM e GROUP BY event_type")
+def constant_outputs(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_type", F.when(F.col("event_type") < "p", 1.0).otherwise(F.col("value")).alias("y"))
+    return zero_variance(rows, ["event_type"])
+
+
+#: Three dependent normal inputs.
+_NORMAL = Problem({"x1": Gaussian(0.0, 1.0), "x2": Gaussian(1.0, 4.0), "x3": Gaussian(-1.0, 0.25)}, correlation=np.array([[1.0, 0.6, -0.2], [0.6, 1.0, 0.1], [-0.2, 0.1, 1.0]]))
+
+
+def _kucherenko_sql(n: int) -> str:
+    """Closed and total indices of each set, from the same points, factors and conditional draws."""
+    r, full = _NORMAL.correlation, 7
+    low, marginals = dependent.cholesky(r), list(_NORMAL.inputs.values())
+    line = lambda ws, cs: " + ".join(f"{float(w)!r} * {c}" for w, c in zip(ws, cs)) or "0.0"
+    e = ", ".join(f"{normal_ppf_sql(f'greatest(u_x{i + 1}, 1e-12)')} AS {'e' if i < 3 else 'w'}{i % 3}" for i in range(6))
+    z = ", ".join(f"{line(low[i, : i + 1], [f'e{j}' for j in range(i + 1)])} AS z{i}" for i in range(3))
+    blocks = []
+    for m in range(full):
+        expr = {i: f"z{i}" for i in range(3)}
+        if m:
+            given = [i for i in range(3) if m >> i & 1]
+            others, weights, factor = dependent.conditional(r, given)
+            for a, i in enumerate(others):
+                expr[i] = f"{line(weights[a], [f'z{j}' for j in given])} + {line(factor[a, : a + 1], [f'w{j}' for j in others])}"
+        x = [f"({g.mean!r} + {g.variance_**0.5!r} * ({expr[i]}))" for i, g in enumerate(marginals)]
+        blocks.append(f"SELECT base_id, {m} AS mask, {_model_sql(*x)} AS y FROM z")
+    v = "(avg((j * j + y * y) / 2) - pow(avg((j + y) / 2), 2))"
+    return f"""p AS ({_sobol_sql(n, 6)}), e AS (SELECT base_id, {e} FROM p), z AS (SELECT *, {z} FROM e), y AS ({" UNION ALL ".join(blocks)}),
+a AS (SELECT b.mask, b.y, j.y AS j FROM y b JOIN y j ON b.base_id = j.base_id AND j.mask = 0 WHERE b.mask > 0),
+c AS (SELECT mask, (avg(j * y) - pow(avg((j + y) / 2), 2)) / {v} AS closed, avg((j - y) * (j - y)) / 2 / {v} AS t, {v} AS variance FROM a GROUP BY mask),
+k AS (SELECT c.mask::INT AS mask, c.closed, o.t AS total, c.variance FROM c JOIN c o ON o.mask = {full} - c.mask UNION ALL SELECT {full}::INT, 1.0, 1.0, avg(variance) FROM c)"""
+
+
+def _kucherenko(spark):
+    runs = dependent.kucherenko_design(spark, _NORMAL, 512, subsets="all")
+    outputs = runs.select("run_id", model(*map(F.col, NAMES)).alias("y"))
+    return analyze("kucherenko", _NORMAL, outputs, layout=runs)
+
+
+@query("kucherenko_subsets", f"WITH {_kucherenko_sql(512)} SELECT mask, round(closed, 6) AS closed, round(total, 6) AS total, round(variance, 6) AS variance FROM k")
+def kucherenko_subsets(spark, sf_dir):
+    return _rounded(_kucherenko(spark).table, "mask")
+
+
+@query("kucherenko_shapley", f"WITH {_kucherenko_sql(512)}, c0 AS (SELECT mask, total FROM k UNION ALL SELECT 0::INT, 0.0) SELECT i::INT AS i, round(sum((CASE bit_count(c0.mask) WHEN 1 THEN 1 ELSE 2 END) / 6.0::DOUBLE * (d.total - c0.total)), 6) AS shapley FROM c0, range(3) t(i), c0 d WHERE ((c0.mask >> i) & 1) = 0 AND d.mask = c0.mask + (1 << i) GROUP BY i")
+def kucherenko_shapley(spark, sf_dir):
+    cost = _kucherenko(spark).table.select("mask", F.col("total").alias("cost")).unionByName(spark.createDataFrame([(0, 0.0)], "mask int, cost double"))
+    return _rounded(db.subset_effects(cost, 3), "i")
+
+
+@query("model_values", f"""WITH {ORDERS} SELECT run_id, round(sin(x1) + 7 * pow(sin(x2), 2) + 0.1 * pow(x3, 4) * sin(x1), 6) AS ishigami, round(abs(4 * x1 - 2) * (abs(4 * x2 - 2) + 1) / 2 * (abs(4 * x3 - 2) + 4.5) / 5.5, 6) AS sobol_g, round(x1 + 2 * x2 + 3 * x3, 6) AS linear,
+round(x1 + 0.5 * x2 + sin(x1) + 2 * sin(x2) + 0.25 * cos(x1) + cos(x2) + x1 * x1 + 3 * x1 * x2 + 0.5 * x2 * x2, 6) AS oakley FROM o""")
+def model_values(spark, sf_dir):
+    x = [F.col(c) for c in NAMES]
+    oakley = models.oakley_ohagan(x[:2], (1, 0.5), (1, 2), (0.25, 1), np.array([[1.0, 2.0], [1.0, 0.5]]))
+    return _rounded(order_rows(spark, sf_dir).select("run_id", models.ishigami(*x).alias("ishigami"), models.sobol_g(x).alias("sobol_g"), models.linear(x).alias("linear"), oakley.alias("oakley")), "run_id")
+
+
+@query("sobol_points_wide", _sobol_sql(1024, 40, range(36, 40)))
+def sobol_points_wide(spark, sf_dir):
+    """Dimensions beyond the published table, whose numbers follow from a rule; computed in Arrow batches."""
+    points = designs.sobol_points(spark, 1024, [f"x{d + 1}" for d in range(40)])
+    return points.select("base_id", *[f"u_x{d + 1}" for d in range(36, 40)])
+
+
+# --- files ---
+
+_ORDERS_SQL = f"WITH {ORDERS} SELECT run_id, round(x1, 6) AS x1, round(x2, 6) AS x2, round(x3, 6) AS x3 FROM o"
+
+
+@query("csv_round_trip", _ORDERS_SQL)
+def csv_round_trip(spark, sf_dir):
+    path = fresh_path(spark, "runs")
+    files.write_csv(order_rows(spark, sf_dir), path)
+    return _rounded(files.read_csv(spark, path), "run_id")
+
+
+@query("design_round_trip", _ORDERS_SQL)
+def design_round_trip(spark, sf_dir):
+    path = fresh_path(spark, "design")
+    files.save_design(path, "runs", _problem(), {"runs": order_rows(spark, sf_dir)})
+    problem, tables, _ = files.load_design(spark, path, "runs")
+    return _rounded(tables["runs"].select("run_id", *problem.names), "run_id")
+
+
+@query("timed_outputs", f"""WITH {ORDERS} SELECT run_id, output, time, round(y, 6) AS y FROM (SELECT run_id, unnest([{{'output': 'flow', 'time': 0.0::DOUBLE, 'y': x1}}, {{'output': 'flow', 'time': 1.5::DOUBLE, 'y': x2}}, {{'output': 'heat', 'time': 0.0::DOUBLE, 'y': x1 + x3}}], recursive := true) FROM o)""")
+def timed_outputs(spark, sf_dir):
+    wide = order_rows(spark, sf_dir).select("run_id", F.col("x1").alias("flow@0"), F.col("x2").alias("flow@1.5"), (F.col("x1") + F.col("x3")).alias("heat"))
+    return _rounded(files.timed_outputs(wide, NAMES), "run_id", "output", "time")
+
+
+@query("long_result", f"WITH {_frozen_sql()}, r AS (SELECT param, {_SJ[0]} AS s1, {_SJ[1]} AS st FROM f GROUP BY param) SELECT 'sobol' AS method, param, field, round(value, 6) AS value, NULL::DOUBLE AS lower, NULL::DOUBLE AS upper FROM r UNPIVOT (value FOR field IN (s1, st))")
+def long_result(spark, sf_dir):
+    outputs, layout, _ = _designed(spark, sf_dir)
+    return _rounded(analyze("sobol", _problem(), outputs, layout=layout).long(), "method", "param", "field")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
@@ -230,22 +231,92 @@ class Problem:
         made = [m.ppf(F.col(prefix + n)).alias(n) for n, m in self.inputs.items()]
         return units.select(*[c for c in units.columns if c not in {prefix + n for n in self.inputs}], *made)
 
+    def truncated(self, q: float) -> Problem:
+        """With the open sides of Gaussian inputs closed at their own ``q`` and ``1 - q`` quantiles."""
+        inputs = {n: m.truncated(q) if isinstance(m, Gaussian) else m for n, m in self.inputs.items()}
+        return Problem(inputs, self.outputs, self.correlation, self.sampler)
+
+    def units(self, runs: DataFrame) -> DataFrame:
+        """``runs`` with inputs replaced by their places on their distributions; what lies outside the support lies outside [0, 1]."""
+        return runs.withColumns({n: m.cdf(F.col(n)) for n, m in self.inputs.items()})
+
+    def variances(self) -> dict[str, float]:
+        """Each input's variance; by 4,000 quantiles where no formula is at hand."""
+        u = (np.arange(4000) + 0.5) / 4000
+        return {n: m.variance() if hasattr(m, "variance") else float(np.var(m.ppf(u, NUMPY))) for n, m in self.inputs.items()}
+
+    def to_json(self) -> str:
+        """Inputs with their parameters, names of outputs and correlation, as JSON."""
+        inputs = {n: {"family": m.family, **{k: list(v) if isinstance(v, tuple) else v for k, v in vars(m).items()}} for n, m in self.inputs.items()}
+        return json.dumps({"inputs": inputs, "outputs": list(self.outputs), "correlation": None if self.correlation is None else np.asarray(self.correlation).tolist()})
+
+    @classmethod
+    def from_json(cls, text: str) -> Problem:
+        """A problem from ``to_json``; a custom sampler isn't part of it."""
+        spec, kinds = json.loads(text), {k.family: k for k in (Uniform, Gaussian, Lognormal, Weibull, Triangular, Beta, Categorical)}
+        tuples = lambda v: tuple(v) if isinstance(v, list) else v
+        inputs = {n: kinds[m["family"]](**{k: tuples(v) for k, v in m.items() if k != "family"}) for n, m in spec["inputs"].items()}
+        return cls(inputs, tuple(spec["outputs"]), None if spec["correlation"] is None else np.array(spec["correlation"]))
+
     def to_unit(self, name: str, x: Column) -> Column:
         """A value's place on its input's distribution; outside the support it lies outside [0, 1]."""
         return self.inputs[name].cdf(x)
 
 
-def gate(problem: Problem, method: str, correlated: bool, categorical: bool, refused: Sequence[str] = ()) -> None:
-    """Raises where a method can't take the problem's dependence or families."""
+@dataclass(frozen=True)
+class Method:
+    """What a method takes: dependent and categorical inputs, refused families, its unit of failed runs, and how many must stay."""
+
+    correlated: bool
+    categorical: bool
+    refused: tuple[str, ...] = ()
+    unit: str = "row"
+    min_kept: int = 1
+
+
+#: The fourteen methods.
+METHODS = {
+    "sobol": Method(False, True, unit="group"),
+    "efast": Method(False, False, ("lognormal", "weibull"), unit="curve"),
+    "morris": Method(False, False, unit="trajectory"),
+    "kucherenko": Method(True, False, unit="point"),
+    "borgonovo": Method(True, True, min_kept=4),
+    "dgsm": Method(False, False, ("lognormal", "weibull", "triangular", "beta")),
+    "hdmr": Method(True, False, ("lognormal", "weibull")),
+    "hsic": Method(True, False),
+    "optimal_transport": Method(True, True, min_kept=4),
+    "pawn": Method(True, True, min_kept=4),
+    "pce": Method(False, False),
+    "rank": Method(True, False, min_kept=3),
+    "shapley": Method(False, False),
+    "vkoga": Method(True, False, min_kept=10),
+}
+
+
+def gate(problem: Problem, method: str, correlated: bool | None = None, categorical: bool | None = None, refused: Sequence[str] | None = None) -> None:
+    """Raises where a method can't take the problem's dependence or families; without limits of its own, by ``METHODS``."""
+    known = METHODS.get(method, Method(True, True))
+    correlated = known.correlated if correlated is None else correlated
+    categorical = known.categorical if categorical is None else categorical
+    refused = known.refused if refused is None else refused
     if problem.dependent and not correlated:
         raise ValueError(f"{method} needs independent inputs")
     for n, m in problem.inputs.items():
-        if isinstance(m, Categorical) and not categorical:
+        if isinstance(m, Categorical) and not categorical and not (method == "kucherenko" and problem.sampler):
             raise ValueError(f"{method} can't take the categorical input {n}")
         if m.family in refused:
             raise ValueError(f"{method} can't take the {m.family} input {n}")
 
 
+def policy_for(method: str, policy: str) -> str:
+    """The policy for failed runs, checked: a curve of eFAST can't lose a run, so nothing can be dropped there."""
+    if policy not in ("raise", "propagate", "drop", "skip"):
+        raise ValueError(f"unknown policy {policy}")
+    if policy == "drop" and METHODS[method].unit == "curve":
+        raise ValueError(f"{method} can't drop runs: the Fourier sums need whole curves; use skip or propagate")
+    return policy
+
+
 def spearman_to_latent(rho: np.ndarray) -> np.ndarray:
     """The normal correlation behind rank correlations."""
     out = 2 * np.sin(np.pi * np.asarray(rho, float) / 6)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import fresh_path
+
 
 def moments(stream: DataFrame, late: str | None = None, time: str = "ts", window: str | None = None) -> DataFrame:
     """Running sums of pick-freeze rows ``(param, a, b, ab)``; with ``window``, by tumbling window under a watermark of ``late``."""
@@ -28,18 +28,27 @@ def indices(sums: DataFrame, keys: tuple[str, ...] = ("param",)) -> DataFrame:
     return sums.select(*keys, "n", s1.alias("s1"), st.alias("st"), v.alias("variance"))
 
 
+def latest(sums: DataFrame, path: str, checkpoint: str) -> None:
+    """Runs a stream of sums until all that is there is read; each batch's whole state replaces the one before at ``path``."""
+
+    def keep(state: DataFrame, batch: int) -> None:
+        state.write.mode("overwrite").parquet(f"{path}/{batch}")
+
+    sums.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def from_files(spark: SparkSession, path: str) -> DataFrame:
-    """Number, mean and pooled variance by event type, read as a stream of files until all are read."""
+    """Indices of events by type, read as a stream of files until all are read; state and sums lie in the shared folder."""
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(spark, path) else f"{folder}/{name[:-8]}*.parquet")
-    rows = stream.select(F.col("event_type").alias("param"), F.col("value").alias("a"), (F.col("value") * (F.hour("ts") + 1) / 24).alias("b"))
-    sums = rows.groupBy("param").agg(F.count("*").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"))
-    sink = "moments_" + uuid.uuid4().hex
-    query = sums.writeStream.format("memory").queryName(sink).outputMode("complete").trigger(availableNow=True).start()
-    query.awaitTermination()
-    m = (F.col("a") + F.col("b")) / (2 * F.col("n"))
-    return spark.table(sink).select("param", "n", (F.col("a") / F.col("n")).alias("mean"), ((F.col("aa") + F.col("bb")) / (2 * F.col("n")) - m * m).alias("variance"))
+    hour = F.hour("ts")
+    rows = stream.select(F.col("event_type").alias("param"), F.col("value").alias("a"), (F.col("value") * (hour + 1) / 24).alias("b"), (F.col("value") * (25 - hour) / 24).alias("ab"))
+    out = fresh_path(spark, "moments")
+    latest(moments(rows), out, f"{out}-state")
+    last = spark.read.parquet(f"{out}/*").withColumn("_batch", F.regexp_extract(F.input_file_name(), r"/(\d+)/[^/]*$", 1).cast("int"))
+    newest = last.agg(F.max("_batch")).first()[0]
+    return indices(last.where(F.col("_batch") == newest))
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
