@@ -14,19 +14,23 @@ the period that takes both into the sample, as with the triples of period 3; a l
    document and position are repeats.
 
 Documents are packed by range of id into batches, and a batch is worked on in units of bounded size.
-What is sorted travels as sorted, Rice-coded numbers for each unit and range, and what comes back is one bit for each,
-so that a position costs two or three bytes of shuffle where a row would cost twenty.
+What is sorted travels as sorted, Rice-coded numbers, one row for each batch and range, and what comes back is one bit
+for each, so that a position costs two or three bytes of shuffle where a row would cost twenty. Batches and ranges
+both grow with the root of the input, so that such a row holds ``LEAST`` numbers or more at any size, and rows grow as the
+input does.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +43,8 @@ COVERS = {
     31: [0, 1, 3, 8, 12, 18],
     57: [0, 1, 3, 13, 32, 36, 43, 52],
 }
-#: Bytes of a unit, and of a batch of documents; values of a range that meet in one task; most batches.
-UNIT, BATCH, RANGE, BATCHES = 2 << 20, 2 << 20, 1 << 20, 20_000
+#: Bytes of a unit; least bytes of a batch of documents, and least values of a range that meet in one task; numbers of a row.
+UNIT, BATCH, RANGE, LEAST = 2 << 20, 2 << 20, 1 << 20, 64
 CHUNK = 1 << 15
 _MULTIPLIERS = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165)]
 _LETTERS = np.random.default_rng(57).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -109,8 +113,10 @@ class Plan:
         self.tuple = length - self.period + 1
         sampled = max(1, total * len(self.cover) // self.period)
         self.bits = min(63, sampled.bit_length() + 9)
-        self.name_ranges = 1 + sampled // RANGE
-        self.string_ranges = 1 + total // (3 * RANGE)
+        values = max(RANGE, math.isqrt(LEAST * sampled))  # of a batch times of a range: LEAST times all
+        self.batch = max(BATCH, values * self.period // len(self.cover))
+        self.name_ranges = 1 + sampled // values
+        self.string_ranges = 1 + total // (3 * values)
 
     def split(self, v: np.ndarray, bits: int, ranges: int) -> np.ndarray:
         """Where the ranges begin among rising values of ``bits`` bits; there is one more, the end."""
@@ -136,50 +142,47 @@ class Unit:
         self.at = at
         self.names = (grams(self.buf, plan.tuple)[at] >> np.uint64(64 - plan.bits)) if len(at) else np.zeros(0, np.uint64)
 
-    def tuples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct names, each position's place among them, and how often each occurs."""
-        return np.unique(self.names, return_inverse=True, return_counts=True)
-
-    def strings(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Positions that may repeat: ``(positions, distinct hashes, place of each among them, first position of each)``."""
+    def strings(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions that may repeat, and the hash of each one's string; ``repeated`` are the names that are left, in order."""
         plan, n = self.plan, len(self.buf)
-        _, place, _ = self.tuples()
+        near = np.minimum(np.searchsorted(repeated, self.names), max(0, len(repeated) - 1))
         left = np.zeros(n + plan.period + 1, np.int32)
-        left[self.at[repeated[place]] + 1] = 1
+        left[self.at[repeated[near] == self.names] + 1 if len(repeated) else self.at[:0]] = 1
         left = np.cumsum(left, dtype=np.int32)
         at = np.flatnonzero(self.whole[:n] & (left[plan.period :][:n] > left[:n]))
-        if not len(at):
-            return at, np.zeros(0, np.uint64), np.zeros(0, np.int64), at
-        h, first, place = np.unique(grams(self.buf, plan.length)[at], return_index=True, return_inverse=True)
-        return at, h, place, at[first]
+        return at, grams(self.buf, plan.length)[at] if len(at) else np.zeros(0, np.uint64)
+
+
+Doc = tuple[int, bool, int, bytes, int]
 
 
-def unpacked(blobs: list[bytes]) -> list[tuple[int, bool, bytes]]:
-    """``(id, known, text)`` of the documents in blobs, in order of id, those without one last, and of text."""
-    out = []
+def unpacked(blobs: list[bytes]) -> list[Doc]:
+    """``(id, known, hash of the text, text, rows)`` of the documents in blobs: in order of id, those without one last, and of
+    hash and text; rows that repeat id and text are one document."""
+    rows: dict[tuple, int] = {}
     for blob in blobs:
         data = zstandard.decompress(blob)
         (n,) = struct.unpack_from("<I", data)
-        ids = np.frombuffer(data, "<i8", n, 4)
-        known = np.frombuffer(data, np.uint8, n, 4 + 8 * n)
-        sizes = np.frombuffer(data, "<u4", n, 4 + 9 * n)
-        ends = np.cumsum(sizes) + 4 + 13 * n
-        out += [(int(i), bool(k), data[e - s : e]) for i, k, s, e in zip(ids, known, sizes.tolist(), ends.tolist())]
-    return sorted(out, key=lambda d: (not d[1], d[0], d[2]))
+        ids, hashes = np.frombuffer(data, "<i8", n, 4), np.frombuffer(data, "<u8", n, 4 + 8 * n)
+        known, sizes = np.frombuffer(data, np.uint8, n, 4 + 16 * n), np.frombuffer(data, "<u4", n, 4 + 17 * n)
+        counts = np.frombuffer(data, "<i8", n, 4 + 21 * n)
+        ends = np.cumsum(sizes) + 4 + 29 * n
+        for i, k, h, s, e, c in zip(ids.tolist(), known.tolist(), hashes.tolist(), sizes.tolist(), ends.tolist(), counts.tolist()):
+            doc = (not k, i, h, data[e - s : e])
+            rows[doc] = rows.get(doc, 0) + c
+    return [(i, not nameless, h, text, rows[nameless, i, h, text]) for nameless, i, h, text in sorted(rows)]
 
 
-def packed(docs: list[tuple[int, bool, bytes]]) -> bytes:
-    ids, known, texts = zip(*docs)
-    head = struct.pack("<I", len(docs)) + np.array(ids, "<i8").tobytes() + np.array(known, np.uint8).tobytes() + np.array([len(t) for t in texts], "<u4").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(texts))
+def packed(docs: list[Doc]) -> bytes:
+    ids, known, hashes, texts, counts = zip(*docs)
+    head = [np.array(ids, "<i8"), np.array(hashes, "<u8"), np.array(known, np.uint8), np.array([len(t) for t in texts], "<u4"), np.array(counts, "<i8")]
+    return zstandard.ZstdCompressor(level=3).compress(struct.pack("<I", len(docs)) + b"".join(x.tobytes() for x in head) + b"".join(texts))
 
 
-def units(plan: Plan, docs: list[tuple[int, bool, bytes]], size: int) -> Iterator[Unit]:
+def units(plan: Plan, docs: list[Doc], size: int) -> Iterator[Unit]:
     """Units of a batch, in order; a piece is ``(document, offset, own bytes, bytes with continuation)``."""
     pieces, total = [], 0
-    for d, (_, _, text) in enumerate(docs):
-        if d and docs[d][:2] == docs[d - 1][:2] and text == docs[d - 1][2]:
-            continue  # a row that repeats id and text is the same document
+    for d, (_, _, _, text, _) in enumerate(docs):
         for at in range(0, max(1, len(text)), size):
             pieces.append((d, at, min(size, len(text) - at), text[at : at + size + plan.length - 1]))
             total += len(pieces[-1][3])
@@ -190,70 +193,97 @@ def units(plan: Plan, docs: list[tuple[int, bool, bytes]], size: int) -> Iterato
         yield Unit(plan, pieces)
 
 
-def _results(frame: pd.DataFrame, kind: int, sub: int) -> np.ndarray:
-    """The bits that came back for a unit, over all ranges in order."""
-    rows = frame[(frame.kind == kind) & (frame["sub"] == sub)].sort_values("range")
+def _results(frame: pd.DataFrame, kind: int) -> np.ndarray:
+    """The bits that came back for a batch, over all ranges in order."""
+    rows = frame[frame.kind == kind].sort_values("range")
     parts = [np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(rows.bits, rows.n)]
     return np.concatenate(parts).astype(bool) if parts else np.zeros(0, bool)
 
 
-SORTED = "range int, batch int, sub int, data binary, flags binary"
-BITS = "batch int, kind int, sub int, range int, n int, bits binary"
+SORTED = "range int, batch int, data binary, flags binary"
+BITS = "batch int, kind int, range int, n int, bits binary"
 
 
-def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", texts: bool = False, unit: int = UNIT, batch: int = BATCH) -> DataFrame:
+def slots(edges: np.ndarray, id_: int | None, hash_: int, nameless: int) -> int:
+    """The batch of a document: by its id among rising ``edges``. An id that several edges equal is as many batches' own, which
+    its documents share in order of hash; so are those without an id, in ``nameless`` further ones."""
+    if id_ is None:
+        return len(edges) + 1 + (hash_ * nameless >> 64)
+    low, high = int(np.searchsorted(edges, id_)), int(np.searchsorted(edges, id_, "right"))
+    return low + (hash_ * (high - low + 1) >> 64)
+
+
+def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", texts: bool = False, unit: int = UNIT, batch: int | None = None) -> DataFrame:
     """Per row of ``docs``: ``(id_col, n_bytes, n_removed, n_spans, kept_sha256)``, and with ``texts`` also ``kept`` (binary).
 
     A byte is removed if a string of ``length`` bytes that covers it also starts earlier: in a document with
     a smaller id, or earlier in the same one; strings never cross documents. Strings are compared by 64-bit
-    hashes. Null text is empty; rows with a null id come after all others; rows of one id count in order of
-    their bytes, and rows that repeat id and text are one document, with one result each. An empty table
+    hashes. Null text is empty; rows with a null id come after all others; rows of one id count in order of a
+    hash of their bytes, and rows that repeat id and text are one document, with one result each. An empty table
     gives no rows; other columns are not read. Ids are integers.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    id_, text = (F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col))
+    rows = plain.select(id_.cast("bigint").alias("id"), F.coalesce(text.cast("string"), F.lit("")).cast("binary").alias("text"))
+    size = F.octet_length("text")
+    total, without = rows.agg(F.sum(size), F.sum(F.when(F.col("id").isNull(), size))).first()
+    total, without = total or 0, without or 0
     plan = Plan(length, total)
-    count = min(BATCHES, 1 + total // batch)
+    batch = batch or plan.batch
+    count, nameless = 1 + (total - without) // batch, 1 + without // batch
     bounds: list[int] = []
     if count > 1:
         shares = [k / count for k in range(1, count)]
-        bounds = sorted(set(rows.agg(F.percentile_approx("id", F.array(*map(F.lit, shares)), max(10_000, 20 * count))).first()[0] or []))
+        bounds = sorted(rows.agg(F.percentile_approx("id", F.array(*map(F.lit, shares)), max(10_000, 20 * count))).first()[0] or [])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges, kept, size = np.array(bounds, np.int64), {}, 0
+        edges, kept, held = np.array(bounds, np.int64), {}, 0
 
         def flush():
             at = sorted(kept)
-            return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([packed(kept[b]) for b in at], pa.binary())], names=["batch", "blob"])
+            listed = [[(*doc, c) for doc, c in kept[b].items()] for b in at]
+            return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([packed(x) for x in listed], pa.binary())], names=["batch", "blob"])
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                to = len(edges) if i is None else int(np.searchsorted(edges, i))
-                kept.setdefault(to, []).append((i or 0, i is not None, t))
-                size += len(t)
-                if size >= 16 << 20:
+                h = xxhash.xxh64_intdigest(t, 42)
+                own = kept.setdefault(slots(edges, i, h, nameless), {})
+                doc = (i or 0, i is not None, h, t)
+                held += 0 if doc in own else len(t)
+                own[doc] = own.get(doc, 0) + 1
+                if held >= 16 << 20:
                     yield flush()
-                    kept, size = {}, 0
+                    kept, held = {}, 0
         if kept:
             yield flush()
 
     blobs = rows.mapInArrow(pack, "batch int, blob binary")
 
+    def sent(batch: int, values: np.ndarray, flags: np.ndarray | None, bits: int, ranges: int) -> pd.DataFrame:
+        """Rising values of a batch as a row for each range that holds one."""
+        cuts = plan.split(values, bits, ranges)
+        out = [(r, batch, coded(values[a:b]), b"" if flags is None else np.packbits(flags[a:b]).tobytes()) for r, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+        return pd.DataFrame(out, columns=["range", "batch", "data", "flags"])
+
+    def named(listed: list[Doc]) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct names of a batch, and whether it has each more than once."""
+        v, n = np.unique(np.concatenate([u.names for u in units(plan, listed, unit)] or [np.zeros(0, np.uint64)]), return_counts=True)
+        return v, n > 1
+
+    def left(listed: list[Doc], back: pd.DataFrame) -> tuple[list[Unit], list[tuple[np.ndarray, np.ndarray]]]:
+        """Units of a batch, and of each the positions that may repeat with their strings' hashes."""
+        all_ = list(units(plan, listed, unit))
+        v = np.unique(np.concatenate([u.names for u in all_] or [np.zeros(0, np.uint64)]))
+        repeated = v[_results(back, 0)] if len(v) else v
+        return all_, [u.strings(repeated) for u in all_]
+
     def sample(f: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for sub, u in enumerate(units(plan, unpacked(f.blob.tolist()), unit)):
-            v, _, n = u.tuples()
-            cuts = plan.split(v, plan.bits, plan.name_ranges)
-            for r, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                if a < b:
-                    out.append((r, f.batch.iloc[0], sub, coded(v[a:b]), np.packbits(n[a:b] > 1).tobytes()))
-        return pd.DataFrame(out, columns=["range", "batch", "sub", "data", "flags"])
+        return sent(f.batch.iloc[0], *named(unpacked(f.blob.tolist())), plan.bits, plan.name_ranges)
 
     def answered(f: pd.DataFrame, parts: list[np.ndarray], bits: np.ndarray, kind: int) -> pd.DataFrame:
         ends = np.cumsum([len(p) for p in parts])
         packs = [np.packbits(x).tobytes() for x in np.split(bits, ends[:-1])]
-        return pd.DataFrame({"batch": f.batch, "kind": kind, "sub": f["sub"], "range": f["range"], "n": [len(p) for p in parts], "bits": packs})
+        return pd.DataFrame({"batch": f.batch, "kind": kind, "range": f["range"], "n": [len(p) for p in parts], "bits": packs})
 
     def name(f: pd.DataFrame) -> pd.DataFrame:
         parts = [decoded(x) for x in f.data]
@@ -262,17 +292,11 @@ def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
         return answered(f, parts, (n[place] > 1) | (own > 0), 0)
 
     def merge(f: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for sub, u in enumerate(units(plan, unpacked(f.blob.tolist()), unit)):
-            _, h, _, _ = u.strings(_results(back, 0, sub))
-            cuts = plan.split(h, 64, plan.string_ranges)
-            for r, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                if a < b:
-                    out.append((r, f.batch.iloc[0], sub, coded(h[a:b]), b""))
-        return pd.DataFrame(out, columns=["range", "batch", "sub", "data", "flags"])
+        _, found = left(unpacked(f.blob.tolist()), back)
+        return sent(f.batch.iloc[0], np.unique(np.concatenate([h for _, h in found])), None, 64, plan.string_ranges)
 
     def compare(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["batch", "sub"])
+        f = f.sort_values("batch")
         parts = [decoded(x) for x in f.data]
         v = np.concatenate(parts)
         order = np.argsort(v, kind="stable")
@@ -282,11 +306,16 @@ def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
 
     def remove(f: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         listed = unpacked(f.blob.tolist())
+        all_, found = left(listed, back)
+        strings = np.unique(np.concatenate([h for _, h in found]))
+        seen = _results(back, 1)  # of each string: whether an earlier batch has it, or an earlier unit of this one
         done: dict[int, list] = {}
         carried, covered = np.zeros(0, bool), False  # into the next piece of the same document
-        for sub, u in enumerate(units(plan, listed, unit)):
-            at, _, place, first = u.strings(_results(back, 0, sub))
-            repeats = at[_results(back, 1, sub)[place] | (first[place] != at)] if len(at) else at
+        for u, (at, h) in zip(all_, found):
+            _, first, place = np.unique(h, return_index=True, return_inverse=True)
+            where = np.searchsorted(strings, h)
+            repeats = at[seen[where] | (first[place] != np.arange(len(at)))] if len(at) else at
+            seen[where] = True
             steps = np.zeros(len(u.buf) + plan.length + 1, np.int32)
             steps[repeats] += 1
             np.subtract.at(steps, repeats + plan.length, 1)
@@ -306,12 +335,11 @@ def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
                 state[2].update(rest)
                 if texts:
                     state[3].append(rest)
-        out, last = [], None
-        for d, (i, known, text) in enumerate(listed):
-            last = d if d in done else last
-            n, spans, sha, rest = done[last]
-            out.append((i if known else None, len(text), n, spans, sha.hexdigest(), *([b"".join(rest)] if texts else [])))
-        frame = pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts else [])])
+        out = []
+        for d, (i, known, _, text, c) in enumerate(listed):
+            n, spans, sha, rest = done[d]
+            out.append((i if known else None, len(text), n, spans, sha.hexdigest(), c, *([b"".join(rest)] if texts else [])))
+        frame = pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "rows", *(["kept"] if texts else [])])
         return frame.astype({"id": "Int64"})
 
     groups = lambda df, *by: df.groupBy(*by)
@@ -319,6 +347,7 @@ def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
     strings = groups(blobs, "batch").cogroup(groups(names, "batch")).applyInPandas(merge, SORTED)
     repeats = groups(strings, "range").applyInPandas(compare, BITS)
     answers = names.unionByName(repeats)
-    result = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if texts else "")
+    result = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, rows bigint" + (", kept binary" if texts else "")
     out = groups(blobs, "batch").cogroup(groups(answers, "batch")).applyInPandas(remove, result)
-    return out.withColumnRenamed("id", id_col)
+    each = out.withColumn("rows", F.explode(F.sequence(F.lit(1).cast("bigint"), "rows"))).drop("rows")
+    return each.toDF(id_col, *each.columns[1:])

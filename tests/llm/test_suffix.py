@@ -55,6 +55,27 @@ def test_odd_rows(spark):
     assert suffix.without_repeats(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def test_hot_ids_are_several_batches(spark):
+    """Many texts of one id and many without one: batches stay small, in order of id and hash, and results are as in one batch."""
+    edges = np.array([5, 9, 9, 9, 20])
+    assert [suffix.slots(edges, i, 0, 3) for i in (4, 5, 7, 9, 10, 21)] == [0, 0, 1, 1, 4, 5]
+    assert suffix.slots(edges, 9, (1 << 64) - 1, 3) == 4 and suffix.slots(edges, None, 0, 3) == 6 and suffix.slots(edges, None, (1 << 64) - 1, 3) == 8
+    rng = random.Random(2)
+    passages = ["".join(rng.choice("abc ") for _ in range(60)) for _ in range(8)]
+    rows = [(rng.choice([7, 7, 7, None, None, 1, 30]), "".join(rng.choice(passages) + rng.choice("xyz") for _ in range(3))) for _ in range(120)]
+    docs = spark.createDataFrame(rows + rows[:30], "doc_id bigint, text string").repartition(4)
+    got = [sorted(map(str, suffix.without_repeats(docs, length=20, unit=100, batch=b).collect())) for b in (400, 1 << 20)]
+    assert got[0] == got[1] and len(got[0]) == 150
+
+
+def test_rows_grow_as_the_input():
+    rows = []
+    for total in (10**9, 10**12, 10**14):
+        plan = suffix.Plan(100, total)
+        rows.append((1 + total // plan.batch) * (plan.name_ranges + plan.string_ranges) / total)
+    assert rows[2] < 2 * rows[1] and suffix.Plan(100, 10**14).batch < 1 << 28
+
+
 def test_codes_and_covers():
     rng = np.random.default_rng(3)
     for n in (0, 1, 2, 500):
