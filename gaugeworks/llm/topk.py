@@ -22,7 +22,9 @@ from .common import cut, written
 from .vectors import best, usable
 
 #: Rows of a shard, and queries that meet it in one task; of so many shards, one is read in the first round.
-SHARD, QUERIES, FIRST = 8192, 1024, 8
+SHARD, QUERIES, FIRST = 8192, 1024, 4
+#: Steps in which a list is read; of a shard's rows, one in so many may be left when reading stops, to be resolved.
+STEPS, FEW = 10, 16
 #: Shards, if there are so many times ``QUERIES`` rows, so that small tables are no few tasks' work.
 LEAST = 16
 NONE = -(1 << 62)
@@ -33,38 +35,38 @@ def nra(order: np.ndarray, values: np.ndarray, q: np.ndarray, k: int, ids: np.nd
 
     ``order`` and ``values`` are, for each dimension, the places in rising order of value and the values in that
     order. Rows below ``floor`` may be left out. A row whose upper bound equals the bound that it must reach may tie,
-    and stays. Scores of rows that are left when no other can qualify are resolved from all lists.
+    and stays. Scores of the rows that are left when no other can qualify are resolved from all lists, in whole numbers.
     """
-    n = order.shape[1]
-    used = np.flatnonzero(q)
+    n, used = order.shape[1], np.flatnonzero(q)
     k = min(k, n)
-    least = np.array([values[d, 0 if q[d] > 0 else -1] * q[d] for d in used], np.int64)
-    low, shown = np.full(n, least.sum(), np.int64), np.zeros((len(used), n), np.float32)
-    at, step, few = 0, max(64, n // 16), 4 * k
-    while at < n and len(used):
+    if not len(used):
+        return _top(np.arange(n), np.zeros(n, np.int64), ids, k)
+    # Each list is read from the end that has its largest contributions: these by rising, those by falling value.
+    up, down = used[q[used] < 0], used[q[used] > 0]
+    weight = np.concatenate([q[up], q[down]]).astype(float)[:, None]
+    read = lambda lists, at, upto: np.concatenate([lists[up, at:upto], lists[down, n - upto : n - at][:, ::-1]])
+    least = read(values, n - 1, n) * weight
+    low, shown = np.full(n, float(least.sum())), np.zeros((len(used), n), np.float32)
+    slack = 1 + 1e-5 * float((read(values, 0, 1) * weight - least).sum()) + 1e-9 * abs(low[0])  # of the bounds' sums
+    at, step, rows = 0, max(64, n // STEPS), np.arange(len(used))[:, None]
+    while at < n:
         upto = min(n, at + step)
-        front = np.empty_like(least)
-        for j, d in enumerate(used):
-            part = slice(n - upto, n - at) if q[d] > 0 else slice(at, upto)
-            places, c = order[d, part], values[d, part] * q[d]
-            front[j] = c[0] if q[d] > 0 else c[-1]
-            low[places] += c - least[j]
-            shown[j, places] = 1.0
-        at = upto
-        if at < n:
-            kth = max(floor, int(np.partition(low, n - k)[n - k]))
-            gap = (front - least).astype(float)
-            high = low + (gap.sum() - gap.astype(np.float32) @ shown)
-            slack = 1e-4 * np.abs(gap).sum() + 1  # of the sums in single precision
-            hopeful = np.flatnonzero(high >= kth - slack)
-            if len(hopeful) <= few:
-                score, wanted = np.zeros(n, np.int64), np.zeros(n, bool)
-                wanted[hopeful] = True
-                for d in used:
-                    inside = wanted[order[d]]
-                    score[order[d, inside]] += values[d, inside] * q[d]
-                return _top(hopeful, score[hopeful], ids, k)
-    return _top(np.arange(n), low, ids, k)
+        places, extra = read(order, at, upto), read(values, at, upto) * weight - least
+        low += np.bincount(places.ravel(), extra.ravel(), n)
+        shown[rows, places] = 1.0
+        kth = max(float(floor), float(np.partition(low, n - k)[n - k]))
+        front = extra[:, -1] if upto < n else np.zeros(len(used))
+        high = low + (front.sum() - front.astype(np.float32) @ shown)
+        hopeful = np.flatnonzero(high >= kth - slack)
+        at, step = upto, step + step // 2
+        if len(hopeful) <= max(4 * k, n // FEW):
+            break
+    wanted = np.zeros(n, bool)
+    wanted[hopeful] = True
+    d, i = np.nonzero(wanted[order[used]])
+    score = np.zeros(n, np.int64)
+    np.add.at(score, order[used[d], i], values[used[d], i] * q[used[d]])
+    return _top(hopeful, score[hopeful], ids, k)
 
 
 def _top(places: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,8 +92,9 @@ def _packed(rows: DataFrame, n: int) -> DataFrame:
 
 def _searched(shards: DataFrame, queries: DataFrame, n: int, k: int) -> DataFrame:
     """``(query_id, vec_id, score)``: the best rows of each shard for each query of batches ``(b, size, ids, floors, vectors)``."""
-    each = queries.withColumnRenamed("ids", "asked").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    pairs = shards.join(each, ["s", "size"])
+    # A task for each shard: a number of partitions that is asked for isn't made less, however few bytes there are.
+    each = queries.withColumnRenamed("ids", "asked").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartition(n, "s")
+    pairs = shards.repartition(n, "s").join(each, ["s", "size"])
 
     def search(frames):
         for f in frames:
