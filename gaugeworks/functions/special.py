@@ -13,8 +13,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-SPARK = SimpleNamespace(exp=F.exp, log=F.log, sqrt=F.sqrt, abs=F.abs, pow=F.pow, expm1=F.expm1, log1p=F.log1p, where=lambda c, a, b: F.when(c, a).otherwise(b), clip=lambda x, a, b: F.least(F.greatest(x, F.lit(a)), F.lit(b)))
-NUMPY = SimpleNamespace(exp=np.exp, log=np.log, sqrt=np.sqrt, abs=np.abs, pow=np.power, expm1=np.expm1, log1p=np.log1p, where=np.where, clip=np.clip)
+#: ``let`` names a value that an expression uses often, so that its own expression stands there once.
+SPARK = SimpleNamespace(let=lambda x, f: F.element_at(F.transform(F.array(x), f), 1), exp=F.exp, log=F.log, sqrt=F.sqrt, abs=F.abs, pow=F.pow, expm1=F.expm1, log1p=F.log1p, where=lambda c, a, b: F.when(c, a).otherwise(b), clip=lambda x, a, b: F.least(F.greatest(x, F.lit(a)), F.lit(b)))
+NUMPY = SimpleNamespace(let=lambda x, f: f(x), exp=np.exp, log=np.log, sqrt=np.sqrt, abs=np.abs, pow=np.power, expm1=np.expm1, log1p=np.log1p, where=np.where, clip=np.clip)
 
 # Coefficients of Wichura's rational approximations to the normal quantile (AS 241, PPND16).
 CENTRE = (
@@ -40,13 +41,17 @@ def _poly(coefficients, x):
 
 def normal_ppf(u, ops=SPARK):
     """The standard normal quantile at ``u`` in (0, 1)."""
-    q = u - 0.5
-    inner = 0.180625 - q * q
-    mid = q * _poly(CENTRE[0], inner) / _poly(CENTRE[1], inner)
-    r = ops.sqrt(-ops.log(ops.clip(ops.where(q < 0, u, 1.0 - u), 1e-300, 0.5)))
-    near, far = r - 1.6, r - 5.0
-    side = ops.where(r <= 5.0, _poly(SHOULDER[0], near) / _poly(SHOULDER[1], near), _poly(TAIL[0], far) / _poly(TAIL[1], far))
-    return ops.where(ops.abs(q) <= 0.425, mid, ops.where(q < 0, -side, side))
+
+    def at(u, r):
+        q = u - 0.5
+        inner = 0.180625 - q * q
+        mid = q * _poly(CENTRE[0], inner) / _poly(CENTRE[1], inner)
+        near, far = r - 1.6, r - 5.0
+        side = ops.where(r <= 5.0, _poly(SHOULDER[0], near) / _poly(SHOULDER[1], near), _poly(TAIL[0], far) / _poly(TAIL[1], far))
+        return ops.where(ops.abs(q) <= 0.425, mid, ops.where(q < 0, -side, side))
+
+    tail = lambda u: ops.sqrt(-ops.log(ops.clip(ops.where(u < 0.5, u, 1.0 - u), 1e-300, 0.5)))
+    return ops.let(u, lambda u: ops.let(tail(u), lambda r: at(u, r)))
 
 
 # Coefficients of Cody's rational approximations to erf and erfc (1969).
@@ -66,13 +71,16 @@ ERFC_FAR = (
 
 def normal_cdf(x, ops=SPARK):
     """The standard normal distribution function, by rational approximations to the error function in three ranges."""
-    a = ops.abs(x) / math.sqrt(2)
-    near, mid, far = ops.clip(a, 0.0, 0.46875), ops.clip(a, 0.46875, 4.0), ops.clip(a, 4.0, 26.0)
-    inner = near * _poly(ERF[0], near * near) / _poly(ERF[1], near * near)
-    inverse = 1.0 / (far * far)
-    upper = ops.where(a <= 4.0, ops.exp(-mid * mid) * _poly(ERFC[0], mid) / _poly(ERFC[1], mid), ops.exp(-far * far) / far * (1 / math.sqrt(math.pi) + inverse * _poly(ERFC_FAR[0], inverse) / _poly(ERFC_FAR[1], inverse)))
-    half = ops.where(a <= 0.46875, 0.5 - 0.5 * inner, 0.5 * upper)
-    return ops.where(x > 0, 1.0 - half, half)
+
+    def at(x, a):
+        near, mid, far = ops.clip(a, 0.0, 0.46875), ops.clip(a, 0.46875, 4.0), ops.clip(a, 4.0, 26.0)
+        inner = near * _poly(ERF[0], near * near) / _poly(ERF[1], near * near)
+        inverse = 1.0 / (far * far)
+        upper = ops.where(a <= 4.0, ops.exp(-mid * mid) * _poly(ERFC[0], mid) / _poly(ERFC[1], mid), ops.exp(-far * far) / far * (1 / math.sqrt(math.pi) + inverse * _poly(ERFC_FAR[0], inverse) / _poly(ERFC_FAR[1], inverse)))
+        half = ops.where(a <= 0.46875, 0.5 - 0.5 * inner, 0.5 * upper)
+        return ops.where(x > 0, 1.0 - half, half)
+
+    return ops.let(x, lambda x: ops.let(ops.abs(x) / math.sqrt(2), lambda a: at(x, a)))
 
 
 def normal_ppf_sql(u: str) -> str:
