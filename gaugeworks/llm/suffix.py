@@ -143,11 +143,10 @@ class Unit:
         self.names = (grams(self.buf, plan.tuple)[at] >> np.uint64(64 - plan.bits)) if len(at) else np.zeros(0, np.uint64)
 
     def strings(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions that may repeat, and the hash of each one's string; ``repeated`` are the names that are left, in order."""
+        """Positions that may repeat, and the hash of each one's string; ``repeated`` says of each name whether it is left."""
         plan, n = self.plan, len(self.buf)
-        near = np.minimum(np.searchsorted(repeated, self.names), max(0, len(repeated) - 1))
         left = np.zeros(n + plan.period + 1, np.int32)
-        left[self.at[repeated[near] == self.names] + 1 if len(repeated) else self.at[:0]] = 1
+        left[self.at[repeated] + 1] = 1
         left = np.cumsum(left, dtype=np.int32)
         at = np.flatnonzero(self.whole[:n] & (left[plan.period :][:n] > left[:n]))
         return at, grams(self.buf, plan.length)[at] if len(at) else np.zeros(0, np.uint64)
@@ -273,9 +272,9 @@ def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
     def left(listed: list[Doc], back: pd.DataFrame) -> tuple[list[Unit], list[tuple[np.ndarray, np.ndarray]]]:
         """Units of a batch, and of each the positions that may repeat with their strings' hashes."""
         all_ = list(units(plan, listed, unit))
-        v = np.unique(np.concatenate([u.names for u in all_] or [np.zeros(0, np.uint64)]))
-        repeated = v[_results(back, 0)] if len(v) else v
-        return all_, [u.strings(repeated) for u in all_]
+        names = np.concatenate([u.names for u in all_])
+        repeated = _results(back, 0)[np.unique(names, return_inverse=True)[1]] if len(names) else np.zeros(0, bool)
+        return all_, [u.strings(x) for u, x in zip(all_, np.split(repeated, np.cumsum([len(u.names) for u in all_])[:-1]))]
 
     def sample(f: pd.DataFrame) -> pd.DataFrame:
         return sent(f.batch.iloc[0], *named(unpacked(f.blob.tolist())), plan.bits, plan.name_ranges)
@@ -307,15 +306,13 @@ def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
     def remove(f: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         listed = unpacked(f.blob.tolist())
         all_, found = left(listed, back)
-        strings = np.unique(np.concatenate([h for _, h in found]))
-        seen = _results(back, 1)  # of each string: whether an earlier batch has it, or an earlier unit of this one
+        h = np.concatenate([x for _, x in found])
+        _, first, place = np.unique(h, return_index=True, return_inverse=True)
+        again = _results(back, 1)[place] | (first[place] != np.arange(len(h))) if len(h) else np.zeros(0, bool)
         done: dict[int, list] = {}
         carried, covered = np.zeros(0, bool), False  # into the next piece of the same document
-        for u, (at, h) in zip(all_, found):
-            _, first, place = np.unique(h, return_index=True, return_inverse=True)
-            where = np.searchsorted(strings, h)
-            repeats = at[seen[where] | (first[place] != np.arange(len(at)))] if len(at) else at
-            seen[where] = True
+        for u, (at, _), gone in zip(all_, found, np.split(again, np.cumsum([len(x) for _, x in found])[:-1])):
+            repeats = at[gone]
             steps = np.zeros(len(u.buf) + plan.length + 1, np.int32)
             steps[repeats] += 1
             np.subtract.at(steps, repeats + plan.length, 1)
