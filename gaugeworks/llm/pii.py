@@ -65,6 +65,8 @@ WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "a
 HEX = "0123456789abcdefABCDEF"
 #: Two capitalised words in a row, and any capitalised word.
 PAIR = regex.compile(r"(?<![\p{L}'’-])\p{Lu}\p{Ll}+ \p{Lu}\p{Ll}+(?![\p{L}'’-])")
+#: What a sentence begins after.
+BEFORE = ".!?:;\n\r\t\"“”«»()[]|"
 WORD = regex.compile(rf"(?<![\p{{L}}'’-]){NAME}(?![\p{{L}}'’-])")
 #: What the pattern of telephone numbers also finds.
 DATE = re.compile(r"(?:19|20)\d\d[ .-]\d\d[ .-]\d\d|\d\d[ .-]\d\d[ .-](?:19|20)\d\d")
@@ -142,9 +144,13 @@ def _person(text: str, at: int, title: str | None) -> Iterator[tuple[int, int, s
 
 
 def pairs(text: str) -> Iterator[tuple[int, int, str]]:
-    """``(start, end, norm)`` of two capitalised words in a row, which may be a person."""
+    """``(start, end, norm)`` of two capitalised words in a row, which may be a person; ``norm`` begins with ``^`` where they begin a
+    sentence, as any word is capitalised there."""
     for m in PAIR.finditer(text):
-        yield m.start(), m.end(), m[0].lower()
+        i = m.start() - 1
+        while i >= 0 and text[i] == " ":
+            i -= 1
+        yield m.start(), m.end(), ("^" if i < 0 or text[i] in BEFORE else "") + m[0].lower()
 
 
 def mentions(text: str, confirmed: frozenset[str] | set[str] = frozenset()) -> list[tuple[int, int, str, str]]:
@@ -342,8 +348,8 @@ def with_surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
     """``docs`` with surrogates in its text, and ``n_entities``, the number of mentions replaced.
 
     Persons are known by a title, by a given name of ``GIVEN``, or as two capitalised words of which the first
-    stands as a given name, or the second as a surname, beside a title or listed name anywhere in the corpus; a
-    lone name counts where a person of the same text bears it. A name's gender is the one that most of its
+    stands as a given name, or the second as a surname (not where a sentence begins), beside a title or listed name
+    anywhere in the corpus; a lone name counts where a person of the same text bears it. A name's gender is the one that most of its
     mentions show. Only texts that a cheap pattern lets through are read by Python and joined; the others pass
     as they are. The same entity has the same surrogate in all documents, under one key; where a form has few
     values left, surrogates are longer.
@@ -371,8 +377,8 @@ def with_surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
     found_ = cut(keyed.select("ra", "rb", text).mapInArrow(find, "ra bigint, rb bigint, kind string, norm string"))
     sure = found_.where("kind <> 'pair'")
     bearers = lambda kind, c: sure.where(F.col("kind").startswith(kind)).select(F.col("norm").alias(c)).distinct()
-    two = found_.where("kind = 'pair'").select("ra", "rb", "norm", F.element_at(F.split("norm", " "), 1).alias("first"), F.element_at(F.split("norm", " "), 2).alias("last"))
-    persons = cut(two.join(bearers("given", "first"), "first", "left_semi").unionByName(two.join(bearers("surname", "last"), "last", "left_semi")).distinct())
+    two = found_.where("kind = 'pair'").select("ra", "rb", "norm", F.regexp_replace(F.element_at(F.split("norm", " "), 1), r"^\^", "").alias("first"), F.element_at(F.split("norm", " "), 2).alias("last"))
+    persons = cut(two.join(bearers("given", "first"), "first", "left_semi").unionByName(two.where(~F.col("norm").startswith("^")).join(bearers("surname", "last"), "last", "left_semi")).distinct())
     script = F.when(F.col("n").rlike(r"\p{IsCyrillic}"), "cyrillic").when(F.col("n").rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     new_names = persons.select("ra", "rb", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("n")) for k, c in (("given", "first"), ("surname", "last"))])).alias("x")).select("ra", "rb", "x.k", "x.n")
     each = sure.unionByName(new_names.select("ra", "rb", F.concat_ws(":", "k", script, F.lit("")).alias("kind"), F.col("n").alias("norm")))
