@@ -23,6 +23,9 @@ ROUNDS, MOST_ROUNDS, TOLERANCE = 4, 120, 1e-4
 ADDED = ("topic", "n_tokens", "weight", "p")
 #: Targets of the queries: shares of tokens raised to these powers, so that large values give way to small ones.
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.5}
+#: Times its own share that a tempered target is at most. Without it, the tokens of one odd document are a value whose target,
+#: and so whose rate, is hundreds of times its share, and all other documents are taken at one in hundreds.
+GROWTH = 5.0
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -56,12 +59,17 @@ def _joined(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner"
     return rows.join(F.broadcast(named) if small else named, condition, how).drop(*[f"_{c}" for c in on])
 
 
-def tempered(cells: DataFrame, dims: dict[str, float]) -> dict[str, DataFrame]:
-    """Target tables ``(dim, target)``, shares that sum to 1: each value's share of tokens to a power."""
-    out = {}
+def tempered(cells: DataFrame, dims: dict[str, float], growth: float = GROWTH) -> dict[str, DataFrame]:
+    """Target tables ``(dim, target)``, shares that sum to 1: each value's share of tokens to a power.
+
+    Shares are first held to ``growth`` times what they were; what that leaves goes to all values in proportion.
+    """
+    out, total = {}, float(cells.agg(F.sum("tokens")).first()[0] or 1)
     for d, power in dims.items():
-        sums = cut(cells.groupBy(d).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("t")))
-        out[d] = cut(sums.select(d, (F.col("t") / F.lit(sums.agg(F.sum("t")).first()[0] or 1.0)).alias("target")))
+        tokens = F.sum("tokens").cast("double")
+        sums = cut(cells.groupBy(d).agg(F.pow(tokens, F.lit(power)).alias("t"), (tokens / F.lit(total) * growth).alias("most")))
+        bounded = cut(sums.select(d, F.least(F.col("t") / F.lit(sums.agg(F.sum("t")).first()[0] or 1.0), F.col("most")).alias("t")))
+        out[d] = cut(bounded.select(d, (F.col("t") / F.lit(bounded.agg(F.sum("t")).first()[0] or 1.0)).alias("target")))
     return out
 
 
@@ -124,8 +132,9 @@ def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col:
     weights are scaled by the largest: ``p`` is that share, and the sample is as large as it can be with one
     rate for each cell and the target shares. Raking goes on, ``rounds`` at a time, until shares agree with the
     targets. Dimensions are ``source``, ``lang`` and ``topic`` (by default ``topic_of`` the text; pass a
-    classifier's column instead); without ``targets``, the tempered shares of ``TEMPER``. Columns ``topic``,
-    ``n_tokens``, ``weight`` and ``p`` are replaced; others pass through, whatever their names.
+    classifier's column instead); without ``targets``, the tempered shares of ``TEMPER``,
+    held to ``GROWTH`` times what they were. Columns ``topic``, ``n_tokens``, ``weight`` and ``p`` are replaced; others
+    pass through, whatever their names.
 
     Null source or language is a value like any other; null text is an empty one, without tokens, and a
     cell without tokens has weight and ``p`` 1 (its documents move no mixture). Rows that repeat an id are
@@ -153,7 +162,9 @@ def sql(rounds: int = ROUNDS, seed: int = 42, source: str = "documents") -> str:
     """DuckDB SQL with ``doc_id, source, lang, topic, n_tokens, p`` of the rows of ``mixed`` where ``rounds`` suffice."""
     steps, last = [], "cells"
     for d, power in TEMPER.items():
-        steps.append(f"t_{d} AS (SELECT {d}, pow(sum(tokens)::DOUBLE, {power}) / sum(pow(sum(tokens)::DOUBLE, {power})) OVER () AS target FROM cells GROUP BY {d})")
+        share = f"pow(sum(tokens)::DOUBLE, {power}) / sum(pow(sum(tokens)::DOUBLE, {power})) OVER ()"
+        steps.append(f"b_{d} AS (SELECT {d}, least({share}, {GROWTH} * sum(tokens) / sum(sum(tokens)) OVER ()) AS bounded FROM cells GROUP BY {d})")
+        steps.append(f"t_{d} AS (SELECT {d}, bounded / sum(bounded) OVER () AS target FROM b_{d})")
     for k in range(rounds):
         for d in TEMPER:
             now = f"r{k}_{d}"

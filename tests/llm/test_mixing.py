@@ -61,6 +61,17 @@ def test_whole_sample_has_the_target_shares(spark):
     assert mixing.mixed(docs.limit(0)).count() == 0
 
 
+def test_one_odd_document_does_not_empty_the_sample(spark):
+    """A topic of one short text among 20,000 documents gets a bounded target; most of the others' tokens stay in reach."""
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "if(id = 7, 'Licensed under X', 'w w w w w w w w w w') AS text", "'en' AS lang", "'s' AS source")
+    cells = docs.groupBy(mixing.topic_of(F.col("text")).alias("topic")).agg(F.sum(F.regexp_count("text", F.lit(mixing.WORD))).alias("tokens"))
+    target = {r.topic: r.target for r in mixing.tempered(cells, {"topic": 0.5})["topic"].collect()}
+    held, free = mixing.GROWTH * 3 / 199_993, 199_990**0.5 / (3**0.5 + 199_990**0.5)
+    assert abs(target["licensed"] - held / (held + free)) < 1e-12 and abs(sum(target.values()) - 1) < 1e-12
+    got = mixing.mixed(docs)
+    assert 3700 < got.count() < 4300 and got.where("topic = 'licensed'").count() == 1
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None, None, None), (2, "", "en", None, 0), (None, "some words here", None, "web", 15), (3, "w " * 50_000, "en", "web", 100_000), (3, "w " * 50_000, "en", "web", 100_000)]
     df = spark.createDataFrame([(*r, 5, "clash") for r in rows], SCHEMA).withColumns({"_source": F.lit("mine"), "_lang": F.lit(1), "a.b": F.lit(2), "c`d": F.lit(3), "target": F.lit(4)})
