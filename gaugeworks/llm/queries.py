@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, line_dedup, mixing, pii, quality, simhash, suffix, topk
+from . import ann, bpe, centroids, langid, line_dedup, mixing, packing, pii, quality, simhash, suffix, topk, trie
 from .common import table
 
 #: The vocabulary of the token queries; a parameter of the operators.
@@ -67,6 +67,19 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("p", 6).alias("p"))
 
 
+def op11_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, VOCABULARY, digest=True)
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -78,9 +91,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_source_mixing": op10_source_mixing,
+    "op11_vector_packing": op11_vector_packing,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_line_dedup": line_dedup.SQL,
     "op8_exact_top_k": topk.SQL,
     "op10_source_mixing": mixing.sql(),
+    "op12_centroid_clustering": centroids.sql(),
+    "op13_prefix_trie": trie.SQL,
 }
