@@ -1,8 +1,8 @@
 """One entry for all fourteen methods: checks, failed runs, warnings, the estimate, and intervals by resampling.
 
 A result is a table with a row for each input and output slice; intervals are further columns. Replicates of designed
-methods are weighted sums over the same rows, those of given-data methods the same estimator with the replicate as one
-more slice, and those of fitted surrogates further fits.
+methods are weighted sums over the same rows, those of given-data methods the same estimator on the same partition of
+the runs, placed anew by weights, with the replicate as one more slice, and those of fitted surrogates further fits.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from ..plans.lineage import cut
 from ..problem import METHODS, Gaussian, Problem, gate, policy_for
 from . import design_based as db
 from . import given_data as gd
-from . import kernels, resampling
+from . import joint, kernels, many, partition, resampling
 from . import surrogates as sg
 from .frames import drop_invalid, finite, ranked, warn_flat
 
@@ -91,19 +91,13 @@ def merged(results: dict[str, Result]) -> DataFrame:
     return out
 
 
-def resampled(rows: DataFrame, weights: DataFrame, unit: str) -> DataFrame:
-    """``rows`` of each replicate ``rep``, as often as their unit was drawn there."""
-    met = rows.join(weights, rows[unit] == weights["unit"]).drop("unit")
-    return met.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("w").cast("int")))).drop("_i", "w")
-
-
-def subsamples(rows: DataFrame, share: float, replicates: int, seed: int, draw=resampling.hashed, key: str = "run_id") -> tuple[DataFrame, float]:
-    """``rows`` of each replicate: a share of the runs without replacement, and the factor that their spread is to be scaled by."""
-    runs = cut(ranked(rows.select(F.lit(0).alias("_all"), key).distinct(), ["_all"], [key], "pos", "_n").select(key, "pos"))
-    m, factor = resampling.subsample_scale(runs.count(), share)
-    drawn = runs.select(key, "pos", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    taken = ranked(drawn.withColumn("h", draw(F.col("rep"), F.col("pos"), seed)), ["rep"], ["h", "pos"], "k", "_n").where(F.col("k") < m)
-    return rows.join(taken.select(key, "rep"), key), factor
+def subsamples(runs: DataFrame, share: float, replicates: int, seed: int, draw=resampling.hashed) -> tuple[DataFrame, int, float]:
+    """``(rep, unit, w)`` of a share of the runs without replacement, their number, and the factor that their spread is to be scaled by."""
+    placed = cut(units_of(runs, "run_id"))
+    m, factor = resampling.subsample_scale(placed.count(), share)
+    each = placed.select("unit", "pos", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+    taken = ranked(each.withColumn("h", draw(F.col("rep"), F.col("pos"), seed)), ["rep"], ["h", "pos"], "k", "_n").where(F.col("k") < m)
+    return cut(taken.select("rep", "unit", F.lit(1).cast("bigint").alias("w"))), m, factor
 
 
 def units_of(rows: DataFrame, unit: str) -> DataFrame:
@@ -153,20 +147,24 @@ def _morris(effects: DataFrame, slices: Sequence[str], extra: Sequence[str] = ()
 
 
 def analyze(
-    method: str, problem: Problem, outputs: DataFrame, inputs: DataFrame | None = None, layout: DataFrame | None = None, slices: Sequence[str] = (), on_invalid: str = "raise",
+    method: str, problem: Problem, outputs: DataFrame | None, inputs: DataFrame | None = None, layout: DataFrame | None = None, slices: Sequence[str] = (), on_invalid: str = "raise",
     n_bootstrap: int = 0, seed: int | None = None, level: float = 0.95, ci: str = "quantile", draw: Callable = resampling.hashed, keep: bool = False, **options,
 ) -> Result:
     """Indices of ``method`` (a key of ``METHODS``) from ``outputs (run_id, *slices, y)``.
 
     ``layout`` is the design of designed methods: ``(base_id, block, param, run_id)`` for sobol, steps for morris, runs with
-    ``base_id`` and ``mask`` for kucherenko, ``(param, t, n, run_id)`` for efast, slopes ``(run_id, param, d)`` for dgsm. ``inputs
-    (run_id, <names>)`` are needed by the others. ``on_invalid`` says what happens to units of runs with an output that is null, NaN
+    ``base_id`` and ``mask`` for kucherenko, ``(param, t, n, run_id)`` for efast, slopes ``(run_id, param, d)`` for dgsm; with a model
+    ``fn`` of matrices, dgsm needs ``inputs`` alone, and ``output_idx`` is its slice. ``inputs (run_id, <names>)`` are needed by the others. ``on_invalid`` says what happens to units of runs with an output that is null, NaN
     or infinite: ``raise``, ``propagate``, ``drop`` them, or ``skip`` the slices that hold one. Constant slices are warned of. With
     ``n_bootstrap``, intervals of ``level``; they need a ``seed``. Further options are the estimator's.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
     known, slices = METHODS[method], list(slices)
+    if method == "dgsm" and "fn" in options:
+        found = cut(db.slopes_of(inputs.select("run_id", *problem.names), problem, options.pop("fn"), options.pop("step", 1e-4), options.pop("jac", None)))
+        outputs, slices = found.where(F.col("param") == problem.names[0]).select("run_id", "output_idx", "y"), ["output_idx"]
+        layout = found.drop("y")
     backend = options.get("backend", "pce") if method == "shapley" else method
     gate(problem, backend)
     policy = policy_for(method, on_invalid)
@@ -195,13 +193,38 @@ def analyze(
         w = reps_of(rows, unit)
         return point, estimate(rows.join(w, rows[unit] == w["unit"]).drop("unit"), extra=["rep"], w="w")
 
-    def by_rows(estimate: Callable[[DataFrame, list[str]], DataFrame]) -> tuple[DataFrame, DataFrame | None]:
-        long = inputs.unpivot(["run_id"], problem.names, "param", "x").withColumn("x", F.col("x").cast("double"))
-        rows = cleaned(outputs.select("run_id", *slices, F.col("y").cast("double").alias("y")), "run_id")
-        point = estimate(rows.join(long, "run_id"), slices)
-        if not n_bootstrap:
-            return point, None
-        return point, estimate(resampled(rows, reps_of(rows, "run_id"), "run_id").join(long, "run_id"), [*slices, "rep"])
+    def by_rows(estimate: Callable[[DataFrame, list[str]], DataFrame], planned: Callable[[DataFrame], partition.Partition], drawn: Callable[[DataFrame], tuple[DataFrame, int | None]] | None = None) -> tuple[DataFrame, DataFrame | None]:
+        """Estimates on one partition of the runs, which all slices and replicates share.
+
+        Where slices have runs of their own, each is partitioned by itself.
+        """
+        rows = cut(cleaned(outputs.select("run_id", *slices, F.col("y").cast("double").alias("y")), "run_id"))
+        runs = cut(rows.select("run_id").distinct())
+        drawn = drawn or (lambda r: (reps_of(r, "run_id"), None))
+        if _rectangular(rows, runs, slices):
+            shared = planned(inputs.join(runs, "run_id", "left_semi"))
+            more["levels"] = shared.levels
+            point = estimate(shared.of(rows), slices)
+            if not n_bootstrap:
+                return point, None
+            weights, size = drawn(runs)
+            placed = shared.replicated(weights, size) if shared.classes or size else partition.drawn(shared.table, weights)
+            return point, estimate(rows.join(placed, "run_id"), [*slices, "rep"])
+        point = draws = None
+        for s in rows.select(*slices).distinct().orderBy(*slices).collect():  # irregular slices are few: channels
+            own = rows
+            for c in slices:
+                own = own.where(F.col(c).eqNullSafe(F.lit(s[c])))
+            these = own.select("run_id").distinct()
+            shared = planned(inputs.join(these, "run_id", "left_semi"))
+            one = estimate(shared.of(own), slices)
+            point = one if point is None else point.unionByName(one)
+            if n_bootstrap:
+                weights, size = drawn(these)
+                placed = shared.replicated(weights, size) if shared.classes or size else partition.drawn(shared.table, weights)
+                one = estimate(own.join(placed, "run_id"), [*slices, "rep"])
+                draws = one if draws is None else draws.unionByName(one)
+        return point, draws
 
     if method == "sobol":
         met = cleaned(layout.join(outputs, "run_id"), "base_id")
@@ -235,49 +258,51 @@ def analyze(
         rows = cleaned(layout.join(outputs, [c for c in ("run_id", *slices) if c in layout.columns]), "run_id")
         point, draws = by_weight(rows, "run_id", lambda r, extra=(), w=None: db.dgsm(r, db.poincare_constants(problem), problem.variances(), slices, extra, w))
     elif method == "rank":
-        long = inputs.unpivot(["run_id"], problem.names, "param", "x").withColumn("x", F.col("x").cast("double"))
-        rows = cleaned(outputs.select("run_id", *slices, F.col("y").cast("double").alias("y")), "run_id")
-        point, draws = gd.rank_index(rows.join(long, "run_id"), slices), None
-        if n_bootstrap:
-            some, scale = subsamples(rows, options.pop("share", 0.8), n_bootstrap, seed, draw)
-            draws = gd.rank_index(some.join(long, "run_id"), [*slices, "rep"])
+        share = options.pop("share", 0.8)
+
+        def taken(runs: DataFrame) -> tuple[DataFrame, int | None]:
+            nonlocal scale
+            w, size, scale = subsamples(runs, share, n_bootstrap, seed, draw)
+            return w, size
+
+        point, draws = by_rows(gd.rank_index, lambda r: partition.plan(problem, r, method=method), taken)
     elif method == "pawn":
-        codes = [n for n, m in problem.inputs.items() if m.family == "categorical"]
-        if codes:
-            raise ValueError(f"pass categorical inputs {codes} to given_data.pawn with their levels as bins")
-        inputs, centre = problem.units(inputs), True
-        point, draws = by_rows(lambda r, s: gd.pawn(r.withColumnRenamed("x", "u"), options.get("n_classes", 10), options.get("statistic", "median"), s))
+        centre = True
+        point, draws = by_rows(lambda r, s: gd.pawn(r, statistic=options.get("statistic", "median"), slices=s), lambda r: partition.plan_bins(problem, r, options.get("n_classes", 10), method=method))
     elif method == "borgonovo":
         if not (few := gd.discrete_output(outputs, slices)).isEmpty():
             raise ValueError(f"the output is discrete in {few.count()} slices: it has no density")
         classes = options.get("n_classes") or gd.default_classes(outputs.select("run_id").distinct().count())
-        point, draws = by_rows(lambda r, s: gd.borgonovo(r, classes, options.get("grid_size", 100), s, options.get("degenerate_tol", 1e-2)))
+        point, draws = by_rows(lambda r, s: gd.borgonovo(r, classes, options.get("grid_size", 100), s, options.get("degenerate_tol", 1e-2)), lambda r: partition.plan(problem, r, classes, method=method))
         if options.get("bias_correct") and draws is not None:
             draws = cut(draws)
             mean = draws.groupBy(*keys).agg(F.avg("delta").alias("_m"))
             point = point.join(mean, keys).withColumn("delta", 2 * F.col("delta") - F.col("_m")).drop("_m")
+    elif method == "optimal_transport" and options.get("mode", "univariate") != "univariate":
+        point, draws, keys = _joint(problem, cleaned(outputs.select("run_id", *slices, F.col("y").cast("double").alias("y")), "run_id"), inputs, slices, n_bootstrap, reps_of, options)
+        if n := point.agg(F.sum("unconverged")).first()[0]:
+            warnings.warn(f"{n} entropic plans did not settle", stacklevel=2)
     elif method == "optimal_transport":
-        classes = options.get("n_classes")
-        codes = [n for n, m in problem.inputs.items() if m.family == "categorical"]
-
-        def transports(rows: DataFrame, s: list[str]) -> DataFrame:
-            out = gd.transport(rows.where(~F.col("param").isin(codes)), classes, s)
-            return out.unionByName(gd.transport(rows.where(F.col("param").isin(codes)).withColumn("level", F.col("x").cast("int")), None, s, "level")) if codes else out
-
-        point, draws = by_rows(transports)
+        classes = options.get("n_classes") or gd.transport_classes(outputs.select("run_id").distinct().count())
+        point, draws = by_rows(lambda r, s: gd.transport(r, classes, s), lambda r: partition.plan(problem, r, classes, method=method))
         if options.get("dummy"):
-            floor = gd.dummy_transport(outputs, classes, slices, seed or 0, draw)
-            point = point.join(floor, slices) if slices else point.crossJoin(F.broadcast(floor))  # one row for each slice
-            point = point.withColumn("above_dummy", F.greatest(F.col("ot") - F.col("ot_dummy"), F.lit(0.0)))
+            point = _above_dummy(point, cleaned(outputs, "run_id"), problem, classes, slices, more["levels"], seed or 0, draw)
     elif method == "hsic":
         rows = problem.units(inputs).join(cleaned(outputs, "run_id"), "run_id")
         point, draws = _by_slice(rows, slices, lambda r: kernels.hsic(r, problem.names, "y", permutations=options.get("n_perms", 200), seed=seed or 0, bandwidth=options.get("bandwidth", 1.0), draw=draw)), None
     else:
-        rows = inputs.select("run_id", *problem.names).join(cleaned(outputs, "run_id"), "run_id")
-        point = _by_slice(rows, slices, lambda r: _surrogate(backend, method, problem, r, options, more))
-        draws = None
-        if n_bootstrap:
-            w = reps_of(rows, "run_id")
+        kept = cut(cleaned(outputs.select("run_id", *slices, F.col("y").cast("double").alias("y")), "run_id"))
+        rows = inputs.select("run_id", *problem.names).join(kept, "run_id")
+        w = reps_of(kept, "run_id") if n_bootstrap else None
+        many_fit = backend != "vkoga" and (slices or n_bootstrap) and _rectangular(kept, kept.select("run_id").distinct(), slices)
+        point = draws = None
+        if many_fit:
+            both = cut(_fits(backend, method, problem, inputs.select("run_id", *problem.names), kept, slices, w, n_bootstrap, options, more))
+            point = both.where("rep = 0").drop("rep")
+            draws = both.where("rep > 0").withColumn("rep", F.col("rep") - 1) if n_bootstrap else None
+        if not (many_fit and slices):
+            point = _by_slice(rows, slices, lambda r: _surrogate(backend, method, problem, r, options, more))
+        if n_bootstrap and not many_fit:
             fixed = {**options, **({k: (getattr(more["fit"], k[:-1]),) for k in ("gammas", "ridges")} if method == "vkoga" else {})}
             for rep in range(n_bootstrap):
                 again = rows.join(w.where(F.col("rep") == rep), rows["run_id"] == w["unit"]).drop("unit", "rep")
@@ -292,6 +317,52 @@ def analyze(
     return Result(method, point, keys, fields, info, draws if keep else None, more)
 
 
+def _joint(problem: Problem, outputs: DataFrame, inputs: DataFrame, slices: Sequence[str], n_bootstrap: int, reps_of: Callable, options: dict) -> tuple[DataFrame, DataFrame | None, list[str]]:
+    """Transport of several outputs together, its replicates, and the keys: all slices as one cloud (``multivariate``), or for each output the times (``trajectory``, along ``time``)."""
+    mode, time = options["mode"], options.get("time", slices[0] if slices else None)
+    if mode not in ("multivariate", "trajectory"):
+        raise ValueError("mode is univariate, multivariate or trajectory")
+    if mode == "trajectory" and time not in slices:
+        raise ValueError("a trajectory needs the slice that is its time")
+    keys, along = ([], slices) if mode == "multivariate" else ([c for c in slices if c != time], [time])
+    runs = cut(outputs.select("run_id").distinct())
+    if not _rectangular(outputs, runs, slices):
+        raise ValueError("a cloud needs every output of every run")
+    classes = options.get("n_classes") or gd.transport_classes(runs.count())
+    shared = partition.plan(problem, inputs.join(runs, "run_id", "left_semi"), classes, method="optimal_transport")
+    cloud = cut(joint.clouds(outputs, keys, along, options.get("standardize_outputs", True)))
+    own = {a: options[b] for a, b in (("epsilon", "epsilon"), ("most", "max_iter"), ("tol", "tol"), ("plan", "plan")) if options.get(b) is not None}
+    point, draws = joint.joint_transport(cloud, shared.table, keys, **own), None
+    if n_bootstrap:
+        w = reps_of(runs, "run_id")
+        again = cloud.join(w, cloud["run_id"] == w["unit"]).drop("unit")
+        draws = joint.joint_transport(again, shared.replicated(w), [*keys, "rep"], **own)
+    if options.get("dummy"):
+        raise ValueError("a floor is that of one output: take mode univariate")
+    return point, draws, ["param", *keys]
+
+
+def _rectangular(rows: DataFrame, runs: DataFrame, slices: Sequence[str]) -> bool:
+    """Whether each slice has an output of every run."""
+    if not slices:
+        return True
+    least = rows.groupBy(*slices).agg(F.count("*").alias("c")).agg(F.min("c")).first()[0]
+    return least is None or least == runs.count()
+
+
+def _above_dummy(point: DataFrame, rows: DataFrame, problem: Problem, classes: int, slices: Sequence[str], levels: dict[str, list[int]], seed: int, draw: Callable) -> DataFrame:
+    """``point`` with ``ot_dummy`` and ``above_dummy``: one floor for all continuous inputs, one for each categorical input with its levels' sizes."""
+    floors = None
+    if ordered := [n for n in problem.names if n not in levels]:
+        names = F.explode(F.array(*[F.lit(n) for n in ordered])).alias("param")
+        floors = gd.dummy_transport(rows, classes, slices, seed, draw).select("*", names)
+    if levels:
+        own = gd.matched_dummies(rows, {n: [c for c in sizes if c] for n, sizes in levels.items()}, slices, seed, draw)
+        floors = own if floors is None else floors.unionByName(own)
+    out = point.join(floors, ["param", *slices])
+    return out.withColumn("above_dummy", F.greatest(F.col("ot") - F.col("ot_dummy"), F.lit(0.0)))
+
+
 def _by_slice(rows: DataFrame, slices: Sequence[str], fit: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``fit`` of each slice on its own, one after the other, with the slice's values."""
     if not slices:
@@ -306,6 +377,22 @@ def _by_slice(rows: DataFrame, slices: Sequence[str], fit: Callable[[DataFrame],
     return out
 
 
+def _fits(backend: str, method: str, problem: Problem, inputs: DataFrame, outputs: DataFrame, slices: Sequence[str], weights: DataFrame | None, replicates: int, options: dict, more: dict) -> DataFrame:
+    """``(rep, *slices, param, ...)``: fits of all slices, and of all replicates from 1 on, in one pass; what was fitted is kept in ``more``."""
+    blocks, numbers, n = many.stacked(outputs, slices)
+    rows = cut(many.with_weights(blocks.join(inputs, "run_id"), weights, replicates))
+    own = {k: v for k, v in options.items() if k not in ("backend", "include_correlative", "check")}
+    if backend == "hdmr":
+        more["fits"] = fits = many.hdmr(rows, problem, n, **own)
+        found = fits.shapley(options.get("include_correlative", False)) if method == "shapley" else fits.first()
+        found = found.join(fits.quality.select("rep", "output_idx", "variance"), ["rep", "output_idx"])
+    else:
+        more["fits"] = fits = many.pce(rows, problem, n, **own)
+        found = fits.indices()
+    more["outputs"] = numbers
+    return found.withColumnRenamed("output_idx", "_no").join(numbers, "_no").drop("_no")
+
+
 def _surrogate(backend: str, method: str, problem: Problem, runs: DataFrame, options: dict, more: dict) -> DataFrame:
     """Indices from a fit, which is kept in ``more``."""
     spark = runs.sparkSession

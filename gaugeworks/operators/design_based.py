@@ -9,9 +9,10 @@ from __future__ import annotations
 import functools
 import itertools
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -228,23 +229,15 @@ def subset_effects(closed: DataFrame, size: int) -> DataFrame:
 
 
 def efast(curves: DataFrame, omega: int, harmonics: int = 4, slices: Sequence[str] = ()) -> DataFrame:
-    """``(param, *slices, s1, st)`` from curves ``(param, t, n, y)``: the Fourier sums that the indices need, as grouped sums.
+    """``(param, *slices, s1, st)`` from the Fourier transforms of curves ``(param, t, n, y)``, whose work grows with their points.
 
     ``t`` runs from 0 to n - 1. The first index takes the first ``harmonics`` multiples of ``omega``, the
     total one what lies above ``omega // 2``. A constant curve gives NaN.
     """
-    keys = ["param", *slices]
-    stats = curves.groupBy(*keys).agg(F.avg("y").alias("m"), F.var_pop("y").alias("v"), (F.max("y") == F.min("y")).alias("flat"))
-    wanted = sorted({p * omega for p in range(1, harmonics + 1)} | set(range(1, omega // 2 + 1)))
-    freq = F.explode(F.array(*map(F.lit, wanted))).alias("k")
-    rows = curves.join(F.broadcast(stats.select(*keys, "m")), keys).select(*keys, "t", "n", (F.col("y") - F.col("m")).alias("c"), freq)  # one row for each curve
-    angle = F.lit(2 * math.pi) * (F.col("k") * F.col("t") % F.col("n")) / F.col("n")
-    power = rows.groupBy(*keys, "k", "n").agg(F.avg(F.col("c") * F.cos(angle)).alias("re"), F.avg(F.col("c") * F.sin(angle)).alias("im"))
-    both = F.when(F.col("k") * 2 == F.col("n"), 1.0).otherwise(2.0) * (F.col("re") * F.col("re") + F.col("im") * F.col("im"))
-    main = F.col("k").isin([p * omega for p in range(1, harmonics + 1)])
-    sums = power.groupBy(*keys).agg(F.sum(F.when(main, both).otherwise(0.0)).alias("own"), F.sum(F.when(F.col("k") <= omega // 2, both).otherwise(0.0)).alias("rest"))
-    out = sums.join(stats, keys)
-    return out.select(*keys, undefined_if(F.col("flat"), ratio(F.col("own"), F.col("v"))).alias("s1"), undefined_if(F.col("flat"), 1 - ratio(F.col("rest"), F.col("v"))).alias("st"))
+    from .spectrum import fourier_sums
+
+    out = fourier_sums(curves, omega, harmonics, ["param", *slices])
+    return out.select("param", *slices, undefined_if(F.col("flat"), ratio(F.col("own"), F.col("v"))).alias("s1"), undefined_if(F.col("flat"), 1 - ratio(F.col("rest"), F.col("v"))).alias("st"))
 
 
 def zero_curves(curves: DataFrame, slices: Sequence[str] = ()) -> DataFrame:
@@ -290,6 +283,76 @@ def slopes(runs: DataFrame, problem: Problem, fn: Callable[..., Column], step: f
     return runs.select(*keys, F.explode(F.array(*rows)).alias("x")).select(*keys, "x.*")
 
 
+#: Points of a model that are evaluated at once.
+EVALUATED = 1 << 16
+
+
+def evaluated(runs: DataFrame, names: Sequence[str], fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``(*keys, output_idx, y)`` of a model that takes a matrix of runs and returns a column for each output, or one array."""
+    keys = [c for c in runs.columns if c not in names]
+    kinds = dict(runs.dtypes)
+
+    def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for lo in range(0, len(f), EVALUATED):
+                part = f.iloc[lo : lo + EVALUATED]
+                y = _outputs(fn, part[list(names)].to_numpy(float))
+                one = part[keys].loc[part.index.repeat(y.shape[1])].reset_index(drop=True)
+                yield one.assign(output_idx=np.tile(np.arange(y.shape[1]), len(part)), y=y.ravel())
+
+    shape = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "output_idx int, y double"])
+    return runs.select(*keys, *[F.col(c).cast("double").alias(c) for c in names]).mapInPandas(kernel, shape)
+
+
+def _outputs(fn: Callable[[np.ndarray], np.ndarray], x: np.ndarray) -> np.ndarray:
+    y = np.asarray(fn(x), float)
+    y = y[:, None] if y.ndim == 1 else y
+    if y.ndim != 2 or len(y) != len(x):
+        raise ValueError(f"the model returned shape {y.shape} for {len(x)} runs")
+    return y
+
+
+def slopes_of(runs: DataFrame, problem: Problem, fn: Callable[[np.ndarray], np.ndarray], step: float = 1e-4, jac: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """``(*keys, param, output_idx, d, y)`` of a model that is a function of matrices: as ``slopes``, for any code.
+
+    A batch of runs is widened by the two steps of each input, evaluated in pieces of ``EVALUATED`` points, and differenced, all
+    in its task; ``jac``, where the model has one, returns slopes (runs x outputs x inputs) and saves the steps.
+    """
+    names, variances = problem.names, problem.variances()
+    keys = [c for c in runs.columns if c not in names]
+    kinds, d = dict(runs.dtypes), len(names)
+    h = np.array([step * math.sqrt(variances[c]) for c in names])
+    low = np.array([-math.inf if getattr(m, "low", None) is None else m.low for m in problem.inputs.values()], float)
+    high = np.array([math.inf if getattr(m, "high", None) is None else m.high for m in problem.inputs.values()], float)
+
+    def differences(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Outputs, and slopes by run, output and input; a step that would leave the support ends at its bound, or at the run if that lies outside."""
+        up = np.minimum(x + h, np.maximum(x, high))
+        down = np.maximum(x - h, np.minimum(x, low))
+        points = np.repeat(x[None], 2 * d + 1, 0)
+        for j in range(d):
+            points[2 * j + 1, :, j], points[2 * j + 2, :, j] = up[:, j], down[:, j]
+        y = _outputs(fn, points.reshape(-1, d)).reshape(2 * d + 1, len(x), -1)
+        return y[0], np.stack([(y[2 * j + 1] - y[2 * j + 2]) / (up[:, j] - down[:, j])[:, None] for j in range(d)], 2)
+
+    def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        size = max(1, EVALUATED // (2 * d + 1))
+        for f in frames:
+            for lo in range(0, len(f), size):
+                part = f.iloc[lo : lo + size]
+                x = part[names].to_numpy(float)
+                y, slope = (_outputs(fn, x), np.asarray(jac(x), float)) if jac else differences(x)
+                slope = slope[:, None] if slope.ndim == 2 else slope
+                if slope.shape != (*y.shape, d):
+                    raise ValueError(f"slopes have shape {slope.shape} for {y.shape} outputs of {d} inputs")
+                wide = part[keys].loc[part.index.repeat(y.shape[1] * d)].reset_index(drop=True)
+                n, k = y.shape
+                yield wide.assign(param=np.tile(names, n * k), output_idx=np.tile(np.repeat(np.arange(k), d), n), d=slope.ravel(), y=np.repeat(y.ravel(), d))
+
+    shape = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "param string, output_idx int, d double, y double"])
+    return runs.select(*keys, *[F.col(c).cast("double").alias(c) for c in names]).mapInPandas(kernel, shape)
+
+
 def jacobian(runs: DataFrame, names: Sequence[str], y: str = "y", prefix: str = "d_") -> DataFrame:
     """``(param, d, y)`` from slopes that the model gave as columns ``d_<name>``, one row for each run and input."""
     rows = F.array(*[F.struct(F.lit(c).alias("param"), F.col(prefix + c).cast("double").alias("d")) for c in names])
@@ -302,27 +365,30 @@ def uniform_poincare(low: float, high: float) -> float:
 
 
 @functools.cache
-def normal_poincare(mean: float, variance: float, low: float | None, high: float | None, elements: int = 512) -> float:
+def normal_poincare(mean: float, variance: float, low: float | None, high: float | None, degree: int = 60) -> float:
     """The Poincare constant of a normal input, truncated or not.
 
-    The reciprocal of the first positive eigenvalue of the density's Neumann problem, by linear finite elements; an
-    open side ends eight deviations out. The mass matrix is factored, so that the problem is an ordinary one.
+    The largest quotient of a function's variance by its mean squared slope. Over polynomials on the support this is a small
+    eigenvalue problem, whose integrals Gauss quadrature takes; an open side ends eight deviations out. Among
+    polynomials that are orthogonal to constants, variance is the unit matrix.
     """
     if low is None and high is None:
         return variance
     s = math.sqrt(variance)
-    a, b = (mean - 8 * s if low is None else low), (mean + 8 * s if high is None else high)
-    x = np.linspace(a, b, elements + 1)
-    h, z = np.diff(x), ((x[:-1] + x[1:]) / 2 - mean) / s
-    rho = np.exp(-0.5 * (z * z - (z * z).min()))
-    stiff, mass = np.zeros((elements + 1, elements + 1)), np.zeros((elements + 1, elements + 1))
-    i = np.arange(elements)
-    for p, q in ((0, 0), (0, 1), (1, 0), (1, 1)):
-        np.add.at(stiff, (i + p, i + q), rho / h * (1 if p == q else -1))
-        np.add.at(mass, (i + p, i + q), rho * h / (3 if p == q else 6))
-    low_ = np.linalg.cholesky(mass)
-    half = np.linalg.solve(low_, stiff)
-    return float(1 / np.sort(np.linalg.eigvalsh(np.linalg.solve(low_, half.T)))[1])
+    ends = [(mean - 8 * s if low is None else low), (mean + 8 * s if high is None else high)]
+    half, centre = (ends[1] - ends[0]) / 2, sum(ends) / 2
+    t, weight = np.polynomial.legendre.leggauss(8 * degree)
+    z = (centre + half * t - mean) / s
+    density = weight * np.exp(-0.5 * (z * z - (z * z).min()))
+    root = np.sqrt(density / density.sum())[:, None]
+    values = np.polynomial.legendre.legvander(t, degree)
+    slopes_ = np.stack([np.polynomial.legendre.legval(t, np.polynomial.legendre.legder(np.eye(degree + 1)[k])) for k in range(1, degree + 1)], 1) / half
+    one = root / np.linalg.norm(root)
+    centred = root * values[:, 1:] - one @ (one.T @ (root * values[:, 1:]))
+    u, spread, v = np.linalg.svd(centred, full_matrices=False)  # a basis that the density can't tell apart from less is cut
+    keep = spread > spread[0] * 1e-10
+    turned = root * slopes_ @ (v[keep].T / spread[keep])
+    return float(1 / np.linalg.svd(turned, compute_uv=False).min() ** 2)
 
 
 def poincare_constants(problem: Problem) -> dict[str, float]:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE = ["time_idx", "output_idx"]
+#: Rows of a small table that is sent to every task.
+SMALL = 200_000
 
 
 def long_inputs(runs: DataFrame, names: Sequence[str], keep: Sequence[str] = ("run_id",)) -> DataFrame:
@@ -86,11 +88,12 @@ def ranked(rows: DataFrame, by: Sequence[str], order: Sequence[str], rank: str =
         counts = dealt.groupBy("_part", *keys).agg(F.count("*").alias("_c"), (F.sum(value) if value else F.lit(0)).alias("_t"))
         before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
         moved = [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(o) for c, o in (("_c", "_o"), ("_t", "_b"))]
-        offsets = counts.select("_part", *keys, *moved, F.sum("_c").over(Window.partitionBy(*keys)).alias(n))
+        offsets = cut(counts.select("_part", *keys, *moved, F.sum("_c").over(Window.partitionBy(*keys)).alias(n)))
+        small = offsets.count() <= SMALL  # partitions and groups: as many groups as there are slices
         out = out.withColumn("_r", F.row_number().over(within) - 1)
         if value:
             out = out.withColumn("_s", F.coalesce(F.sum(value).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        out = out.join(F.broadcast(offsets), ["_part", *keys]).withColumn(r, F.col("_r") + F.col("_o"))  # partitions times groups: a small table
+        out = out.join(F.broadcast(offsets) if small else offsets, ["_part", *keys]).withColumn(r, F.col("_r") + F.col("_o"))
         out = out.withColumn("before", F.col("_s") + F.col("_b")) if value else out
         out = out.drop("_r", "_o", "_b", "_s")
     return out.drop("_part")

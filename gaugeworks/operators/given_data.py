@@ -1,7 +1,8 @@
 """Estimators on any table of runs: rank, PAWN, Borgonovo's delta, optimal transport (kernel independence is in ``kernels``).
 
 Rows are ``(run_id, param, x)`` joined with an output, long; all params and slices are worked on in one
-job. Ranks come from ``ranked``, so that no window holds a whole param.
+job. Rows that come from a ``Partition`` bring their places and classes; others are placed here, equal values of x in
+order of their runs. Ranks come from ``ranked``, so that no window holds a whole param.
 """
 
 from __future__ import annotations
@@ -16,16 +17,17 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 from .frames import class_of, ranked, ratio, undefined_if
+from .partition import equal_width, in_order, matched
 
 
 def rank_index(rows: DataFrame, slices: Sequence[str] = ()) -> DataFrame:
     """``(param, *slices, s1)``: mean product of neighbours in order of x, the last with the first, over the variance.
 
-    Rows are ``(param, x, y)``; ties in x go by y. The neighbour is met by an equal join on rank.
+    Rows are ``(run_id, param, x, y)``, or placed ones. The neighbour is met by an equal join on rank.
     """
     keys = ["param", *slices]
     stats = cut(rows.groupBy(*keys).agg(F.avg("y").alias("m"), F.var_pop("y").alias("v"), (F.max("y") == F.min("y")).alias("flat")))
-    placed = cut(ranked(rows.select(*keys, "x", "y"), keys, ["x", "y"]).select(*keys, "rank", "n", "y"))
+    placed = cut(in_order(rows, keys))
     following = placed.select(*keys, F.when(F.col("rank") == 0, F.col("n") - 1).otherwise(F.col("rank") - 1).alias("rank"), F.col("y").alias("after"))
     pairs = placed.join(following, [*keys, "rank"]).join(F.broadcast(stats), keys)  # a row for each param and slice
     sums = pairs.groupBy(*keys).agg(F.avg((F.col("y") - F.col("m")) * (F.col("after") - F.col("m"))).alias("c"), F.first("v").alias("v"), F.first("flat").alias("flat"))
@@ -35,15 +37,22 @@ def rank_index(rows: DataFrame, slices: Sequence[str] = ()) -> DataFrame:
 def class_index(rows: DataFrame, classes: int, slices: Sequence[str] = ()) -> DataFrame:
     """``(param, *slices, s1)``: variance of class means over the variance, in equal-frequency classes of x; a constant output gives 0."""
     keys = ["param", *slices]
-    placed = ranked(rows.select(*keys, "x", "y"), keys, ["x", "y"]).withColumn("class", class_of("rank", "n", classes))
+    placed = _classed(rows, keys, classes)
     per = cut(placed.groupBy(*keys, "class").agg(F.count("*").alias("c"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q")))
     whole = per.groupBy(*keys).agg(F.sum("c").alias("n"), F.sum("s").alias("t"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("c")).alias("b"))
     mean2 = F.col("t") * F.col("t") / F.col("n")
     return whole.select(*keys, F.coalesce(F.try_divide(F.col("b") - mean2, F.col("q") - mean2), F.lit(0.0)).alias("s1"))
 
 
+def _classed(rows: DataFrame, keys: Sequence[str], classes: int | None) -> DataFrame:
+    """``(*keys, class, y)``: rows with the classes that they bring, or those of equal frequency in x."""
+    if "class" in rows.columns:
+        return rows.select(*keys, "class", "y")
+    return in_order(rows, keys).select(*keys, class_of("rank", "n", classes).alias("class"), "y")
+
+
 def pawn(rows: DataFrame, bins: int = 10, statistic: str = "median", slices: Sequence[str] = ()) -> DataFrame:
-    """``(param, *slices, pawn, n_bins)`` from rows ``(param, u, y)``, ``u`` the input's unit coordinate.
+    """``(param, *slices, pawn, n_bins)`` from rows ``(param, u, y)``, ``u`` the input's unit coordinate, or ``(param, class, y)``.
 
     Bins are equally wide in u, half open, the last one closed; rows outside [0, 1] count in the whole
     distribution only. A bin of fewer than two rows is left out. Distances are taken at a bin's own
@@ -52,11 +61,7 @@ def pawn(rows: DataFrame, bins: int = 10, statistic: str = "median", slices: Seq
     if statistic not in ("median", "max", "mean"):
         raise ValueError("statistic is median, max or mean")
     keys = ["param", *slices]
-    edges = [k / bins for k in range(bins)]
-    bin_ = F.lit(-1)
-    for k, e in enumerate(edges):
-        bin_ = F.when(F.col("u") >= e, k).otherwise(bin_)
-    bin_ = F.when((F.col("u") >= 0) & (F.col("u") <= 1), bin_)
+    bin_ = F.col("class") if "class" in rows.columns else equal_width(F.col("u"), bins)
     counted = rows.select(*keys, bin_.alias("bin"), "y").groupBy(*keys, "bin", "y").agg(F.count("*").alias("c"))
     values = cut(counted.groupBy(*keys, "y").agg(F.sum("c").alias("c")))
     upto = _running(values, keys).withColumnsRenamed({"upto": "all_upto", "below": "all_below", "total": "all_n"})
@@ -94,7 +99,7 @@ def borgonovo(rows: DataFrame, classes: int, grid: int = 100, slices: Sequence[s
     output gives 0.
     """
     keys = ["param", *slices]
-    placed = cut(ranked(rows.select(*keys, "x", "y"), keys, ["x", "y"]).select(*keys, class_of("rank", "n", classes).alias("class"), "y"))
+    placed = cut(_classed(rows, keys, classes))
     width = lambda: F.pow(0.75 * F.count("*"), F.lit(-0.2)) * F.coalesce(F.stddev_samp("y"), F.lit(0.0))
     whole = cut(placed.groupBy(*keys).agg(F.count("*").alias("n"), F.min("y").alias("lo"), F.max("y").alias("hi"), F.avg("y").alias("m"), F.var_pop("y").alias("v"), width().alias("h")))
     per = placed.groupBy(*keys, "class").agg(F.count("*").alias("c"), F.avg("y").alias("cm"), width().alias("ch"))
@@ -145,12 +150,11 @@ def transport(rows: DataFrame, classes: int | None = None, slices: Sequence[str]
     column with each row's class, for categories or random ones; without it, classes are of equal frequency in x.
     """
     keys = ["param", *slices]
-    rows = rows.select(*keys, *([F.col(member).alias("class")] if member else ["x"]), "y")
     stats = cut(rows.groupBy(*keys).agg(F.avg("y").alias("m"), F.var_samp("y").alias("v"), F.count("*").alias("total")))
-    moved = rows.join(F.broadcast(stats.select(*keys, "m")), keys).withColumn("y", F.col("y") - F.col("m")).drop("m")  # a row for each param and slice
-    if not member:
-        size = classes or transport_classes(stats.agg(F.min("total")).first()[0] or 1)
-        moved = ranked(moved, keys, ["x", "y"], "r", "rn").withColumn("class", class_of("r", "rn", size)).drop("x", "r", "rn")
+    rows = rows.withColumn("class", F.col(member)) if member else rows
+    if "class" not in rows.columns:
+        classes = classes or transport_classes(stats.agg(F.min("total")).first()[0] or 1)
+    moved = _classed(rows, keys, classes).join(F.broadcast(stats.select(*keys, "m")), keys).withColumn("y", F.col("y") - F.col("m")).drop("m")  # a row for each param and slice
     placed = cut(ranked(moved, keys, ["y"], "i", "n", finer="class", total="y"))
     upto = placed.select(*keys, "i", "before", F.col("y").alias("next"))
     ends = F.array(F.struct(F.lit(-1.0).alias("sign"), F.col("fine_rank").alias("k")), F.struct(F.lit(1.0).alias("sign"), (F.col("fine_rank") + 1).alias("k")))
@@ -178,44 +182,17 @@ def dummy_transport(rows: DataFrame, classes: int | None = None, slices: Sequenc
     from .resampling import hashed
 
     noise = (draw or hashed)(F.lit(0), F.col(key), seed)
-    one = rows.select(F.lit("dummy").alias("param"), *slices, noise.cast("double").alias("x"), "y")
+    one = rows.select(F.lit("dummy").alias("param"), F.col(key).alias("run_id"), *slices, noise.cast("double").alias("x"), "y")
     return transport(one, classes, slices).select(*slices, F.col("ot").alias("ot_dummy"))
 
 
-#: Largest cost matrix that one class's entropic plan may have: members times rows.
-PLAN = 50_000_000
-
+def matched_dummies(rows: DataFrame, sizes: dict[str, Sequence[int]], slices: Sequence[str] = (), seed: int = 0, draw=None) -> DataFrame:
+    """``(param, *slices, ot_dummy)``: for each name a floor of random classes with its sizes, as of a categorical input's levels.
 
-def joint_transport(rows: DataFrame, outputs: Sequence[str], classes: int, epsilon: float = 0.03, standardise: bool = True, most: int = 2000, tol: float = 1e-9) -> DataFrame:
-    """``(param, ot, advective, unconverged)`` of several outputs, or a trajectory's times, together: entropic plans from all rows to each class.
-
-    ``rows`` are ``(param, x, *outputs)``. Outputs are moved by their means, and divided by their deviations if asked;
-    the cost is the transport part of a plan with ``epsilon`` relative to twice the total variance. Each class is one
-    task, which holds members times rows costs: a larger plan than ``PLAN`` raises. Plans that do not converge in ``most``
-    rounds keep their last state and are counted.
+    The noise of an index grows with the number of classes and falls with their sizes, so that a floor has to match both. ``rows`` are
+    ``(run_id, *slices, y)``; one random order of the runs serves all names and slices.
     """
-    from .surrogates import sinkhorn
-
-    one = rows.select("param").distinct().orderBy("param").first()
-    if one is None:
-        raise ValueError("there is no row")
-    cloud = rows.where(F.col("param") == one.param).select(*outputs)
-    stats = cloud.agg(F.count("*").alias("n"), *[f(c).alias(f"{k}{i}") for i, c in enumerate(outputs) for k, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
-    if stats.n * -(-stats.n // classes) > PLAN:
-        raise ValueError(f"{stats.n} rows in {classes} classes are too many for entropic plans; take a sample of runs or more classes")
-    moved = [((F.col(c) - stats[f"m{i}"]) / (stats[f"s{i}"] if standardise and stats[f"s{i}"] else 1.0)).alias(f"y{i}") for i, c in enumerate(outputs)]
-    names = [f"y{i}" for i in range(len(outputs))]
-    whole = rows.where(F.col("param") == one.param).select(*moved).toPandas().to_numpy(float)  # of bounded size, by the check above
-    v = 2 * float(np.trace(np.atleast_2d(np.cov(whole.T, ddof=1))))
-    shared = rows.sparkSession.sparkContext.broadcast(whole)
-    placed = ranked(rows.select("param", "x", *moved), ["param"], ["x", *names]).withColumn("class", class_of("rank", "n", classes))
-
-    def cost(f: pd.DataFrame) -> pd.DataFrame:
-        own, every = f[names].to_numpy(float), shared.value
-        d = ((every[:, None] - own[None]) ** 2).sum(2)
-        value, done = sinkhorn(d, epsilon * v, tol, most, report=True) if v > 0 else (0.0, True)
-        return pd.DataFrame({"param": [f.param.iloc[0]], "share": [len(own) / len(every)], "w": [value], "a": [float((own.mean(0) ** 2).sum())], "left": [int(not done)]})
-
-    per = placed.select("param", "class", *names).groupBy("param", "class").applyInPandas(cost, "param string, share double, w double, a double, left int")
-    over = lambda c: (F.sum(F.col("share") * F.col(c)) / v if v > 0 else F.lit(0.0))
-    return per.groupBy("param").agg(over("w").alias("ot"), over("a").alias("advective"), F.sum("left").alias("unconverged"))
+    from .resampling import hashed
+
+    table = matched(rows.select("run_id").distinct(), sizes, (draw or hashed)(F.lit(0), F.col("run_id"), seed))
+    return transport(rows.join(table, "run_id"), None, slices).select("param", *slices, F.col("ot").alias("ot_dummy"))

@@ -1,8 +1,8 @@
 """Surrogates fitted by one pass over the runs: polynomial chaos, HDMR, kernel expansion; Shapley effects from their terms.
 
-Each partition reduces its rows to a small matrix, and these are merged in groups before the last few meet
-on the driver: a triangular factor (least squares by tall QR) or a Gram matrix. Its size depends on
-the basis alone, never on the number of runs.
+Each partition reduces its rows to a small matrix, and these are merged in groups until one is left: a triangular
+factor (least squares by tall QR) or a Gram matrix. Its size depends on the basis alone, never on the number of runs.
+Fits of many outputs, and of replicates, are in ``many``.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import functools
 import itertools
 import math
 import warnings
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,17 +21,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.special import f_ppf, normal_cdf, normal_ppf
+from ..plans.lineage import cut
 from ..problem import NUMPY, Gaussian, Problem, gate
 
 #: Partial matrices that one task merges.
 MERGED = 32
+#: What a task, or a key on its way, is known by: a matrix as bytes with its number of rows.
+SHAPE = "k int, g bigint, rows int, m binary"
+
+
+def partial_rows(kept: dict[int, np.ndarray]) -> Iterator[pd.DataFrame]:
+    """A task's matrices by key, a row for each."""
+    for k, m in kept.items():
+        yield pd.DataFrame({"k": [k], "g": [TaskContext.get().partitionId()], "rows": [m.shape[0]], "m": [np.ascontiguousarray(m, float).tobytes()]})
+
+
+def unpacked(row) -> np.ndarray:
+    return np.frombuffer(row.m).reshape(row.rows, -1)
+
+
+def together(parts: DataFrame, merge: Callable[[np.ndarray], np.ndarray], partitions: int) -> DataFrame:
+    """One row of ``SHAPE`` for each key: matrices are merged ``MERGED`` at a time, level by level.
+
+    Groups go by partition, so that no task receives all of a key, and nothing meets on the driver.
+    """
+
+    def one(f: pd.DataFrame) -> pd.DataFrame:
+        stack = np.stack([unpacked(r) for r in f.itertuples()])
+        m = merge(stack) if len(stack) > 1 else stack[0]
+        return pd.DataFrame({"k": f.k[:1], "g": f.g[:1], "rows": [m.shape[0]], "m": [np.ascontiguousarray(m, float).tobytes()]})
+
+    left = partitions
+    while True:
+        left = -(-left // MERGED)
+        parts = parts.withColumn("g", F.col("g") % left).groupBy("k", "g").applyInPandas(one, SHAPE)
+        if left == 1:
+            return parts
 
 
 def reduced_by(runs: DataFrame, cols: Sequence[str], start: Callable[[np.ndarray], dict[int, np.ndarray]], merge: Callable[[np.ndarray], np.ndarray]) -> dict[int, np.ndarray]:
     """Matrices over all rows by key: ``start`` makes one for each key of a batch of rows, ``merge`` one of a stack of them.
 
-    Partitions merge their own; then matrices are merged ``MERGED`` at a time, level by level, until so few are left
-    that the driver takes them. Their groups go by partition, so that no task receives all.
+    Partitions merge their own, tasks merge these (``together``), and one matrix of each key comes to the driver.
     """
 
     def partial(frames):
@@ -40,24 +71,10 @@ def reduced_by(runs: DataFrame, cols: Sequence[str], start: Callable[[np.ndarray
             if len(f):
                 for k, part in start(f.to_numpy(float)).items():
                     kept[k] = merge(np.stack([kept[k], part])) if k in kept else part
-        for k, m in kept.items():
-            yield pd.DataFrame({"k": [k], "g": [TaskContext.get().partitionId()], "rows": [m.shape[0]], "m": [m.tobytes()]})
-
-    def together(f: pd.DataFrame) -> pd.DataFrame:
-        stack = np.stack([np.frombuffer(m).reshape(r, -1) for m, r in zip(f.m, f.rows)])
-        out = merge(stack)
-        return pd.DataFrame({"k": f.k[:1], "g": f.g[:1], "rows": [out.shape[0]], "m": [out.tobytes()]})
-
-    shape = "k int, g bigint, rows int, m binary"
-    parts = runs.select(*[F.col(c).cast("double") for c in cols]).mapInPandas(partial, shape)
-    left = runs.rdd.getNumPartitions()
-    while left > MERGED:
-        left = -(-left // MERGED)
-        parts = parts.withColumn("g", F.col("g") % left).groupBy("k", "g").applyInPandas(together, shape)
-    found: dict[int, list[np.ndarray]] = {}
-    for r in parts.collect():
-        found.setdefault(r.k, []).append(np.frombuffer(r.m).reshape(r.rows, -1))
-    return {k: merge(np.stack(ms)) for k, ms in found.items()}
+        yield from partial_rows(kept)
+
+    parts = runs.select(*[F.col(c).cast("double") for c in cols]).mapInPandas(partial, SHAPE)
+    return {r.k: unpacked(r) for r in together(parts, merge, runs.rdd.getNumPartitions()).collect()}
 
 
 def reduced(runs: DataFrame, cols: Sequence[str], start: Callable[[np.ndarray], np.ndarray], merge: Callable[[np.ndarray], np.ndarray]) -> np.ndarray | None:
@@ -325,16 +342,24 @@ class Hdmr:
 
 
 def backfit(k: np.ndarray, c: np.ndarray, m: int, ridge: float, most: int = 100, tol: float = 1e-3) -> np.ndarray:
-    """Functions of single inputs in turn, each fitted to what the others leave, until none changes by ``tol`` of the largest weight."""
-    w, blocks = np.zeros(len(c)), [slice(i, i + m) for i in range(0, len(c), m)]
+    """Functions of single inputs in turn, each fitted to what the others leave, until none changes by ``tol`` of the largest weight.
+
+    ``c`` may have a column for each output; a column rests once it has settled.
+    """
+    one = c.ndim == 1
+    c = c.reshape(len(c), -1)
+    w, blocks, moving = np.zeros(c.shape), [slice(i, i + m) for i in range(0, len(c), m)], np.arange(c.shape[1])
     inner = [k[b, b] + ridge * np.trace(k[b, b]) / m * np.eye(m) for b in blocks]
     for _ in range(most):
-        before = w.copy()
+        now = w[:, moving]
+        before = now.copy()
         for b, own in zip(blocks, inner):
-            w[b] = np.linalg.lstsq(own, c[b] - k[b] @ w + k[b, b] @ w[b], rcond=None)[0]
-        if np.abs(w - before).max(initial=0) <= tol * np.abs(w).max(initial=1e-300):
+            now[b] = np.linalg.lstsq(own, c[b][:, moving] - k[b] @ now + k[b, b] @ now[b], rcond=None)[0]
+        w[:, moving] = now
+        moving = moving[np.abs(now - before).max(0, initial=0) > tol * np.abs(now).max(0, initial=1e-300)]
+        if not len(moving):
             break
-    return w
+    return w[:, 0] if one else w
 
 
 def conjugate_gradient(k: np.ndarray, c: np.ndarray, size: int, tol: float = 1e-10, most: int = 1000) -> np.ndarray:
@@ -374,12 +399,7 @@ def hdmr(runs: DataFrame, problem: Problem, y: str = "y", order: int = 2, interv
     if runs.count() < m ** min(order, d) + 1:
         raise ValueError("too few runs")
     pairs = list(itertools.combinations(range(d), 2)) if order == 2 else []
-    marginals = list(problem.inputs.values())
-
-    def basis(x: np.ndarray) -> np.ndarray:
-        one = [bsplines(np.asarray(marginals[j].cdf(x[:, j], NUMPY)), intervals) for j in range(d)]
-        two = [(one[i][:, :, None] * one[j][:, None, :]).reshape(len(x), -1) for i, j in pairs]
-        return np.column_stack([*one, *two])
+    basis = hdmr_basis(problem, intervals, pairs)
 
     def gram(a: np.ndarray) -> np.ndarray:
         b = np.column_stack([np.ones(len(a)), basis(a[:, :d]), a[:, d]])
@@ -388,45 +408,68 @@ def hdmr(runs: DataFrame, problem: Problem, y: str = "y", order: int = 2, interv
     g = reduced(runs, [*names, y, *([weight] if weight else [])], gram, lambda s: s.sum(0))
     n = g[0, 0]
     cov = (g - np.outer(g[0], g[0]) / n)[1:, 1:] / n
-    q = d * m
-    first, rest = slice(0, q), slice(q, q + len(pairs) * m * m)
-    c1, var = cov[first, -1], cov[-1, -1]
-    values, vectors = np.linalg.eigh(cov[first, first])
-    keep = values > math.sqrt(np.finfo(float).eps) * values.max()
-    pinv = (vectors[:, keep] / values[keep]) @ vectors[:, keep].T
-    w1 = backfit(cov[first, first], c1, m, ridge, most, tol)
-    shift = pinv @ cov[first, rest]
-    w2 = np.zeros(0)
+    got = hdmr_terms(cov[:-1, :-1], cov[:-1, -1:], cov[-1:, -1], n, d, pairs, m, ridge, level, most, tol)
+    table = pd.DataFrame({"term": term_names(names, pairs), **{c: got[c][0] for c in ("sa", "sb", "s", "selected")}})
+    weights = got["weights"][:, 0]
+    return Hdmr(names, table, float(got["explained"][0]), problem, basis, weights, float(g[0, -1] / n - g[0, 1:-1] / n @ weights), math.sqrt(got["left"][0]))
+
+
+def term_names(names: Sequence[str], pairs: Sequence[tuple[int, int]]) -> list[str]:
+    return [*names, *[f"{names[i]}*{names[j]}" for i, j in pairs]]
+
+
+def hdmr_basis(problem: Problem, intervals: int, pairs: Sequence[tuple[int, int]]) -> Callable[[np.ndarray], np.ndarray]:
+    """B-splines of single inputs and products of two, at rows of values."""
+    marginals = list(problem.inputs.values())
+
+    def basis(x: np.ndarray) -> np.ndarray:
+        one = [bsplines(np.asarray(marginal.cdf(x[:, j], NUMPY)), intervals) for j, marginal in enumerate(marginals)]
+        two = [(one[i][:, :, None] * one[j][:, None, :]).reshape(len(x), -1) for i, j in pairs]
+        return np.column_stack([*one, *two])
+
+    return basis
+
+
+def hdmr_terms(cov: np.ndarray, with_y: np.ndarray, var: np.ndarray, n: float, d: int, pairs: Sequence[tuple[int, int]], m: int, ridge: float, level: float, most: int, tol: float) -> dict[str, np.ndarray]:
+    """Weights and analysis of covariance of each output, from covariances of the basis, with the outputs (a column each), and their variances.
+
+    The basis alone is factored, once for all outputs. Gives ``sa``, ``sb``, ``s`` and ``selected`` (outputs x terms), ``weights`` (basis x
+    outputs), and what is ``left`` of and ``explained`` of each output's variance.
+    """
+    q, size = d * m, m * m
+    first, rest = slice(0, q), slice(q, q + len(pairs) * size)
+    c1 = with_y[first]
+    w1, shift, w2 = backfit(cov[first, first], c1, m, ridge, most, tol), np.zeros((q, 0)), np.zeros((0, with_y.shape[1]))
     if pairs:
+        values, vectors = np.linalg.eigh(cov[first, first])
+        keep = values > math.sqrt(np.finfo(float).eps) * values.max()
+        shift = (vectors[:, keep] / values[keep]) @ vectors[:, keep].T @ cov[first, rest]
         k2 = cov[rest, rest] - cov[rest, first] @ shift
         k2 = k2 + max(ridge, math.sqrt(np.finfo(float).eps)) * np.trace(k2) / len(k2) * np.eye(len(k2))
-        left = cov[rest, -1] - shift.T @ c1
-        w2 = np.linalg.lstsq(k2, left, rcond=None)[0] if len(k2) <= DENSE else conjugate_gradient(k2, left, m * m)
-    whole = np.zeros((q + len(w2), d + len(pairs)))  # a column for each term's function, in the joint basis
-    for j in range(d):
-        whole[j * m : (j + 1) * m, j] = w1[j * m : (j + 1) * m]
-    for k in range(len(pairs)):
-        own = slice(k * m * m, (k + 1) * m * m)
-        whole[q:, d + k][own] = w2[own]
-        whole[:q, d + k] = -shift[:, own] @ w2[own]
-    c = cov[: len(whole), : len(whole)]
-    inner = whole.T @ c @ whole
-    with_y = whole.T @ cov[: len(whole), -1]
-    s, sa = inner.sum(1), np.diag(inner)
-    residual = lambda on: var - 2 * with_y[on].sum() + inner[np.ix_(on, on)].sum()
-    every = np.arange(len(sa))
-    full = max(residual(every), 0.0)
-    sizes = [m] * d + [m * m] * len(pairs)
-    chosen = []
-    for k in every:
-        left, free = residual(np.delete(every, k)), n - sum(sizes)
-        f = (left - full) / sizes[k] / max(full / free, 1e-300) if free > 0 else 0.0
-        chosen.append(bool(free > 0 and f > f_ppf(level, sizes[k], free)))
-    labels = [names[j] for j in range(d)] + [f"{names[i]}*{names[j]}" for i, j in pairs]
-    scale = var if var > 0 else math.nan
-    table = pd.DataFrame({"term": labels, "sa": sa / scale, "sb": (s - sa) / scale, "s": s / scale, "selected": chosen})
-    weights = whole.sum(1)
-    return Hdmr(names, table, float(1 - full / scale), problem, basis, weights, float(g[0, -1] / n - g[0, 1:-1] / n @ weights), math.sqrt(full))
+        target = with_y[rest] - shift.T @ c1
+        w2 = np.linalg.lstsq(k2, target, rcond=None)[0] if len(k2) <= DENSE else np.stack([conjugate_gradient(k2, t, size) for t in target.T], 1)
+    sizes = np.array([m] * d + [size] * len(pairs))
+    terms, free = len(sizes), n - sizes.sum()
+    bounds = np.array([f_ppf(level, int(k), float(free)) if free > 0 else math.inf for k in sizes])
+    out = {k: np.zeros((with_y.shape[1], terms)) for k in ("sa", "sb", "s")} | {"selected": np.zeros((with_y.shape[1], terms), bool), "weights": np.zeros((len(cov), with_y.shape[1])), "left": np.zeros(with_y.shape[1]), "explained": np.zeros(with_y.shape[1])}
+    for o in range(with_y.shape[1]):
+        whole = np.zeros((len(cov), terms))  # a column for each term's function, in the joint basis
+        for j in range(d):
+            whole[j * m : (j + 1) * m, j] = w1[j * m : (j + 1) * m, o]
+        for k in range(len(pairs)):
+            own = slice(k * size, (k + 1) * size)
+            whole[q:, d + k][own] = w2[own, o]
+            whole[:q, d + k] = -shift[:, own] @ w2[own, o]
+        inner, covered = whole.T @ cov @ whole, whole.T @ with_y[:, o]
+        s, sa = inner.sum(1), np.diag(inner)
+        every = var[o] - 2 * covered.sum() + inner.sum()
+        full = max(every, 0.0)
+        without = every + 2 * covered - 2 * s + sa  # what is left without each term
+        f = (without - full) / sizes / max(full / free, 1e-300) if free > 0 else np.zeros(terms)
+        scale = var[o] if var[o] > 0 else math.nan
+        out["sa"][o], out["sb"][o], out["s"][o], out["selected"][o] = sa / scale, (s - sa) / scale, s / scale, (f > bounds) & (free > 0)
+        out["weights"][:, o], out["left"][o], out["explained"][o] = whole.sum(1), full, 1 - full / scale
+    return out
 
 
 @dataclass
@@ -455,112 +498,30 @@ def gaussian_kernel(u: np.ndarray, v: np.ndarray, gamma: float) -> np.ndarray:
     return np.exp(-gamma * np.maximum((u * u).sum(1)[:, None] + (v * v).sum(1)[None] - 2 * u @ v.T, 0))
 
 
-def greedy_centres(u: np.ndarray, gamma: float, most: int, power: float = 5e-8) -> np.ndarray:
-    """Places of centres, each where the squared distance to the span of the ones before (the power function) is largest."""
-    left, basis, out = np.ones(len(u)), np.zeros((len(u), 0)), []
-    while len(out) < min(most, len(u)):
-        i = int(np.argmax(left))
-        if left[i] <= power:
-            break
-        new = (gaussian_kernel(u, u[i : i + 1], gamma)[:, 0] - basis @ basis[i]) / math.sqrt(left[i])
-        basis = np.column_stack([basis, new])
-        left = np.maximum(left - new * new, 0)
-        left[i] = 0
-        out.append(i)
-    return np.array(out)
-
-
 #: Grids of the search, powers of ten: gamma from 0.01 to 50, ridge from 1e-6 to 1e-2 and four smaller ones.
 GAMMAS = tuple(float(g) for g in np.logspace(-2, math.log10(50), 10))
 RIDGES = tuple(float(r) for r in [*np.logspace(-14, -8, 4), *np.logspace(-6, -2, 10)])
-#: Rows of which a task chooses centres at once.
-CHOSEN_FROM = 20_000
-
-
-def greedy_over(rows: DataFrame, names: Sequence[str], gammas: Sequence[float], most: int) -> dict[float, np.ndarray]:
-    """For each gamma, up to ``most`` centres chosen greedily over all rows of unit coordinates.
-
-    A task chooses among its rows, a piece at a time together with what it has chosen so far; the choices of tasks are
-    merged in groups in the same way, and the last few on the driver. Every row is looked at.
-    """
-
-    def choose(frames):
-        kept = [np.zeros((0, len(names))) for _ in gammas]
-        for f in frames:
-            x = f[list(names)].to_numpy(float)
-            for lo in range(0, len(x), CHOSEN_FROM):
-                for k, g in enumerate(gammas):
-                    both = np.concatenate([kept[k], x[lo : lo + CHOSEN_FROM]])
-                    kept[k] = both[greedy_centres(both, g, most)]
-        for k, c in enumerate(kept):
-            yield pd.DataFrame({"k": k, "g": TaskContext.get().partitionId(), "c": [c.tobytes()]})
-
-    unpacked = lambda blobs: np.concatenate([np.frombuffer(b).reshape(-1, len(names)) for b in blobs])
-
-    def together(f: pd.DataFrame) -> pd.DataFrame:
-        both = unpacked(f.c)
-        return pd.DataFrame({"k": f.k[:1], "g": f.g[:1], "c": [both[greedy_centres(both, gammas[int(f.k.iloc[0])], most)].tobytes()]})
-
-    shape, left = "k int, g bigint, c binary", rows.rdd.getNumPartitions()
-    parts = rows.mapInPandas(choose, shape)
-    while left > 4:
-        left = -(-left // 8)
-        parts = parts.withColumn("g", F.col("g") % left).groupBy("k", "g").applyInPandas(together, shape)
-    found: dict[int, list[bytes]] = {}
-    for r in parts.orderBy("k", "g").collect():
-        found.setdefault(r.k, []).append(r.c)
-    out = {}
-    for k, g in enumerate(gammas):
-        both = unpacked(found[k])
-        out[g] = both[greedy_centres(both, g, most)]
-    return out
-
-
-def vkoga(runs: DataFrame, problem: Problem, y: str = "y", gammas: Sequence[float] = GAMMAS, ridges: Sequence[float] = RIDGES, max_centres: int = 300, folds: int = 10, seed: int = 0) -> Kernel:
+def vkoga(runs: DataFrame, problem: Problem, y: str = "y", gammas: Sequence[float] = GAMMAS, ridges: Sequence[float] = RIDGES, max_centres: int = 300, folds: int = 10, seed: int = 0, held: int | None = None) -> Kernel:
     """A greedy kernel expansion over all runs; gamma and ridge by cross-validation over all of them.
 
-    Centres of each gamma come from ``greedy_over``. One pass then sums a Gram matrix for each gamma and fold; weights
-    without a fold, and the fold's error under them, follow from these sums alone, for every ridge.
+    Centres are chosen over all runs (``greedy``), for each fold over those of the others; weights follow from sums in the Newton
+    basis. ``held`` says how many numbers of a basis one task may hold: larger fits go by rounds over the table.
     """
+    from . import greedy
+
     gate(problem, "vkoga")
-    names, marginals = problem.names, list(problem.inputs.values())
+    names = problem.names
     if len(names) < 2:
         raise ValueError("two inputs at least")
+    n, mean = runs.agg(F.count("*"), F.avg(y)).first()
     h = F.pmod(F.xxhash64(F.lit(seed), *names, y), F.lit(folds)).cast("double").alias("fold")
-    units = problem.units(runs.select(*[F.col(c).cast("double").alias(c) for c in [*names, y]], h))
-    mean = runs.agg(F.avg(y)).first()[0]
-    centres = greedy_over(units.select(*names), names, list(gammas), max_centres)
-    d = len(names)
-
-    def grams(a: np.ndarray) -> dict[int, np.ndarray]:
-        out = {}
-        for k, g in enumerate(gammas):
-            b = np.column_stack([gaussian_kernel(a[:, :d], centres[g], g), a[:, d] - mean, np.ones(len(a))])
-            for f in np.unique(a[:, d + 1]):
-                part = b[a[:, d + 1] == f]
-                out[k * folds + int(f)] = part.T @ part
-        return out
-
-    sums = reduced_by(units, [*names, y, "fold"], grams, lambda s: s.sum(0))
-    best, fits = (math.inf, 0.0, 0.0), {}
-    n = float(sum(sums[f][-1, -1] for f in sums if f < folds))
-    for k, g in enumerate(gammas):
-        own = {f: sums[k * folds + f] for f in range(folds) if k * folds + f in sums}
-        fits[g] = whole = sum(own.values())
-        eye = np.eye(len(centres[g]))
-        for r in ridges:
-            sse = 0.0
-            for held in own.values() if len(own) > 1 else ():
-                train = whole - held
-                w = np.linalg.lstsq(train[:-2, :-2] + r * train[-1, -1] * eye, train[:-2, -2], rcond=None)[0]
-                sse += w @ held[:-2, :-2] @ w - 2 * w @ held[:-2, -2] + held[-2, -2]
-            if sse < best[0]:
-                best = (float(sse), g, r)
-    _, gamma, ridge = best if best[1] else (0.0, gammas[0], ridges[0])
-    whole = fits[gamma]
-    w = np.linalg.lstsq(whole[:-2, :-2] + ridge * n * np.eye(len(whole) - 2), whole[:-2, -2], rcond=None)[0]
-    sse = max(0.0, float(w @ whole[:-2, :-2] @ w - 2 * w @ whole[:-2, -2] + whole[-2, -2]))
-    return Kernel(problem, centres[gamma], w, mean, gamma, ridge, math.sqrt(sse / n), math.sqrt(max(best[0], 0.0) / n))
+    values = runs.select(*[F.col(c).cast("double").alias(c) for c in names], (F.col(y).cast("double") - mean).alias("y"), h)
+    units = cut(problem.units(values))
+    fit, gamma, ridge, sse = greedy.searched(units, names, list(gammas), list(ridges), min(max_centres, n), folds, n, held)
+    beta = greedy.coefficients(fit.chosen, fit.train, ridge)
+    left = np.append(beta, -1.0)
+    rmse = math.sqrt(max(0.0, float(left @ fit.train @ left)) / n)
+    return Kernel(problem, fit.chosen.points, greedy.weights(fit.chosen, beta), mean, gamma, ridge, rmse, math.sqrt(sse / n))
 
 
 def components(model: Kernel, joint: DataFrame, ridge: float = 1e-8) -> tuple[list[np.ndarray], Callable[[int, np.ndarray], np.ndarray]]:
@@ -610,6 +571,8 @@ def kernel_indices(model: Kernel, spark: SparkSession, n_outer: int = 512, n_inn
     names, d = problem.names, len(problem.names)
     if problem.sampler is not None:
         raise ValueError("draw from a custom sampler by kucherenko_design")
+    if not all(isinstance(n, int) and n > 0 for n in (n_outer, n_inner, n_variance)):
+        raise ValueError("sample sizes are whole numbers above zero")
     up = lambda n: 1 << max(0, (n - 1).bit_length())
     n_outer, n_inner, n_variance = up(n_outer), up(n_inner), up(n_variance)
     if n_inner > INNER:
@@ -670,19 +633,3 @@ def _points(n: int, d: int, seed: int) -> np.ndarray:
 def _sums(model: Kernel, problem: Problem, a: np.ndarray) -> np.ndarray:
     v = model.at(np.column_stack([np.asarray(m.cdf(a[:, j], NUMPY)) for j, m in enumerate(problem.inputs.values())]))
     return np.array([[len(v), v.sum(), (v * v).sum()]])
-
-
-def sinkhorn(cost: np.ndarray, epsilon: float, tol: float = 1e-9, most: int = 2000, report: bool = False):
-    """The transport part of the entropic plan between uniform weights, in the log domain; with ``report``, also whether it converged."""
-    n, m = cost.shape
-    f, g, done = np.zeros(n), np.zeros(m), False
-    soft = lambda a, axis: (lambda t: np.squeeze(t, axis) + np.log(np.exp(a - t).sum(axis)))(a.max(axis, keepdims=True))
-    plan = lambda: np.exp((f[:, None] + g[None] - cost) / epsilon) / (n * m)
-    for k in range(most):
-        f = -epsilon * (soft((g[None] - cost) / epsilon, 1) - math.log(m))
-        g = -epsilon * (soft((f[:, None] - cost) / epsilon, 0) - math.log(n))
-        if k % 10 == 9 and np.abs(plan().sum(1) - 1 / n).sum() <= tol:
-            done = True
-            break
-    value = float((plan() * cost).sum())
-    return (value, done) if report else value

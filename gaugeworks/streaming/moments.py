@@ -1,4 +1,4 @@
-"""Indices of runs that arrive as a stream: moments are sums, which a stateful grouping keeps exactly."""
+"""Indices of runs that arrive as a stream: moments are sums, which a stateful grouping keeps exactly, for all time or by window."""
 
 from __future__ import annotations
 
@@ -29,26 +29,59 @@ def indices(sums: DataFrame, keys: tuple[str, ...] = ("param",)) -> DataFrame:
 
 
 def latest(sums: DataFrame, path: str, checkpoint: str) -> None:
-    """Runs a stream of sums until all that is there is read; each batch's whole state replaces the one before at ``path``."""
+    """Runs a stream of sums until all that is there is read; each batch writes the groups that it changed, under its number.
 
-    def keep(state: DataFrame, batch: int) -> None:
-        state.write.mode("overwrite").parquet(f"{path}/{batch}")
+    A batch that is run again after a failure replaces its own files.
+    """
 
-    sums.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    def keep(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
+    sums.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
-def from_files(spark: SparkSession, path: str) -> DataFrame:
-    """Indices of events by type, read as a stream of files until all are read; state and sums lie in the shared folder."""
+
+def newest(spark: SparkSession, path: str, keys: tuple[str, ...] = ("param",)) -> DataFrame:
+    """The last state of each group from what ``latest`` has written."""
+    kept = spark.read.parquet(path)
+    values = [c for c in kept.columns if c not in (*keys, "batch")]
+    last = kept.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_s"))
+    return last.select(*keys, "_s.*")
+
+
+def closed(sums: DataFrame, path: str, checkpoint: str) -> None:
+    """Runs a stream of windowed sums until all that is there is read; windows that the watermark has passed are appended at ``path``, once each.
+
+    Their state goes with them: rows that come later than the watermark allows are left out. Run again with the same ``checkpoint``, it goes on
+    with the files that are new and the windows that are open.
+    """
+    sums.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def event_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A table of events as a stream of files."""
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(spark, path) else f"{folder}/{name[:-8]}*.parquet")
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(spark, path) else f"{folder}/{name[:-8]}*.parquet")
+
+
+def event_rows(events: DataFrame) -> DataFrame:
+    """``(ts, param, a, b, ab)``: each event as a pick-freeze row of its type."""
     hour = F.hour("ts")
-    rows = stream.select(F.col("event_type").alias("param"), F.col("value").alias("a"), (F.col("value") * (hour + 1) / 24).alias("b"), (F.col("value") * (25 - hour) / 24).alias("ab"))
+    return events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("param"), F.col("value").alias("a"), (F.col("value") * (hour + 1) / 24).alias("b"), (F.col("value") * (25 - hour) / 24).alias("ab"))
+
+
+def from_files(spark: SparkSession, path: str) -> DataFrame:
+    """Indices of events by type, read as a stream of files until all are read; state and sums lie in the shared folder."""
     out = fresh_path(spark, "moments")
-    latest(moments(rows), out, f"{out}-state")
-    last = spark.read.parquet(f"{out}/*").withColumn("_batch", F.regexp_extract(F.input_file_name(), r"/(\d+)/[^/]*$", 1).cast("int"))
-    newest = last.agg(F.max("_batch")).first()[0]
-    return indices(last.where(F.col("_batch") == newest))
+    latest(moments(event_rows(event_stream(spark, path))), out, f"{out}-state")
+    return indices(newest(spark, out))
+
+
+def by_window(spark: SparkSession, path: str, window: str = "1 day", late: str = "1 day") -> DataFrame:
+    """``(param, start, n, s1, st, variance)`` of the windows that are closed: those that end before the last event by ``late`` or more."""
+    out = fresh_path(spark, "windows")
+    closed(moments(event_rows(event_stream(spark, path)), late, "ts", window), out, f"{out}-state")
+    return indices(spark.read.parquet(out).withColumn("start", F.col("window.start").cast("timestamp_ntz")), ("param", "start"))
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:

@@ -216,7 +216,9 @@ def test_known_transport_and_delta(spark):
     delta = {r.param: r.delta for r in gd.borgonovo(long, 24).collect()}
     for c, a, b in zip(NAMES, models.gaussian_linear_transport(), models.gaussian_linear_delta()):
         assert abs(ot[c] - a) < 0.05 and abs(delta[c] - b) < 0.06
-    joint = gd.joint_transport(rows.limit(200).withColumn("z", F.col("y") * 2).unpivot(["y", "z"], NAMES, "param", "x"), ["y", "z"], 4, epsilon=0.05).toPandas().set_index("param")
+    few = rows.limit(200).cache()
+    two = few.select("run_id", F.explode(F.array(F.struct(F.lit(0).alias("o"), "y"), F.struct(F.lit(1).alias("o"), (F.col("y") * 2).alias("y")))).alias("s")).select("run_id", "s.*")
+    joint = analyze("optimal_transport", p, two, few, slices=["o"], mode="multivariate", n_classes=4, epsilon=0.05).to_pandas().set_index("param")
     assert joint.ot["x3"] > joint.ot["x1"] and (joint.unconverged == 0).all()
 
 

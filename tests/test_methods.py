@@ -8,6 +8,7 @@ from gaugeworks.functions.special import NUMPY, betainc, normal_cdf, normal_ppf
 from gaugeworks.operators import design_based as db
 from gaugeworks.operators import given_data as gd
 from gaugeworks.operators import surrogates as sg
+from gaugeworks.operators.joint import entropic
 from gaugeworks.operators.frames import drop_invalid, long_inputs, ranked
 from gaugeworks.problem import Beta, Categorical, Gaussian, Lognormal, Problem, Triangular, Uniform, Weibull, gate, repaired
 from gaugeworks.sources import designs, models
@@ -95,7 +96,8 @@ def test_surrogates(spark):
     k = sg.kernel_indices(v, spark, 256, 64, 1024).toPandas().set_index("param")
     assert np.allclose(k.s_tc[NAMES], want, atol=0.08) and np.allclose(k.s_tu[NAMES], want, atol=0.08) and (k.s_u <= k.s_tu).all()
     cost = (np.arange(5.0)[:, None] - np.arange(5.0)[None]) ** 2
-    assert sg.sinkhorn(cost, 0.05) < 0.05
+    value, settled = entropic(cost, np.full(5, 0.2), np.full(5, 0.2), 0.05, 1e-9, 2000)
+    assert value < 0.05 and settled
 
 
 def test_marginals_round_trip(spark):
