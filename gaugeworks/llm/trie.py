@@ -94,14 +94,18 @@ def prefix_trie(members: DataFrame, turns: DataFrame) -> DataFrame:
     root = members.select("conv_id", F.lit(0).cast("bigint").alias("depth"), F.lit(0).cast("bigint").alias("tokens"), *zero)
     sums = running(root.unionByName(steps), "conv_id", ["depth"], ["tokens", *[f"w{i}" for i in range(WORDS)]])
     key = F.unhex(F.sha2(F.concat_ws(",", "depth", *[f"w{i}_upto" for i in range(WORDS)]), 256)).alias("node")
-    paths = written(sums.select("conv_id", "depth", "tokens", F.col("tokens_upto").alias("upto"), key), "paths").join(members, "conv_id")
+    paths = written(sums.select("conv_id", "depth", "tokens", F.col("tokens_upto").alias("upto"), key).join(members, "conv_id"), "paths")
 
-    owners = paths.groupBy("node").agg(F.min("conv_id").alias("owner"), F.max(F.col("length") > F.col("depth")).alias("inner"))
+    # Written, so that the join deals both sides anew and can split what a common prefix or a long conversation brings.
+    owners = written(paths.groupBy("node").agg(F.min("conv_id").alias("owner"), F.max(F.col("length") > F.col("depth")).alias("inner")), "owners")
     marked = written(paths.join(owners, "node").withColumn("owns", F.col("conv_id") == F.col("owner")), "marked")
     # Of each conversation: where the part that it owns begins, the tokens before it, whose the node before it is, and if it owns a leaf.
     above = F.when(~F.col("owns"), F.struct("depth", "upto", "owner"))
-    suffix = marked.groupBy("conv_id").agg(
-        F.min(F.when(F.col("owns"), F.col("depth"))).alias("since"), F.max(above).alias("above"), F.max(F.col("owns") & ~F.col("inner") & (F.col("depth") == F.col("length"))).alias("leaf")
+    suffix = written(
+        marked.groupBy("conv_id").agg(
+            F.min(F.when(F.col("owns"), F.col("depth"))).alias("since"), F.max(above).alias("above"), F.max(F.col("owns") & ~F.col("inner") & (F.col("depth") == F.col("length"))).alias("leaf")
+        ),
+        "suffixes",
     )
     shared = F.when(F.col("owns"), F.lit(0)).otherwise(F.col("above.upto") - F.col("upto") + F.col("tokens"))
     parent = F.when(F.col("depth") > 0, F.when(F.col("depth") == F.col("since"), F.col("above.owner")).otherwise(F.col("conv_id")))
