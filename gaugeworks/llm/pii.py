@@ -70,6 +70,9 @@ BEFORE = ".!?:;\n\r\t\"“”«»()[]|"
 WORD = regex.compile(rf"(?<![\p{{L}}'’-]){NAME}(?![\p{{L}}'’-])")
 #: What the pattern of telephone numbers also finds.
 DATE = re.compile(r"(?:19|20)\d\d[ .-]\d\d[ .-]\d\d|\d\d[ .-]\d\d[ .-](?:19|20)\d\d")
+#: Groups as of any large number or list of numbers, which only a word before them tells to be a telephone's.
+BARE = re.compile(r"[1-9]\d{0,3}(?: \d{3}){1,4}")
+CUE = re.compile(r"(?:tel|phone|fax|call|mobile|cell|whatsapp|dial|m[oó]vil|tél|тел|τηλ)\w*\W{0,4}(?:\w+\W{1,3}){0,2}$", re.IGNORECASE)
 #: Attempts after which surrogates grow longer, and after which none is expected any more.
 ROOMY, MOST_ATTEMPTS = 12, 400
 #: First numbers of public addresses.
@@ -143,14 +146,14 @@ def _person(text: str, at: int, title: str | None) -> Iterator[tuple[int, int, s
         yield at + n.start(), at + n.end(), f"{'surname' if last else 'given'}:{script_of(n[0])}:{'' if last else gender_of(n[0]) or sex}", n[0].lower()
 
 
-def pairs(text: str) -> Iterator[tuple[int, int, str]]:
-    """``(start, end, norm)`` of two capitalised words in a row, which may be a person; ``norm`` begins with ``^`` where they begin a
-    sentence, as any word is capitalised there."""
+def pairs(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """``(start, end, norm, scripts)`` of two capitalised words in a row, which may be a person; ``norm`` begins with ``^`` where they begin a
+    sentence, as any word is capitalised there. ``scripts`` names those of both words, as ``script_of`` tells them."""
     for m in PAIR.finditer(text):
         i = m.start() - 1
         while i >= 0 and text[i] == " ":
             i -= 1
-        yield m.start(), m.end(), ("^" if i < 0 or text[i] in BEFORE else "") + m[0].lower()
+        yield m.start(), m.end(), ("^" if i < 0 or text[i] in BEFORE else "") + m[0].lower(), " ".join(map(script_of, m[0].split(" ")))
 
 
 def mentions(text: str, confirmed: frozenset[str] | set[str] = frozenset()) -> list[tuple[int, int, str, str]]:
@@ -164,7 +167,8 @@ def mentions(text: str, confirmed: frozenset[str] | set[str] = frozenset()) -> l
         whole, at = m[0], m.start()
         if m["phone"]:
             digits = "".join(c for c in whole if c.isdigit())
-            if 8 <= len(digits) <= 15 and not DATE.fullmatch(whole):
+            bare = BARE.fullmatch(whole) and not CUE.search(text, max(0, at - 40), at)
+            if 8 <= len(digits) <= 15 and not DATE.fullmatch(whole) and not bare:
                 out.append((at, m.end(), "phone", ("+" if whole[0] == "+" else "") + digits))
         elif m["card"] or m["ssn"]:
             out.append((at, m.end(), "card" if m["card"] else "ssn", "".join(c for c in whole if c.isdigit())))
@@ -185,7 +189,7 @@ def mentions(text: str, confirmed: frozenset[str] | set[str] = frozenset()) -> l
             out.append((at, m.end(), "email" if m["email"] else "ip", whole.lower()))
     if confirmed:
         spans = [(a, b) for a, b, *_ in out]
-        for a, b, norm in pairs(text):
+        for a, b, norm, _ in pairs(text):
             if norm in confirmed and not any(x < b and a < y for x, y in spans):
                 out += _person(text[a:b], a, None)
     known = {norm: kind for _, _, kind, norm in out if ":" in kind}
@@ -350,7 +354,8 @@ def with_surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
     Persons are known by a title, by a given name of ``GIVEN``, or as two capitalised words of which the first
     stands as a given name, or the second as a surname (not where a sentence begins), beside a title or listed name
     anywhere in the corpus; a lone name counts where a person of the same text bears it. A name's gender is the one that most of its
-    mentions show. Only texts that a cheap pattern lets through are read by Python and joined; the others pass
+    mentions show, its script that of its first letter. Groups of three digits alone are a telephone number only after a word that says
+    so. Only texts that a cheap pattern lets through are read by Python and joined; the others pass
     as they are. The same entity has the same surrogate in all documents, under one key; where a form has few
     values left, surrogates are longer.
 
@@ -369,19 +374,19 @@ def with_surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
         for b in batches:
             rows = set()
             for ra, rb, t in zip(*(b.column(i).to_pylist() for i in range(3))):
-                rows |= {(ra, rb, k, n) for _, _, k, n in mentions(t)} | {(ra, rb, "pair", n) for _, _, n in pairs(t)}
+                rows |= {(ra, rb, k, n) for _, _, k, n in mentions(t)} | {(ra, rb, f"pair {scripts}", n) for _, _, n, scripts in pairs(t)}
             cols = list(zip(*sorted(rows))) or [[], [], [], []]
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["ra", "rb", "kind", "norm"])
 
     found_ = cut(keyed.select("ra", "rb", text).mapInArrow(find, "ra bigint, rb bigint, kind string, norm string"))
-    sure = found_.where("kind <> 'pair'")
+    sure = found_.where("kind NOT LIKE 'pair %'")
     bearers = lambda kind, c: sure.where(F.col("kind").startswith(kind)).select(F.col("norm").alias(c)).distinct()
-    two = found_.where("kind = 'pair'").select("ra", "rb", "norm", F.regexp_replace(F.element_at(F.split("norm", " "), 1), r"^\^", "").alias("first"), F.element_at(F.split("norm", " "), 2).alias("last"))
+    scripts = F.split("kind", " ")
+    two = found_.where("kind LIKE 'pair %'").select("ra", "rb", "norm", scripts[1].alias("s1"), scripts[2].alias("s2"), F.regexp_replace(F.element_at(F.split("norm", " "), 1), r"^\^", "").alias("first"), F.element_at(F.split("norm", " "), 2).alias("last"))
     persons = cut(two.join(bearers("given", "first"), "first", "left_semi").unionByName(two.where(~F.col("norm").startswith("^")).join(bearers("surname", "last"), "last", "left_semi")).distinct())
-    script = F.when(F.col("n").rlike(r"\p{IsCyrillic}"), "cyrillic").when(F.col("n").rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    new_names = persons.select("ra", "rb", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("n")) for k, c in (("given", "first"), ("surname", "last"))])).alias("x")).select("ra", "rb", "x.k", "x.n")
-    each = sure.unionByName(new_names.select("ra", "rb", F.concat_ws(":", "k", script, F.lit("")).alias("kind"), F.col("n").alias("norm")))
+    new_names = F.explode(F.array(*[F.struct(F.concat_ws(":", F.lit(k), F.col(s), F.lit("")).alias("kind"), F.col(c).alias("norm")) for k, c, s in (("given", "first", "s1"), ("surname", "last", "s2"))]))
+    each = sure.unionByName(persons.select("ra", "rb", new_names.alias("x")).select("ra", "rb", "x.kind", "x.norm"))
     each = cut(each.select("ra", "rb", sexless("kind").alias("kind"), "norm", F.when(F.col("kind").endswith(":f"), "f").when(F.col("kind").endswith(":m"), "m").alias("sex")).distinct())
     shown_sex = F.when(F.count_if(F.col("sex") == "f") + F.count_if(F.col("sex") == "m") == 0, "").when(F.count_if(F.col("sex") == "f") >= F.count_if(F.col("sex") == "m"), "f").otherwise("m")
     entities = each.groupBy("kind", "norm").agg(shown_sex.alias("sex"))

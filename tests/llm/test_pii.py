@@ -112,3 +112,19 @@ def test_lone_and_unlisted_names(spark):
 
 def test_an_address_without_letters_gets_a_surrogate():
     assert pii.surrogate("email", "_@-.-", 3, b"k") != "_@-.-"
+
+
+def test_names_of_mixed_scripts(spark):
+    """A letter that looks alike, a sign with a letter's script, and names whose lower case is longer."""
+    texts = ["Dr Sмith came.", "we saw Zoe Sмith today.", "then Мaria Кoval and Zoe Smith met Dr Кoval.", "so Ωmega Smith knew Mr Ωmega.", "and İpek Şahin saw Dr Şahin with \u2126hm Şahin"]
+    got = pii.with_surrogates(spark.createDataFrame([(i, t, "k", "n") for i, t in enumerate(texts)], SCHEMA), "k").collect()
+    by_id = {r.doc_id: r for r in got}
+    assert len(got) == len(texts) and "Sмith" not in by_id[0].text + by_id[1].text and by_id[1].n_entities == 2
+    assert by_id[0].text.split()[1] == by_id[1].text.split()[3]  # one person, one surrogate
+
+
+def test_numbers_that_are_no_telephone():
+    for text in ("our parts 100 200 300 and price 12 000 000", "in all 1 250 000 000 people", "sizes 120 130 140 150"):
+        assert not entities(text)
+    for text in ("call 912 345 678 now", "Tel.: 912 345 678", "+34 912 345 678", "(091) 345 678 12", "phone number is 612 345 678", "0912 345 678"):
+        assert [k for k, _ in entities(text)] == ["phone"], text
