@@ -56,6 +56,33 @@ class Result:
         """The tidy table, in order of its keys; it has one row for each input and slice."""
         return self.table.orderBy(*self.keys).toPandas()
 
+    def shapley(self, cost: str = "total") -> Result:
+        """Exact Shapley effects from the indices of every subset, ``total`` or ``closed`` ones; intervals need kept replicates."""
+        if cost not in ("total", "closed"):
+            raise ValueError("cost is total or closed")
+        return self._allocated("shapley", lambda t, d, keys: db.subset_effects(t.select("mask", *keys, F.col(cost).alias("cost")), d, keys))
+
+    def pme(self) -> Result:
+        """Proportional marginal effects from the total indices of every subset."""
+        return self._allocated("pme", lambda t, d, keys: db.subset_marginal_effects(t.select("mask", *keys, F.col("total").alias("cost")), d, keys))
+
+    def _allocated(self, name: str, effects: Callable[[DataFrame, int, list[str]], DataFrame]) -> Result:
+        names = self.info.get("inputs", [])
+        keys = [k for k in self.keys if k != "mask"]
+        if self.method != "kucherenko" or self.table.select("mask").distinct().count() < (1 << len(names)) - 1:
+            raise ValueError("effects need the indices of every subset: a Kucherenko design with subsets='all'")
+
+        def of(table: DataFrame, own: list[str]) -> DataFrame:
+            empty = (table.select(*own).distinct() if own else table.sparkSession.range(1).select()).select(F.lit(0).alias("mask"), *own, F.lit(0.0).alias("closed"), F.lit(0.0).alias("total"))
+            found = effects(table.select("mask", *own, "closed", "total").unionByName(empty), len(names), own)
+            return found.select(F.element_at(F.array(*map(F.lit, names)), F.col("i").cast("int") + 1).alias("param"), *own, name)
+
+        point = cut(of(self.table, keys))
+        if self.replicates is not None:
+            draws = cut(of(self.replicates, [*keys, "rep"]))
+            point = with_intervals(point, draws, ["param", *keys], [name], self.info["level"], self.info["intervals"])
+        return Result(f"kucherenko {name}", point, ["param", *keys], (name,), dict(self.info))
+
     def aggregate(self, by: str = "variance") -> DataFrame:
         """One row for each input over all slices (``resampling.aggregated``); intervals are left out."""
         if by == "variance" and "variance" not in self.table.columns:
@@ -175,8 +202,10 @@ def analyze(
         bad = outputs.where(~finite("y")).select(*slices).distinct()
         outputs = outputs.join(bad, slices, "left_anti") if slices else outputs
     flat = warn_flat(outputs, method, slices)
-    info = {"method": method, "policy": policy, "constant_slices": flat, "n_bootstrap": n_bootstrap, "level": level if n_bootstrap else None, "intervals": ci if n_bootstrap else None, "seed": seed}
+    info = {"method": method, "policy": policy, "constant_slices": flat, "n_bootstrap": n_bootstrap, "level": level if n_bootstrap else None, "intervals": ci if n_bootstrap else None, "seed": seed, "inputs": problem.names}
     fields, keys = FIELDS[method], ["param", *slices]
+    if options.pop("standardize_outputs", False) if method in ("morris", "dgsm") else False:
+        outputs, layout = _standardised(method, outputs, layout, slices)
     centre = scale = None
     more: dict[str, object] = {}
 
@@ -273,7 +302,7 @@ def analyze(
         if not (few := gd.discrete_output(outputs, slices)).isEmpty():
             raise ValueError(f"the output is discrete in {few.count()} slices: it has no density")
         classes = options.get("n_classes") or gd.default_classes(outputs.select("run_id").distinct().count())
-        point, draws = by_rows(lambda r, s: gd.borgonovo(r, classes, options.get("grid_size", 100), s, options.get("degenerate_tol", 1e-2)), lambda r: partition.plan(problem, r, classes, method=method))
+        point, draws = by_rows(lambda r, s: gd.borgonovo(r, classes, options.get("grid_size", 100), s, options.get("degenerate_tol", 1e-2), options.get("bandwidth"), options.get("degenerate_bandwidth", "auto")), lambda r: partition.plan(problem, r, classes, method=method))
         if options.get("bias_correct") and draws is not None:
             draws = cut(draws)
             mean = draws.groupBy(*keys).agg(F.avg("delta").alias("_m"))
@@ -317,6 +346,15 @@ def analyze(
     return Result(method, point, keys, fields, info, draws if keep else None, more)
 
 
+def _standardised(method: str, outputs: DataFrame, layout: DataFrame, slices: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Outputs of each slice moved by their mean and divided by their population deviation; slopes with them. A constant slice is only moved."""
+    stats = outputs.groupBy(*slices).agg(F.avg("y").alias("_m"), F.stddev_pop("y").alias("_s"))
+    stats = cut(stats.withColumn("_s", F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0)))
+    met = lambda df: df.join(stats, list(slices)) if slices else df.crossJoin(F.broadcast(stats))  # noqa: E731  one row
+    moved = met(outputs).withColumn("y", (F.col("y") - F.col("_m")) / F.col("_s")).drop("_m", "_s")
+    return moved, met(layout).withColumn("d", F.col("d") / F.col("_s")).drop("_m", "_s") if method == "dgsm" else layout
+
+
 def _joint(problem: Problem, outputs: DataFrame, inputs: DataFrame, slices: Sequence[str], n_bootstrap: int, reps_of: Callable, options: dict) -> tuple[DataFrame, DataFrame | None, list[str]]:
     """Transport of several outputs together, its replicates, and the keys: all slices as one cloud (``multivariate``), or for each output the times (``trajectory``, along ``time``)."""
     mode, time = options["mode"], options.get("time", slices[0] if slices else None)

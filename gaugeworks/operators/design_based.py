@@ -216,16 +216,32 @@ def marginal_effects(total: dict[int, float], d: int) -> list[float]:
     return [u / down for u in up]
 
 
-def subset_effects(closed: DataFrame, size: int) -> DataFrame:
-    """Exact Shapley effects ``(i, shapley)`` from ``(mask, cost)`` of every subset of ``size`` inputs: a self-join on masks that differ by one bit."""
+def subset_effects(closed: DataFrame, size: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Exact Shapley effects ``(i, *keys, shapley)`` from ``(mask, *keys, cost)`` of every subset of ``size`` inputs: a self-join on masks that differ by one bit."""
     if size > 12:
         raise ValueError("subsets are enumerated for up to 12 inputs")
-    bits = closed.select(F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("i"), F.col("mask").alias("without"), F.col("cost").alias("low"))
+    bits = closed.select(F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("i"), *keys, F.col("mask").alias("without"), F.col("cost").alias("low"))
     bit = F.call_function("shiftleft", F.lit(1), F.col("i"))
     bits = bits.where(F.col("without").bitwiseAND(bit) == 0).withColumn("mask", F.col("without").bitwiseOR(bit))
     k = F.bit_count("without")
     weights = F.array(*[F.lit(math.factorial(s) * math.factorial(size - s - 1) / math.factorial(size)) for s in range(size)])
-    return bits.join(closed, "mask").groupBy("i").agg(F.sum(F.element_at(weights, k + 1) * (F.col("cost") - F.col("low"))).alias("shapley"))
+    met = bits.join(closed.select("mask", *keys, "cost"), ["mask", *keys])
+    return met.groupBy("i", *keys).agg(F.sum(F.element_at(weights, k + 1) * (F.col("cost") - F.col("low"))).alias("shapley"))
+
+
+def subset_marginal_effects(total: DataFrame, size: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Proportional marginal effects ``(i, *keys, pme)`` from ``(mask, *keys, cost)`` of every subset: a game of at most 4,096 sets in each task."""
+    if size > 12:
+        raise ValueError("subsets are enumerated for up to 12 inputs")
+    kinds = dict(total.dtypes)
+
+    def effects(f: pd.DataFrame) -> pd.DataFrame:
+        found = marginal_effects({int(m): float(c) for m, c in zip(f["mask"], f["cost"]) if m}, size)
+        return pd.DataFrame({"i": np.arange(size), **{k: f[k].iloc[0] for k in keys}, "pme": found})
+
+    shape = ", ".join(["i int", *[f"`{k}` {kinds[k]}" for k in keys], "pme double"])
+    one = total.select("mask", *keys, "cost")
+    return (one.groupBy(*keys) if keys else one.groupBy(F.lit(0))).applyInPandas(effects, shape)
 
 
 def efast(curves: DataFrame, omega: int, harmonics: int = 4, slices: Sequence[str] = ()) -> DataFrame:

@@ -385,20 +385,29 @@ def conjugate_gradient(k: np.ndarray, c: np.ndarray, size: int, tol: float = 1e-
 DENSE = 4000
 
 
-def hdmr(runs: DataFrame, problem: Problem, y: str = "y", order: int = 2, intervals: int = 2, ridge: float = 1e-6, level: float = 0.95, most: int = 100, tol: float = 1e-3, weight: str | None = None) -> Hdmr:
+def hdmr(runs: DataFrame, problem: Problem, y: str = "y", order: int = 2, intervals: int = 2, ridge: float = 1e-6, level: float = 0.95, most: int = 100, tol: float = 1e-3, weight: str | None = None, solver: str | None = None) -> Hdmr:
     """High-dimensional model representation by B-splines from one Gram matrix, with analysis of covariance for dependent inputs.
 
     First-order functions are fitted in turn (``backfit``); pair functions are made orthogonal to them and fitted to
     what they leave. ``ridge`` is relative to a block's mean diagonal, and at least the root of machine precision for
-    pairs. ``weight`` counts each row so often, for a replicate.
+    pairs. ``weight`` counts each row so often, for a replicate. With more pair weights than runs, the pairs are solved for in the space of the
+    runs (``dual``), with the same result; ``solver`` may name that or ``dense``.
     """
     gate(problem, "hdmr")
-    if order not in (1, 2):
-        raise ValueError("order is 1 or 2")
+    if order not in (1, 2) or solver not in (None, "dense", "dual"):
+        raise ValueError("order is 1 or 2, solver dense or dual")
     names, d, m = problem.names, len(problem.names), intervals + 3
-    if runs.count() < m ** min(order, d) + 1:
+    if (size := runs.count()) < m ** min(order, d) + 1:
         raise ValueError("too few runs")
     pairs = list(itertools.combinations(range(d), 2)) if order == 2 else []
+    if solver is None:
+        from .dual import MOST as fits
+
+        solver = "dual" if len(pairs) * m * m > min(size, DENSE) and size <= fits else "dense"
+    if solver == "dual" and pairs:
+        from .dual import dual_hdmr
+
+        return dual_hdmr(runs, problem, y, intervals, pairs, ridge, level, most, tol, weight)
     basis = hdmr_basis(problem, intervals, pairs)
 
     def gram(a: np.ndarray) -> np.ndarray:
@@ -441,35 +450,59 @@ def hdmr_terms(cov: np.ndarray, with_y: np.ndarray, var: np.ndarray, n: float, d
     c1 = with_y[first]
     w1, shift, w2 = backfit(cov[first, first], c1, m, ridge, most, tol), np.zeros((q, 0)), np.zeros((0, with_y.shape[1]))
     if pairs:
-        values, vectors = np.linalg.eigh(cov[first, first])
-        keep = values > math.sqrt(np.finfo(float).eps) * values.max()
-        shift = (vectors[:, keep] / values[keep]) @ vectors[:, keep].T @ cov[first, rest]
+        shift = projection(cov[first, first], cov[first, rest])
         k2 = cov[rest, rest] - cov[rest, first] @ shift
-        k2 = k2 + max(ridge, math.sqrt(np.finfo(float).eps)) * np.trace(k2) / len(k2) * np.eye(len(k2))
-        target = with_y[rest] - shift.T @ c1
-        w2 = np.linalg.lstsq(k2, target, rcond=None)[0] if len(k2) <= DENSE else np.stack([conjugate_gradient(k2, t, size) for t in target.T], 1)
+        mean = lambda a: np.diag(a).reshape(len(pairs), size).mean(1)
+        ridges, alive = pair_ridges(mean(cov[rest, rest]), mean(k2), ridge)
+        on = np.repeat(alive, size)
+        k2 = k2[np.ix_(on, on)] + np.diag(np.repeat(ridges, size)[on])
+        target = (with_y[rest] - shift.T @ c1)[on]
+        w2 = np.zeros((len(on), with_y.shape[1]))
+        w2[on] = np.linalg.lstsq(k2, target, rcond=None)[0] if len(k2) <= DENSE else np.stack([conjugate_gradient(k2, t, size) for t in target.T], 1)
     sizes = np.array([m] * d + [size] * len(pairs))
-    terms, free = len(sizes), n - sizes.sum()
-    bounds = np.array([f_ppf(level, int(k), float(free)) if free > 0 else math.inf for k in sizes])
-    out = {k: np.zeros((with_y.shape[1], terms)) for k in ("sa", "sb", "s")} | {"selected": np.zeros((with_y.shape[1], terms), bool), "weights": np.zeros((len(cov), with_y.shape[1])), "left": np.zeros(with_y.shape[1]), "explained": np.zeros(with_y.shape[1])}
+    out: dict[str, list] = {k: [] for k in ("sa", "sb", "s", "selected", "left", "explained")}
+    weights = np.zeros((len(cov), with_y.shape[1]))
     for o in range(with_y.shape[1]):
-        whole = np.zeros((len(cov), terms))  # a column for each term's function, in the joint basis
+        whole = np.zeros((len(cov), len(sizes)))  # a column for each term's function, in the joint basis
         for j in range(d):
             whole[j * m : (j + 1) * m, j] = w1[j * m : (j + 1) * m, o]
         for k in range(len(pairs)):
             own = slice(k * size, (k + 1) * size)
             whole[q:, d + k][own] = w2[own, o]
             whole[:q, d + k] = -shift[:, own] @ w2[own, o]
-        inner, covered = whole.T @ cov @ whole, whole.T @ with_y[:, o]
-        s, sa = inner.sum(1), np.diag(inner)
-        every = var[o] - 2 * covered.sum() + inner.sum()
-        full = max(every, 0.0)
-        without = every + 2 * covered - 2 * s + sa  # what is left without each term
-        f = (without - full) / sizes / max(full / free, 1e-300) if free > 0 else np.zeros(terms)
-        scale = var[o] if var[o] > 0 else math.nan
-        out["sa"][o], out["sb"][o], out["s"][o], out["selected"][o] = sa / scale, (s - sa) / scale, s / scale, (f > bounds) & (free > 0)
-        out["weights"][:, o], out["left"][o], out["explained"][o] = whole.sum(1), full, 1 - full / scale
-    return out
+        one = ancova(whole.T @ cov @ whole, whole.T @ with_y[:, o], var[o], n, sizes, level)
+        for k, v in one.items():
+            out[k].append(v)
+        weights[:, o] = whole.sum(1)
+    return {k: np.array(v) for k, v in out.items()} | {"weights": weights}
+
+
+def ancova(inner: np.ndarray, covered: np.ndarray, var: float, n: float, sizes: np.ndarray, level: float) -> dict[str, object]:
+    """Shares of terms, and which an F test selects, from covariances of the terms' functions and of each with the output."""
+    s, sa, free = inner.sum(1), np.diag(inner), n - sizes.sum()
+    every = var - 2 * covered.sum() + inner.sum()
+    full = max(every, 0.0)
+    without = every + 2 * covered - 2 * s + sa  # what is left without each term
+    f = (without - full) / sizes / max(full / free, 1e-300) if free > 0 else np.zeros(len(sizes))
+    bounds = np.array([f_ppf(level, int(k), float(free)) if free > 0 else math.inf for k in sizes])
+    scale = var if var > 0 else math.nan
+    return {"sa": sa / scale, "sb": (s - sa) / scale, "s": s / scale, "selected": (f > bounds) & (free > 0), "left": full, "explained": 1 - full / scale}
+
+
+def projection(first: np.ndarray, cross: np.ndarray) -> np.ndarray:
+    """Weights of single inputs' splines that pair functions have in common with them, by the spectrum above round-off."""
+    values, vectors = np.linalg.eigh(first)
+    keep = values > math.sqrt(np.finfo(float).eps) * values.max()
+    return (vectors[:, keep] / values[keep]) @ vectors[:, keep].T @ cross
+
+
+def pair_ridges(raw: np.ndarray, projected: np.ndarray, ridge: float) -> tuple[np.ndarray, np.ndarray]:
+    """The ridge of each pair's block, and which pairs are alive, from mean diagonals of the blocks and of what projection leaves of them.
+
+    A ridge is at least the projection's round-off. A pair of which nothing is left beyond single inputs is dead: its functions are zero.
+    """
+    root = math.sqrt(np.finfo(float).eps)
+    return np.maximum(ridge * projected, root * raw), projected > root * projected.max()
 
 
 @dataclass

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import many
 from ..operators import resampling as rs
+from ..operators import surrogates as sg
 from ..operators.analyze import analyze
 from ..problem import Categorical, Problem, Uniform
 from .tables import ORDERS, borgonovo_sql, model, model_sql, order_rows, pawn_sql, portable_sql, query, rounded, table, transport_sql
@@ -180,6 +181,35 @@ def hdmr_embeddings(spark, sf_dir):
     return rounded(fits.terms.select("output_idx", "term", "sa", "sb", "s"), "output_idx", "term", digits=5)
 
 
+# --- kernels with greedy centres ---
+
+CENTRES, GAMMA, RIDGE = 8, 2.0, 1e-6
+
+
+def _greedy_sql(centres: int, gamma: float) -> str:
+    """Newton bases of centres taken one by one, each where the power function is largest, of equals the smallest values."""
+    steps = [f"n0 AS (SELECT run_id, x1 / 1.2 AS a, x2 / 1.2 AS b, x3 / 1.2 AS c, {model_sql('x1', 'x2', 'x3')} AS y, 1.0::DOUBLE AS power FROM o)"]
+    for k in range(centres):
+        before = "".join(f" - n.v{j} * p.v{j}" for j in range(k))
+        steps.append(f"p{k} AS MATERIALIZED (SELECT * FROM n{k} ORDER BY power DESC, a, b, c, y LIMIT 1)")
+        steps.append(f"""n{k + 1} AS MATERIALIZED (SELECT * EXCLUDE (same) REPLACE (CASE WHEN same THEN 0 ELSE greatest(power - v{k} * v{k}, 0) END AS power) FROM (
+  SELECT n.*, (exp(-{gamma} * (pow(n.a - p.a, 2) + pow(n.b - p.b, 2) + pow(n.c - p.c, 2))){before}) / sqrt(p.power) AS v{k}, n.a = p.a AND n.b = p.b AND n.c = p.c AS same FROM n{k} n, p{k} p))""")
+    return ", ".join(steps)
+
+
+_SPREAD = f"{RIDGE} + 1e-8 * ((" + " + ".join(f"g{i}_{i}" for i in range(CENTRES)) + f") / {CENTRES} + {RIDGE})"
+
+
+@query("vkoga_predictions", f"""WITH {ORDERS}, {_greedy_sql(CENTRES, GAMMA)}, f AS (SELECT 1 AS one, 1 AS w, run_id, y - avg(y) OVER () AS y, avg(y) OVER () AS m, {', '.join(f'v{i} AS f{i}' for i in range(CENTRES))} FROM n{CENTRES}),
+{solve_sql('f', 'one', CENTRES, dict.fromkeys(range(CENTRES), _SPREAD))} SELECT run_id, round(m + {' + '.join(f'c{i} * f{i}' for i in range(CENTRES))}, 6) AS prediction FROM f JOIN solved USING (one)""")
+def vkoga_predictions(spark, sf_dir):
+    """A kernel expansion of few centres, chosen over all orders."""
+    rows = order_rows(spark, sf_dir)
+    runs = rows.withColumn("y", model(*map(F.col, ("x1", "x2", "x3"))))
+    fit = sg.vkoga(runs, Problem({c: Uniform(0, 1.2) for c in ("x1", "x2", "x3")}), gammas=(GAMMA,), ridges=(RIDGE,), max_centres=CENTRES)
+    return rounded(fit.predict(rows).select("run_id", "prediction"), "run_id")
+
+
 # --- several outputs together ---
 
 _ROUNDS = 20

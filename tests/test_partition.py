@@ -95,9 +95,11 @@ def test_codes_are_checked(spark):
     f = frame(100)
     for bad in (0.5, 3.0, -1.0, float("nan"), None):
         runs = spark.createDataFrame(f).withColumn("level", F.when(F.col("run_id") == 7, F.lit(bad).cast("double")).otherwise(F.col("level")))
-        for method in ("pawn", "borgonovo", "optimal_transport"):
-            with pytest.raises(ValueError, match="codes 0 to 2"):
-                analyze(method, P, runs.select("run_id", "y"), runs)
+        with pytest.raises(ValueError, match="codes 0 to 2"):
+            partition.level_counts(P, runs)
+    for method in ("pawn", "borgonovo", "optimal_transport"):
+        with pytest.raises(ValueError, match="codes 0 to 2"):
+            analyze(method, P, runs.select("run_id", "y"), runs)
     with pytest.warns(UserWarning, match=r"levels \[2\]"):
         runs = spark.createDataFrame(f).withColumn("level", F.least("level", F.lit(1.0)))
         table = analyze("optimal_transport", P, runs.select("run_id", "y"), runs, dummy=True).to_pandas()
