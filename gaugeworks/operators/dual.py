@@ -110,7 +110,7 @@ def dual_hdmr(runs: DataFrame, problem: Problem, y: str, intervals: int, pairs:
     f = sg.reduced(placed, numbers, moments, lambda s: s.sum(0))
     inner = f / n - np.outer(f[0], f[0]) / n**2
     sizes = np.array([m] * d + [size] * len(pairs))
-    one = sg.ancova(inner[1:-1, 1:-1], inner[1:-1, -1], var, n, sizes, level)
+    one = sg.ancova(inner[1:-1, 1:-1], inner[1:-1, -1], var, n, sizes, sg.f_bounds(level, sizes, n))
     table = pd.DataFrame({"term": sg.term_names(names, pairs), **{c: one[c] for c in ("sa", "sb", "s", "selected")}})
     weights = np.concatenate([w1 - turned.sum(1), w2])
     offset = float(mean[-1] - mean1 @ weights[:q] - mean2 @ w2)

@@ -461,6 +461,7 @@ def hdmr_terms(cov: np.ndarray, with_y: np.ndarray, var: np.ndarray, n: float, d
         w2[on] = np.linalg.lstsq(k2, target, rcond=None)[0] if len(k2) <= DENSE else np.stack([conjugate_gradient(k2, t, size) for t in target.T], 1)
     sizes = np.array([m] * d + [size] * len(pairs))
     out: dict[str, list] = {k: [] for k in ("sa", "sb", "s", "selected", "left", "explained")}
+    bounds = f_bounds(level, sizes, n)
     weights = np.zeros((len(cov), with_y.shape[1]))
     for o in range(with_y.shape[1]):
         whole = np.zeros((len(cov), len(sizes)))  # a column for each term's function, in the joint basis
@@ -470,21 +471,27 @@ def hdmr_terms(cov: np.ndarray, with_y: np.ndarray, var: np.ndarray, n: float, d
             own = slice(k * size, (k + 1) * size)
             whole[q:, d + k][own] = w2[own, o]
             whole[:q, d + k] = -shift[:, own] @ w2[own, o]
-        one = ancova(whole.T @ cov @ whole, whole.T @ with_y[:, o], var[o], n, sizes, level)
+        one = ancova(whole.T @ cov @ whole, whole.T @ with_y[:, o], var[o], n, sizes, bounds)
         for k, v in one.items():
             out[k].append(v)
         weights[:, o] = whole.sum(1)
     return {k: np.array(v) for k, v in out.items()} | {"weights": weights}
 
 
-def ancova(inner: np.ndarray, covered: np.ndarray, var: float, n: float, sizes: np.ndarray, level: float) -> dict[str, object]:
+def f_bounds(level: float, sizes: np.ndarray, n: float) -> np.ndarray:
+    """What the F statistic of each term must be above to be selected."""
+    free = float(n - sizes.sum())
+    known = {int(k): f_ppf(level, int(k), free) if free > 0 else math.inf for k in set(sizes)}
+    return np.array([known[int(k)] for k in sizes])
+
+
+def ancova(inner: np.ndarray, covered: np.ndarray, var: float, n: float, sizes: np.ndarray, bounds: np.ndarray) -> dict[str, object]:
     """Shares of terms, and which an F test selects, from covariances of the terms' functions and of each with the output."""
     s, sa, free = inner.sum(1), np.diag(inner), n - sizes.sum()
     every = var - 2 * covered.sum() + inner.sum()
     full = max(every, 0.0)
     without = every + 2 * covered - 2 * s + sa  # what is left without each term
     f = (without - full) / sizes / max(full / free, 1e-300) if free > 0 else np.zeros(len(sizes))
-    bounds = np.array([f_ppf(level, int(k), float(free)) if free > 0 else math.inf for k in sizes])
     scale = var if var > 0 else math.nan
     return {"sa": sa / scale, "sb": (s - sa) / scale, "s": s / scale, "selected": (f > bounds) & (free > 0), "left": full, "explained": 1 - full / scale}
 

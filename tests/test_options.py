@@ -29,14 +29,15 @@ def test_effects_of_subsets(result):
         own = total[total.o == o].set_index("mask").total
         assert abs(shapley.shapley[o].sum() - 1) < 1e-9 and abs(pme.pme[o].sum() - 1) < 1e-9
         assert np.allclose(pme.loc[o].loc[list("abc"), "pme"], db.marginal_effects(own.to_dict(), 3))
-        assert abs(pme.pme[o, "c"]) < 1e-12 and abs(shapley.shapley[o, "c"]) < 1e-9  # the model doesn't use it
+        assert abs(pme.pme[o, "c"]) < 1e-12 and abs(shapley.shapley[o, "c"]) < 0.01  # the model doesn't use it
     assert np.allclose(shapley.shapley, closed.shapley[shapley.index], atol=0.15)
     assert (shapley.shapley_lower <= shapley.shapley_upper).all() and (pme.pme_lower <= pme.pme_upper).all()
 
 
 def test_effects_need_all_subsets(spark):
-    design = dependent.kucherenko_design(spark, NORMAL, 64, seed=3)
-    got = analyze("kucherenko", NORMAL, design.select("run_id", (F.col("a") + F.col("b")).alias("y")), layout=design)
+    four = Problem({c: Gaussian() for c in "abcd"}, correlation=np.eye(4) + 0.2 * (1 - np.eye(4)))
+    design = dependent.kucherenko_design(spark, four, 64, seed=3)
+    got = analyze("kucherenko", four, design.select("run_id", (F.col("a") + F.col("b")).alias("y")), layout=design)
     with pytest.raises(ValueError, match="every subset"):
         got.shapley()
     with pytest.raises(ValueError, match="total or closed"):
