@@ -302,7 +302,8 @@ def analyze(
         if not (few := gd.discrete_output(outputs, slices)).isEmpty():
             raise ValueError(f"the output is discrete in {few.count()} slices: it has no density")
         classes = options.get("n_classes") or gd.default_classes(outputs.select("run_id").distinct().count())
-        point, draws = by_rows(lambda r, s: gd.borgonovo(r, classes, options.get("grid_size", 100), s, options.get("degenerate_tol", 1e-2), options.get("bandwidth"), options.get("degenerate_bandwidth", "auto")), lambda r: partition.plan(problem, r, classes, method=method))
+        ends = cut(outputs.where(finite("y")).groupBy(*slices).agg(F.min("y").cast("double").alias("lo"), F.max("y").cast("double").alias("hi"))) if n_bootstrap else None
+        point, draws = by_rows(lambda r, s: gd.borgonovo(r, classes, options.get("grid_size", 100), s, options.get("degenerate_tol", 1e-2), options.get("bandwidth"), options.get("degenerate_bandwidth", "auto"), ends if "rep" in s else None), lambda r: partition.plan(problem, r, classes, method=method))
         if options.get("bias_correct") and draws is not None:
             draws = cut(draws)
             mean = draws.groupBy(*keys).agg(F.avg("delta").alias("_m"))

@@ -90,13 +90,14 @@ def default_classes(n: int) -> int:
     return max(1, int(min(math.ceil(n ** (2 / (7 + math.tanh((1500 - n) / 500)))), 48)))
 
 
-def borgonovo(rows: DataFrame, classes: int, grid: int = 100, slices: Sequence[str] = (), narrow: float = 1e-2, bandwidth: float | None = None, least: float | str = "auto") -> DataFrame:
+def borgonovo(rows: DataFrame, classes: int, grid: int = 100, slices: Sequence[str] = (), narrow: float = 1e-2, bandwidth: float | None = None, least: float | str = "auto", bounds: DataFrame | None = None) -> DataFrame:
     """``(param, *slices, delta, s1)``: half the mean area between the output's density and its density in each class.
 
     Densities are Gaussian kernel sums on ``grid`` points from the least to the largest output: a batch of rows is
     summed on the grid in one step, and only these sums are grouped. Bandwidths are
     ``(0.75 n)^(-1/5)`` sample deviations, or ``bandwidth`` of them; a class narrower than ``narrow`` of the whole gets a floor, a tenth of
-    the whole's and the grid's step at least, or ``least`` of the whole's. A constant output gives 0.
+    the whole's and the grid's step at least, or ``least`` of the whole's. A constant output gives 0. ``bounds``, with some of the
+    keys, ``lo`` and ``hi``, sets the grids' ends: those of replicates are the ends of what they are drawn from.
     """
     if (bandwidth is not None and bandwidth <= 0) or (least != "auto" and not (isinstance(least, (int, float)) and least > 0)):
         raise ValueError("bandwidths are above zero")
@@ -105,6 +106,10 @@ def borgonovo(rows: DataFrame, classes: int, grid: int = 100, slices: Sequence[s
     factor = (lambda: F.pow(0.75 * F.count("*"), F.lit(-0.2))) if bandwidth is None else (lambda: F.lit(float(bandwidth)))
     width = lambda: factor() * F.coalesce(F.stddev_samp("y"), F.lit(0.0))
     whole = cut(placed.groupBy(*keys).agg(F.count("*").alias("n"), F.min("y").alias("lo"), F.max("y").alias("hi"), F.avg("y").alias("m"), F.var_pop("y").alias("v"), width().alias("h")))
+    if bounds is not None:
+        on = [k for k in keys if k in bounds.columns]
+        rest = whole.drop("lo", "hi")
+        whole = cut(rest.join(bounds, on) if on else rest.crossJoin(F.broadcast(bounds)))  # one row without keys
     per = placed.groupBy(*keys, "class").agg(F.count("*").alias("c"), F.avg("y").alias("cm"), width().alias("ch"))
     step = (F.col("hi") - F.col("lo")) / (grid - 1)
     floor = F.when(F.col("ch") < narrow * F.col("h"), F.greatest(0.1 * F.col("h"), step) if least == "auto" else least * F.col("h")).otherwise(F.col("ch"))

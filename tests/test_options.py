@@ -65,3 +65,23 @@ def test_standardised_outputs(spark):
     inputs = p.transform(designs.monte_carlo(spark, 200, p.names, 1))
     plain, scaled = (analyze("dgsm", p, None, inputs, fn=lambda x: 7 * x[:, 0] + x[:, 1] ** 2, standardize_outputs=s).table.toPandas().set_index("param") for s in (False, True))
     assert np.allclose(plain.upper_bound[["a", "b"]], scaled.upper_bound[["a", "b"]]) and scaled.variance["a"] == pytest.approx(1)
+
+
+def test_grids_of_replicates_are_the_samples(spark):
+    """A resample that lacks the ends is summed on the whole sample's grid."""
+    rng = np.random.default_rng(9)
+    x = np.sort(rng.random(80))
+    y = 3 * x + rng.normal(size=80)
+    on = (y > y.min()) & (y < y.max())
+    rows = spark.createDataFrame([("x", k, float(a), float(b)) for k, (a, b) in enumerate(zip(x, y)) if on[k]], "param string, run_id int, x double, y double")
+    bounds = spark.createDataFrame([(float(y.min()), float(y.max()))], "lo double, hi double")
+    own, classes = y[on], np.repeat(np.arange(4), np.diff([k * 78 // 4 for k in range(5)]))
+    grid = np.linspace(y.min(), y.max(), 100)
+
+    def density(v):
+        h = (0.75 * len(v)) ** -0.2 * v.std(ddof=1)
+        return np.exp(-0.5 * ((grid[:, None] - v) / h) ** 2).sum(1) / (len(v) * h * np.sqrt(2 * np.pi))
+
+    want = sum((classes == c).mean() / 2 * np.trapezoid(np.abs(density(own) - density(own[classes == c])), grid) for c in range(4))
+    assert gd.borgonovo(rows, 4, bounds=bounds).first().delta == pytest.approx(want, abs=1e-10)
+    assert abs(gd.borgonovo(rows, 4).first().delta - want) > 1e-6
