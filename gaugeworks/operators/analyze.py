@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import cut, kept
 from ..problem import METHODS, Gaussian, Problem, gate, policy_for
 from . import design_based as db
 from . import given_data as gd
@@ -174,10 +174,10 @@ def _morris(effects: DataFrame, slices: Sequence[str], extra: Sequence[str] = ()
 
 
 def analyze(
-    method: str, problem: Problem, outputs: DataFrame | None, inputs: DataFrame | None = None, layout: DataFrame | None = None, slices: Sequence[str] = (), on_invalid: str = "raise",
+    method: str, problem: Problem, outputs: DataFrame | str | None, inputs: DataFrame | None = None, layout: DataFrame | None = None, slices: Sequence[str] = (), on_invalid: str = "raise",
     n_bootstrap: int = 0, seed: int | None = None, level: float = 0.95, ci: str = "quantile", draw: Callable = resampling.hashed, keep: bool = False, **options,
 ) -> Result:
-    """Indices of ``method`` (a key of ``METHODS``) from ``outputs (run_id, *slices, y)``.
+    """Indices of ``method`` (a key of ``METHODS``) from ``outputs (run_id, *slices, y)``, or of one output, a column of ``inputs`` that is named.
 
     ``layout`` is the design of designed methods: ``(base_id, block, param, run_id)`` for sobol, steps for morris, runs with
     ``base_id`` and ``mask`` for kucherenko, ``(param, t, n, run_id)`` for efast, slopes ``(run_id, param, d)`` for dgsm; with a model
@@ -188,6 +188,12 @@ def analyze(
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
     known, slices = METHODS[method], list(slices)
+    whole = None
+    if isinstance(outputs, str):
+        if slices:
+            raise ValueError("an output that is named has no slices")
+        whole = inputs.select("run_id", *[F.col(n) for n in problem.names], F.col(outputs).cast("double").alias("y"))
+        outputs, inputs = whole.select("run_id", "y"), whole.drop("y")
     if method == "dgsm" and "fn" in options:
         found = cut(db.slopes_of(inputs.select("run_id", *problem.names), problem, options.pop("fn"), options.pop("step", 1e-4), options.pop("jac", None)))
         outputs, slices = found.where(F.col("param") == problem.names[0]).select("run_id", "output_idx", "y"), ["output_idx"]
@@ -222,11 +228,16 @@ def analyze(
         w = reps_of(rows, unit)
         return point, estimate(rows.join(w, rows[unit] == w["unit"]).drop("unit"), extra=["rep"], w="w")
 
-    def by_rows(estimate: Callable[[DataFrame, list[str]], DataFrame], planned: Callable[[DataFrame], partition.Partition], drawn: Callable[[DataFrame], tuple[DataFrame, int | None]] | None = None) -> tuple[DataFrame, DataFrame | None]:
+    def by_rows(estimate: Callable[[DataFrame, list[str]], DataFrame], planned: Callable[[DataFrame], partition.Partition], plain: Callable[[DataFrame], tuple[DataFrame, dict]] | None = None, drawn: Callable[[DataFrame], tuple[DataFrame, int | None]] | None = None) -> tuple[DataFrame, DataFrame | None]:
         """Estimates on one partition of the runs, which all slices and replicates share.
 
-        Where slices have runs of their own, each is partitioned by itself.
+        Where slices have runs of their own, each is partitioned by itself. One output without replicates, of an estimator that
+        knows only classes, needs no partition that is shared (``plain``).
         """
+        if plain and not slices and not n_bootstrap:
+            met = whole if whole is not None else inputs.select("run_id", *problem.names).join(outputs.select("run_id", F.col("y").cast("double").alias("y")), "run_id")
+            rows, more["levels"] = plain(kept(drop_invalid(met, ["run_id"], "drop", known.min_kept)) if policy == "drop" else met)
+            return estimate(rows, slices), None
         rows = cut(cleaned(outputs.select("run_id", *slices, F.col("y").cast("double").alias("y")), "run_id"))
         runs = cut(rows.select("run_id").distinct())
         drawn = drawn or (lambda r: (reps_of(r, "run_id"), None))
@@ -294,16 +305,16 @@ def analyze(
             w, size, scale = subsamples(runs, share, n_bootstrap, seed, draw)
             return w, size
 
-        point, draws = by_rows(gd.rank_index, lambda r: partition.plan(problem, r, method=method), taken)
+        point, draws = by_rows(gd.rank_index, lambda r: partition.plan(problem, r, method=method), drawn=taken)
     elif method == "pawn":
         centre = True
-        point, draws = by_rows(lambda r, s: gd.pawn(r, statistic=options.get("statistic", "median"), slices=s), lambda r: partition.plan_bins(problem, r, options.get("n_classes", 10), method=method))
+        point, draws = by_rows(lambda r, s: gd.pawn(r, statistic=options.get("statistic", "median"), slices=s), lambda r: partition.plan_bins(problem, r, options.get("n_classes", 10), method=method), lambda r: partition.direct_bins(problem, r, options.get("n_classes", 10), method))
     elif method == "borgonovo":
         if not (few := gd.discrete_output(outputs, slices)).isEmpty():
             raise ValueError(f"the output is discrete in {few.count()} slices: it has no density")
         classes = options.get("n_classes") or gd.default_classes(outputs.select("run_id").distinct().count())
         ends = cut(outputs.where(finite("y")).groupBy(*slices).agg(F.min("y").cast("double").alias("lo"), F.max("y").cast("double").alias("hi"))) if n_bootstrap else None
-        point, draws = by_rows(lambda r, s: gd.borgonovo(r, classes, options.get("grid_size", 100), s, options.get("degenerate_tol", 1e-2), options.get("bandwidth"), options.get("degenerate_bandwidth", "auto"), ends if "rep" in s else None), lambda r: partition.plan(problem, r, classes, method=method))
+        point, draws = by_rows(lambda r, s: gd.borgonovo(r, classes, options.get("grid_size", 100), s, options.get("degenerate_tol", 1e-2), options.get("bandwidth"), options.get("degenerate_bandwidth", "auto"), ends if "rep" in s else None), lambda r: partition.plan(problem, r, classes, method=method), lambda r: partition.direct(problem, r, classes, method))
         if options.get("bias_correct") and draws is not None:
             draws = cut(draws)
             mean = draws.groupBy(*keys).agg(F.avg("delta").alias("_m"))
@@ -314,7 +325,7 @@ def analyze(
             warnings.warn(f"{n} entropic plans did not settle", stacklevel=2)
     elif method == "optimal_transport":
         classes = options.get("n_classes") or gd.transport_classes(outputs.select("run_id").distinct().count())
-        point, draws = by_rows(lambda r, s: gd.transport(r, classes, s), lambda r: partition.plan(problem, r, classes, method=method))
+        point, draws = by_rows(lambda r, s: gd.transport(r, classes, s), lambda r: partition.plan(problem, r, classes, method=method), lambda r: partition.direct(problem, r, classes, method))
         if options.get("dummy"):
             point = _above_dummy(point, cleaned(outputs, "run_id"), problem, classes, slices, more["levels"], seed or 0, draw)
     elif method == "hsic":

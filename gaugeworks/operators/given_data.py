@@ -12,26 +12,54 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
-from .frames import class_of, ranked, ratio, undefined_if
+from ..plans.lineage import cut, kept
+from .frames import class_of, ratio, undefined_if
+from .order import classed, distances, quantile_products
 from .partition import equal_width, in_order, matched
 
 
 def rank_index(rows: DataFrame, slices: Sequence[str] = ()) -> DataFrame:
     """``(param, *slices, s1)``: mean product of neighbours in order of x, the last with the first, over the variance.
 
-    Rows are ``(run_id, param, x, y)``, or placed ones. The neighbour is met by an equal join on rank.
+    Rows are ``(run_id, param, x, y)``, or placed ones. They are sorted once: a range of the order is one task, of which the sum of
+    its neighbours' products and its ends are left, and the ends of ranges in a row are the neighbours between them.
     """
     keys = ["param", *slices]
-    stats = cut(rows.groupBy(*keys).agg(F.avg("y").alias("m"), F.var_pop("y").alias("v"), (F.max("y") == F.min("y")).alias("flat")))
-    placed = cut(in_order(rows, keys))
-    following = placed.select(*keys, F.when(F.col("rank") == 0, F.col("n") - 1).otherwise(F.col("rank") - 1).alias("rank"), F.col("y").alias("after"))
-    pairs = placed.join(following, [*keys, "rank"]).join(F.broadcast(stats), keys)  # a row for each param and slice
-    sums = pairs.groupBy(*keys).agg(F.avg((F.col("y") - F.col("m")) * (F.col("after") - F.col("m"))).alias("c"), F.first("v").alias("v"), F.first("flat").alias("flat"))
-    return sums.select(*keys, undefined_if(F.col("flat"), ratio(F.col("c"), F.col("v"))).alias("s1"))
+    stats = cut(rows.groupBy(*keys).agg(F.avg("y").alias("m"), F.var_pop("y").alias("v"), (F.max("y") == F.min("y")).alias("flat"), F.count("*").alias("n")))
+    order = ["rank"] if "rank" in rows.columns else ["x", "_tie"]
+    tie = F.col("run_id") if "run_id" in rows.columns else F.xxhash64(*keys, "x", "y")
+    placed = rows if "rank" in rows.columns else rows.withColumn("_tie", tie)
+    moved = placed.join(F.broadcast(stats.select(*keys, "m")), keys).select(*keys, *order, (F.col("y") - F.col("m")).alias("d"))  # a row for each param and slice
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = moved.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order).select(*keys, "d", F.spark_partition_id().alias("part"))
+    shape = ", ".join([*[f"`{k}` {t}" for k, t in dealt.dtypes if k in keys], "part int, at int, first double, last double, products double"])
+
+    def runs(frames):
+        """A row for each group of a range's batch, in order."""
+        at = 0
+        for f in frames:
+            if not len(f):
+                continue
+            change = np.zeros(len(f), bool)
+            for k in keys:
+                v = f[k].to_numpy()
+                change[1:] |= (v[1:] != v[:-1]) & ~(pd.isna(v[1:]) & pd.isna(v[:-1]))
+            starts, d = np.concatenate([[0], np.flatnonzero(change)]), f.d.to_numpy(float)
+            ends = np.append(starts[1:], len(f))
+            sums = np.concatenate([[0.0], (d[1:] * d[:-1]).cumsum()])
+            heads = f.iloc[starts]
+            inner = [float((d[i + 1 : j] * d[i : j - 1]).sum()) for i, j in zip(starts, ends)] if len(starts) < 64 else sums[ends - 1] - sums[starts]
+            yield pd.DataFrame({**{k: heads[k].to_numpy() for k in keys}, "part": heads.part.to_numpy(), "at": np.arange(at, at + len(starts)), "first": d[starts], "last": d[ends - 1], "products": inner})
+            at += len(starts)
+
+    ranges = cut(dealt.mapInPandas(runs, shape))
+    within = Window.partitionBy(*keys).orderBy("part", "at")
+    following = F.coalesce(F.lead("first").over(within), F.first("first").over(within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    sums = ranges.withColumn("f", following).groupBy(*keys).agg(F.sum(F.col("products") + F.col("last") * F.col("f")).alias("c"))
+    return stats.join(sums, keys).select(*keys, undefined_if(F.col("flat"), ratio(F.col("c") / F.col("n"), F.col("v"))).alias("s1"))
 
 
 def class_index(rows: DataFrame, classes: int, slices: Sequence[str] = ()) -> DataFrame:
@@ -48,9 +76,17 @@ def _classed(rows: DataFrame, keys: Sequence[str], classes: int | None) -> DataF
     """``(*keys, class, y)``: rows with the classes that they bring, or those of equal frequency in x."""
     if "class" in rows.columns:
         return rows.select(*keys, "class", "y")
+    if "rank" not in rows.columns and "run_id" in rows.columns and (found := classed(rows, keys, "run_id", classes)) is not None:
+        return found.select(*keys, "class", "y")
     return in_order(rows, keys).select(*keys, class_of("rank", "n", classes).alias("class"), "y")
 
 
+def _counted(rows: DataFrame, keys: Sequence[str], groups: DataFrame, y: Column) -> DataFrame:
+    """``(_g, class, y, c)``: how often each value occurs in each class of each of the numbered groups ``(*keys, _g, ...)``."""
+    met = rows.join(F.broadcast(groups), list(keys))  # a row for each param and slice
+    return kept(met.select("_g", F.col("class").cast("int").alias("class"), y.alias("y"), *[c for c in ("w",) if c in rows.columns]).groupBy("_g", "class", "y").agg((F.sum("w") if "w" in rows.columns else F.count("*")).cast("bigint").alias("c")))
+
+
 def pawn(rows: DataFrame, bins: int = 10, statistic: str = "median", slices: Sequence[str] = ()) -> DataFrame:
     """``(param, *slices, pawn, n_bins)`` from rows ``(param, u, y)``, ``u`` the input's unit coordinate, or ``(param, class, y)``.
 
@@ -62,13 +98,10 @@ def pawn(rows: DataFrame, bins: int = 10, statistic: str = "median", slices: Seq
         raise ValueError("statistic is median, max or mean")
     keys = ["param", *slices]
     bin_ = F.col("class") if "class" in rows.columns else equal_width(F.col("u"), bins)
-    counted = rows.select(*keys, bin_.alias("bin"), "y").groupBy(*keys, "bin", "y").agg(F.count("*").alias("c"))
-    values = cut(counted.groupBy(*keys, "y").agg(F.sum("c").alias("c")))
-    upto = _running(values, keys).withColumnsRenamed({"upto": "all_upto", "below": "all_below", "total": "all_n"})
-    own = _running(cut(counted.where("bin is not null")), [*keys, "bin"])
-    both = own.join(upto.drop("c"), [*keys, "y"])
-    gap = lambda a, b: F.abs(F.col(a) / F.col("total") - F.col(b) / F.col("all_n"))
-    ks = both.groupBy(*keys, "bin").agg(F.max(F.greatest(gap("upto", "all_upto"), gap("below", "all_below"))).alias("ks"), F.first("total").alias("n")).where("n >= 2")
+    groups = kept(rows.select(*keys).distinct().withColumn("_g", F.monotonically_increasing_id()))
+    values = _counted(rows.select(*keys, F.coalesce(bin_, F.lit(-1)).alias("class"), "y"), keys, groups, F.col("y"))
+    sizes = values.groupBy("_g", "class").agg(F.sum("c").alias("n"))
+    ks = distances(values).join(sizes, ["_g", "class"]).where("n >= 2").join(F.broadcast(groups), "_g")
     summary = {"median": F.percentile("ks", F.lit(0.5)), "max": F.max("ks"), "mean": F.avg("ks")}[statistic]
     return ks.groupBy(*keys).agg(summary.alias("pawn"), F.count("*").cast("int").alias("n_bins"))
 
@@ -102,7 +135,7 @@ def borgonovo(rows: DataFrame, classes: int, grid: int = 100, slices: Sequence[s
     if (bandwidth is not None and bandwidth <= 0) or (least != "auto" and not (isinstance(least, (int, float)) and least > 0)):
         raise ValueError("bandwidths are above zero")
     keys = ["param", *slices]
-    placed = cut(_classed(rows, keys, classes))
+    placed = kept(_classed(rows, keys, classes))
     factor = (lambda: F.pow(0.75 * F.count("*"), F.lit(-0.2))) if bandwidth is None else (lambda: F.lit(float(bandwidth)))
     width = lambda: factor() * F.coalesce(F.stddev_samp("y"), F.lit(0.0))
     whole = cut(placed.groupBy(*keys).agg(F.count("*").alias("n"), F.min("y").alias("lo"), F.max("y").alias("hi"), F.avg("y").alias("m"), F.var_pop("y").alias("v"), width().alias("h")))
@@ -153,27 +186,21 @@ def transport(rows: DataFrame, classes: int | None = None, slices: Sequence[str]
     """``(param, *slices, ot, advective, diffusive, s1)``: mean squared transport cost from the output to its classes over twice its variance.
 
     One-dimensional transport couples quantiles: member k of c meets the full sample's ranks from k n / c to
-    (k + 1) n / c. Of these only the sum counts, which is a difference of the sums of all lower ranks at two places,
-    found by an equal join on rank: two rows for each member, whatever the number of classes. ``member`` names a
-    column with each row's class, for categories or random ones; without it, classes are of equal frequency in x.
+    (k + 1) n / c. Of these only the sum counts. Equal outputs of a class are counted first, and both quantile functions
+    are met by ranges of probability (``quantile_products``). ``member`` names a column with each row's class, for categories or
+    random ones; without it, classes are of equal frequency in x.
     """
     keys = ["param", *slices]
-    stats = cut(rows.groupBy(*keys).agg(F.avg("y").alias("m"), F.var_samp("y").alias("v"), F.count("*").alias("total")))
+    stats = rows.groupBy(*keys).agg(F.avg("y").alias("m"), F.var_samp("y").alias("v"), F.count("*").alias("n"))
+    stats = kept(stats.withColumn("_g", F.monotonically_increasing_id()))
     rows = rows.withColumn("class", F.col(member)) if member else rows
     if "class" not in rows.columns:
-        classes = classes or transport_classes(stats.agg(F.min("total")).first()[0] or 1)
-    moved = _classed(rows, keys, classes).join(F.broadcast(stats.select(*keys, "m")), keys).withColumn("y", F.col("y") - F.col("m")).drop("m")  # a row for each param and slice
-    placed = cut(ranked(moved, keys, ["y"], "i", "n", finer="class", total="y"))
-    upto = placed.select(*keys, "i", "before", F.col("y").alias("next"))
-    ends = F.array(F.struct(F.lit(-1.0).alias("sign"), F.col("fine_rank").alias("k")), F.struct(F.lit(1.0).alias("sign"), (F.col("fine_rank") + 1).alias("k")))
-    looked = placed.select(*keys, "class", "n", "fine_size", F.col("y").alias("cy"), F.explode(ends).alias("e"))
-    looked = looked.select(*keys, "class", "cy", "fine_size", (F.col("e.k") * F.col("n")).alias("at"), "e.sign").where("at < fine_size * n")
-    looked = looked.select(*keys, "class", "cy", "sign", F.expr("at div fine_size").alias("i"), (F.expr("at % fine_size") / F.col("fine_size")).alias("part"))
-    # Beyond the last rank the sum is that of all, which is zero as outputs are moved by their mean.
-    cross = looked.join(upto, [*keys, "i"]).groupBy(*keys, "class").agg(F.sum(F.col("sign") * F.col("cy") * (F.col("before") + F.col("part") * F.col("next"))).alias("cross"))
-    per = placed.groupBy(*keys, "class").agg(F.count("*").alias("c"), F.avg("y").alias("cm"), F.avg(F.col("y") * F.col("y")).alias("cq"), F.first("n").alias("n"))
-    whole = placed.groupBy(*keys).agg(F.avg(F.col("y") * F.col("y")).alias("q"))
-    per = per.join(cross, [*keys, "class"], "left").join(F.broadcast(whole.join(stats.select(*keys, "v"), keys)), keys)
+        classes = classes or transport_classes(stats.agg(F.min("n")).first()[0] or 1)
+    values = _counted(_classed(rows, keys, classes), keys, stats.select(*keys, "_g", "m"), F.col("y") - F.col("m"))
+    y, c = F.col("y"), F.col("c")
+    per = values.groupBy("_g", "class").agg(F.sum(c).alias("c"), (F.sum(c * y) / F.sum(c)).alias("cm"), (F.sum(c * y * y) / F.sum(c)).alias("cq"))
+    whole = values.groupBy("_g").agg((F.sum(c * y * y) / F.sum(c)).alias("q"))
+    per = per.join(quantile_products(values), ["_g", "class"], "left").join(F.broadcast(whole.join(stats, "_g")), "_g")
     w2 = F.greatest(F.col("q") + F.col("cq") - 2 * F.coalesce("cross", F.lit(0.0)) / F.col("n"), F.lit(0.0))
     adv = F.col("cm") * F.col("cm")
     share = F.col("c") / F.col("n")

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 from ..problem import Categorical, Problem
-from .frames import class_of, ranked
+from .frames import class_of, long_inputs, ranked
+from .order import classed
 
 #: Ranks that one window sums over.
 BLOCK = 1 << 16
@@ -96,6 +97,32 @@ def plan(problem: Problem, inputs: DataFrame, classes: int | None = None, key: s
     return Partition(cut(table), inputs.count(), classes, levels)
 
 
+def direct(problem: Problem, runs: DataFrame, classes: int, method: str = "") -> tuple[DataFrame, dict[str, list[int]]]:
+    """``(param, class, y)`` of one output ``runs (run_id, <names>, y)``, and the levels: no place is kept, and nothing met by run."""
+    levels = level_counts(problem, runs, method)
+    ordered = [n for n in problem.names if n not in levels]
+    out = None
+    if levels:
+        own = [F.struct(F.lit(n).alias("param"), F.col(n).cast("int").alias("class")) for n in levels]
+        out = runs.select("y", F.explode(F.array(*own)).alias("p")).select("p.param", "p.class", "y")
+    if ordered:
+        long = long_inputs(runs, ordered, keep=("run_id", "y"))
+        found = classed(long, ["param"], "run_id", classes)
+        if found is None:
+            found = in_order(long, ["param"]).withColumn("class", class_of("rank", "n", classes))
+        found = found.select("param", "class", "y")
+        out = found if out is None else out.unionByName(found)
+    return out, levels
+
+
+def direct_bins(problem: Problem, runs: DataFrame, bins: int = 10, method: str = "") -> tuple[DataFrame, dict[str, list[int]]]:
+    """As ``direct``, by classes of equal width on each input's distribution."""
+    levels = level_counts(problem, runs, method)
+    x = lambda n: F.col(n).cast("double")
+    own = [F.struct(F.lit(n).alias("param"), (F.col(n).cast("int") if n in levels else equal_width(m.cdf(x(n)), bins)).alias("class")) for n, m in problem.inputs.items()]
+    return runs.select("y", F.explode(F.array(*own)).alias("p")).select("p.param", "p.class", "y"), levels
+
+
 def equal_width(u: Column, bins: int) -> Column:
     """The bin of a unit coordinate: half open, the last one closed; null outside [0, 1]."""
     bin_ = F.lit(0)

@@ -39,20 +39,20 @@ def _level_classes(m: int) -> str:
 @query("transport_levels", transport_sql(_level_classes(10)))
 def transport_levels(spark, sf_dir):
     runs = level_runs(spark, sf_dir)
-    return rounded(analyze("optimal_transport", LEVELS, runs.select("run_id", "y"), runs, n_classes=10).table, "param")
+    return rounded(analyze("optimal_transport", LEVELS, "y", runs, n_classes=10).table, "param")
 
 
 @query("borgonovo_levels", borgonovo_sql(_level_classes(10)))
 def borgonovo_levels(spark, sf_dir):
     runs = level_runs(spark, sf_dir)
-    return rounded(analyze("borgonovo", LEVELS, runs.select("run_id", "y"), runs, n_classes=10).table, "param")
+    return rounded(analyze("borgonovo", LEVELS, "y", runs, n_classes=10).table, "param")
 
 
 @query("pawn_levels", f"""WITH {_LEVELS}, b AS (SELECT 'quantity' AS param, y, {' + '.join(f'(quantity / 51 >= {k / 10!r})::INT' for k in range(1, 10))} AS bin FROM r UNION ALL SELECT 'flag', y, flag::INT FROM r UNION ALL SELECT 'status', y, status::INT FROM r),
 {pawn_sql('max')}""")
 def pawn_levels(spark, sf_dir):
     runs = level_runs(spark, sf_dir)
-    return rounded(analyze("pawn", LEVELS, runs.select("run_id", "y"), runs, statistic="max").table, "param")
+    return rounded(analyze("pawn", LEVELS, "y", runs, statistic="max").table, "param")
 
 
 # --- replicates of a partition ---

@@ -31,3 +31,10 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once by ``checkpoint()`` in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once into columns in the shared folder: far smaller than a checkpoint's rows, for tables that grow with the runs."""
+    path = fresh_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
