@@ -21,6 +21,10 @@ from .order import classed, distances, quantile_products
 from .partition import equal_width, in_order, matched
 
 
+#: A bin's width in bandwidths at most, powers of the place in it, and bins of a grid's step up to which sums go by bins.
+NARROW, POWERS, BINS = 0.5, 16, 64
+
+
 def rank_index(rows: DataFrame, slices: Sequence[str] = ()) -> DataFrame:
     """``(param, *slices, s1)``: mean product of neighbours in order of x, the last with the first, over the variance.
 
@@ -126,8 +130,8 @@ def default_classes(n: int) -> int:
 def borgonovo(rows: DataFrame, classes: int, grid: int = 100, slices: Sequence[str] = (), narrow: float = 1e-2, bandwidth: float | None = None, least: float | str = "auto", bounds: DataFrame | None = None) -> DataFrame:
     """``(param, *slices, delta, s1)``: half the mean area between the output's density and its density in each class.
 
-    Densities are Gaussian kernel sums on ``grid`` points from the least to the largest output: a batch of rows is
-    summed on the grid in one step, and only these sums are grouped. Bandwidths are
+    Densities are Gaussian kernel sums on ``grid`` points from the least to the largest output, from powers of the rows'
+    places in fine bins (``_by_moments``). Bandwidths are
     ``(0.75 n)^(-1/5)`` sample deviations, or ``bandwidth`` of them; a class narrower than ``narrow`` of the whole gets a floor, a tenth of
     the whole's and the grid's step at least, or ``least`` of the whole's. A constant output gives 0. ``bounds``, with some of the
     keys, ``lo`` and ``hi``, sets the grids' ends: those of replicates are the ends of what they are drawn from.
@@ -147,8 +151,62 @@ def borgonovo(rows: DataFrame, classes: int, grid: int = 100, slices: Sequence[s
     step = (F.col("hi") - F.col("lo")) / (grid - 1)
     floor = F.when(F.col("ch") < narrow * F.col("h"), F.greatest(0.1 * F.col("h"), step) if least == "auto" else least * F.col("h")).otherwise(F.col("ch"))
     per = cut(per.join(F.broadcast(whole), keys).withColumn("ch", floor))
-    points = placed.join(F.broadcast(per.select(*keys, "class", "ch", "h", "lo", "hi")), [*keys, "class"]).where("hi > lo")
     cell, types = [*keys, "class"], dict(placed.dtypes)
+    # Bins of a step's fraction, narrow beside every bandwidth, so that a few powers of the place in a bin give the kernel sums.
+    least_h = F.least(F.min("ch"), F.first("h"))
+    fine = cut(per.groupBy(*keys).agg(F.ceil(F.first(step) / (NARROW * least_h)).cast("double").alias("bins")).join(whole.select(*keys, "h", "lo", "hi"), keys).where("hi > lo"))
+    if fine.where(f"bins IS NULL OR bins < 1 OR bins > {BINS}").isEmpty():
+        sums = cut(_by_moments(placed, per, fine, cell, grid))
+    else:
+        sums = cut(_by_rows(placed, per, cell, types, grid))
+    density = sums.groupBy(*keys, "g").agg(F.sum("part").alias("all"))
+    rows_ = sums.join(density, [*keys, "g"]).join(per, [*keys, "class"])
+    root = math.sqrt(2 * math.pi)
+    gap = F.abs(F.col("all") / (F.col("n") * F.col("h") * root) - F.col("own") / (F.col("c") * F.col("ch") * root))
+    end = F.when(F.col("g").isin(0, grid - 1), 0.5).otherwise(1.0)
+    delta = rows_.groupBy(*keys).agg(F.sum(F.col("c") / (2 * F.col("n")) * gap * end * step).alias("delta"))
+    s1 = per.groupBy(*keys).agg(F.coalesce(F.try_divide(F.sum(F.col("c") / F.col("n") * F.pow(F.col("cm") - F.col("m"), F.lit(2.0))), F.first("v")), F.lit(0.0)).alias("s1"))
+    return s1.join(delta, keys, "left").select(*keys, F.coalesce("delta", F.lit(0.0)).alias("delta"), "s1")
+
+
+def _by_moments(placed: DataFrame, per: DataFrame, fine: DataFrame, cell: Sequence[str], grid: int) -> DataFrame:
+    """``(*cell, g, own, part)``: kernel sums on the grid from powers of the outputs' places in bins.
+
+    A Gaussian at a distance a + e is its Hermite series in e; e is at most ``NARROW`` / 2 bandwidths, where ``POWERS`` terms
+    leave less than a double's last digit. Bins know no bandwidth, so that the same powers serve the class's and the whole's.
+    """
+    keys, types = cell[:-1], dict(placed.dtypes)
+    wide = (F.col("hi") - F.col("lo")) / (grid - 1) / F.col("bins")
+    met = placed.join(F.broadcast(fine.select(*keys, "lo", wide.alias("wide"))), keys).where("y IS NOT NULL")
+    at = (F.col("y") - F.col("lo")) / F.col("wide")
+    met = met.select(*cell, F.round(at).cast("bigint").alias("bin"), (at - F.round(at)).alias("t"))
+    power, powers = F.lit(1.0), []
+    for _ in range(POWERS):
+        powers.append(power)
+        power = power * F.col("t")
+    moments = met.groupBy(*cell, "bin").agg(*[F.sum(e).alias(f"m{p}") for p, e in enumerate(powers)])
+    rows = moments.join(F.broadcast(per.select(*cell, "ch", "h", "lo", "hi")), cell).join(F.broadcast(fine.select(*keys, "bins")), keys)
+
+    def sums(f: pd.DataFrame) -> pd.DataFrame:
+        lo, hi, k = (float(f[c].iloc[0]) for c in ("lo", "hi", "bins"))
+        w = (hi - lo) / (grid - 1) / k
+        m = f[[f"m{p}" for p in range(POWERS)]].to_numpy()
+        out = {}
+        for name, h in (("own", float(f.ch.iloc[0])), ("part", float(f.h.iloc[0]))):
+            a = (np.arange(grid)[:, None] * k - f.bin.to_numpy()[None]) * (w / h)
+            before, now, total, scale = np.zeros_like(a), np.ones_like(a), np.zeros_like(a), 1.0
+            for p in range(POWERS):  # Hermite polynomials by their recurrence
+                total += now * (m[:, p] * scale)
+                before, now, scale = now, a * now - p * before, scale * (w / h) / (p + 1)
+            out[name] = (total * np.exp(-0.5 * a * a)).sum(1)
+        return pd.DataFrame({**{c: [f[c].iloc[0]] * grid for c in cell}, "g": np.arange(grid), **out})
+
+    return rows.groupBy(*cell).applyInPandas(sums, ", ".join([*[f"`{c}` {types[c]}" for c in cell], "g int, own double, part double"]))
+
+
+def _by_rows(placed: DataFrame, per: DataFrame, cell: Sequence[str], types: dict[str, str], grid: int) -> DataFrame:
+    """``(*cell, g, own, part)``: kernel sums on the grid, a batch of rows at a time, for bandwidths that are tiny beside the range."""
+    points = placed.join(F.broadcast(per.select(*cell, "ch", "h", "lo", "hi")), cell).where("hi > lo")
 
     def bumps(frames):
         """Kernel sums over a batch's rows on the grid, a row for each class and point."""
@@ -159,16 +217,7 @@ def borgonovo(rows: DataFrame, classes: int, grid: int = 100, slices: Sequence[s
                 yield pd.DataFrame({**dict(zip(cell, k)), "g": np.arange(grid), "own": np.exp(-0.5 * (z / ch) ** 2).sum(1), "part": np.exp(-0.5 * (z / h) ** 2).sum(1)})
 
     shape = ", ".join([*[f"`{c}` {types[c]}" for c in cell], "g int, own double, part double"])
-    batches = points.mapInPandas(bumps, shape)
-    sums = cut(batches.groupBy(*cell, "g").agg(F.sum("own").alias("own"), F.sum("part").alias("part")))
-    density = sums.groupBy(*keys, "g").agg(F.sum("part").alias("all"))
-    rows_ = sums.join(density, [*keys, "g"]).join(per, [*keys, "class"])
-    root = math.sqrt(2 * math.pi)
-    gap = F.abs(F.col("all") / (F.col("n") * F.col("h") * root) - F.col("own") / (F.col("c") * F.col("ch") * root))
-    end = F.when(F.col("g").isin(0, grid - 1), 0.5).otherwise(1.0)
-    delta = rows_.groupBy(*keys).agg(F.sum(F.col("c") / (2 * F.col("n")) * gap * end * step).alias("delta"))
-    s1 = per.groupBy(*keys).agg(F.coalesce(F.try_divide(F.sum(F.col("c") / F.col("n") * F.pow(F.col("cm") - F.col("m"), F.lit(2.0))), F.first("v")), F.lit(0.0)).alias("s1"))
-    return s1.join(delta, keys, "left").select(*keys, F.coalesce("delta", F.lit(0.0)).alias("delta"), "s1")
+    return points.mapInPandas(bumps, shape).groupBy(*cell, "g").agg(F.sum("own").alias("own"), F.sum("part").alias("part"))
 
 
 def discrete_output(rows: DataFrame, slices: Sequence[str] = (), most: int = 20, each: int = 5) -> DataFrame:

@@ -60,7 +60,9 @@ def classed(rows: DataFrame, keys: Sequence[str], tie: str, classes: int, least:
             out = (c > edge) | ((c == edge) & out)
         return out
 
-    return met.withColumn("class", sum((after(m).cast("int") for m in range(classes - 1)), F.lit(0))).drop("_e")
+    exact = sum((after(m).cast("int") for m in range(classes - 1)), F.lit(0))
+    apart = sum(((F.col("x") > F.col("_e._o0")[m]).cast("int") for m in range(classes - 1)), F.lit(0))
+    return met.withColumn("class", F.when(F.array_contains("_e._o0", F.col("x")), exact).otherwise(apart)).drop("_e")
 
 
 def _edges(flat: DataFrame, keys: Sequence[str], cols: Sequence[str], kinds: dict[str, T.DataType], sizes: dict[tuple, int], classes: int) -> dict[tuple, tuple] | None:

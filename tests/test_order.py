@@ -71,3 +71,19 @@ def test_named_output_needs_no_join(spark):
             assert all(a == pytest.approx(b, abs=1e-12) for a, b in zip(one[k], two[k]) if not isinstance(a, str))
     with pytest.raises(ValueError):
         analyze("pawn", p, "y", runs, slices=["o"])
+
+
+@pytest.mark.parametrize("least", ["auto", 0.5])
+def test_kernel_sums_by_bins(spark, monkeypatch, least):
+    """Sums from powers are the rows' own to the last digits, and no row goes to Python."""
+    rng = np.random.default_rng(9)
+    f = pd.DataFrame({"param": "p", "class": rng.integers(0, 3, 900), "y": rng.gamma(2.0, size=900)})
+    f.loc[f["class"] == 2, "y"] = 1.5 + 1e-7 * rng.random((f["class"] == 2).sum())
+    rows = spark.createDataFrame(f).withColumn("class", F.col("class").cast("int"))
+    direct, called = gd._by_rows, []
+    monkeypatch.setattr(gd, "_by_rows", lambda *a: called.append(1) or direct(*a))
+    got = gd.borgonovo(rows, 3, least=least).first()
+    assert not called
+    monkeypatch.setattr(gd, "BINS", 0)
+    want = gd.borgonovo(rows, 3, least=least).first()
+    assert called and got.delta == pytest.approx(want.delta, rel=1e-11) and got.s1 == pytest.approx(want.s1, rel=1e-12)
