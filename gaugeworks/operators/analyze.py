@@ -219,7 +219,7 @@ def analyze(
         return cut(drop_invalid(rows, [unit], "drop", known.min_kept) if policy == "drop" else rows)
 
     def reps_of(rows: DataFrame, unit: str) -> DataFrame:
-        return cut(resampling.weights(units_of(rows, unit), n_bootstrap, seed, draw))
+        return kept(resampling.weights(units_of(rows, unit), n_bootstrap, seed, draw))
 
     def by_weight(rows: DataFrame, unit: str, estimate: Callable[..., DataFrame]) -> tuple[DataFrame, DataFrame | None]:
         point = estimate(rows)
@@ -238,8 +238,8 @@ def analyze(
             met = whole if whole is not None else inputs.select("run_id", *problem.names).join(outputs.select("run_id", F.col("y").cast("double").alias("y")), "run_id")
             rows, more["levels"] = plain(kept(drop_invalid(met, ["run_id"], "drop", known.min_kept)) if policy == "drop" else met)
             return estimate(rows, slices), None
-        rows = cut(cleaned(outputs.select("run_id", *slices, F.col("y").cast("double").alias("y")), "run_id"))
-        runs = cut(rows.select("run_id").distinct())
+        rows = kept(cleaned(outputs.select("run_id", *slices, F.col("y").cast("double").alias("y")), "run_id"))
+        runs = kept(rows.select("run_id").distinct())
         drawn = drawn or (lambda r: (reps_of(r, "run_id"), None))
         if _rectangular(rows, runs, slices):
             shared = planned(inputs.join(runs, "run_id", "left_semi"))
@@ -332,13 +332,13 @@ def analyze(
         rows = problem.units(inputs).join(cleaned(outputs, "run_id"), "run_id")
         point, draws = _by_slice(rows, slices, lambda r: kernels.hsic(r, problem.names, "y", permutations=options.get("n_perms", 200), seed=seed or 0, bandwidth=options.get("bandwidth", 1.0), draw=draw)), None
     else:
-        kept = cut(cleaned(outputs.select("run_id", *slices, F.col("y").cast("double").alias("y")), "run_id"))
-        rows = inputs.select("run_id", *problem.names).join(kept, "run_id")
-        w = reps_of(kept, "run_id") if n_bootstrap else None
-        many_fit = backend != "vkoga" and (slices or n_bootstrap) and _rectangular(kept, kept.select("run_id").distinct(), slices)
+        good = cut(cleaned(outputs.select("run_id", *slices, F.col("y").cast("double").alias("y")), "run_id"))
+        rows = inputs.select("run_id", *problem.names).join(good, "run_id")
+        w = reps_of(good, "run_id") if n_bootstrap else None
+        many_fit = backend != "vkoga" and (slices or n_bootstrap) and _rectangular(good, good.select("run_id").distinct(), slices)
         point = draws = None
         if many_fit:
-            both = cut(_fits(backend, method, problem, inputs.select("run_id", *problem.names), kept, slices, w, n_bootstrap, options, more))
+            both = cut(_fits(backend, method, problem, inputs.select("run_id", *problem.names), good, slices, w, n_bootstrap, options, more))
             point = both.where("rep = 0").drop("rep")
             draws = both.where("rep > 0").withColumn("rep", F.col("rep") - 1) if n_bootstrap else None
         if not (many_fit and slices):

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import cut, kept
 from ..problem import Categorical, Problem
 from .frames import class_of, long_inputs, ranked
 from .order import classed
@@ -32,7 +32,7 @@ def in_order(rows: DataFrame, keys: Sequence[str], key: str = "run_id", keep: Se
     if "rank" in rows.columns:
         return rows.select(*keys, "rank", "n", *keep)
     tie = F.col(key) if key in rows.columns else F.xxhash64(*keys, "x", *keep)
-    return ranked(rows.select(*keys, "x", tie.alias("_tie"), *keep), keys, ["x", "_tie"]).select(*keys, "rank", "n", *keep)
+    return ranked(rows.select(*keys, "x", tie.alias("_tie"), *[c for c in keep if c != "x"]), keys, ["x", "_tie"]).select(*keys, "rank", "n", *keep)
 
 
 def level_counts(problem: Problem, inputs: DataFrame, method: str = "") -> dict[str, list[int]]:
@@ -87,14 +87,14 @@ class Partition:
 
 def plan(problem: Problem, inputs: DataFrame, classes: int | None = None, key: str = "run_id", method: str = "") -> Partition:
     """The partition of ``inputs (run_id, <names>)``, with ``classes`` of equal frequency for continuous inputs, or ranks alone."""
-    inputs = cut(inputs.select(F.col(key).alias("run_id"), *[F.col(n).cast("double").alias(n) for n in problem.names]))
+    inputs = kept(inputs.select(F.col(key).alias("run_id"), *[F.col(n).cast("double").alias(n) for n in problem.names]))
     levels = level_counts(problem, inputs, method)
     long = inputs.unpivot(["run_id"], problem.names, "param", "x")
     placed = in_order(long, ["param"], keep=("run_id", "x"))
     level = F.when(F.col("param").isin(list(levels)), F.col("x").cast("int"))
     own = class_of("rank", "n", classes) if classes else F.lit(None).cast("int")
     table = placed.select("run_id", "param", "rank", "n", F.coalesce(level, own).alias("class"))
-    return Partition(cut(table), inputs.count(), classes, levels)
+    return Partition(kept(table), inputs.count(), classes, levels)
 
 
 def direct(problem: Problem, runs: DataFrame, classes: int, method: str = "") -> tuple[DataFrame, dict[str, list[int]]]:

@@ -87,3 +87,26 @@ def test_kernel_sums_by_bins(spark, monkeypatch, least):
     monkeypatch.setattr(gd, "BINS", 0)
     want = gd.borgonovo(rows, 3, least=least).first()
     assert called and got.delta == pytest.approx(want.delta, rel=1e-11) and got.s1 == pytest.approx(want.s1, rel=1e-12)
+
+
+def test_rank_index_sorts_once(spark, monkeypatch):
+    """Neighbours are met in the range that is sorted and at its ends; no row is placed or joined by rank."""
+    rng = np.random.default_rng(2)
+    f = pd.DataFrame({"run_id": np.arange(500), "param": np.where(np.arange(500) % 5 == 0, "a", "b"), "x": rng.integers(0, 9, 500) / 9.0, "y": rng.random(500)})
+    monkeypatch.setattr(gd, "in_order", None)
+    got = {r.param: r.s1 for r in gd.rank_index(spark.createDataFrame(f).repartition(4)).collect()}
+    for p, part in f.groupby("param"):
+        y = part.sort_values(["x", "run_id"]).y.to_numpy()
+        d = y - y.mean()
+        assert got[p] == pytest.approx((d * np.roll(d, -1)).mean() / y.var(), abs=1e-12)
+
+
+def test_places_are_kept_as_columns(spark, monkeypatch):
+    """No checkpoint holds a row for each run."""
+    from gaugeworks.operators.frames import ranked
+    from gaugeworks.plans import lineage
+
+    seen, real = [], lineage.cut
+    monkeypatch.setattr(lineage, "cut", lambda d: seen.append(d.count()) or real(d))
+    assert ranked(spark.range(2000).withColumn("g", F.lit(1)), ["g"], ["id"]).where("rank <> id OR n <> 2000").isEmpty()
+    assert max(seen) < 2000
