@@ -1,12 +1,16 @@
 """Kernel dependence (HSIC) of inputs and an output: first order, total, and permutation tests, over blocks of pairs of runs.
 
-All pairs of runs are compared by the method's definition. Runs are dealt to blocks, a pair of blocks is one task,
-and what leaves it are sums. Kernels are centred by their row means, from a first pass, so that the sums don't cancel.
+All pairs of runs are compared by the method's definition. A Gaussian kernel of one variable whose bandwidth is a median
+distance is, to its last digits, a product of a few dozen features, so that sums over pairs are squares of sums over runs.
+Where it is not, or there are too many inputs, runs are dealt to blocks, a pair of blocks is one task, and what leaves it are
+sums. Kernels are centred by their means, from a first pass, so that the sums don't cancel.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -21,6 +25,8 @@ from .resampling import hashed
 BLOCK, PIECE = 1024, 1 << 16
 #: Distances that one pass of that search tries, and passes.
 TRIALS, PASSES = 64, 11
+#: Points that a kernel is interpolated at, and numbers of the products of all kernels' features that a task sums.
+NODES, TENSOR = (32, 64, 128), 500_000
 
 
 def median_distances(rows: DataFrame, cols: Sequence[str]) -> dict[str, float]:
@@ -76,6 +82,109 @@ def hsic(runs: DataFrame, names: Sequence[str], y: str = "y", key: str = "run_id
     placed = ranked(runs.select(F.lit(0).alias("all"), F.col(key).alias("key"), *[F.col(c).cast("double").alias(c) for c in cols]), ["all"], ["key"], "pos").drop("all", "n")
     rows = cut(placed.withColumn("b", (F.col("pos") % last).cast("int")))
     scale = {c: max(v * v, 1e-20) * bandwidth**2 for c, v in median_distances(rows.select(*cols), cols).items()}
+    ends = rows.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(cols) for k, f in (("a", F.min), ("b", F.max))]).first()
+    parts = [factor(ends[f"a{i}"], ends[f"b{i}"], scale[c]) for i, c in enumerate(cols)]
+    if all(p is not None for p in parts) and math.prod(1 + p.rank for p in parts[:-1]) * parts[-1].rank <= TENSOR:
+        got = _by_factors(rows, cols, parts, n, permutations, seed, draw)
+    else:
+        got = _by_pairs(rows, cols, scale, n, last, permutations, seed, draw)
+    one = {r.what: r.v for r in got.where("i = -1").collect()}
+    pick = lambda what: F.max(F.when(F.col("what") == what, F.col("v")))
+    raw = got.where("i >= 0 AND what = 'xy'").select("i", F.col("v").alias("raw"))
+    per = got.where("i >= 0").join(raw, "i").groupBy("i").agg(pick("xy").alias("xy"), pick("xx").alias("xx"), pick("others").alias("others"), F.count_if(F.col("what").startswith("p") & (F.col("v") >= F.col("raw"))).alias("above"))
+    eps, nan = float(np.finfo(float).eps), F.lit(float("nan"))
+    flat = one.get("yy", 0.0) < eps
+    r2 = F.when(F.col("xx") < eps, 0.0).otherwise(F.col("xy") / F.sqrt(F.greatest(F.col("xx") * one.get("yy", 0.0), F.lit(eps**2))))
+    total = 1 - F.col("others") / one["full"] if abs(one.get("full", 0.0)) >= eps else nan
+    p = (F.col("above") + 1) / (permutations + 1) if permutations else F.lit(None).cast("double")
+    name = F.element_at(F.array(*map(F.lit, names)), F.col("i") + 1)
+    return per.select(name.alias("param"), F.col("xy").alias("hsic_raw"), *[(nan if flat else e).alias(c) for e, c in ((r2, "r2"), (total, "total"))], (nan if flat and permutations else p).alias("p_value"))
+
+
+@dataclass
+class Factor:
+    """Features whose products are a Gaussian kernel on an interval, to its last digits: interpolation at ``nodes``, then ``turn``."""
+
+    nodes: np.ndarray
+    weights: np.ndarray
+    turn: np.ndarray
+
+    @property
+    def rank(self) -> int:
+        return self.turn.shape[1]
+
+    def at(self, x: np.ndarray) -> np.ndarray:
+        gap = x[:, None] - self.nodes[None]
+        hit = gap == 0
+        share = self.weights / np.where(hit, 1.0, gap)
+        share = np.where(hit.any(1)[:, None], hit.astype(float), share)
+        return (share / share.sum(1)[:, None]) @ self.turn
+
+
+def factor(lo: float, hi: float, scale: float) -> Factor | None:
+    """The factor of the kernel with squared bandwidth ``scale`` between ``lo`` and ``hi``; None where it is too narrow for ``NODES``."""
+    if not (math.isfinite(lo) and math.isfinite(hi)):
+        return None
+    if lo == hi:
+        return Factor(np.array([lo]), np.ones(1), np.ones((1, 1)))
+    for m in NODES:
+        angle = (np.arange(m) + 0.5) * math.pi / m
+        nodes = (lo + hi) / 2 - (hi - lo) / 2 * np.cos(angle)
+        gram = lambda a, b: np.exp(-(np.subtract.outer(a, b) ** 2) / (2 * scale))
+        values, vectors = np.linalg.eigh(gram(nodes, nodes))
+        on = values > 1e-16 * values.max()
+        out = Factor(nodes, (-1.0) ** np.arange(m) * np.sin(angle), vectors[:, on] * np.sqrt(values[on]))
+        x = np.linspace(lo, hi, 5 * m + 1)
+        if np.abs(out.at(x) @ out.at(x).T - gram(x, x)).max() < 1e-13:
+            return out
+    return None
+
+
+def _by_factors(rows: DataFrame, cols: Sequence[str], parts: Sequence[Factor], n: int, permutations: int, seed: int, draw) -> DataFrame:
+    """``(i, what, v)``: sums over all pairs of runs, from sums over the runs of products of the kernels' features."""
+    from .surrogates import reduced_by
+
+    d, columns = len(cols) - 1, list(cols)
+    if permutations:
+        y = cols[-1]
+        reps = F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("rep")
+        drawn = rows.select("pos", reps).withColumn("h", draw(F.col("rep"), F.col("pos"), seed))
+        moved = ranked(drawn, ["rep"], ["h", "pos"], "to", "_n").select("pos", "rep", "to")
+        taken = moved.join(rows.select(F.col("pos").alias("to"), F.col(y).alias("py")), "to")
+        lists = taken.groupBy("pos").agg(*[F.max(F.when(F.col("rep") == r, F.col("py"))).alias(f"_p{r}") for r in range(permutations)])
+        rows, columns = rows.join(lists, "pos"), [*cols, *[f"_p{r}" for r in range(permutations)]]
+    rows = cut(rows.select(*columns))
+    sums = reduced_by(rows, list(cols), lambda a: {i: p.at(a[:, i]).sum(0)[None] for i, p in enumerate(parts)}, lambda s: s.sum(0))
+    means = {i: sums[i][0] / n for i in range(d + 1)}
+
+    def start(a: np.ndarray) -> dict[int, np.ndarray]:
+        f = [p.at(a[:, i]) - means[i] for i, p in enumerate(parts)]
+        out = {i: x.T @ x for i, x in enumerate(f)}
+        whole = np.ones((len(a), 1))
+        for x in f[:-1]:
+            whole = (whole[:, :, None] * np.column_stack([np.ones(len(a)), x])[:, None, :]).reshape(len(a), -1)
+        out[d + 1] = whole.T @ f[-1]
+        for r in range(permutations):
+            moved = parts[-1].at(a[:, d + 1 + r]) - means[d]
+            out[d + 2 + r] = np.concatenate([x.T @ moved for x in f[:-1]])
+        return out
+
+    got = reduced_by(rows, columns, start, lambda s: s.sum(0))
+    square = lambda m: float((np.asarray(m) ** 2).sum()) / float(n) ** 2
+    tensor = got[d + 1].reshape(*[1 + p.rank for p in parts[:-1]], parts[-1].rank)
+    data = [(-1, "yy", square(got[d])), (-1, "full", square(tensor))]
+    begin = np.concatenate([[0], np.cumsum([p.rank for p in parts[:-1]])])
+    for i in range(d):
+        alone = tuple(slice(1, None) if j == i else 0 for j in range(d))
+        without = tuple(0 if j == i else slice(None) for j in range(d))
+        data += [(i, "xy", square(tensor[alone])), (i, "xx", square(got[i])), (i, "others", square(tensor[without]))]
+        data += [(i, f"p{r}", square(got[d + 2 + r][begin[i] : begin[i + 1]])) for r in range(permutations)]
+    return rows.sparkSession.createDataFrame(data, "i int, what string, v double")
+
+
+def _by_pairs(rows: DataFrame, cols: Sequence[str], scale: dict[str, float], n: int, last: int, permutations: int, seed: int, draw) -> DataFrame:
+    """``(i, what, v)``: the same sums from blocks of pairs, for bandwidths that are tiny beside the range and for many inputs."""
+    names, y = list(cols[:-1]), cols[-1]
     every = F.explode(F.sequence(F.lit(0), F.lit(last - 1)))
     aside = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns if c != "b"], F.col("b").alias("o")).withColumn("b", every)
     kernel = lambda p, q, c: np.exp(-(np.subtract.outer(p, q) ** 2) / (2 * scale[c]))
@@ -132,14 +241,4 @@ def hsic(runs: DataFrame, names: Sequence[str], y: str = "y", key: str = "run_id
     right = aside(centred)
     found = left.groupBy("b", "o").cogroup(right.groupBy("b", "o")).applyInPandas(pairs, "i int, what string, v double")
     got = cut(found.groupBy("i", "what").agg((F.sum("v") / float(n) ** 2).alias("v")))
-    one = {r.what: r.v for r in got.where("i = -1").collect()}
-    pick = lambda what: F.max(F.when(F.col("what") == what, F.col("v")))
-    raw = got.where("i >= 0 AND what = 'xy'").select("i", F.col("v").alias("raw"))
-    per = got.where("i >= 0").join(raw, "i").groupBy("i").agg(pick("xy").alias("xy"), pick("xx").alias("xx"), pick("others").alias("others"), F.count_if(F.col("what").startswith("p") & (F.col("v") >= F.col("raw"))).alias("above"))
-    eps, nan = float(np.finfo(float).eps), F.lit(float("nan"))
-    flat = one.get("yy", 0.0) < eps
-    r2 = F.when(F.col("xx") < eps, 0.0).otherwise(F.col("xy") / F.sqrt(F.greatest(F.col("xx") * one.get("yy", 0.0), F.lit(eps**2))))
-    total = 1 - F.col("others") / one["full"] if abs(one.get("full", 0.0)) >= eps else nan
-    p = (F.col("above") + 1) / (permutations + 1) if permutations else F.lit(None).cast("double")
-    name = F.element_at(F.array(*map(F.lit, names)), F.col("i") + 1)
-    return per.select(name.alias("param"), F.col("xy").alias("hsic_raw"), *[(nan if flat else e).alias(c) for e, c in ((r2, "r2"), (total, "total"))], (nan if flat and permutations else p).alias("p_value"))
+    return got

@@ -110,3 +110,23 @@ def test_places_are_kept_as_columns(spark, monkeypatch):
     monkeypatch.setattr(lineage, "cut", lambda d: seen.append(d.count()) or real(d))
     assert ranked(spark.range(2000).withColumn("g", F.lit(1)), ["g"], ["id"]).where("rank <> id OR n <> 2000").isEmpty()
     assert max(seen) < 2000
+
+
+def test_kernel_sums_by_factors(spark, monkeypatch):
+    """Sums from features are those over all pairs, and no pair of blocks is made."""
+    from gaugeworks.operators import kernels
+
+    rng = np.random.default_rng(4)
+    x = rng.random((300, 2))
+    f = pd.DataFrame({"run_id": np.arange(300), "a": x[:, 0], "b": np.floor(9 * x[:, 1]), "y": x[:, 0] ** 2 + x[:, 1]})
+    rows, pairs, called = spark.createDataFrame(f), kernels._by_pairs, []
+    monkeypatch.setattr(kernels, "_by_pairs", lambda *a: called.append(1) or pairs(*a))
+    one = {r.param: r for r in kernels.hsic(rows, ["a", "b"], permutations=5, seed=1).collect()}
+    assert not called
+    monkeypatch.setattr(kernels, "TENSOR", 0)
+    two = {r.param: r for r in kernels.hsic(rows, ["a", "b"], permutations=5, seed=1).collect()}
+    assert called
+    for k in ("a", "b"):
+        for c in ("hsic_raw", "r2", "total", "p_value"):
+            assert one[k][c] == pytest.approx(two[k][c], rel=1e-9, abs=1e-12)
+    assert kernels.factor(0.0, 1.0, 1e-20) is None
