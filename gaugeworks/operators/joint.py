@@ -179,11 +179,12 @@ def _in_rounds(known: DataFrame, blocks: DataFrame, own: DataFrame, dims: int, t
     g = cut(own.join(known.select("cid"), "cid").select("cid", "b", zeros("w").alias("f")))
     settled, rounds = None, 0
     while rounds < most:
-        for _ in range(min(TESTED, most - rounds)):
+        for left in reversed(range(min(TESTED, most - rounds))):
             f = half(g, "i")
+            f = f if left else cut(f)  # before the members' half, which would run all rounds again
             g = half(f, "j")
             rounds += 1
-        f, g = cut(f), cut(g)
+        g = cut(g)
         state = cut(moved(f, half(g, "i")))
         ended = state if rounds >= most else state.where("NOT open")
         rest = g.join(ended.select("cid", F.col("open").cast("int").alias("left")), "cid").join(f.select("cid", F.col("b").alias("i"), F.col("f").alias("fi")), "cid")
