@@ -100,3 +100,18 @@ def test_search_holds_folds_out(spark):
     assert np.allclose(alone.weights, fit.weights) and np.isnan(alone.cv_rmse)
     value = alone.predict(runs).agg(F.sqrt(F.avg(F.pow(F.col("y") - F.col("prediction"), F.lit(2.0)))).alias("e")).first().e
     assert value == pytest.approx(alone.rmse, rel=1e-4)
+
+
+def test_large_search_is_done_in_tasks(spark, monkeypatch):
+    """Rows that a task can hold need no rounds, however many numbers their basis has; few powers are looked at for each centre."""
+    monkeypatch.setattr(greedy, "_in_rounds", None)
+    looked, powers = [], greedy.Chosen.powers
+    monkeypatch.setattr(greedy.Chosen, "powers", lambda self, u, v: looked.append(len(u)) or powers(self, u, v))
+    rng = np.random.default_rng(7)
+    rows = np.column_stack([rng.random((40_000, 3)), rng.normal(size=40_000)])
+    c = greedy.Chosen.none(20.0, None, 3)
+    gram = greedy.choose(c, rows, 100)
+    assert len(c.y) == 100 and sum(looked) < 0.2 * 100 * len(rows)
+    assert np.array_equal(c.points[:8], plain(rows[:, :3], 20.0, 8)) and np.allclose(gram, greedy.summed(c, rows))
+    units = spark.range(150_000).select(*[F.rand(k).alias(p) for k, p in enumerate(P.names)], F.rand(9).alias("y"), F.lit(0.0).alias("fold"))
+    assert len(greedy.solved(units, P.names, [(5.0, None)], 200, 150_000)[0].chosen.y) == 200
