@@ -216,7 +216,9 @@ def analyze(
     more: dict[str, object] = {}
 
     def cleaned(rows: DataFrame, unit: str) -> DataFrame:
-        return cut(drop_invalid(rows, [unit], "drop", known.min_kept) if policy == "drop" else rows)
+        rows = cut(rows)
+        left = drop_invalid(rows, [unit], "drop", known.min_kept) if policy == "drop" else rows
+        return left if left is rows else cut(left)
 
     def reps_of(rows: DataFrame, unit: str) -> DataFrame:
         return kept(resampling.weights(units_of(rows, unit), n_bootstrap, seed, draw))
@@ -225,8 +227,9 @@ def analyze(
         point = estimate(rows)
         if not n_bootstrap:
             return point, None
-        w = reps_of(rows, unit)
-        return point, estimate(rows.join(w, rows[unit] == w["unit"]).drop("unit"), extra=["rep"], w="w")
+        drawn = kept(resampling.draws(units_of(rows, unit), n_bootstrap, seed, draw))
+        each = rows.join(drawn, rows[unit] == drawn["unit"]).drop("unit").withColumn("rep", F.explode("reps")).drop("reps")
+        return point, estimate(each.withColumn("w", F.lit(1)), extra=["rep"], w="w")
 
     def by_rows(estimate: Callable[[DataFrame, list[str]], DataFrame], planned: Callable[[DataFrame], partition.Partition], plain: Callable[[DataFrame], tuple[DataFrame, dict]] | None = None, drawn: Callable[[DataFrame], tuple[DataFrame, int | None]] | None = None) -> tuple[DataFrame, DataFrame | None]:
         """Estimates on one partition of the runs, which all slices and replicates share.
@@ -268,7 +271,7 @@ def analyze(
 
     if method == "sobol":
         met = cleaned(layout.join(outputs, "run_id"), "base_id")
-        rows = cut(db.pick_freeze(met.select("run_id", *slices, "y").distinct(), layout.join(met.select("base_id").distinct(), "base_id", "left_semi"), slices))
+        rows = cut(db.units(met, slices))
         estimator = options.pop("estimator", db.ESTIMATORS[0])
         point, draws = by_weight(rows, "base_id", lambda r, extra=(), w=None: db.sobol(r, estimator, slices, extra, w))
         if options.pop("second", False):

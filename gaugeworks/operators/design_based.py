@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..problem import Gaussian, Problem
@@ -26,17 +26,18 @@ def pick_freeze(outputs: DataFrame, layout: DataFrame, slices: Sequence[str] = (
     """``(base_id, param, *slices, a, b, ab, ba)`` from outputs by run and the layout ``(base_id, block, param, run_id)``.
 
     Blocks are A, B, AB and BA; A and B have no param and go to each of the unit's params. One join
-    and one grouping by unit, no self-join.
+    and one shuffle by unit, no self-join.
     """
-    rows = layout.join(outputs, "run_id")
-    per = rows.groupBy("base_id", *slices).agg(
-        F.max(F.when(F.col("block") == "A", F.col("y"))).alias("a"),
-        F.max(F.when(F.col("block") == "B", F.col("y"))).alias("b"),
-        F.collect_list(F.when(F.col("block").isin("AB", "BA"), F.struct("param", "block", "y"))).alias("mixed"),
-    )
-    each = per.select("base_id", *slices, "a", "b", F.explode("mixed").alias("m"))
-    pick = lambda k: F.max(F.when(F.col("m.block") == k, F.col("m.y")))
-    return each.groupBy("base_id", *slices, F.col("m.param").alias("param")).agg(F.first("a").alias("a"), F.first("b").alias("b"), pick("AB").alias("ab"), pick("BA").alias("ba"))
+    return units(layout.join(outputs, "run_id"), slices)
+
+
+def units(rows: DataFrame, slices: Sequence[str] = ()) -> DataFrame:
+    """What ``pick_freeze`` gives, from the layout with its outputs ``(base_id, block, param, *slices, y)``."""
+    unit = Window.partitionBy("base_id", *slices)
+    whole = lambda k: F.max(F.when(F.col("block") == k, F.col("y"))).over(unit)
+    each = rows.select("base_id", *slices, "param", "block", "y", whole("A").alias("a"), whole("B").alias("b")).where(F.col("block").isin("AB", "BA"))
+    pick = lambda k: F.max(F.when(F.col("block") == k, F.col("y")))
+    return each.groupBy("base_id", *slices, "param").agg(F.max("a").alias("a"), F.max("b").alias("b"), pick("AB").alias("ab"), pick("BA").alias("ba"))
 
 
 def standardised(rows: DataFrame, cols: Sequence[str], slices: Sequence[str] = ()) -> DataFrame:

@@ -44,7 +44,7 @@ def drop_invalid(rows: DataFrame, unit: Sequence[str], policy: str = "raise", mi
         if not bad.isEmpty():
             raise ValueError("outputs hold values that are not finite; choose another policy to go on")
         return rows
-    left = rows.join(bad, list(unit), "left_anti")
+    left = rows if bad.isEmpty() else rows.join(bad, list(unit), "left_anti")
     n = left.select(*unit).distinct().count()
     if n < min_kept:
         raise ValueError(f"{n} units are left, {min_kept} are needed")

@@ -38,6 +38,16 @@ def weights(units: DataFrame, replicates: int, seed: int, draw=hashed) -> DataFr
     return counts.join(units, "pos").select("rep", "unit", "w")
 
 
+def draws(units: DataFrame, replicates: int, seed: int, draw=hashed) -> DataFrame:
+    """``(unit, reps)``: the draws of ``weights`` as one row for each unit drawn, with a replicate as often as it draws the unit."""
+    n = units.count()
+    if not n:
+        raise ValueError("there is nothing to resample")
+    each = units.select(F.col("pos").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+    found = each.select((draw(F.col("rep"), F.col("i"), seed) % n).alias("pos"), "rep").groupBy("pos").agg(F.collect_list("rep").alias("reps"))
+    return found.join(units, "pos").select("unit", "reps")
+
+
 def intervals(replicates: DataFrame, keys: Sequence[str], value: str, level: float = 0.95, method: str = "quantile") -> DataFrame:
     """``(*keys, lower, upper)`` over replicates, NaN left out: interpolated percentiles, or z sample deviations around the mean."""
     if method not in ("quantile", "gaussian"):

@@ -117,3 +117,20 @@ def test_failed_runs_and_a_failed_output(spark, runs):
     assert dropped.s1.notna().all() and len(dropped) == 3 * S
     passed = analyze("pce", P, bad, runs.drop("ys"), slices=["o"], on_invalid="propagate", order=2).table.toPandas().set_index("o")
     assert passed.loc[2].s1.isna().all() and passed.loc[3].s1.notna().all()
+
+
+def test_units_of_a_design_need_one_shuffle_and_no_lists(spark):
+    """Every unit's outputs meet in one shuffle; draws by unit are the weights."""
+    from gaugeworks.operators import design_based as db
+    from gaugeworks.operators import resampling as rs
+
+    blocks = [("A", None), ("B", None), ("AB", "p"), ("BA", "p"), ("AB", "q"), ("BA", "q")]
+    rows = [(i, b, p, k, float(10 * i + j)) for i in range(3) for k in "uv" for j, (b, p) in enumerate(blocks) if (i, b, p) != (2, "BA", "q")]
+    got = db.units(spark.createDataFrame(rows, "base_id long, block string, param string, slice string, y double"), ["slice"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "collect_list" not in plan
+    want = {(i, k, p, 10.0 * i, 10.0 * i + 1, 10.0 * i + j, None if (i, p) == (2, "q") else 10.0 * i + j + 1) for i in range(3) for k in "uv" for p, j in (("p", 2), ("q", 4))}
+    assert {(r.base_id, r.slice, r.param, r.a, r.b, r.ab, r.ba) for r in got.collect()} == want
+    units = spark.range(40).select(F.col("id").alias("unit"), F.col("id").alias("pos"))
+    drawn = rs.draws(units, 7, 3).withColumn("rep", F.explode("reps")).groupBy("rep", "unit").agg(F.count("*").alias("w"))
+    assert sorted(map(tuple, drawn.collect())) == sorted(map(tuple, rs.weights(units, 7, 3).select("rep", "unit", "w").collect()))
