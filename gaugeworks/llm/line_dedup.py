@@ -25,7 +25,12 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def _words(line: str | Column) -> Column:
-    return F.filter(F.split(F.col(line) if isinstance(line, str) else line, SPACE), lambda w: w != "")
+    return F.array_remove(F.split(F.col(line) if isinstance(line, str) else line, SPACE), "")
+
+
+def _blank(line: Column) -> Column:
+    """Whether a line has no word."""
+    return ~line.rlike(r"[^\x20\x09-\x0D]")
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -53,7 +58,7 @@ def _same_row(a: DataFrame, b: DataFrame) -> Column:
 def distinct_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each distinct line with words: its hashes, number of words, first place, and keys of its halves."""
     each = _lines(docs, id_col, text_col).select("_id", "_rk", F.posexplode("_lines").alias("line_no", "line"))
-    each = each.select("_id", "_rk", "line_no", _words("line").alias("w")).where(F.size("w") > 0)
+    each = each.where(~_blank(F.col("line"))).select("_id", "_rk", "line_no", _words("line").alias("w"))
     n, w = F.size("w"), F.col("w")
     halves = []
     for s in (n, n - 1):  # the shorter line's words: this one's, or one fewer
@@ -159,8 +164,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keyed = inner.withColumn("_rk", F.xxhash64(F.col(id_), F.coalesce(F.col(text).cast("string"), F.lit(""))))
     whole = keyed.join(bits, (F.col("_rk") == F.col("_krk")) & F.col(id_).eqNullSafe(F.col("_kid")), "left")
     pieces = F.split(F.col(text), "\n")
-    blank = lambda x: ~x.rlike(r"[^\x20\x09-\x0D]")
-    kept = F.filter(pieces, lambda x, i: blank(x) | F.coalesce(_has("_bits", i), F.lit(False)))
+    kept = F.filter(pieces, lambda x, i: F.coalesce(_has("_bits", i), F.lit(False)) | _blank(x))
     whole = whole.withColumn("_kept", kept).withColumn("n_lines", F.greatest(F.coalesce(F.size(pieces), F.lit(0)), F.lit(0)))
     gone = F.greatest(F.col("n_lines") - F.size("_kept"), F.lit(0))
     whole = whole.withColumn("n_removed", F.when(F.col(text).isNull(), F.lit(0)).otherwise(gone)).withColumn(text, F.array_join("_kept", "\n"))

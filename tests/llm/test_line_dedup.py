@@ -58,3 +58,13 @@ def test_odd_rows(spark):
 
 def test_query_against_sql(spark, sf):
     same_rows(queries.QUERIES["op6_line_dedup"](spark, sf), queries.ORACLE_SQL["op6_line_dedup"], sf)
+
+
+def test_words_are_split_without_interpreted_functions(spark):
+    """Lines are told from blank ones before they are split, once, and empty words go by a function that is compiled."""
+    docs = spark.createDataFrame([(1, " a  b\t\x0bc \n\n \t\nq"), (2, None), (3, "\x1fx  y"), (4, "")], "doc_id long, text string")
+    got = line_dedup.distinct_lines(docs)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(split" not in plan and plan.count(r"[\x20\x09-\x0D]+") == 1
+    assert sorted((r.place.id, r.place.line_no, r.n) for r in got.collect()) == [(1, 0, 3), (1, 3, 1), (3, 0, 2)]
+    assert [r.text for r in line_dedup.dedup_lines(docs).orderBy("doc_id").collect()] == [" a  b\t\x0bc \n\n \t\nq", None, "\x1fx  y", ""]
