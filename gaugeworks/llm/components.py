@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, written
 
+#: Edges that a partition holds at least, where there are more partitions than these need.
+HELD = 50_000
+
 
 def connected(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of each node of ``edges (a, b)``; a component is named by its smallest node.
@@ -14,6 +17,7 @@ def connected(edges: DataFrame) -> DataFrame:
     Each round hangs larger neighbours (large star), then smaller ones (small star), on the least
     neighbour; rounds are logarithmic in the number of nodes. Grouped minima are cut before they are
     joined back, so that a node with very many neighbours is a skewed join that Spark can split.
+    Few edges are kept in few partitions (``HELD``), as each round writes files for each of them.
     Loops and repeated edges are allowed; rows with a null end are left out; no edge gives no row.
     """
     spark = edges.sparkSession
@@ -25,12 +29,14 @@ def connected(edges: DataFrame) -> DataFrame:
         if now[0] == 0:
             return spark.createDataFrame([], "node bigint, component bigint")
         state = now
+        parts = -(-now[0] // HELD)
+        links = links.coalesce(parts)
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
-        large = cut(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        least = cut(large.groupBy("a").agg(F.min("b").alias("m")))
+        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).coalesce(parts))
+        large = cut(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct().coalesce(parts))
+        least = cut(large.groupBy("a").agg(F.min("b").alias("m")).coalesce(parts))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        links = written(small.unionByName(least.withColumnRenamed("m", "b")).distinct(), "links")
+        links = written(small.unionByName(least.withColumnRenamed("m", "b")).distinct().coalesce(parts), "links")
     leaves = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return leaves.unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 

@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import pytest
 import xxhash
@@ -75,3 +76,23 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 4, 6]
     assert simhash.near_groups(docs.limit(0)).count() == 0
+
+
+def test_few_edges_are_kept_in_few_files(spark):
+    """Rounds over few edges write few files, whatever the number of shuffle partitions."""
+    from gaugeworks.llm import common, components
+
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    folder = Path(common.shared_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("links-*"))
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + F.when(F.col("id") % 30 == 29, 0).otherwise(1)).alias("b"))
+        got = {r.node: r.component for r in components.connected(edges).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {i: i - i % 30 for i in range(300)}
+    written = set(folder.glob("links-*")) - before
+    assert len(written) > 1 and all(len(list(p.glob("part-*"))) == 1 for p in written)
