@@ -9,6 +9,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Short rows (a few numbers each) that a partition of a table in few partitions holds.
+HELD = 200_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``sf_dir``."""
@@ -33,10 +36,30 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept by ``checkpoint()`` in the shared folder; its lineage ends there."""
+def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """``df`` computed once and kept by ``checkpoint()`` in the shared folder; its lineage ends there.
+
+    With ``parts``, it is written and read in no more partitions than that: Spark forgets how a table was dealt
+    out once it is kept, and groups and joins without a shuffle only what it knows to be one partition.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    return df.coalesce(parts).checkpoint().coalesce(parts) if parts else df.checkpoint()
+
+
+def held(df: DataFrame) -> DataFrame:
+    """``cut``, in no more partitions than its rows need (``HELD``).
+
+    Few rows are then one partition, within which Spark groups and joins without a shuffle, and leave one file,
+    not one for each of the session's shuffle partitions.
+    """
+    rows = cut(df)
+    parts = needed(rows.count())
+    return cut(rows, parts) if parts < partitions(df.sparkSession) else rows
+
+
+def needed(rows: int) -> int:
+    """Partitions that so many short rows need."""
+    return max(1, -(-rows // HELD))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, written
-
-#: Edges that a partition holds at least, where there are more partitions than these need.
-HELD = 50_000
+from .common import cut, held, needed, written
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -17,28 +14,29 @@ def connected(edges: DataFrame) -> DataFrame:
     Each round hangs larger neighbours (large star), then smaller ones (small star), on the least
     neighbour; rounds are logarithmic in the number of nodes. Grouped minima are cut before they are
     joined back, so that a node with very many neighbours is a skewed join that Spark can split.
-    Few edges are kept in few partitions (``HELD``), as each round writes files for each of them.
+    Few edges are kept in few partitions (``common.HELD``): rounds over one partition shuffle nothing, and
+    write one file for each table.
     Loops and repeated edges are allowed; rows with a null end are left out; no edge gives no row.
     """
     spark = edges.sparkSession
-    links = cut(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    )
+    links = held(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    turned = F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
     state = None
     while (now := _state(links)) != state:
         if now[0] == 0:
             return spark.createDataFrame([], "node bigint, component bigint")
         state = now
-        parts = -(-now[0] // HELD)
-        links = links.coalesce(parts)
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).coalesce(parts))
-        large = cut(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct().coalesce(parts))
-        least = cut(large.groupBy("a").agg(F.min("b").alias("m")).coalesce(parts))
+        parts = needed(now[0])
+        both = links.coalesce(parts).select(F.explode(F.array(F.struct("a", "b"), turned)).alias("x")).select("x.a", "x.b")
+        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), parts)
+        large = cut(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), parts)
+        least = cut(large.groupBy("a").agg(F.min("b").alias("m")), parts)
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        links = written(small.unionByName(least.withColumnRenamed("m", "b")).distinct().coalesce(parts), "links")
+        links = small.unionByName(least.withColumnRenamed("m", "b")).coalesce(parts).distinct()
+        links = written(links.coalesce(parts), "links").coalesce(parts)
     leaves = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return leaves.unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    roots = links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return leaves.unionByName(roots).coalesce(parts)
 
 
 def _state(links: DataFrame) -> tuple:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, written
+from .common import cut, held, needed, written
 from .components import connected
 
 BANDS, ROWS = 40, 5
@@ -54,7 +54,10 @@ def _class(hashes: np.ndarray) -> int:
 
 
 def _prints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``(id_col, t, cls, size, keys)`` of each row; ``t`` is a hash of the text, ``cls`` one of its set."""
+    """``(id_col, t, cls, size, keys)`` of each row; ``t`` is a hash of id and text, ``cls`` one of the set.
+
+    With the id in it, many copies of one text are no large group where rows meet by ``t``.
+    """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -64,11 +67,11 @@ def _prints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *out], names=[id_col, "t", "cls", "size", "keys"])
 
     kind, text = dict(docs.dtypes)[id_col], F.col(text_col).cast("string")
-    return docs.select(F.col(id_col), F.xxhash64(text).alias("t"), text).mapInArrow(kernel, f"`{id_col}` {kind}, t bigint, cls bigint, size bigint, keys array<bigint>")
+    return docs.select(F.col(id_col), F.xxhash64(F.col(id_col), text).alias("t"), text).mapInArrow(kernel, f"`{id_col}` {kind}, t bigint, cls bigint, size bigint, keys array<bigint>")
 
 
-def _sets(docs: DataFrame, text_col: str, width: int, wanted: DataFrame) -> DataFrame:
-    """``(cls, s)`` of the classes of ``wanted (t)``, read from one text of each."""
+def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, wanted: DataFrame) -> DataFrame:
+    """``(cls, s)`` of the classes of ``wanted (t)``, read from one row of each."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -76,62 +79,66 @@ def _sets(docs: DataFrame, text_col: str, width: int, wanted: DataFrame) -> Data
             cls = np.array([_class(s) for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["cls", "s"])
 
-    texts = docs.select(F.col(text_col).cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.xxhash64(F.col(id_col), text).alias("t"), text.alias("text"))
     one = texts.join(wanted, "t", "left_semi").dropDuplicates(["t"]).select("text")
     return one.mapInArrow(kernel, "cls bigint, s array<bigint>").dropDuplicates(["cls"])
 
 
-def _leaders(full: DataFrame) -> DataFrame:
+def _leaders(full: DataFrame, parts: int) -> DataFrame:
     """``(key, a)``: of each bucket, the class that shares most buckets with most others, as what others are copies of does."""
-    score = cut(full.groupBy("cls").agg(F.sum("n").alias("score")))
+    score = cut(full.groupBy("cls").agg(F.sum("n").alias("score")), parts)
     top = full.join(score, "cls").groupBy("key").agg(F.max(F.struct("score", "cls")).alias("top"))
-    return cut(top.select("key", F.col("top.cls").alias("a")))
+    return cut(top.select("key", F.col("top.cls").alias("a")), parts)
 
 
-def links(classes: DataFrame, docs: DataFrame, text_col: str, width: int, least: float, direct: int = 16, rounds: int = 3) -> DataFrame:
+def links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, least: float, direct: int = 16, rounds: int = 3) -> DataFrame:
     """Edges ``(a, b)`` among ``classes (cls, t, size, keys)``, enough to join all that link and share a key.
 
     In buckets of up to ``direct`` classes each pair is compared. In a fuller one, as a large group of near
     copies makes it, a leader is compared with all others, for which it then needs no further look; pairs that
     links have joined need none either. After ``rounds`` leaders, or once few pairs are left, all that are
-    not joined are compared. No pair is dropped.
+    not joined are compared. No pair is dropped. Members of full buckets and edges are kept in few partitions
+    where they are few.
     """
     named = classes.select("cls", "size", F.explode("keys").alias("key"))
     shared = cut(named.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     members = cut(named.join(shared, "key"))
     wanted = classes.join(members.select("cls").distinct(), "cls", "left_semi").select("t").distinct()
-    sets = written(_sets(docs, text_col, width, wanted), "shingles")
+    sets = written(_sets(docs, id_col, text_col, width, wanted), "shingles")
 
     def verified(pairs: DataFrame) -> DataFrame:
         near = F.least("sa", "sb") >= F.greatest("sa", "sb") * F.lit(least) - F.lit(1e-6)
         pairs = pairs.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("s").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
-        return cut(both.where(common >= F.lit(least) * (F.size("x") + F.size("y") - common) - F.lit(1e-6)).select("a", "b"))
+        return held(both.where(common >= F.lit(least) * (F.size("x") + F.size("y") - common) - F.lit(1e-6)).select("a", "b"))
 
     def ends(rows: DataFrame, name: str, *more: str) -> DataFrame:
         return rows.select("key", F.col("cls").alias(name), F.col("size").alias(f"s{name}"), *more)
 
     few = members.where(F.col("n") <= direct)
     edges = verified(ends(few, "a").join(ends(few, "b"), "key").where("a < b"))
-    full = members.where(F.col("n") > direct)
+    full = held(members.where(F.col("n") > direct))
+    parts = needed(full.count())
     for left in range(rounds, -1, -1):
         found = connected(edges).select(F.col("node").alias("cls"), "component")
         full = full.drop("component").join(found, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        parts = cut(full.groupBy("key", "component").agg(F.count("*").alias("m")))
-        per = parts.groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("same"), F.max(F.struct("m", "component")).alias("top"))
-        per = cut(per.where("n * n > same").select("key", "n", "same", F.col("top.component").alias("most")))
-        full = cut(full.drop("n").join(per, "key"))
+        joined = cut(full.groupBy("key", "component").agg(F.count("*").alias("m")), parts)
+        per = joined.groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("same"), F.max(F.struct("m", "component")).alias("top"))
+        per = cut(per.where("n * n > same").select("key", "n", "same", F.col("top.component").alias("most")), parts)
+        full = cut(full.drop("n").join(per, "key"), parts)
         total, open_ = per.agg(F.sum("n"), F.sum(F.expr("(n * n - same) / 2"))).first()
         if not total:
             return edges
         if left == 0 or open_ <= 8 * total:
             break
         full = full.drop("same", "most")
-        lead = _leaders(full)
+        lead = _leaders(full, parts)
         sized = lead.join(full.select("key", F.col("cls").alias("a"), F.col("size").alias("sa")), ["key", "a"])
-        edges = cut(edges.unionByName(verified(sized.join(ends(full, "b"), "key").where("a <> b"))))
-        full = cut(full.join(lead.withColumnRenamed("a", "cls"), ["key", "cls"], "left_anti"))
+        edges = edges.unionByName(verified(sized.join(ends(full, "b"), "key").where("a <> b")))
+        full = cut(full.join(lead.withColumnRenamed("a", "cls"), ["key", "cls"], "left_anti"), parts)
+    full = full.repartition("key")  # pairs may be many more than rows
     rest = ends(full.where("component <> most"), "a", F.col("component").alias("ca"))
     pairs = rest.join(ends(full, "b", F.col("component").alias("cb")), "key").where("ca <> cb")
     return edges.unionByName(verified(pairs))
@@ -145,7 +152,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     prints = written(_prints(docs, id_col, text_col, width), "prints")
     classes = cut(prints.groupBy("cls").agg(F.min(id_col).alias("least"), F.min("t").alias("t"), F.first("size").alias("size"), F.first("keys").alias("keys")))
-    found = connected(links(classes, docs, text_col, width, least, direct)).select(F.col("node").alias("cls"), "component")
+    found = connected(links(classes, docs, id_col, text_col, width, least, direct)).select(F.col("node").alias("cls"), "component")
     named = cut(classes.select("cls", "least").join(found, "cls", "left").withColumn("component", F.coalesce("component", "cls")))
     ids = cut(named.groupBy("component").agg(F.min("least").alias("component_id")))
     labels = cut(named.join(ids, "component").select("cls", "component_id"))

@@ -173,7 +173,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     found = [near_groups(rows, "id", "text", width).select("id", "component_id"), jaccard.near_groups(rows, "id", "text", width, least)]
-    ends = cut(found[0].unionByName(found[1].select("id", "component_id")).distinct())
+    ends = found[0].unionByName(found[1])
     groups = connected(ends.select(F.col("id").alias("a"), F.col("component_id").alias("b")))
     return groups.select(F.col("node").alias(id_col), F.col("component").alias("kept"))
 

@@ -58,3 +58,10 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 4, 4, 6]
     assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_copies_do_not_meet_in_one_task(spark):
+    """What rows are dealt out by differs between copies, so that many copies of one text are no large group."""
+    docs = spark.createDataFrame([(i, "the same words in each of them") for i in range(50)], "doc_id bigint, text string")
+    assert jaccard._prints(docs, "doc_id", "text", 5).select("t").distinct().count() == 50
+    assert {r.component_id for r in jaccard.near_groups(docs).collect()} == {0}

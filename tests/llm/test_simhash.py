@@ -96,3 +96,23 @@ def test_few_edges_are_kept_in_few_files(spark):
     assert got == {i: i - i % 30 for i in range(300)}
     written = set(folder.glob("links-*")) - before
     assert len(written) > 1 and all(len(list(p.glob("part-*"))) == 1 for p in written)
+
+
+def test_rounds_over_few_edges_run_few_tasks(spark):
+    """The number of shuffle partitions counts once, where edges are made distinct, not in each round."""
+    from gaugeworks.llm import components
+
+    context, old = spark.sparkContext, {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        context.setJobGroup("few-edges", "")
+        edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + F.when(F.col("id") % 30 == 29, 0).otherwise(1)).alias("b"))
+        assert components.connected(edges).count() == 300
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("few-edges") for s in tracker.getJobInfo(j).stageIds}
+    assert sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s))) < 1000
