@@ -52,10 +52,18 @@ FOUND = regex.compile(
     r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-](?:\(?\d{1,4}\)?[ .-])?\d{3,8}(?:[ .-]\d{2,8}){0,4}(?!\w)|(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?!\w)|(?<![\w+])(?:\+\d|0)\d{7,14}(?!\w))"
     rf"|(?P<person>\b(?:(?P<title>{_TITLE})\.?[ ]+(?P<name>{NAME}(?:[ ]+{NAME}){{0,2}})|(?P<full>(?:{_GIVEN})(?:[ ]+{NAME}){{1,2}})))"
 )
-#: A text that this doesn't match has no entity; Spark applies it before texts go to Python. It has no word
-#: bounds, which Java may read as ASCII's only. The look-ahead spares most characters the list of names.
-_FIRST = "".join(sorted({n[0] for names in (*TITLES.values(), *GIVEN.values()) for n in names}))
-MAYBE = rf"[0-9@=:]|\p{{Lu}}\p{{Ll}}+ \p{{Lu}}\p{{Ll}}|AKIA|gh[pousr]_|sk-|(?=[{_FIRST}])(?:{_TITLE}|{_GIVEN})"
+#: First letters of titles and listed names, those that are small, and what follows each.
+_FIRST = sorted({n[0] for names in (*TITLES.values(), *GIVEN.values()) for n in names})
+_SMALL = "".join(c for c in _FIRST if c.islower())
+_REST = "|".join(f"(?<={c})(?:{'|'.join(n[1:] for n in f'{_TITLE}|{_GIVEN}'.split('|') if n[0] == c)})" for c in _FIRST)
+#: A text that this doesn't match has no entity and no pair; Spark applies it before texts go to Python. It has no word
+#: bounds, which Java may read as ASCII's only. Java tries all alternatives at each character, so there are none before
+#: one class of characters, few of plain prose; titles and names are read only where a space and no small letter follow.
+MAYBE = (
+    rf"[0-9@=:_\-\p{{Lu}}{_SMALL}](?:(?<=[0-9@=:])"
+    rf"|(?=[\p{{L}}-]++\.? +\P{{Ll}})(?:(?<![_\-{_SMALL}])\p{{Ll}}+ \p{{Lu}}\p{{Ll}}|{_REST})"
+    r"|(?<=A)KIA|(?<=gh[pousr]_|sk-))"
+)
 #: Where an entity can begin, by patterns that skip fast over plain prose; mail addresses and named secrets are
 #: traced back from their sign.
 BEGINS = [re.compile(x) for x in (r"[+(]|\d+", r"[A-Z]{2}\d{2}", r"AKIA|gh[pousr]_|sk-", f"{_TITLE}|{_GIVEN}")]
