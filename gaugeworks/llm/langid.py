@@ -38,8 +38,10 @@ RUNS = re.compile(r"[^\W_0-9]+")
 
 def words_of(text: str) -> list[str]:
     """Whole runs of letters, lower-cased."""
-    out = []
-    for w in RUNS.findall(text.lower()):
+    found, out = RUNS.findall(text.lower()), []
+    if "".join(found).isalpha():
+        return found
+    for w in found:
         out += [w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split()
     return out
 
@@ -60,23 +62,43 @@ class Lattice:
         self.ids = {p: i for i, p in enumerate(pieces)}
         self.longest = max(map(len, pieces), default=1)
         self.strange, self.none = len(pieces), len(pieces) + 1
+        # The beginnings of pieces as a tree: nodes are numbered, steps are sorted by node and character.
+        letters = {c: i for i, c in enumerate(sorted(set().union(*pieces)), 1)}
+        self.letter = np.zeros(max(map(ord, letters), default=0) + 2, np.int64)
+        self.letter[[ord(c) for c in letters]] = list(letters.values())
+        nodes, steps = {"": 0}, []
+        for s in pieces:
+            for end in range(1, len(s) + 1):
+                if s[:end] not in nodes:
+                    nodes[s[:end]] = len(nodes)
+                    steps.append((nodes[s[: end - 1]] * (len(letters) + 1) + letters[s[end - 1]], nodes[s[:end]]))
+        steps.sort()
+        self.steps = np.array([*(k for k, _ in steps), np.iinfo(np.int64).max])
+        self.targets = np.array([*(t for _, t in steps), 0])
+        self.piece_at = np.array([self.ids.get(s, self.none) for s in nodes], np.int32)
+        self.width = len(letters) + 1
 
     def of(self, words: list[str]) -> np.ndarray:
         """``[word, end, length]``: the piece of this length that ends there; all words have one length."""
-        n, get, none = len(words[0]) + 1, self.ids.get, self.none
+        n = len(words[0]) + 1
         most = min(n, self.longest)
-        out = np.full((len(words), n, most), none, np.int32)
-        for k, w in enumerate(words):
-            s, rows = "▁" + w, out[k]
-            for end in range(1, n + 1):
-                row = rows[end - 1]
-                for size in range(1, min(end, most) + 1):
-                    i = get(s[end - size : end])
-                    if i is not None:
-                        row[size - 1] = i
-                if row[0] == none:
-                    row[0] = self.strange
-        return out
+        out = np.full((n, most, len(words)), self.none, np.int32)
+        points = np.frombuffer("".join(f"▁{w}" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        letters = self.letter[np.minimum(points, len(self.letter) - 1)]
+        # All places are walked down the tree at once, until no piece goes on; a walk from a word's end stops there.
+        start, node = np.arange(len(letters)), np.zeros(len(letters), np.int64)
+        for size in range(1, most + 1):
+            step = node * self.width + letters[start + size - 1]
+            at = np.searchsorted(self.steps, step)
+            on = np.flatnonzero(self.steps[at] == step)
+            start, node = start[on], self.targets[at[on]]
+            word, first = np.divmod(start, n)
+            out[first + size - 1, size - 1, word] = self.piece_at[node]
+            inside = np.flatnonzero(first + size < n)
+            start, node = start[inside], node[inside]
+        single = out[:, 0]
+        single[single == self.none] = self.strange
+        return out.transpose(2, 0, 1)
 
     def forward(self, cuts: np.ndarray, p: np.ndarray) -> np.ndarray:
         """``[end, word, language]``: scaled sums over all cuts of each prefix. ``p`` is ``[piece, language]``."""
@@ -85,7 +107,9 @@ class Lattice:
         alpha[0] = 1.0
         for end in range(1, n + 1):
             for size in range(1, min(end, most) + 1):
-                alpha[end] += alpha[end - size] * p[cuts[:, end - 1, size - 1]] * SCALE**size
+                ids = cuts[:, end - 1, size - 1]
+                if size == 1 or (ids != self.none).any():
+                    alpha[end] += alpha[end - size] * p.take(ids, 0) * SCALE**size
         return alpha
 
     def in_range(self, n: int, p: np.ndarray) -> bool:
@@ -174,14 +198,13 @@ def _table(pieces: list[str], counts: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def _by_length(words: list[str], most: int = 4096) -> Iterator[list[int]]:
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    at = 0
-    while at < len(order):
-        upto = at
-        while upto < len(order) and upto - at < max(1, most * LONGEST // (len(words[order[at]]) + 1)) and len(words[order[upto]]) == len(words[order[at]]):
-            upto += 1
-        yield order[at:upto]
-        at = upto
+    groups: dict[int, list[int]] = {}
+    for i, w in enumerate(words):
+        groups.setdefault(len(w), []).append(i)
+    for n, group in sorted(groups.items()):
+        size = max(1, most * LONGEST // (n + 1))
+        for at in range(0, len(group), size):
+            yield group[at : at + size]
 
 
 def fit(texts: DataFrame, pieces: list[str], train_texts: int = TRAIN_TEXTS, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
@@ -207,12 +230,12 @@ def fit(texts: DataFrame, pieces: list[str], train_texts: int = TRAIN_TEXTS, rou
 
     seen = cut(picked.select("lang", "text").mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     spark, model = texts.sparkSession, {k: np.ones(len(pieces) + 2) for k in langs}
-    shared = spark.sparkContext.broadcast(pieces)
+    shared = spark.sparkContext.broadcast(Lattice(pieces))
     for _ in range(rounds):
         now = spark.sparkContext.broadcast({k: _table(pieces, {k: c}) for k, c in model.items()})
 
         def expect(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            lattice, sums = Lattice(shared.value), {}
+            lattice, sums = shared.value, {}
             for f in frames:
                 for lang, part in f.groupby("lang"):
                     words, n = part.word.tolist(), part.n.to_numpy(float)
@@ -231,34 +254,51 @@ def fit(texts: DataFrame, pieces: list[str], train_texts: int = TRAIN_TEXTS, rou
     return langs, _table(pieces, model)
 
 
+class Numbers(dict):
+    """Numbers of words, from 1; a word that is met first is listed as ``fresh``. Long words are 0 and not remembered."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+        self.long = 0
+
+    def __missing__(self, word: str) -> int:
+        if len(word) > LONGEST:
+            self.long += 1
+            return 0
+        self[word] = n = len(self) + 1
+        self.fresh.append(word)
+        return n
+
+
 class Scorer:
     """Log probabilities of texts under each language."""
 
-    def __init__(self, pieces: list[str], p: np.ndarray):
-        self.lattice, self.p = Lattice(pieces), p
-        self.known: dict[str, int] = {}
-        self.rows = np.zeros((1 << 16, p.shape[1]))
+    def __init__(self, lattice: Lattice, p: np.ndarray):
+        self.lattice, self.p = lattice, p
+        self.known = Numbers()
+        self.rows = np.zeros((1 << 16, p.shape[1]))  # by number
 
-    def learn(self, words: list[str]) -> None:
-        """Scores and remembers words that it doesn't know."""
-        need = len(self.known) + len(words)
+    def learn(self) -> None:
+        """Scores the fresh words."""
+        words, self.known.fresh = self.known.fresh, []
+        need, at = len(self.known) + 1, len(self.known) + 1 - len(words)
         if need > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros((max(need - len(self.rows), len(self.rows)), self.rows.shape[1]))])
         for ids in _by_length(words):
-            part = [words[i] for i in ids]
-            at = len(self.known)
-            self.rows[at : at + len(part)] = self.lattice.log_probability(self.lattice.of(part), self.p)
-            self.known.update(zip(part, range(at, at + len(part))))
+            self.rows[at + np.array(ids)] = self.lattice.log_probability(self.lattice.of([words[i] for i in ids]), self.p)
 
     def logs(self, texts: list[list[str]]) -> np.ndarray:
         """``[text, language]`` for lists of words."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        self.learn(list({w for t in texts for w in t if w not in self.known and len(w) <= LONGEST}))
-        get, none = self.known.__getitem__, np.zeros(self.p.shape[1])
-        short = [self.rows[[get(w) for w in t if len(w) <= LONGEST]].sum(0) for t in texts]
-        long = [sum((self.lattice.run_log_probability(w, self.p) for w in t if len(w) > LONGEST), none) for t in texts]
-        return (np.array(short) + np.array(long)).reshape(len(texts), -1)
+        self.known.long, number = 0, self.known.__getitem__
+        numbers = [np.fromiter(map(number, t), np.intp, len(t)) for t in texts]
+        self.learn()
+        logs = np.array([self.rows.take(i, 0).sum(0) for i in numbers]).reshape(len(texts), -1)
+        if self.known.long:
+            none = np.zeros(self.p.shape[1])
+            logs += np.array([sum((self.lattice.run_log_probability(w, self.p) for w in t if len(w) > LONGEST), none) for t in texts])
+        return logs
 
 
 def with_language(docs: DataFrame, labelled: DataFrame, vocabulary: str, text_col: str = "text", train_texts: int = TRAIN_TEXTS, rounds: int = ROUNDS) -> DataFrame:
@@ -273,12 +313,12 @@ def with_language(docs: DataFrame, labelled: DataFrame, vocabulary: str, text_co
     pieces = pieces_of(vocabulary)
     langs, p = fit(labelled.dropna(subset=["text", "lang"]), pieces, train_texts, rounds)
     inner, name = sheltered(docs, ADDED)
-    shared = docs.sparkSession.sparkContext.broadcast((pieces, langs, p))
+    shared = docs.sparkSession.sparkContext.broadcast((Lattice(pieces), langs, p))
     at = inner.columns.index(name[text_col])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, langs, p = shared.value
-        scorer = Scorer(pieces, p)
+        lattice, langs, p = shared.value
+        scorer = Scorer(lattice, p)
         for b in batches:
             for lo in range(0, b.num_rows, 128):
                 part = b.slice(lo, 128)

@@ -1,3 +1,5 @@
+import random
+import time
 import zlib
 
 import numpy as np
@@ -76,3 +78,57 @@ def test_long_runs_of_uncovered_letters(spark):
     df = spark.createDataFrame([(1, f"le chat et le chien {run}"), (2, f"the cat {run} and the dog"), (3, run)], "doc_id bigint, text string")
     got = {r.doc_id: r for r in langid.with_language(df, known, queries.PIECES).collect()}
     assert got[1].lang_pred == "fr" and got[2].lang_pred == "en" and all(0 < r.score <= 1 for r in got.values())
+
+
+def plain_lattice(lattice, words):
+    """``Lattice.of`` by looking every substring up."""
+    n = len(words[0]) + 1
+    most = min(n, lattice.longest)
+    out = np.full((len(words), n, most), lattice.none)
+    for k, w in enumerate(words):
+        s, rows = "▁" + w, out[k]
+        for end in range(1, n + 1):
+            for size in range(1, min(end, most) + 1):
+                if (i := lattice.ids.get(s[end - size : end])) is not None:
+                    rows[end - 1, size - 1] = i
+            if rows[end - 1, 0] == lattice.none:
+                rows[end - 1, 0] = lattice.strange
+    return out
+
+
+def test_lattices_of_many_words_hold_every_piece():
+    r = random.Random(3)
+    for names in (["▁", "a", "b", "ab", "▁a", "ba", "aba", "▁ab", "é", "\U00010428b", "bbbbbb"], ["ab"], []):
+        lattice = langid.Lattice(names)
+        for n in (1, 2, 5, 9, 70):
+            words = ["".join(r.choice("aabbéxж\U00010428\uffff\U0010ffff") for _ in range(n)) for _ in range(50)]
+            assert np.array_equal(lattice.of(words), plain_lattice(lattice, words))
+
+
+def test_new_words_are_cut_fast():
+    """Texts keep bringing new words, so that their cuts are most of the time."""
+    r = random.Random(4)
+    lattice = langid.Lattice(langid.pieces_of(queries.PIECES))
+    parts = ["en", "the", "tion", "re", "ng", "st", "é", "ou", "a"]
+    words = list({"".join(r.choice(parts) for _ in range(6))[:9].ljust(9, "s") for _ in range(20_000)})
+    times = {"of": [], "plain": []}
+    for _ in range(3):
+        for k, f in (("of", lattice.of), ("plain", lambda w: plain_lattice(lattice, w))):
+            at = time.process_time()
+            f(words)
+            times[k].append(time.process_time() - at)
+    assert np.array_equal(lattice.of(words), plain_lattice(lattice, words))
+    assert min(times["of"]) < 0.6 * min(times["plain"])
+
+
+def test_words_are_remembered_until_there_are_many(monkeypatch):
+    names = ["▁", "a", "b", "ab"]
+    lattice, p = langid.Lattice(names), np.array([[0.4, 0.3], [0.3, 0.4], [0.2, 0.2], [0.1, 0.1], [langid.STRANGE] * 2, [0, 0]])
+    batches = [[["ab", "b", "ab"], [], ["x" * 100, "a"]], [["b", "aab"], ["x" * 100]], [["abab"], ["ab", "a"]]]
+    for most in (1, 500_000):
+        monkeypatch.setattr(langid, "REMEMBERED", most)
+        scorer = langid.Scorer(lattice, p)
+        for texts in batches:
+            want = [sum((lattice.run_log_probability(w, p) for w in t), np.zeros(2)) for t in texts]
+            assert np.allclose(scorer.logs(texts), want, rtol=1e-12)
+        assert len(scorer.known) == (3 if most == 1 else 5) and "x" * 100 not in scorer.known
