@@ -5,11 +5,19 @@ potentials of a plan are tables: blocks of runs have theirs, blocks of members t
 block of runs and every block of members, a pair at a time, and merges each block's maxima and scaled sums of
 exponentials by grouping, once for the runs and once for the members; every ten rounds the marginals are tested and
 plans that have settled rest. Small plans are solved by one task each, with the same rounds.
+
+The kernel of a round is Gaussian, and where it is not narrow beside the cloud, to its last digits a product of a few dozen features of each
+output. Sums over all members are then products with sums of their features, so that a round is linear in runs and members: it
+passes on one vector for each plan. Plans of clouds that a task holds are rounds there, others passes over the blocks. Where
+features are too many, or too coarse for what a plan's sums come to, pairs are compared.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+import math
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,11 +26,17 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 from .frames import ranked
+from .kernels import Factor, factor
+from .surrogates import SHAPE, partial_rows, together, unpacked
 
 #: Runs or members of a block; costs of a plan, and numbers of a cloud, that one task takes.
 SIDE, PLAN, CLOUD = 1024, 20_000_000, 4_000_000
 #: Rounds between tests of the marginals.
 TESTED = 10
+#: Costs up to which a plan is not solved by features, features of all outputs together at most, numbers of plans' sums that the driver passes on, and of features that a task keeps.
+DIRECT, TENSOR, FEATURES, KEPT = 1_000_000, 1 << 16, 4_000_000, 12_000_000
+#: Errors that features may bring to a plan's marginals, in all and at any run or member.
+COARSE, COARSEST = 1e-9, 1e-6
 
 
 def clouds(outputs: DataFrame, keys: Sequence[str], coords: Sequence[str], standardise: bool = True) -> DataFrame:
@@ -76,13 +90,127 @@ def entropic(c: np.ndarray, a: np.ndarray, b: np.ndarray, epsilon: float, tol: f
     return float((plan * c).sum()), done
 
 
+@dataclass
+class Features:
+    """The kernel ``exp(-costs / e)`` on a box, as sums of products of features of each output; ``error`` of its largest value."""
+
+    parts: list[Factor]
+    error: float
+
+    @classmethod
+    def of(cls, low: Sequence[float], high: Sequence[float], e: float) -> Features | None:
+        """None where a coordinate is too wide for ``factor``, or the products are too many."""
+        parts, error, size = [], 0.0, 1
+        for a, b in zip(low, high):
+            if (part := factor(a, b, e / 2)) is None or (size := size * part.rank) > TENSOR:
+                return None
+            x = np.linspace(a, b, 199)
+            error += float(np.abs(part.at(x) @ part.at(x).T - np.exp(-np.subtract.outer(x, x) ** 2 / e)).max()) + np.finfo(float).eps
+            parts.append(part)
+        return cls(parts, error)
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return math.prod(p.rank for p in self.parts[:-1]), self.parts[-1].rank
+
+    def at(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Products of all outputs' features but the last one's, and those."""
+        left = np.ones((len(z), 1))
+        for j, p in enumerate(self.parts[:-1]):
+            left = (left[:, :, None] * p.at(z[:, j])[:, None, :]).reshape(len(z), -1)
+        return left, self.parts[-1].at(z[:, -1])
+
+    def sums(self, f: tuple[np.ndarray, np.ndarray], u: np.ndarray) -> np.ndarray:
+        """Features summed with weights."""
+        return (f[0].T @ (f[1] * u[:, None])).ravel()
+
+    def totals(self, f: tuple[np.ndarray, np.ndarray], m: np.ndarray) -> np.ndarray:
+        """Kernels with points whose features sum to ``m``, summed."""
+        return ((f[0] @ m[: math.prod(self.shape)].reshape(self.shape)) * f[1]).sum(1)
+
+
+#: Blocks ``(z, w, features)`` of runs or members.
+Blocks = Iterable[tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]]
+
+
+def _first(k: Features, blocks: Blocks) -> np.ndarray:
+    """What a half round passes on, of members whose potentials are 0: sums of features, of weights, and one over the least kernel sum."""
+    return np.sum([[*k.sums(f, w), w.sum(), 0.0] for _, w, f in blocks], 0)
+
+
+def _half(k: Features, blocks: Blocks, m: np.ndarray) -> np.ndarray:
+    """The runs' half of a round from what the members' passed on, or the other way round."""
+    out = np.zeros(len(m))
+    for _, w, f in blocks:
+        total = k.totals(f, m)
+        u = w / np.where(total > 0, total, np.nan)
+        out[:-2] += k.sums(f, u)
+        out[-2] += u.sum()
+        out[-1] = np.maximum(out[-1], np.max(1 / np.where(total > 0, total, np.nan)))
+    return out
+
+
+def _merged(stack: np.ndarray) -> np.ndarray:
+    """Vectors of a half round together, each of one row."""
+    return np.concatenate([stack[..., :-1].sum(0), stack[..., -1:].max(0)], -1)
+
+
+def _pulls(k: Features, blocks: Blocks, m: np.ndarray) -> np.ndarray:
+    """Of the members, from what the runs passed on: their squares' sum, and sums of features with each output."""
+    out = 0.0
+    for z, w, f in blocks:
+        u = w / k.totals(f, m)
+        out = out + np.concatenate([[(w * (z * z).sum(1)).sum()], *[k.sums(f, u * x) for x in z.T]])
+    return out
+
+
+def _ends(k: Features, blocks: Blocks, m: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """As ``_pulls`` of the runs, whose potentials are from ``m``, against members' from ``new``, and how far their marginals are off."""
+    out = 0.0
+    for z, w, f in blocks:
+        before, after = k.totals(f, m), k.totals(f, new)
+        u, share = w / before, w * after / before
+        out = out + np.concatenate([[np.abs(share - w).sum(), (share * (z * z).sum(1)).sum()], *[k.sums(f, u * x) for x in z.T]])
+    return out
+
+
+def _cost(ends: np.ndarray, pulls: np.ndarray) -> float:
+    return float(ends[1] + pulls[0] - 2 * ends[2:] @ pulls[1:])
+
+
+def _lost(k: Features, m: np.ndarray, out: np.ndarray) -> bool:
+    """Whether the features' errors could show in a half round ``out``: kernel sums are too small beside the weights of ``m``."""
+    return not (k.error * m[-2] * out[-2] <= COARSE and k.error * m[-2] * out[-1] <= COARSEST)
+
+
+def featured(k: Features, x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, tol: float, most: int) -> tuple[float, bool] | None:
+    """As ``entropic`` of runs ``x`` and members ``y``, by features; None where they are too coarse."""
+    cut_ = lambda z, w: ((z[i : i + SIDE], w[i : i + SIDE], k.at(z[i : i + SIDE])) for i in range(0, len(z), SIDE))
+    runs, members = (lambda: cut_(x, a)), (lambda: cut_(y, b))
+    if (len(x) + len(y)) * sum(k.shape) <= KEPT:
+        kept = list(runs()), list(members())
+        runs, members = (lambda: kept[0]), (lambda: kept[1])
+    new, done = _first(k, members()), False
+    for r in range(1, most + 1):
+        m = new
+        n = _half(k, runs(), m)
+        new = _half(k, members(), n)
+        if _lost(k, m, n) or _lost(k, n, new):
+            return None
+        if r % TESTED == 0 or r == most:
+            ends = _ends(k, runs(), m, new)
+            if done := bool(ends[0] <= tol):
+                break
+    return _cost(ends, _pulls(k, members(), n)), done
+
+
 def joint_transport(cloud: DataFrame, table: DataFrame, keys: Sequence[str] = (), epsilon: float = 0.03, most: int = 2000, tol: float = 1e-9, plan: int | None = None) -> DataFrame:
     """``(param, *keys, ot, advective, diffusive, s1, unconverged)`` of clouds ``(*keys, run_id, z)`` and classes ``(run_id, param, class)``.
 
     Both may have ``w``, how often a run counts, and ``table`` may have some of the keys, as a replicate's. ``epsilon`` is relative to
     twice a cloud's total variance; the cost is the transport part of the plan, what entropy adds to it is part of
     ``diffusive``. Plans that do not settle in ``most`` rounds keep their last state and are counted. A cloud
-    without variance gives 0, one with a NaN gives NaN. Plans above ``plan`` costs are solved block by block.
+    without variance gives 0, one with a NaN gives NaN. Plans above ``plan`` costs are solved by features, or block by block.
     """
     keys, plan = list(keys), PLAN if plan is None else plan
     shared = ["run_id", *[k for k in keys if k in table.columns]]
@@ -102,13 +230,19 @@ def joint_transport(cloud: DataFrame, table: DataFrame, keys: Sequence[str] = ()
     adv = sum(((F.col(f"s{e}") / F.col("c")) ** 2 for e in range(dims)), F.lit(0.0))
     per = per.select("kid", "param", "class", "c", "p", adv.alias("a"))
     per = cut(_numbered(per.join(stats.select("kid", "n", "_rows", "v"), "kid"), ["kid", "param", "class"], "cid"))
-    small = (F.col("p") * F.col("_rows") <= plan) & (F.col("_rows") * dims <= CLOUD)
+    held = F.col("_rows") * dims <= CLOUD
+    small = (F.col("p") * F.col("_rows") <= plan) & held
     blocks = cut(_packed(moved.select("kid", "run_id", "z", "w").join(stats.select("kid", "n"), "kid").select("kid", "run_id", "z", (F.col("w") / F.col("n")).alias("w")), ["kid"], ["run_id"]))
     own = cut(_packed(placed.join(per.select("kid", "param", "class", "cid", "c"), ["kid", "param", "class"]).select("cid", "run_id", "z", (F.col("w") / F.col("c")).alias("w")), ["cid"], ["run_id"]))
-    known = per.where("v > 0 AND NOT isnan(v)").withColumn("small", small).select("cid", "kid", (F.lit(epsilon) * F.col("v")).alias("e"), "small")
-    solved = _in_tasks(known.where("small"), blocks, own, dims, tol, most)
-    if not (large := cut(known.where("NOT small"))).isEmpty():
-        solved = solved.unionByName(_in_rounds(large, blocks, own, dims, tol, most))
+    known = per.where("v > 0 AND NOT isnan(v)").withColumns({"small": small, "held": held, "wide": F.col("p") * F.col("_rows") > DIRECT}).select("cid", "kid", (F.lit(epsilon) * F.col("v")).alias("e"), "small", "held", "wide")
+    known = cut(known)
+    solved = cut(_in_tasks(known.where("held AND (small OR wide)"), blocks, own, dims, tol, most))
+    if not (large := known.where("NOT held")).isEmpty():
+        bounds = moved.join(large.select("kid").distinct(), "kid").groupBy("kid").agg(*[F.array(*[end(z[e]) for e in range(dims)]).alias(c) for c, end in (("low", F.min), ("high", F.max))])
+        solved = cut(solved.unionByName(_in_passes(large.join(bounds, "kid"), blocks, own, dims, tol, most)))
+    left = cut(known.join(solved.where("w IS NOT NULL"), "cid", "left_anti"))
+    if not left.isEmpty():
+        solved = solved.where("w IS NOT NULL").unionByName(_in_rounds(left, blocks, own, dims, tol, most))
     got = per.join(solved, "cid", "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
     share, over = F.col("c") / F.col("n"), F.when(F.isnan("v"), F.col("v")).when(F.col("v") > 0, 1 / F.col("v")).otherwise(0.0)
     sums = got.groupBy("kid", "param").agg(F.sum(share * F.col("w") * over).alias("ot"), F.sum(share * F.col("a") * over).alias("advective"), F.sum(share * F.greatest(F.col("w") - F.col("a"), F.lit(0.0)) * over).alias("diffusive"), F.first("n").alias("n"), F.sum(F.coalesce("left", F.lit(0))).alias("unconverged"))
@@ -127,22 +261,89 @@ def _points(blob: bytes, dims: int) -> np.ndarray:
 
 
 def _in_tasks(known: DataFrame, blocks: DataFrame, own: DataFrame, dims: int, tol: float, most: int) -> DataFrame:
-    """``(cid, w, left)`` of plans that one task holds: it gets the class and its cloud, whose sizes are bounded."""
-    side = own.select("cid", F.lit(1).alias("side"), "b", "pts", "w").join(known.select("cid", "e"), "cid")
-    whole = blocks.join(known.select("cid", "kid", "e"), "kid").select("cid", F.lit(0).alias("side"), "b", "pts", "w", "e")
+    """``(cid, w, left)`` of plans that one task holds: it gets the class and its cloud, whose sizes are bounded.
+
+    Plans that are ``wide`` go by features; where these fail, ``w`` is null unless the plan is ``small``.
+    """
+    side = own.select("cid", F.lit(1).alias("side"), "b", "pts", "w").join(known.select("cid", "e", "small", "wide"), "cid")
+    whole = blocks.join(known, "kid").select("cid", F.lit(0).alias("side"), "b", "pts", "w", "e", "small", "wide")
 
     def solve(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("b")
         a, b = (np.concatenate([_points(p, dims) for p in f.pts[f.side == s]]) for s in (0, 1))
         wa, wb = (np.concatenate([np.frombuffer(w) for w in f.w[f.side == s]]) for s in (0, 1))
-        value, done = entropic(costs(a, b), wa, wb, float(f.e.iloc[0]), tol, most)
+        e, got = float(f.e.iloc[0]), None
+        if f.wide.iloc[0] and (k := Features.of(a.min(0), a.max(0), e)):
+            got = featured(k, a, b, wa, wb, tol, most)
+        if got is None and f.small.iloc[0]:
+            got = entropic(costs(a, b), wa, wb, e, tol, most)
+        value, done = got or (None, False)
         return pd.DataFrame({"cid": f.cid[:1], "w": [value], "left": [int(not done)]})
 
-    return side.unionByName(whole).groupBy("cid").applyInPandas(solve, "cid bigint, w double, left int")
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small inputs of long tasks, which are not to be put together
+    return side.unionByName(whole).repartition(parts, "cid").groupBy("cid").applyInPandas(solve, "cid bigint, w double, left int")
+
+
+def _in_passes(known: DataFrame, blocks: DataFrame, own: DataFrame, dims: int, tol: float, most: int) -> DataFrame:
+    """``(cid, w, left)`` of plans ``(cid, kid, e, low, high)`` of large clouds, by features: half a round is a pass over the blocks, of which one vector for each plan is left.
+
+    Plans without features, or for which these are too coarse, have no row.
+    """
+    spark = blocks.sparkSession
+    kernels: dict[int, Features] = {}
+    for r in known.select("kid", "e", "low", "high").distinct().collect():  # a row for each cloud
+        if k := Features.of(r.low, r.high, r.e):
+            kernels[r.kid] = k
+    of = {r.cid: r.kid for r in known.select("cid", "kid").collect() if r.kid in kernels}  # a row for each plan
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out, rest = [], sorted(of)
+    runs = cut(blocks.join(known.select("kid").distinct(), "kid").select("kid", F.lit(-1).cast("bigint").alias("cid"), "pts", "w").repartition(parts))
+    members = cut(own.join(known.select("cid", "kid"), "cid").select("kid", "cid", "pts", "w").repartition(parts))
+
+    def over(side: DataFrame, plans: set[int], merge: Callable, use: Callable[[int, Features, Blocks], np.ndarray]) -> dict[int, np.ndarray]:
+        """What ``use`` makes of the blocks of each plan, merged."""
+        both: dict[int, list[int]] = {}
+        for c in plans:
+            both.setdefault(of[c], []).append(c)
+
+        def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums: dict[int, np.ndarray] = {}
+            for r in itertools.chain.from_iterable(f.itertuples() for f in frames):
+                mine = both.get(r.kid, []) if r.cid < 0 else [c for c in (r.cid,) if c in plans]
+                if mine:
+                    k, z = kernels[r.kid], _points(r.pts, dims)
+                    block = [(z, np.frombuffer(r.w), k.at(z))]
+                for c in mine:
+                    part = use(c, k, block)[None]
+                    sums[c] = merge(np.stack([sums[c], part])) if c in sums else part
+            yield from partial_rows(sums)
+
+        return {r.k: unpacked(r)[0] for r in together(side.mapInPandas(partial, SHAPE), merge, parts).collect()}
+
+    add = lambda s: s.sum(0)
+    while rest:
+        plans, size = set(), 0
+        while rest and size + (one := math.prod(kernels[of[rest[-1]]].shape) * (dims + 3)) <= max(FEATURES, one):
+            plans.add(rest.pop())
+            size += one
+        new, rounds = over(members, plans, _merged, lambda c, k, b: _first(k, b)), 0
+        while plans and rounds < most:
+            m, rounds = new, rounds + 1
+            n = over(runs, plans, _merged, lambda c, k, b, m=m: _half(k, b, m[c]))
+            new = over(members, plans, _merged, lambda c, k, b, n=n: _half(k, b, n[c]))
+            plans = {c for c in plans if not (_lost(kernels[of[c]], m[c], n[c]) or _lost(kernels[of[c]], n[c], new[c]))}
+            if rounds % TESTED == 0 or rounds == most:
+                ends = over(runs, plans, add, lambda c, k, b, m=m, new=new: _ends(k, b, m[c], new[c]))
+                settled = {c for c in plans if ends[c][0] <= tol or rounds == most}
+                pulls = over(members, settled, add, lambda c, k, b, n=n: _pulls(k, b, n[c])) if settled else {}
+                out += [(c, _cost(ends[c], pulls[c]), int(ends[c][0] > tol)) for c in settled]
+                plans -= settled
+    return spark.createDataFrame(out, "cid bigint, w double, left int")
 
 
 def _in_rounds(known: DataFrame, blocks: DataFrame, own: DataFrame, dims: int, tol: float, most: int) -> DataFrame:
     """``(cid, w, left)`` of large plans, by rounds over all of them."""
+    known = known.select("cid", "kid", "e")
     count = blocks.groupBy("kid").agg((F.max("b") + 1).alias("_k"))
     pairs = own.withColumnsRenamed({"b": "j", "pts": "q", "w": "wq"}).join(known.select("cid", "kid", "e"), "cid").join(count, "kid").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_k").cast("int") - 1))).drop("_k")
     pairs = pairs.join(blocks.withColumnsRenamed({"b": "i", "pts": "p", "w": "wp"}), ["kid", "i"])  # every block of runs with every block of members

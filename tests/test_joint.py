@@ -97,3 +97,45 @@ def test_odd_clouds(spark, frame, outputs):
         analyze("optimal_transport", P, outputs, inputs, slices=["o", "t"], mode="trajectory", time="x")
     got = analyze("optimal_transport", P, outputs, inputs, slices=["o", "t"], mode="trajectory", time="t", n_classes=3, epsilon=0.3, n_bootstrap=2, seed=1).to_pandas()
     assert len(got) == 6 and (got.ot_lower <= got.ot_upper).all()
+
+
+def test_features_equal_pairs(spark, frame, outputs, monkeypatch):
+    """Plans by features, in tasks and in passes over blocks, are those of pairs; where features don't serve, pairs are compared."""
+    table = partition.plan(P, spark.createDataFrame(frame), 4).table.cache()
+    cloud = joint.clouds(outputs.where("o = 0"), [], ["t"]).cache()
+    solve = lambda: joint.joint_transport(cloud, table, epsilon=0.3, most=13, tol=1e-4, plan=0).toPandas().set_index("param").sort_index()
+    want = joint.joint_transport(cloud, table, epsilon=0.3, most=13, tol=1e-4).toPandas().set_index("param").sort_index()
+    rounds, asked = joint._in_rounds, []
+    monkeypatch.setattr(joint, "_in_rounds", lambda known, *rest: asked.append(known.count()) or rounds(known, *rest))
+    for limits in ({"SIDE": 16, "DIRECT": 0}, {"SIDE": 16, "DIRECT": 0, "CLOUD": 0}, {"SIDE": 32, "DIRECT": 0, "CLOUD": 0, "TENSOR": 1}):
+        for name, value in limits.items():
+            monkeypatch.setattr(joint, name, value)
+        got = solve()
+        assert np.allclose(got.drop(columns="unconverged"), want.drop(columns="unconverged"), atol=1e-8) and got.unconverged.tolist() == want.unconverged.tolist()
+    assert asked == [10]
+
+
+def test_features_know_their_errors():
+    """Members far from most runs leave kernel sums that features can't give: those plans are refused, others equal whole ones."""
+    rng = np.random.default_rng(5)
+    x = rng.uniform(-1.7, 1.7, (3000, 2))
+    near, far = x[:700], x[np.argsort(x[:, 1])[-40:]]
+    a = np.full(len(x), 1 / len(x))
+    b = np.full(len(near), 1 / len(near))
+    for e in (0.8, 0.3):
+        got = joint.featured(joint.Features.of(x.min(0), x.max(0), e), x, near, a, b, 0.0, 20)
+        assert got == (pytest.approx(joint.entropic(joint.costs(x, near), a, b, e, 0.0, 20)[0], rel=1e-8), False)
+    assert joint.featured(joint.Features.of(x.min(0), x.max(0), 0.8), x, far, a, np.full(40, 1 / 40), 0.0, 20) is None
+    assert joint.Features.of([0.0], [1e6], 0.1) is None
+
+
+def test_large_clouds_need_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(joint, "_in_rounds", None)
+    monkeypatch.setattr(joint, "entropic", None)
+    runs = spark.range(20_000).select(F.col("id").alias("run_id"), F.rand(1).alias("a"), F.rand(2).alias("b"), F.lit(0.0).alias("level"), F.rand(3).alias("u"))
+    y = F.explode(F.array(F.struct(F.lit(0).alias("o"), (F.col("a") + F.col("u")).alias("y")), F.struct(F.lit(1).alias("o"), (F.col("b") - F.col("u")).alias("y")))).alias("s")
+    outputs = runs.select("run_id", y).select("run_id", "s.*")
+    p = Problem({"a": Uniform(), "b": Uniform()})
+    with pytest.warns(UserWarning, match="settle"):
+        got = analyze("optimal_transport", p, outputs, runs, slices=["o"], mode="multivariate", n_classes=3, epsilon=0.2, max_iter=12, tol=0.0).to_pandas().set_index("param")
+    assert (got.ot > got.advective).all() and got.unconverged.tolist() == [3, 3]
