@@ -115,3 +115,36 @@ def test_large_search_is_done_in_tasks(spark, monkeypatch):
     assert np.array_equal(c.points[:8], plain(rows[:, :3], 20.0, 8)) and np.allclose(gram, greedy.summed(c, rows))
     units = spark.range(150_000).select(*[F.rand(k).alias(p) for k, p in enumerate(P.names)], F.rand(9).alias("y"), F.lit(0.0).alias("fold"))
     assert len(greedy.solved(units, P.names, [(5.0, None)], 200, 150_000)[0].chosen.y) == 200
+
+
+@pytest.mark.parametrize("gamma", [0.05, 5.0, 60.0])
+def test_stored_basis_chooses_the_same(monkeypatch, gamma):
+    """Centres from a pool beside a stored basis are those of looks at single powers, with copies of rows and small pools."""
+    rows = frame(3000, 8)[[*P.names, "y"]].to_numpy()
+    monkeypatch.setattr(greedy, "_take", None)
+    made = []
+    for pooled in (40, 5000):
+        monkeypatch.setattr(greedy, "POOLED", pooled)
+        made.append(greedy.Chosen.none(gamma, None, 3))
+        gram = greedy.choose(made[-1], rows, 60)
+        assert np.allclose(gram, greedy.summed(made[-1], rows), rtol=1e-6, atol=1e-6)
+    monkeypatch.undo()
+    monkeypatch.setattr(greedy, "STORED", 0)
+    looked = greedy.Chosen.none(gamma, None, 3)
+    greedy.choose(looked, rows, 60)
+    for c in made:
+        assert len(c.y) == len(looked.y) and np.array_equal(c.points[:25], looked.points[:25])
+        if gamma > 1:
+            assert np.array_equal(c.points, looked.points) and np.allclose(c.factor, looked.factor)
+
+
+def test_search_passes_errors_on(spark, monkeypatch):
+    """Tasks of a search give back errors of held-out rows, not the sums of their folds; one job has the fit of all rows too."""
+    f = frame(240)
+    units, calls, tasks = spark.createDataFrame(f), [], greedy._in_tasks
+    monkeypatch.setattr(greedy, "_in_tasks", lambda *a: calls.append(tasks(*a)) or calls[-1])
+    fit, gamma, ridge, sse = greedy.searched(units, P.names, [0.3, 3.0], [1e-8, 1e-2], 40, 4, 240)
+    (found,) = calls
+    assert len(found) == 10 and sum(isinstance(x, list) for x in found) == 8
+    many = greedy.searched(units, P.names, [0.3, 3.0], [1e-8, 1e-2], 40, 4, 240, held=0)
+    assert (gamma, ridge) == many[1:3] and sse == pytest.approx(many[3], rel=1e-5) and np.array_equal(fit.chosen.points, many[0].chosen.points)
