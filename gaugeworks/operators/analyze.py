@@ -231,12 +231,22 @@ def analyze(
         each = rows.join(drawn, rows[unit] == drawn["unit"]).drop("unit").withColumn("rep", F.explode("reps")).drop("reps")
         return point, estimate(each.withColumn("w", F.lit(1)), extra=["rep"], w="w")
 
-    def by_rows(estimate: Callable[[DataFrame, list[str]], DataFrame], planned: Callable[[DataFrame], partition.Partition], plain: Callable[[DataFrame], tuple[DataFrame, dict]] | None = None, drawn: Callable[[DataFrame], tuple[DataFrame, int | None]] | None = None) -> tuple[DataFrame, DataFrame | None]:
+    def by_rows(estimate: Callable[[DataFrame, list[str]], DataFrame], planned: Callable[[DataFrame], partition.Partition], plain: Callable[[DataFrame], tuple[DataFrame, dict]] | None = None, drawn: Callable[[DataFrame], tuple[DataFrame, int | None]] | None = None, weighted: bool = False) -> tuple[DataFrame, DataFrame | None]:
         """Estimates on one partition of the runs, which all slices and replicates share.
 
         Where slices have runs of their own, each is partitioned by itself. One output without replicates, of an estimator that
-        knows only classes, needs no partition that is shared (``plain``).
+        knows only classes, needs no partition that is shared (``plain``). Replicates of an estimator that takes weights (``weighted``)
+        have a row for each run and class, not for each copy.
         """
+
+        def again(shared: partition.Partition, own: DataFrame, these: DataFrame) -> DataFrame:
+            if weighted:
+                counts = kept(resampling.counts(units_of(these, "run_id"), n_bootstrap, seed, draw))
+                return estimate(shared.weighted(shared.of(own), counts, slices, n_bootstrap), [*slices, "rep"])
+            weights, size = drawn(these)
+            placed = shared.replicated(weights, size) if shared.classes or size else partition.drawn(shared.table, weights)
+            return estimate(own.join(placed, "run_id"), [*slices, "rep"])
+
         if plain and not slices and not n_bootstrap:
             met = whole if whole is not None else inputs.select("run_id", *problem.names).join(outputs.select("run_id", F.col("y").cast("double").alias("y")), "run_id")
             rows, more["levels"] = plain(kept(drop_invalid(met, ["run_id"], "drop", known.min_kept)) if policy == "drop" else met)
@@ -250,9 +260,7 @@ def analyze(
             point = estimate(shared.of(rows), slices)
             if not n_bootstrap:
                 return point, None
-            weights, size = drawn(runs)
-            placed = shared.replicated(weights, size) if shared.classes or size else partition.drawn(shared.table, weights)
-            return point, estimate(rows.join(placed, "run_id"), [*slices, "rep"])
+            return point, again(shared, rows, runs)
         point = draws = None
         for s in rows.select(*slices).distinct().orderBy(*slices).collect():  # irregular slices are few: channels
             own = rows
@@ -263,9 +271,7 @@ def analyze(
             one = estimate(shared.of(own), slices)
             point = one if point is None else point.unionByName(one)
             if n_bootstrap:
-                weights, size = drawn(these)
-                placed = shared.replicated(weights, size) if shared.classes or size else partition.drawn(shared.table, weights)
-                one = estimate(own.join(placed, "run_id"), [*slices, "rep"])
+                one = again(shared, own, these)
                 draws = one if draws is None else draws.unionByName(one)
         return point, draws
 
@@ -328,7 +334,7 @@ def analyze(
             warnings.warn(f"{n} entropic plans did not settle", stacklevel=2)
     elif method == "optimal_transport":
         classes = options.get("n_classes") or gd.transport_classes(outputs.select("run_id").distinct().count())
-        point, draws = by_rows(lambda r, s: gd.transport(r, classes, s), lambda r: partition.plan(problem, r, classes, method=method), lambda r: partition.direct(problem, r, classes, method))
+        point, draws = by_rows(lambda r, s: gd.transport(r, classes, s), lambda r: partition.plan(problem, r, classes, method=method), lambda r: partition.direct(problem, r, classes, method), weighted=True)
         if options.get("dummy"):
             point = _above_dummy(point, cleaned(outputs, "run_id"), problem, classes, slices, more["levels"], seed or 0, draw)
     elif method == "hsic":

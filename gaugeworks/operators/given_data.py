@@ -236,20 +236,27 @@ def transport(rows: DataFrame, classes: int | None = None, slices: Sequence[str]
 
     One-dimensional transport couples quantiles: member k of c meets the full sample's ranks from k n / c to
     (k + 1) n / c. Of these only the sum counts. Equal outputs of a class are counted first, and both quantile functions
-    are met by ranges of probability (``quantile_products``). ``member`` names a column with each row's class, for categories or
+    are met by ranges of probability (``quantile_products``). Rows may have ``w``, how often they count. ``member`` names a column with each row's class, for categories or
     random ones; without it, classes are of equal frequency in x.
     """
     keys = ["param", *slices]
-    stats = rows.groupBy(*keys).agg(F.avg("y").alias("m"), F.var_samp("y").alias("v"), F.count("*").alias("n"))
+    if weighted := "w" in rows.columns:
+        n = F.sum("w")
+        stats = rows.groupBy(*keys).agg((F.sum(F.col("w") * F.col("y")) / n).alias("m"), (F.max("y") == F.min("y")).alias("flat"), n.alias("n"))
+    else:
+        stats = rows.groupBy(*keys).agg(F.avg("y").alias("m"), F.var_samp("y").alias("v"), F.count("*").alias("n"))
     stats = kept(stats.withColumn("_g", F.monotonically_increasing_id()))
     rows = rows.withColumn("class", F.col(member)) if member else rows
     if "class" not in rows.columns:
         classes = classes or transport_classes(stats.agg(F.min("n")).first()[0] or 1)
-    values = _counted(_classed(rows, keys, classes), keys, stats.select(*keys, "_g", "m"), F.col("y") - F.col("m"))
+    values = _counted(rows.select(*keys, "class", "y", "w") if weighted else _classed(rows, keys, classes), keys, stats.select(*keys, "_g", "m"), F.col("y") - F.col("m"))
     y, c = F.col("y"), F.col("c")
     per = values.groupBy("_g", "class").agg(F.sum(c).alias("c"), (F.sum(c * y) / F.sum(c)).alias("cm"), (F.sum(c * y * y) / F.sum(c)).alias("cq"))
     whole = values.groupBy("_g").agg((F.sum(c * y * y) / F.sum(c)).alias("q"))
-    per = per.join(quantile_products(values), ["_g", "class"], "left").join(F.broadcast(whole.join(stats, "_g")), "_g")
+    whole = whole.join(stats, "_g")
+    if weighted:
+        whole = whole.withColumn("v", F.when(F.col("flat"), 0.0).otherwise(F.col("q") * F.col("n") / (F.col("n") - 1)))
+    per = per.join(quantile_products(values), ["_g", "class"], "left").join(F.broadcast(whole), "_g")
     w2 = F.greatest(F.col("q") + F.col("cq") - 2 * F.coalesce("cross", F.lit(0.0)) / F.col("n"), F.lit(0.0))
     adv = F.col("cm") * F.col("cm")
     share = F.col("c") / F.col("n")

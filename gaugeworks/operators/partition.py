@@ -8,9 +8,11 @@ their runs, and classes of equal frequency; categorical ones have a class for ea
 from __future__ import annotations
 
 import warnings
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +21,8 @@ from ..problem import Categorical, Problem
 from .frames import class_of, long_inputs, ranked
 from .order import classed
 
-#: Ranks that one window sums over.
-BLOCK = 1 << 16
+#: Ranks that one window sums over, and counts of ranks in replicates that one task holds.
+BLOCK, COUNTS = 1 << 16, 1 << 18
 
 
 def in_order(rows: DataFrame, keys: Sequence[str], key: str = "run_id", keep: Sequence[str] = ("y",)) -> DataFrame:
@@ -85,6 +87,55 @@ class Partition:
         return out.withColumn("class", F.when(ordered, class_of("rank", "n", self.classes)).otherwise(F.col("class"))) if self.classes else out
 
 
+    def weighted(self, rows: DataFrame, drawn: DataFrame, slices: Sequence[str], replicates: int) -> DataFrame:
+        """``(rep, *slices, param, class, y, w)``: the rows of ``of`` in each replicate, a row for each class that a run's copies fall into.
+
+        ``drawn (unit, counts)`` has a run's counts in all replicates in one row, so that a run is met once, not once for each replicate. A block of ranks is one
+        task, which places its copies in all replicates at once from where the blocks before it end.
+        """
+        classes, levels, size = self.classes, list(self.levels), self.size
+        keys, block = [*slices, "param"], max(1 << 8, min(BLOCK, COUNTS // max(1, replicates)))
+        groups = kept(rows.select(*keys).distinct().withColumn("_k", F.row_number().over(Window.orderBy(*keys))))  # a row for each param and slice
+        met = rows.join(F.broadcast(groups), keys).join(drawn, rows["run_id"] == drawn["unit"])
+        met = kept(met.select("_k", "param", "rank", "class", "y", "counts").withColumn("_b", F.expr(f"cast(rank div {block} as int)")))
+        matrix = lambda c: np.frombuffer(b"".join(c), "<i4").reshape(-1, replicates)
+
+        def summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """A row for each block of a batch of rows, with its counts in all replicates."""
+            for f in frames:
+                if len(f):
+                    at, c = (f["_k"].to_numpy(np.int64) << 32) | f["_b"].to_numpy(np.int64), matrix(f.counts)
+                    order = at.argsort(kind="stable")
+                    starts = np.flatnonzero(np.append(True, np.diff(at[order]) != 0))
+                    sums = np.add.reduceat(c[order].astype(np.int64), starts)
+                    yield pd.DataFrame({"_k": at[order][starts] >> 32, "_b": at[order][starts] & (2**32 - 1), "c": list(sums)})
+
+        long = met.select("_k", "_b", "counts").mapInPandas(summed, "_k int, _b int, c array<bigint>")
+        long = long.select("_k", "_b", F.posexplode("c").alias("rep", "_c")).groupBy("_k", "_b", "rep").agg(F.sum("_c").alias("_c"))
+        before = Window.partitionBy("_k", "rep").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        base = long.withColumn("_o", F.coalesce(F.sum("_c").over(before), F.lit(0))).groupBy("_k", "_b").agg(F.transform(F.array_sort(F.collect_list(F.struct("rep", "_o"))), lambda x: x["_o"]).alias("_os"))
+
+        def place(f: pd.DataFrame, first: pd.DataFrame) -> pd.DataFrame:
+            f = f.sort_values("rank")
+            c = matrix(f.counts).T.astype(np.int64)
+            rep, i = np.nonzero(c)
+            w, low = c[rep, i], (c.cumsum(1) - c + np.asarray(first._os.iloc[0], np.int64)[:, None])[rep, i]
+            if f.param.iloc[0] in levels:
+                own = f["class"].to_numpy()[i]
+            else:
+                own = ((low + 1) * classes - 1) // size
+                more = ((low + w) * classes - 1) // size - own + 1
+                if (more > 1).any():  # copies of one run in several classes
+                    step = np.arange(more.sum()) - np.repeat(more.cumsum() - more, more)
+                    rep, i, w, low, own = (np.repeat(x, more) for x in (rep, i, w, low, own))
+                    own = own + step
+                    w = np.minimum(low + w, (own + 1) * size // classes) - np.maximum(low, own * size // classes)
+            return pd.DataFrame({"_k": f["_k"].iloc[0], "rep": rep, "class": own, "y": f.y.to_numpy()[i], "w": w})
+
+        placed = met.groupBy("_k", "_b").cogroup(base.groupBy("_k", "_b")).applyInPandas(place, "_k int, rep int, class int, y double, w bigint")
+        return kept(placed).join(F.broadcast(groups), "_k").drop("_k")
+
+
 def plan(problem: Problem, inputs: DataFrame, classes: int | None = None, key: str = "run_id", method: str = "") -> Partition:
     """The partition of ``inputs (run_id, <names>)``, with ``classes`` of equal frequency for continuous inputs, or ranks alone."""
     inputs = kept(inputs.select(F.col(key).alias("run_id"), *[F.col(n).cast("double").alias(n) for n in problem.names]))

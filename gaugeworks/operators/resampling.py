@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from ..functions.special import NUMPY, normal_ppf
 
 #: Modulus and multipliers of the portable generator, which other engines can repeat in whole numbers (fixed values).
 MODULUS, M1, M2 = 2147483647, 48271, 69621
+#: Counts of units in replicates that one task holds at once.
+COUNTS = 1 << 18
 
 
 def portable(rep: Column, i: Column, seed: int) -> Column:
@@ -48,6 +51,26 @@ def draws(units: DataFrame, replicates: int, seed: int, draw=hashed) -> DataFram
     return found.join(units, "pos").select("unit", "reps")
 
 
+def counts(units: DataFrame, replicates: int, seed: int, draw=hashed) -> DataFrame:
+    """``(unit, counts)``: the draws of ``weights`` as one row for each unit drawn, with 32-bit counts by replicate as bytes.
+
+    A range of positions is one task, which counts all draws that fall into it.
+    """
+    n, block = units.count(), max(1, COUNTS // max(1, replicates))
+    if not n:
+        raise ValueError("there is nothing to resample")
+    each = units.select(F.col("pos").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+    found = each.select("rep", (draw(F.col("rep"), F.col("i"), seed) % n).cast("bigint").alias("pos")).withColumn("b", F.expr(f"cast(pos div {block} as int)"))
+
+    def count(f: pd.DataFrame) -> pd.DataFrame:
+        first = int(f.b.iloc[0]) * block
+        c = np.bincount((f.pos.to_numpy() - first) * replicates + f.rep.to_numpy(), minlength=replicates * block).reshape(-1, replicates).astype("<i4")
+        on = np.flatnonzero(c.any(1))
+        return pd.DataFrame({"pos": first + on, "counts": [x.tobytes() for x in c[on]]})
+
+    return found.groupBy("b").applyInPandas(count, "pos bigint, counts binary").join(units, "pos").select("unit", "counts")
+
+
 def intervals(replicates: DataFrame, keys: Sequence[str], value: str, level: float = 0.95, method: str = "quantile") -> DataFrame:
     """``(*keys, lower, upper)`` over replicates, NaN left out: interpolated percentiles, or z sample deviations around the mean."""
     if method not in ("quantile", "gaussian"):

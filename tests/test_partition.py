@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.operators import given_data as gd
 from gaugeworks.operators import partition
+from gaugeworks.operators import resampling as rs
 from gaugeworks.operators.analyze import analyze
 from gaugeworks.problem import Categorical, Problem, Uniform
 
@@ -143,3 +144,25 @@ def test_rows_without_an_id_are_ordered_by_a_hash(spark):
     f = frame()
     long = spark.createDataFrame(f).select(F.lit("idle").alias("param"), F.col("idle").alias("x"), "y")
     assert abs(gd.rank_index(long).first().s1) < 0.06
+
+
+def test_weighted_replicates_are_the_copies(spark, monkeypatch):
+    """Rows by weight are the copies of ``replicated``, class by class, over blocks of ranks, slices and levels, and transport of both is the same."""
+    monkeypatch.setattr(partition, "COUNTS", 1)
+    monkeypatch.setattr(rs, "COUNTS", 300)
+    rng = np.random.default_rng(3)
+    n, reps = 700, 3
+    f = pd.DataFrame({"run_id": np.arange(n), "a": rng.integers(0, 9, n) / 9, "level": rng.integers(0, 2, n).astype(float)})
+    p = Problem({"a": Uniform(), "level": Categorical((0.5, 0.5))})
+    rows = spark.createDataFrame(pd.concat([f[["run_id"]].assign(o=o, y=rng.normal(size=n).round(2)) for o in (0, 1)]))
+    shared = partition.plan(p, spark.createDataFrame(f), 300)
+    units = spark.createDataFrame(f[["run_id"]].assign(pos=f.run_id)).withColumnRenamed("run_id", "unit")
+    for draw in (rs.portable, lambda rep, i, seed: F.lit(5) + 0 * i):  # all draws are one unit, in many classes
+        copies = rows.join(shared.replicated(rs.weights(units, reps, 4, draw)), "run_id")
+        weighted = shared.weighted(shared.of(rows), rs.counts(units, reps, 4, draw), ["o"], reps).cache()
+        by = ["rep", "o", "param", "class", "y"]
+        want = copies.groupBy(*by).agg(F.count("*").alias("w")).toPandas().sort_values(by).reset_index(drop=True)
+        got = weighted.groupBy(*by).agg(F.sum("w").alias("w")).toPandas().sort_values(by).reset_index(drop=True)
+        pd.testing.assert_frame_equal(want, got, check_dtype=False)
+        a, b = (gd.transport(r, 300, ["o", "rep"]).toPandas().sort_values(["rep", "o", "param"]).reset_index(drop=True) for r in (copies, weighted))
+        pd.testing.assert_frame_equal(a, b, check_dtype=False, rtol=1e-9, atol=1e-12)
